@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuslab.llm import quality
+from corpuslab.llm import chat, licenses, quality
 
-QUERIES = {"op8_quality_rules": quality.query}
-ORACLES = {"op8_quality_rules": quality.ORACLE}
+QUERIES = {"op4_chat_perspectives": chat.query, "op5_license_scan": licenses.query, "op8_quality_rules": quality.query}
+ORACLES = {"op4_chat_perspectives": chat.ORACLE, "op5_license_scan": licenses.ORACLE, "op8_quality_rules": quality.ORACLE}
