@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from corpuslab.llm import chat, licenses, quality
+from corpuslab.llm import chat, licenses, packing, pii, quality
 
-QUERIES = {"op4_chat_perspectives": chat.query, "op5_license_scan": licenses.query, "op8_quality_rules": quality.query}
+QUERIES = {
+    "op4_chat_perspectives": chat.query,
+    "op5_license_scan": licenses.query,
+    "op6_best_fit_packing": packing.query,
+    "op7_personal_data": pii.query,
+    "op8_quality_rules": quality.query,
+}
 ORACLES = {"op4_chat_perspectives": chat.ORACLE, "op5_license_scan": licenses.ORACLE, "op8_quality_rules": quality.ORACLE}
