@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.llm.batches import bound, written
 
-CAPACITY, END_ID, SALTS, CACHE = 2048, 0, 256, 400_000
+CAPACITY, END_ID, SALTS, CACHE = 2048, 0, 256, 100_000
 
 
 class WordCachedEncoder:

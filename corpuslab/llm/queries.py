@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from corpuslab.llm import chat, licenses, packing, pii, quality
+from corpuslab.llm import chat, html_text, licenses, packing, pii, quality, substrings
 
 QUERIES = {
+    "op3_html_text": html_text.query,
     "op4_chat_perspectives": chat.query,
     "op5_license_scan": licenses.query,
     "op6_best_fit_packing": packing.query,
     "op7_personal_data": pii.query,
     "op8_quality_rules": quality.query,
+    "op10_substring_dedup": substrings.query,
+}
+ORACLES = {
+    "op4_chat_perspectives": chat.ORACLE,
+    "op5_license_scan": licenses.ORACLE,
+    "op8_quality_rules": quality.ORACLE,
+    "op10_substring_dedup": substrings.ORACLE,
 }
-ORACLES = {"op4_chat_perspectives": chat.ORACLE, "op5_license_scan": licenses.ORACLE, "op8_quality_rules": quality.ORACLE}

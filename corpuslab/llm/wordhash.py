@@ -31,10 +31,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> np.ndarray:
-    out = np.full(n, _BASE, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_known = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse."""
+    global _known
+    if len(_known[0]) < n:
+        made = []
+        for x in (_BASE, _INVERSE):
+            out = np.full(max(n, 1 << 16), x, np.uint64)
+            out[0] = 1
+            made.append(np.multiply.accumulate(out))
+        if len(made[0]) > 1 << 22:
+            return made[0][:n], made[1][:n]  # one very long text; not kept
+        _known = (made[0], made[1])
+    return _known[0][:n], _known[1][:n]
 
 
 @dataclass
@@ -93,23 +106,60 @@ def words(texts: pa.Array, lower: bool = False, hashed: bool = True) -> Words:
     first = np.searchsorted(starts, offsets)
     if not hashed:
         return Words(np.zeros(0, np.uint64), starts, ends, first, data)
-    power = _powers(n + 1)
+    power, inverse = _powers(n)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * power[:n], out=total[1:])
-    h = (total[ends] - total[starts]) * power[n - starts]
+    np.cumsum(_BYTE[data] * power, out=total[1:])
+    h = (total[ends] - total[starts]) * inverse[starts]
     return Words(mix(h + (ends - starts).astype(np.uint64)), starts, ends, first, data)
 
 
+def _shifted(a: np.ndarray, k: int) -> np.ndarray:
+    out = np.zeros_like(a)
+    out[: max(len(a) - k, 0)] = a[k:]
+    return out
+
+
 def grams(hashes: np.ndarray, size: int) -> np.ndarray:
-    """Hash of the `size` consecutive words that start at each word; the last size-1 entries wrap and mean nothing."""
-    if len(hashes) < size:
-        return np.zeros(len(hashes), np.uint64)
-    out = hashes.copy()
-    for k in range(1, size):
-        out = out * _STEP + np.roll(hashes, -k)
+    """Hash of the `size` consecutive words that start at each word; the last size-1 entries mean nothing.
+
+    Built by doubling: a run of m + n words is the run of m, shifted on, plus the run of n.
+    """
+    block, width = hashes, 1
+    out, done = None, 0
+    while size:
+        if size & 1:
+            if out is None:
+                out, done = block, width
+            else:
+                out, done = block * _step_power(done) + _shifted(out, width), done + width
+        size >>= 1
+        if size:
+            block, width = block * _step_power(width) + _shifted(block, width), 2 * width
     return mix(out)
 
 
+def _step_power(n: int) -> np.uint64:
+    return np.uint64(pow(int(_STEP), n, 1 << 64))
+
+
+def sliding_min(a: np.ndarray, size: int) -> np.ndarray:
+    """Minimum of each `size` entries that start at an entry; the last size-1 see fewer."""
+    out, width = a.copy(), 1
+    while width < size:
+        step = min(width, size - width)
+        if step < len(out):
+            out[:-step] = np.minimum(out[:-step], out[step:])
+        width += step
+    return out
+
+
+def parts(batches, rows: int = 64):
+    """The batches in slices of few rows, whose arrays stay in the CPU's caches."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def owners(w: Words) -> np.ndarray:
     """Index of the document of every word."""
     return np.repeat(np.arange(len(w.first) - 1), w.counts)
