@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from corpuslab.llm import chat, html_text, licenses, packing, pii, quality, substrings
+from corpuslab.llm import chat, html_text, jaccard, licenses, packing, pii, quality, substrings
 
 QUERIES = {
+    "op1_ngram_jaccard_join": jaccard.query,
     "op3_html_text": html_text.query,
     "op4_chat_perspectives": chat.query,
     "op5_license_scan": licenses.query,
