@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuslab.llm import chat, html_text, jaccard, licenses, packing, pii, quality, substrings
+from corpuslab.llm import chat, html_text, jaccard, language_model, licenses, packing, pii, quality, substrings
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard.query,
@@ -12,11 +12,13 @@ QUERIES = {
     "op6_best_fit_packing": packing.query,
     "op7_personal_data": pii.query,
     "op8_quality_rules": quality.query,
+    "op9_language_model": language_model.query,
     "op10_substring_dedup": substrings.query,
 }
 ORACLES = {
     "op4_chat_perspectives": chat.ORACLE,
     "op5_license_scan": licenses.ORACLE,
     "op8_quality_rules": quality.ORACLE,
+    "op9_language_model": language_model.query,
     "op10_substring_dedup": substrings.ORACLE,
 }
