@@ -13,26 +13,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SKETCH_BITS, BLOOM_BITS = 16, 25
+SKETCH_BITS, SKETCH_PARTS, BLOOM_BITS = 20, 64, 25
 
 
 def sketch_rows(counts: np.ndarray) -> pa.RecordBatch:
-    at = np.flatnonzero(counts)
-    return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["bucket", "n"])
+    """The counts of one task in parts: (part int, n binary)."""
+    parts = np.split(counts.astype("<u4"), SKETCH_PARTS)
+    return pa.RecordBatch.from_arrays([pa.array(range(SKETCH_PARTS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "n"])
 
 
 def gather_sketch(rows: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
-    """Total per bucket; `rows` has (bucket int, n long), the result 2**bits entries."""
-    table = rows.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    """Sum of the counts of all tasks: 2**bits entries, whatever the input."""
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_buffer(), "<u4").astype(np.int64) for x in table["n"])
+        return pa.table({"part": table["part"][:1], "n": pa.array([total.tobytes()], pa.binary())})
+
     out = np.zeros(1 << bits, np.int64)
-    out[table["bucket"].to_numpy()] = table["n"].to_numpy()
+    size = len(out) // SKETCH_PARTS
+    for r in rows.groupBy("part").applyInArrow(add, "part int, n binary").collect():
+        out[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(r["n"], np.int64)
     return out
 
 
 def frequency_levels(sketch: np.ndarray) -> np.ndarray:
     """How far each bucket lies above the usual one, in standard deviations of chance; 0 for usual buckets."""
     usual = max(float(np.median(sketch)), 1.0)
-    return np.maximum(0, np.round((sketch - usual) / np.sqrt(usual) - 4)).astype(np.int64)
+    return np.maximum(0, np.minimum(np.round((sketch - usual) / np.sqrt(usual) - 3), 60_000)).astype(np.uint16)
 
 
 def bucket(hashes: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
