@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from corpuslab.llm import chat, html_text, jaccard, language_model, licenses, packing, pii, quality, substrings
+from corpuslab.llm import chat, decontaminate, html_text, jaccard, language_model, licenses, packing, pii, quality, substrings
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard.query,
+    "op2_decontamination": decontaminate.query,
     "op3_html_text": html_text.query,
     "op4_chat_perspectives": chat.query,
     "op5_license_scan": licenses.query,
@@ -16,6 +17,7 @@ QUERIES = {
     "op10_substring_dedup": substrings.query,
 }
 ORACLES = {
+    "op2_decontamination": decontaminate.ORACLE,
     "op4_chat_perspectives": chat.ORACLE,
     "op5_license_scan": licenses.ORACLE,
     "op8_quality_rules": quality.ORACLE,

@@ -18,6 +18,9 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes that are neither letters, digits nor part of a longer character.
+NOT_WORD = np.zeros(256, bool)
+NOT_WORD[[*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -84,8 +87,8 @@ def _buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def words(texts: pa.Array, lower: bool = False, hashed: bool = True) -> Words:
-    """Words of every text.  Null and blank texts have none."""
+def words(texts: pa.Array, lower: bool = False, hashed: bool = True, parted: np.ndarray = _SPACE) -> Words:
+    """Words of every text, between bytes of `parted`; A-Z become lower case first if asked.  Null and blank texts have none."""
     data, offsets = _buffers(texts)
     n = len(data)
     if not n:
@@ -93,7 +96,7 @@ def words(texts: pa.Array, lower: bool = False, hashed: bool = True) -> Words:
         return Words(np.zeros(0, np.uint64), empty, empty, np.zeros(len(offsets), np.int64), data)
     if lower:
         data = _LOWER[data]
-    inside = ~_SPACE[data]
+    inside = ~parted[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     edges = offsets[(offsets > 0) & (offsets < n)]
