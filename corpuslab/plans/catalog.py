@@ -102,7 +102,7 @@ def doc_stats_by_scope(spark, sf_dir):
 @query(
     "slug_names",
     r"""SELECT page_id, left(regexp_replace(regexp_replace(regexp_extract(url, '[^/]*$'), '(.)\.[^.]*$', '\1'), '[^\p{L}\p{N}_\x{3000}-\x{9fff}-]', '_', 'g'), 50) AS name,
-regexp_replace(regexp_extract(url, '[^/]*$'), '[^A-Za-z0-9_]', '_', 'g') AS id FROM pages""",
+CASE WHEN regexp_extract(url, '[^/]*$') = '' THEN 'unknown' ELSE regexp_replace(regexp_extract(url, '[^/]*$'), '[^A-Za-z0-9_]', '_', 'g') END AS id FROM pages""",
 )
 def slug_names(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.slug(F.col("url")).alias("name"), T.mermaid_id(F.col("url")).alias("id"))
@@ -321,3 +321,190 @@ def coverage_gaps(spark, sf_dir):
 def coverage_pct(spark, sf_dir):
     merged, totals = _covered(spark, sf_dir)
     return coverage.share(merged, totals, "source", "total")
+
+
+_ASCII = "[a-z]{3,}"
+
+
+def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source files made from the documents: a function for every line of three plain words, in the language the id picks."""
+    docs = table(spark, sf_dir, "documents")
+    words = F.filter(F.transform(F.split("text", "\n"), lambda x: F.slice(F.regexp_extract_all(F.lower(x), F.lit(_ASCII), F.lit(0)), 1, 3)), lambda w: F.size(w) == 3)
+    a, b, c = (lambda k: lambda w: F.concat(F.lit("f_"), F.get(w, k)))(0), (lambda k: lambda w: F.concat(F.lit("f_"), F.get(w, k)))(1), (lambda k: lambda w: F.get(w, k))(2)
+    py = F.transform(words, lambda w: F.concat(F.lit("def "), a(w), F.lit("(x):\n    if x and x > 1:\n        "), b(w), F.lit("(x)\n    y = 1\n")))
+    js = F.transform(words, lambda w: F.concat(F.lit("function "), a(w), F.lit("(x) {\n  if (x) { "), b(w), F.lit("(x); }\n}\nvar "), c(w), F.lit(" = 1;\n")))
+    cc = F.transform(words, lambda w: F.concat(F.lit("static int "), a(w), F.lit("(int x) {\n  while (x) { "), b(w), F.lit("(x); strcpy(x, x); }\n}\nint "), c(w), F.lit(" = 1;\n")))
+    heads = {"py": "import os\nfrom json import loads\n\n", "js": "import x from 'lib/tool.js'\n", "c": "#include <stdio.h>\n"}
+    lang = F.element_at(F.array(*[F.lit(k) for k in heads]), (F.col("doc_id") % 3 + 1).cast("int"))
+    source = F.when(lang == "py", F.concat(F.lit(heads["py"]), F.array_join(py, ""))).when(lang == "js", F.concat(F.lit(heads["js"]), F.array_join(js, ""))).otherwise(F.concat(F.lit(heads["c"]), F.array_join(cc, "")))
+    return docs.select(F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), lang).alias("path"), lang.alias("lang"), source.alias("source"))
+
+
+#: The same files' functions in SQL: what each line defines and calls.
+_SQL_CODE = rf"""WITH files AS (
+  SELECT source || '/' || doc_id || '.' || ['py', 'js', 'c'][doc_id % 3 + 1] AS path, ['py', 'js', 'c'][doc_id % 3 + 1] AS lang,
+         list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_extract_all(lower(x), '{_ASCII}')[1:3]), lambda w: len(w) = 3) AS rows_ FROM documents),
+word AS (SELECT path, lang, unnest(rows_) AS w, generate_subscripts(rows_, 1) AS i FROM files),
+defined AS (SELECT path, lang, 'f_' || w[1] AS name, 'f_' || w[2] AS callee, w[3] AS var, i FROM word),
+calls AS (SELECT path, callee AS name FROM defined UNION ALL SELECT path, 'strcpy' FROM defined WHERE lang = 'c' UNION ALL SELECT path, name FROM defined WHERE lang <> 'py')"""
+
+
+def _symbols(spark, sf_dir):
+    from corpuslab.operators import code
+
+    return code, code_files(spark, sf_dir), code.symbols(code_files(spark, sf_dir), ("py", "c", "js"))
+
+
+@query("code_unused_functions", _SQL_CODE + """, once AS (SELECT DISTINCT ON (path, name) path, lang, name FROM defined WHERE lang <> 'py' ORDER BY path, name, i),
+functions AS (SELECT path, name FROM once UNION ALL SELECT path, name FROM defined WHERE lang = 'py')
+SELECT path, name FROM functions WHERE name NOT IN (SELECT name FROM calls)""")
+def code_unused_functions(spark, sf_dir):
+    code, _, found = _symbols(spark, sf_dir)
+    return code.unused_functions(found)
+
+
+@query("code_unused_imports", """SELECT source || '/' || doc_id || '.' || ['py', 'js', 'c'][doc_id % 3 + 1] AS path, x.module AS module, x.name AS name FROM documents,
+(VALUES (0, 'os', 'os'), (0, 'json', 'loads'), (1, 'lib/tool.js', 'tool'), (2, 'stdio.h', 'stdio')) AS x(k, module, name) WHERE doc_id % 3 = x.k""")
+def code_unused_imports(spark, sf_dir):
+    code, _, found = _symbols(spark, sf_dir)
+    return code.unused_imports(found)
+
+
+@query("code_dependency_graph", """SELECT source || '/' || doc_id || '.' || ['py', 'js', 'c'][doc_id % 3 + 1] AS path, x.module AS module, x.how AS how FROM documents,
+(VALUES (0, 'os', 'import'), (0, 'json', 'from_import'), (1, 'lib/tool.js', 'import'), (2, 'stdio.h', 'include')) AS x(k, module, how) WHERE doc_id % 3 = x.k""")
+def code_dependency_graph(spark, sf_dir):
+    code, _, found = _symbols(spark, sf_dir)
+    return code.dependencies(found)
+
+
+@query("code_metrics", _SQL_CODE + """, once AS (SELECT lang, count(DISTINCT (path, name)) AS d, count(*) AS n FROM defined GROUP BY lang),
+lines AS (SELECT lang, count(*) AS files, CAST(sum(CASE lang WHEN 'py' THEN 2 + 4 * len(rows_) WHEN 'js' THEN 1 + 4 * len(rows_) ELSE 4 * len(rows_) END) AS BIGINT) AS code_lines FROM files GROUP BY lang)
+SELECT lang, files, code_lines, CASE WHEN lang = 'py' THEN n ELSE d END AS functions FROM lines JOIN once USING (lang)""")
+def code_metrics(spark, sf_dir):
+    code, files, found = _symbols(spark, sf_dir)
+    return code.metrics(files, found)
+
+
+@query("code_data_flow", _SQL_CODE + """, set_ AS (SELECT path, var AS name, 4 * i + CASE lang WHEN 'js' THEN 1 ELSE 1 END AS line FROM defined WHERE lang <> 'py' UNION ALL SELECT path, 'y', 4 * i + 3 FROM defined WHERE lang = 'py')
+SELECT path, name, min(line) AS defined, count(*) - 1 AS assigned FROM set_ GROUP BY path, name""")
+def code_data_flow(spark, sf_dir):
+    code, _, found = _symbols(spark, sf_dir)
+    return code.data_flow(found)
+
+
+@query("code_issues", _SQL_CODE + """SELECT path, 'high' AS severity, 'dangerous_function' AS type, 'strcpy' AS message, 4 * i - 1 AS line, 0 AS rank FROM defined WHERE lang = 'c'
+UNION ALL SELECT path, 'medium', 'recursion', name || ' calls itself', 4 * i + 2, 1 FROM defined WHERE lang = 'py' AND name = callee""")
+def code_issues(spark, sf_dir):
+    code, _, found = _symbols(spark, sf_dir)
+    return code.issues(found)
+
+
+@query("code_complexity")
+def code_complexity(spark, sf_dir):
+    code, _, found = _symbols(spark, sf_dir)
+    return code.complexity(found)
+
+
+@query("code_called_by")
+def code_called_by(spark, sf_dir):
+    code, _, found = _symbols(spark, sf_dir)
+    return code.called_by(found)
+
+
+@query("code_symbol_table")
+def code_symbol_table(spark, sf_dir):
+    code, _, found = _symbols(spark, sf_dir)
+    return code.symbol_table(found)
+
+
+@query("code_mermaid")
+def code_mermaid(spark, sf_dir):
+    code, _, found = _symbols(spark, sf_dir)
+    return code.mermaid(found)
+
+
+@query("call_graph_reach", """WITH RECURSIVE edge AS (SELECT DISTINCT l_suppkey AS a, l_partkey % 100 AS b FROM lineitem),
+walk AS (SELECT CAST(1 AS BIGINT) AS node, 0 AS hops UNION SELECT b, hops + 1 FROM walk JOIN edge ON a = node WHERE hops < 2)
+SELECT node, min(hops) AS hops FROM walk GROUP BY node""")
+def call_graph_reach(spark, sf_dir):
+    from corpuslab.operators import code
+
+    edges = table(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_partkey") % 100).alias("to"))
+    return code.reachable(edges, "l_suppkey", "to", table(spark, sf_dir, "supplier").where("s_suppkey = 1").select("s_suppkey"), 2)
+
+
+@query("html_to_markdown")
+def html_to_markdown(spark, sf_dir):
+    from corpuslab.sources import markdown
+
+    return table(spark, sf_dir, "pages").select("page_id", markdown.from_html(F.col("html")).alias("markdown"))
+
+
+def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model replies made from the messages: a thought, a tagged call and a JSON call around each text."""
+    said = table(spark, sf_dir, "conversations")
+    call = F.to_json(F.struct(F.lit("search").alias("name"), F.struct(F.col("turn").alias("turn")).alias("arguments")))
+    tagged = F.concat(F.lit("<tool_call><name>read</name><args>{\"c\": "), F.col("conv_id").cast("string"), F.lit("}</args></tool_call>"))
+    return said.select("conv_id", "turn", F.concat(F.lit("<think>so</think>"), F.col("text"), F.lit("\n"), tagged, F.lit("\n"), call).alias("text"))
+
+
+@query("toolcall_extract", """SELECT conv_id, turn, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS clean, 2 AS n_calls, 'read' AS first_call, 'search' AS last_call, '{"turn": ' || turn || '}' AS last_args FROM conversations""")
+def toolcall_extract(spark, sf_dir):
+    from corpuslab.operators import tool_calls
+
+    found = tool_calls.extract(replies(spark, sf_dir), ["search", "read"])
+    last = F.element_at("calls", -1)
+    return found.select("conv_id", "turn", "clean", F.size("calls").cast("long").alias("n_calls"), F.get("calls", F.lit(0))["name"].alias("first_call"), last["name"].alias("last_call"), last["args"].alias("last_args"))
+
+
+def progress_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpuslab.streaming import progress
+
+    k = F.get_json_object("props", "$.k").cast("long")
+    kind = F.when(F.col("event_type") == "signup", "init").when(F.col("event_type").isin("click", "view"), "chunk")
+    return progress.events_of(
+        table(spark, sf_dir, "events"), F.col("user_id"), kind, [F.col("ts"), F.col("event_id")], ch_i=k, ch_n=F.col("event_id") % 50 + 1, tk_n=F.col("event_id") % 900, tk_cum=k * 10, title=F.col("event_type")
+    )
+
+
+_SQL_PROGRESS = """WITH e AS (SELECT user_id AS job, CASE WHEN event_type = 'signup' THEN 'init' WHEN event_type IN ('click', 'view') THEN 'chunk' END AS kind, event_id,
+CAST(json_extract(props, '$.k') AS BIGINT) AS ch_i, event_id % 50 + 1 AS ch_n, event_id % 900 AS tk_n, CAST(json_extract(props, '$.k') AS BIGINT) * 10 AS tk_cum, event_type AS title, row_number() OVER (ORDER BY ts, event_id) AS seq FROM events),
+i AS (SELECT * FROM e WHERE kind = 'init' QUALIFY row_number() OVER (PARTITION BY job ORDER BY seq DESC) = 1),
+f AS (SELECT * FROM e WHERE kind = 'chunk' QUALIFY row_number() OVER (PARTITION BY job ORDER BY seq) = 1),
+c AS (SELECT * FROM e WHERE kind = 'chunk' QUALIFY row_number() OVER (PARTITION BY job ORDER BY seq DESC) = 1),
+j AS (SELECT coalesce(i.job, c.job) AS job, i.seq AS iseq, i.ch_n AS ich, i.tk_n AS itk, f.ch_n AS fch, c.*, c.seq IS NOT NULL AND (i.seq IS NULL OR c.seq > i.seq) AS live
+      FROM i FULL JOIN c ON i.job = c.job LEFT JOIN f ON f.job = c.job)
+SELECT job, true AS started, CASE WHEN iseq IS NOT NULL THEN greatest(ich, 1) ELSE greatest(fch, 1) END AS ch_max, CASE WHEN live THEN ch_i ELSE 0 END AS ch_val,
+CASE WHEN live THEN ch_i * 100 // greatest(ch_n, 1) ELSE 0 END AS pct, CASE WHEN iseq IS NOT NULL THEN greatest(itk, 1) END AS tk_max,
+CASE WHEN iseq IS NULL THEN 0 WHEN live THEN least(tk_cum, greatest(itk, 1)) ELSE 0 END AS tk_val, CASE WHEN live THEN title ELSE 'starting' END AS label FROM j"""
+
+
+@query("progress_fold", _SQL_PROGRESS.replace("SELECT coalesce(i.job, c.job) AS job, i.seq", "SELECT coalesce(i.job, c.job) AS job, i.seq").replace("c.*,", "c.seq AS cseq, c.ch_i, c.ch_n, c.tk_cum, c.title,"))
+def progress_fold(spark, sf_dir):
+    from corpuslab.streaming import progress
+
+    return progress.fold(progress_events(spark, sf_dir))
+
+
+@query("sse_fold", """WITH e AS (SELECT user_id, CAST(ts AS DATE) AS day, ts, event_id, event_type, CAST(json_extract(props, '$.k') AS VARCHAR) AS piece FROM events),
+s AS (SELECT *, min(CASE WHEN event_type = 'error' THEN event_id END) OVER w AS dead FROM e WINDOW w AS (PARTITION BY user_id, day ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
+SELECT user_id, day, coalesce(string_agg(piece, '' ORDER BY ts, event_id) FILTER (dead IS NULL AND event_type = 'click'), '') AS answer,
+count(*) FILTER (dead IS NULL AND event_type = 'click') AS pieces, bool_or(dead IS NOT NULL) AS failed FROM s GROUP BY user_id, day""")
+def sse_fold(spark, sf_dir):
+    from corpuslab.streaming import progress
+
+    kind = F.when(F.col("event_type") == "click", "message").when(F.col("event_type") == "error", "error")
+    chunks = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"), "ts", "event_id", kind.alias("kind"), F.get_json_object("props", "$.k").alias("piece_"))
+    return progress.answers(chunks, ["user_id", "day"], ["ts", "event_id"], "piece_", "kind")
+
+
+@query("heading_carry_forward", f"""WITH {_SQL_LINES}, line AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM split)
+SELECT doc_id, i, last_value(CASE WHEN length(line) < 60 THEN i END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS head,
+CAST(sum(CASE WHEN contains(line, ' | ') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) % 2 AS BIGINT) AS inside FROM line""")
+def heading_carry_forward(spark, sf_dir):
+    from pyspark.sql import Window
+
+    line = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("k", "line")).select("doc_id", (F.col("k") + 1).cast("long").alias("i"), "line")
+    upto = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    head = F.last(F.when(F.length("line") < 60, F.col("i")), ignorenulls=True).over(upto)
+    return line.select("doc_id", "i", head.alias("head"), (F.sum(F.contains("line", F.lit(" | ")).cast("long")).over(upto) % 2).alias("inside"))
