@@ -18,6 +18,11 @@ _HEAD = {f"h{k}": "#" * k + " " for k in range(1, 7)}
 _PARTED = frozenset("p div section article main body tr ul ol table blockquote".split()) | _HEAD.keys()
 
 
+#: White space of preformatted text, kept from what tidies the rest.
+_HIDE = {ord(" "): "\ue000", ord("\t"): "\ue001", ord("\n"): "\ue002"}
+_SHOW = {ord(v): chr(k) for k, v in _HIDE.items()}
+
+
 class _Writer(HTMLParser):
     """Writes Markdown while a page is read."""
 
@@ -78,7 +83,7 @@ class _Writer(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self.skipped:
-            self.out.append(data if self.pre else re.sub(r"\s+", " ", data))
+            self.out.append(data.translate(_HIDE) if self.pre else re.sub(r"\s+", " ", data))
 
 
 def markdown(html: str | None) -> str:
@@ -89,7 +94,7 @@ def markdown(html: str | None) -> str:
     writer.close()
     text = re.sub(r"[ \t]+\n", "\n", "".join(writer.out))
     text = re.sub(r"\n[ \t]+(?=\S)", "\n", text)
-    return re.sub(r"\n{3,}", "\n\n", text).strip()
+    return re.sub(r"\n{3,}", "\n\n", text).strip().translate(_SHOW)
 
 
 def from_html(html: Column) -> Column:
