@@ -21,6 +21,5 @@ ORACLES = {
     "op4_chat_perspectives": chat.ORACLE,
     "op5_license_scan": licenses.ORACLE,
     "op8_quality_rules": quality.ORACLE,
-    "op9_language_model": language_model.query,
     "op10_substring_dedup": substrings.ORACLE,
 }
