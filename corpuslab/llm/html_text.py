@@ -50,7 +50,8 @@ _TAG = re.compile(
     r"|</?(?P<torn>[a-zA-Z][^\s/>]*)[^>]*>",
     re.DOTALL,
 )
-_ATTR = re.compile(r"(?P<k>class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"(?P<d>[^\"]*)\"|'(?P<s>[^']*)'|(?P<b>[^\s\"'>]+)))?", re.IGNORECASE)
+_TITLED = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?=$|[\s_-])", re.IGNORECASE)
+_ATTR = re.compile(r"(?<![\w-])(?P<k>class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"(?P<d>[^\"]*)\"|'(?P<s>[^']*)'|(?P<b>[^\s\"'>]+)))?", re.IGNORECASE)
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.IGNORECASE) for t in _RAW}
 
 
@@ -69,14 +70,15 @@ class Node:
         self.digest = xxhash.xxh3_64_intdigest("\x00".join(parts).encode("utf-8", "surrogatepass")) >> 1
 
 
-def _marked(attrs: str) -> bool:
+def _marked(attrs: str, inside: bool) -> bool:
+    """Whether class, id, role or a hidden mark say that an element is not content; an article's own header is."""
     for m in _ATTR.finditer(attrs):
         key, value = m["k"].lower(), m["d"] or m["s"] or m["b"] or ""
         if key == "role":
             if value.lower() in _ROLES:
                 return True
         elif key in ("class", "id"):
-            if _MARKED.search(value):
+            if _MARKED.search(_TITLED.sub(" ", value) if inside else value):
                 return True
         elif key == "hidden" or value.lower() == "true":
             return True
@@ -125,9 +127,9 @@ def parse(html: str) -> Node:
         if tag == "li" and (k := last("li", _LIST_FENCES)):
             pop_to(k)
         attrs = m["attrs"] or ""
-        node = Node(tag, tag in _DROP or (bool(attrs.strip()) and tag not in ("body", "html") and _marked(attrs)))
-        if tag == "header" and "article" not in names and "main" not in names:
-            node.drop = True
+        inside = "article" in names or "main" in names
+        marked = bool(attrs.strip()) and tag not in ("body", "html") and _marked(attrs, inside)
+        node = Node(tag, tag in _DROP or marked or (tag == "header" and not inside))
         stack[-1].children.append(node)
         if tag in _RAW:
             stop = _RAW_END[tag].search(html, at)

@@ -16,6 +16,11 @@ def test_structure():
     assert text_of(page) == "Head & more\n\nOne two three\n\nfour five\n\na\n\nb\n\nc d"
 
 
+def test_marks():
+    assert text_of('<article><div class="entry-header"><h1>T</h1></div><p data-id="menu">x</p><div id="side-bar">s</div><p hidden>h</p></article>') == "T\n\nx"
+    assert text_of('<div class="page header">H</div><p class="headers-up">x</p><div role="banner">b</div>') == "x"
+
+
 def test_broken_markup():
     assert text_of("a < b <p title=\"x>y</p>") == "a < b\n\ny"
     assert text_of("<p>x<!-- never closed <p>y") == "x"
