@@ -37,7 +37,7 @@ from corpuslab.llm import wordhash as W
 from corpuslab.llm.batches import bound, shared_folder
 from corpuslab.llm.elias_fano import EliasFano, encode, load, save
 
-ORDER, DISCOUNT, MIN_COUNT, SHARD_BYTES, FLUSH = 3, 0.6, 2, 16 << 20, 1 << 20
+ORDER, DISCOUNT, MIN_COUNT, SHARD_BYTES, FLUSH = 3, 0.6, 2, 32 << 20, 1 << 20
 _END = np.uint64(0x51ED270B7F0C5A3D)
 _STEPS = 1000.0  # codes per decade, in 16 bits
 
@@ -50,6 +50,10 @@ class Model:
     tokens: int
     words: int
 
+    def batch_bytes(self) -> int:
+        """Texts a task looks up at once: every shard is asked once for each."""
+        return min(16 << 20, (128 << 10) << self.shard_bits)
+
     def file(self, level: int, shard: int) -> str:
         return f"{self.folder}/level-{level}/{shard}.ef"
 
@@ -228,7 +232,7 @@ def train(texts: DataFrame, order: int = ORDER, discount: float = DISCOUNT, min_
 def _counting(model: Model, level: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, counter = Reader(model), _Counter()
-        for batch in W.parts(batches, 512):
+        for batch in W.joined(batches, model.batch_bytes()):
             tokens, place = _tokens(batch.column(0))
             shards, node, ids, _ = reader.words(tokens)
             for shards, node, _, _ in reader.nodes(level - 1, shards, node, ids, place):
@@ -263,7 +267,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model)
-        for batch in W.parts(batches, 512):
+        for batch in W.joined(batches, model.batch_bytes()):
             tokens, place = _tokens(batch.column(1))
             shards, node, ids, count = reader.words(tokens)
             p = base = (count + 1) / (model.tokens + model.words + 1)

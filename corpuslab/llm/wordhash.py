@@ -163,6 +163,25 @@ def parts(batches, rows: int = 64):
             yield batch.slice(k, rows)
 
 
+def joined(batches, size: int):
+    """The batches put together until they have `size` bytes, for work with a cost for each batch."""
+    held, total = [], 0
+    for batch in batches:
+        held.append(batch)
+        total += batch.nbytes
+        if total >= size:
+            yield _together(held)
+            held, total = [], 0
+    if held:
+        yield _together(held)
+
+
+def _together(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    if len(batches) == 1:
+        return batches[0]
+    return pa.RecordBatch.from_arrays([pa.concat_arrays([b.column(k) for b in batches]) for k in range(batches[0].num_columns)], names=batches[0].schema.names)
+
+
 def owners(w: Words) -> np.ndarray:
     """Index of the document of every word."""
     return np.repeat(np.arange(len(w.first) - 1), w.counts)
