@@ -51,6 +51,18 @@ TODO = r"(?i)\b(TODO|FIXME|HACK|XXX)\b.*"
 WINDOW_LINES = 40
 
 
+_BLOCKS = {ast.If: "branch", ast.Try: "branch", ast.For: "loop", ast.AsyncFor: "loop", ast.While: "loop", ast.Match: "switch", ast.Return: "exit", ast.Raise: "exit"}
+
+
+def _blocks(node: ast.AST, depth: int) -> Iterator[dict]:
+    """Branches, loops and exits below a node, outer ones first."""
+    for child in ast.iter_child_nodes(node):
+        kind = _BLOCKS.get(type(child))
+        if kind:
+            yield {"how": kind, "line": child.lineno, "max_nesting": depth}
+        yield from _blocks(child, depth + bool(kind))
+
+
 def _visit(path: str, source: str) -> Iterator[dict]:
     """Symbols of one Python file; none where it does not parse."""
     try:
@@ -70,6 +82,7 @@ def _visit(path: str, source: str) -> Iterator[dict]:
             calls = sorted({c for x in inside if isinstance(x, ast.Call) and (c := called(x))})
             paths = 1 + sum(isinstance(x, branches) for x in inside) + sum(len(x.values) - 1 for x in inside if isinstance(x, ast.BoolOp))
             yield {"kind": "function", "name": node.name, "line": node.lineno, "lines": node.end_lineno - node.lineno + 1, "cyclomatic": paths, "max_nesting": depth(node), "calls": calls}
+            yield from ({"kind": "block", "name": node.name, **b} for b in _blocks(node, 1))
             for x in inside:
                 if isinstance(x, ast.Call) and isinstance(x.func, ast.Name) and x.func.id == node.name:
                     yield {"kind": "issue", "name": "recursion", "severity": "medium", "message": f"{node.name} calls itself", "line": x.lineno}
@@ -207,6 +220,26 @@ def data_flow(found: DataFrame) -> DataFrame:
     return _of(found, "variable").groupBy("path", "name").agg(F.min("line").alias("defined"), (F.count("*") - 1).alias("assigned"))
 
 
+def control_flow(found: DataFrame) -> DataFrame:
+    """(path, function, line, type, depth): the blocks of functions, flattened; files read by patterns have none."""
+    return _of(found, "block").select("path", F.col("name").alias("function"), "line", F.col("how").alias("type"), F.col("max_nesting").alias("depth"))
+
+
+def skeleton(files: DataFrame, found: DataFrame) -> DataFrame:
+    """(path, line, signature): the lines that define functions and types."""
+    marks = found.where(F.col("kind").isin("function", "type")).select("path", "line")
+    all_lines = files.select("path", T.lines(F.col("source")).alias("all"))
+    return marks.join(all_lines, "path").select("path", "line", T.strip(F.get("all", (F.col("line") - 1).cast("int"))).alias("signature"))
+
+
+def read_symbol(files: DataFrame, found: DataFrame, name: str, most: int = 100) -> DataFrame:
+    """(path, line, text): the source of each function of a name; where its end is not known, `most` lines."""
+    marks = _of(found, "function").where(F.col("name") == name).select("path", "line", "lines")
+    all_lines = files.select("path", T.lines(F.col("source")).alias("all"))
+    size = F.when(F.col("lines") > 0, F.col("lines")).otherwise(most).cast("int")
+    return marks.join(all_lines, "path").select("path", "line", F.array_join(F.slice("all", F.col("line").cast("int"), size), "\n").alias("text"))
+
+
 def mermaid(found: DataFrame) -> DataFrame:
     """(path, line) of a graph: an arrow for every dependency."""
     arrow = F.concat(T.mermaid_id(F.col("path")), F.lit(" -->|"), F.col("how"), F.lit("| "), T.mermaid_id(F.col("module")))

@@ -399,6 +399,27 @@ def code_issues(spark, sf_dir):
     return code.issues(found)
 
 
+@query("code_control_flow", _SQL_CODE + " SELECT path, name AS function, 4 * i + 1 AS line, 'branch' AS type, 1 AS depth FROM defined WHERE lang = 'py'")
+def code_control_flow(spark, sf_dir):
+    code, _, found = _symbols(spark, sf_dir)
+    return code.control_flow(found)
+
+
+@query("code_skeleton", _SQL_CODE + """, once AS (SELECT DISTINCT ON (path, name) path, lang, name, i FROM defined WHERE lang <> 'py' ORDER BY path, name, i)
+SELECT path, 4 * i AS line, 'def ' || name || '(x):' AS signature FROM defined WHERE lang = 'py'
+UNION ALL SELECT path, 4 * i - 2, CASE lang WHEN 'js' THEN 'function ' || name || '(x) {' ELSE 'static int ' || name || '(int x) {' END FROM once""")
+def code_skeleton(spark, sf_dir):
+    code, files, found = _symbols(spark, sf_dir)
+    return code.skeleton(files, found)
+
+
+@query("code_read_symbol", _SQL_CODE + """ SELECT path, 4 * i AS line, 'def f_the(x):' || chr(10) || '    if x and x > 1:' || chr(10) || '        ' || callee || '(x)' || chr(10) || '    y = 1' AS text
+FROM defined WHERE lang = 'py' AND name = 'f_the'""")
+def code_read_symbol(spark, sf_dir):
+    code, files, _ = _symbols(spark, sf_dir)
+    return code.read_symbol(files, code.symbols(files, ("py",)), "f_the")
+
+
 @query("code_complexity")
 def code_complexity(spark, sf_dir):
     code, _, found = _symbols(spark, sf_dir)

@@ -31,6 +31,9 @@ OPERATIONS: dict[str, tuple[Callable[..., DataFrame], Permission, str]] = {
     "type_info": (code.types, Permission.READ, "types and their members"),
     "issues": (code.issues, Permission.READ, "findings with their severity"),
     "data_flow": (code.data_flow, Permission.READ, "definitions and assignments"),
+    "control_flow": (code.control_flow, Permission.READ, "branches, loops and exits of functions"),
+    "skeleton": (code.skeleton, Permission.READ, "lines that define functions and types"),
+    "read_symbol": (code.read_symbol, Permission.READ, "source of the functions of a name"),
     "metrics": (code.metrics, Permission.READ, "files, lines and functions by language"),
     "usage": (conversation.usage, Permission.READ, "tokens of conversations"),
     "compact": (conversation.compact, Permission.READ, "conversations brought under the limit"),
