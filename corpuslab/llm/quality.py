@@ -117,10 +117,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; the others keep the lines that passed."""
-    kept = judge(docs.withColumn("_row", F.struct(*docs.columns)).select("_row", F.col("_row.text").alias("text"))).where("kept")
+    """Rejected documents go; the others keep the lines that passed.
+
+    A filter on `kept` would be pushed below the columns it is computed from, and
+    compute them again inside their own lambdas; exploding the row of a kept
+    document computes each column once.
+    """
+    judged = judge(docs.select(F.struct(*docs.columns).alias("_row"), "text"))
     cells = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast(docs.schema["n_chars"].dataType)}
-    return kept.select(*(cells.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns))
+    row = F.struct(*(cells.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns))
+    return judged.select(F.explode(F.when(F.col("kept"), F.array(row))).alias("x")).select("x.*")
 
 
 _SQL_BOILERPLATE = BOILERPLATE.replace("'", "''")
