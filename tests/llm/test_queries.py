@@ -48,7 +48,7 @@ def test_quality_edge_rows(spark):
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string, kept boolean")
     got = {(r.doc_id, r.kept, r.n_failed_lines, r.n_words) for r in quality.judge(df).collect()}
-    assert got == {(1, False, 0, 0), (2, False, 0, 0), (3, True, 0, 15), (4, True, 1, 22), (5, False, 1, 24), (None, False, 5, 55), (6, True, 0, 15)}
+    assert got == {(1, False, 0, 0), (2, False, 0, 0), (3, True, 0, 16), (4, True, 1, 23), (5, False, 1, 24), (None, False, 5, 56), (6, True, 0, 16)}
     docs = spark.createDataFrame([(4, f"{good}\nHome | About | Contact | Terms\n", "en", "s", 9), (5, "x", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
     assert [tuple(r) for r in quality.stage(spark, docs, "").collect()] == [(4, good, "en", "s", len(good))]
     assert quality.judge(df.where("false")).count() == 0
