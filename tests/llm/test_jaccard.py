@@ -68,6 +68,17 @@ def test_edge_rows(spark):
     assert staged.columns == df.columns
 
 
+def test_stage_keeps_what_is_nobodys_near_duplicate(spark):
+    copied, alone = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(3, copied), (5, alone), (5, copied), (5, copied), (6, "p q r s t u"), (6, "p q r s t u"), (7, ""), (7, "")]
+    rows += [(None, "a b c d e f"), (None, "g h i j k l"), (None, copied)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for given in (rows, rows[::-1]):
+        got = jaccard.stage(spark, spark.createDataFrame(given, df.schema), "").collect()
+        want = [(3, copied), (5, alone), (6, "p q r s t u"), (7, ""), (7, ""), *rows[-3:]]
+        assert sorted((r.doc_id or -1, r.text) for r in got) == sorted((d or -1, t) for d, t in want)
+
+
 def test_components_of_a_path(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in graph.components(links).collect()}
