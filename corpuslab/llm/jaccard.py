@@ -16,11 +16,12 @@ too, by pairs in regions of up to `small` members and in one task each above.
 What is left of overlapping regions is merged, so that each set is sent once, and
 joined around pivots chosen among the members: all members are measured against a
 pivot, those within the threshold fall to its cell and are linked, the others
-look for a further pivot.  Sets of two cells are only measured where the triangle
-inequality leaves a window: |d(x, p) - d(y, p)| within the threshold.  A merged
-region beyond `most` shingles is cut into blocks, and every two blocks recur as a
-region of their own.  Every pair that might link is so measured, excluded by a
-bound, or already connected; the components are exact.
+look for a further pivot.  Sets that are no pivots are only measured against each
+other where the triangle inequality leaves a window: |d(x, p) - d(y, p)| within
+the threshold.  A merged region beyond `most` shingles is cut into blocks, and
+every two blocks recur as a region of their own, in which only pairs across count.
+Every pair that might link is so measured once or excluded by a bound; the
+components and the numbers of links are exact.
 
 Each step works on distinct sets: exact copies are one member.  A text with fewer
 words than a shingle is one shingle; texts without words (null or empty) link
@@ -254,13 +255,6 @@ class Region:
         self.holders = holders[order]
         self.edges = np.append(0, np.cumsum(np.bincount(ids)))
         self.ids = np.split(ids, np.cumsum(self.sizes)[:-1])
-        self.root = list(range(len(sets)))
-
-    def find(self, k: int) -> int:
-        while self.root[k] != k:
-            self.root[k] = self.root[self.root[k]]
-            k = self.root[k]
-        return k
 
     def common(self, k: int) -> np.ndarray:
         """Sizes of the intersections of set k with all sets."""
@@ -269,84 +263,89 @@ class Region:
     def linked(self, k: int, common: np.ndarray) -> np.ndarray:
         return common * 100 >= (self.sizes[k] + self.sizes - common) * self.percent
 
-    def links(self) -> list[tuple[int, int]]:
-        """Links that connect what is connected."""
+    def links(self, own: np.ndarray, across: bool) -> tuple[list[tuple[int, int]], np.ndarray]:
+        """Links that connect what is connected, and the number of links of each set; if `across`, only of those to sets with another `own`."""
         n, out = len(self.sizes), []
-
-        def link(a: int, b: int) -> None:
-            x, y = self.find(a), self.find(b)
-            if x != y:
-                self.root[max(x, y)] = min(x, y)
-                out.append((a, b))
-
-        cell = np.full(n, -1)
+        number, label = np.zeros(n, np.int64), np.arange(n)
+
+        def measured(k: int, common: np.ndarray) -> np.ndarray:
+            near = np.flatnonzero(self.linked(k, common))
+            number[k] = np.count_nonzero(own[near] != own[k]) if across else len(near) - 1
+            labels, first = np.unique(label[near], return_index=True)
+            for old, y in zip(labels.tolist(), near[first].tolist(), strict=True):
+                if old != label[k]:
+                    label[label == old] = label[k]
+                    out.append((k, y))
+            return near
+
+        cell, is_pivot = np.full(n, -1), np.zeros(n, bool)
         around: list[tuple[np.ndarray, np.ndarray]] = []  # of each pivot the sets within twice the threshold, and their distances
         for k in np.argsort(-self.sizes, kind="stable").tolist():
             if cell[k] >= 0:
                 continue
             common = self.common(k)
-            near = self.linked(k, common)
-            for other in np.flatnonzero(near).tolist():
-                link(k, other)
-            cell[near & (cell < 0)] = len(around)
+            near = measured(k, common)
+            others = near[near != k]
+            number[others] += (own[others] != own[k]) if across else 1  # pivots do not link with each other
+            cell[near[cell[near] < 0]] = len(around)
+            is_pivot[k] = True
             some = np.flatnonzero(common)
             distance = 1 - common[some] / (self.sizes[k] + self.sizes[some] - common[some])
             close = distance <= 2 * self.reach
             around.append((some[close], distance[close]))
         for p, (close, distance) in enumerate(around):
-            own = cell[close] == p
-            others, far = close[~own].tolist(), distance[~own]
-            for x, d in zip(close[own].tolist(), distance[own].tolist(), strict=True):
-                root = self.find(x)
-                open_ = [i for i, y in enumerate(others) if self.find(y) != root]
-                if not open_:
-                    break  # the members of a cell are connected, so there is nothing left for any
-                # a pair within the threshold differs by no more in its distances to the pivot
-                inside = [others[i] for i in open_ if abs(far[i] - d) <= self.reach]
-                if inside:
-                    near = self.linked(x, self.common(x))
-                    for y in inside:
-                        if near[y]:
-                            link(x, y)
-        return out
+            free = ~is_pivot[close]
+            close, distance = close[free], distance[free]
+            order = np.sort(distance)
+            for x, d in zip(close[cell[close] == p].tolist(), distance[cell[close] == p].tolist(), strict=True):
+                # a pair within the threshold differs by no more in its distances to the pivot; all links to pivots are known
+                if np.searchsorted(order, d + self.reach, "right") - np.searchsorted(order, d - self.reach) > 1:
+                    measured(x, self.common(x))
+        return out, number
 
 
 def _joined_regions(docs: DataFrame, merged: DataFrame, size: int, percent: int, most: int) -> DataFrame:
-    """(a, b) for merged regions (region, name, n)."""
+    """(a, b, n) for merged regions (region, name, n): links, and for each set and block (set, null, number of its links in the block)."""
     blocks = merged.groupBy("region").agg(F.ceil(F.sum("n") / most).alias("k"))
     # one block where all fits, else two of half the size meet in every pair of blocks
     blocks = blocks.withColumn("k", F.when(F.col("k") <= 1, 1).otherwise(F.col("k") * 2).cast("int"))
-    own = F.pmod(F.xxhash64("name"), F.col("k")).cast("int")
+    own = F.pmod(F.xxhash64("name"), F.col("k")).cast("int")  # pairs of the same number count in the block of that number alone
     pairs = F.when(F.col("k") == 1, F.array(F.lit("0"))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.concat_ws("-", F.least(own, j), F.greatest(own, j)))
     )
-    dealt = merged.join(blocks, "region").select("name", "region", pairs.alias("blocks"))
-    sent = shingles_of(docs, merged, size).join(dealt, "name").select("region", F.explode("blocks").alias("block"), "name", "shingles")
+    dealt = merged.join(blocks, "region").select("name", "region", own.alias("own"), pairs.alias("blocks"))
+    sent = shingles_of(docs, merged, size).join(dealt, "name").select("region", F.explode("blocks").alias("block"), "own", "name", "shingles")
 
     def links(table: pa.Table) -> pa.Table:
         sets = dict(zip(table["name"].to_pylist(), table["shingles"], strict=True))
+        owns = dict(zip(table["name"].to_pylist(), table["own"].to_pylist(), strict=True))
         names = list(sets)
-        found = Region([np.asarray(x.values).view(np.uint64) for x in sets.values()], percent).links()
+        own = np.array([owns[x] for x in names], np.int64)
+        found, number = Region([np.asarray(x.values).view(np.uint64) for x in sets.values()], percent).links(own, len(set(table["block"][0].as_py().split("-"))) > 1)
         ordered = [sorted((names[a], names[b])) for a, b in found]
-        return pa.table({"a": pa.array([x for x, _ in ordered], pa.binary()), "b": pa.array([y for _, y in ordered], pa.binary())})
+        some = np.flatnonzero(number).tolist()
+        a = [x for x, _ in ordered] + [names[k] for k in some]
+        b = [y for _, y in ordered] + [None] * len(some)
+        n = [None] * len(ordered) + number[some].tolist()
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "n": pa.array(n, pa.int64())})
 
-    return sent.groupBy("region", "block").applyInArrow(links, "a binary, b binary")
+    return sent.groupBy("region", "block").applyInArrow(links, "a binary, b binary, n long")
 
 
 def set_links(docs: DataFrame, sets: DataFrame, size: int, percent: int, small: int, most: int) -> DataFrame:
-    """(a, b): links between different sets that connect all sets that are connected; `sets` has (name, n, pivots, counts)."""
+    """(a, b, n): links between different sets that connect all sets that are connected, and rows (set, null, number of links) to be summed; `sets` has (name, n, pivots, counts)."""
     regions = written(_islands(sets.select(F.explode("pivots").alias("region"), "name", "n"), percent), "regions")
     counts = sets.select("name", "counts")
     near = may_link(_pairs_of_small(regions.where(F.col("size") <= small), percent), counts, percent)
     near = written(near.unionByName(_parted(regions.where(F.col("size") > small), counts, percent)), "near")
     merged = components(near).select(F.col("node").alias("name"), F.col("component").alias("region"))
     merged = written(merged.join(sets.select("name", "n"), "name"), "merged")
-    return written(_joined_regions(docs, merged, size, percent, most).distinct(), "links")
+    return written(_joined_regions(docs, merged, size, percent, most), "links")
 
 
 def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, percent: int = PERCENT, small: int = SMALL, most: int = MOST) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links_measured): n_links_measured counts the links that were measured from a document's set to other sets: all of them
-    where its regions are small, those that connect its class elsewhere."""
+    """(doc_id, n_shingles, component_id, n_links_measured): n_links_measured is the number of different other sets that a document's set links with.
+    Exact copies are one set: all of them together count once for others, not at all for each other, and each has the number of its set."""
     bound(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -355,8 +354,8 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int
     found = written(members(own, levels, shared, size, percent), "members")
     sets = found.where("pivots is not null").groupBy("name").agg(F.first("n_shingles").alias("n"), F.first("pivots").alias("pivots"), F.first("counts").alias("counts"))
     links = set_links(own, written(sets, "sets"), size, percent, small, most)
-    cell = components(links).withColumnRenamed("node", "name")
-    degree = links.select(F.explode(F.array("a", "b")).alias("name")).groupBy("name").agg(F.count("*").alias("n_links_measured"))
+    cell = components(links.where("b is not null")).withColumnRenamed("node", "name")
+    degree = links.where("b is null").groupBy(F.col("a").alias("name")).agg(F.sum("n").alias("n_links_measured"))
     linked = cell.join(degree, "name", "left")
     by_name = found.where("name is not null").groupBy("name").agg(F.min("doc_id").alias("least")).join(linked, "name", "left")
     by_name = written(by_name.select("name", F.coalesce("component", "name").alias("component"), "least", F.coalesce("n_links_measured", F.lit(0)).alias("n_links_measured")), "classes")

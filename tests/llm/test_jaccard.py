@@ -32,6 +32,13 @@ def brute(texts):
     return {d: (len(sets[d]), find(d)) for d in texts}
 
 
+def links(texts):
+    """doc_id -> number of different other sets that its set links with."""
+    words = {d: (t or "").lower().split() for d, t in texts.items()}
+    sets = {d: frozenset(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))) for d, w in words.items()}
+    return {d: sum(100 * len(s & o) >= 80 * len(s | o) for o in set(sets.values()) - {s} if o) for d, s in sets.items()}
+
+
 def result(df):
     return {r.doc_id: (r.n_shingles, r.component_id) for r in df.collect()}
 
@@ -57,6 +64,21 @@ def test_large_groups_of_near_copies_recur(spark, most):
     assert result(jaccard.join(df, small=4, most=most)) == brute(texts)
 
 
+@pytest.mark.parametrize("most", [200, 2000, jaccard.MOST])
+def test_numbers_of_links(spark, most):
+    texts = {}
+    for k in range(40):  # chains and dense groups of near copies, some of them exact copies
+        words = [f"g{k % 3}w{i}" for i in range(70)]
+        for j in range(k % 5):
+            words[(k * 7 + j * (9 if k % 2 else 1)) % 70] = f"x{k if k % 4 else 0}"
+        texts[k] = " ".join(words)
+    texts |= {50: texts[7].upper(), 51: "a b c d e f", 52: "", 53: None}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = links(texts)
+    assert max(want.values()) > 5 and len(set(want.values())) > 4
+    assert {r.doc_id: r.n_links_measured for r in jaccard.join(df, most=most).collect()} == want
+
+
 def test_edge_rows(spark):
     rows = [(5, "one two three four five six", 1), (5, "one two three four five six", 1), (None, "one two three four five six", 2), (3, "ONE two three four five six", None), (4, None, 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, component_id int")
