@@ -98,16 +98,25 @@ _ODD = rf"[{_HIDDEN}{''.join(LOOKALIKES)}٠-٩۰-۹०-९․⁰-⁹₀-₉①-
 _NUMBER = "(?:" + "|".join(DIGIT_WORDS) + ")"
 _OPEN, _CLOSE = r"\s?[(\[{<]\s?", r"\s?[)\]}>]\s?"
 _DOT_WORD = rf"(?:{_OPEN}(?:dot|\.){_CLOSE}|\sdot\s)"
+#: What may stand between the parts of one number, at most three of them.
+_GAP = rf"[\s,().{_HIDDEN}-]"
 #: What has to be somewhere in a text for any transducer to act.
-_TRIGGER = re.compile(rf"{_ODD}|[(\[{{<]\s?(?:at|@|dot|\.)\s?[)\]}}>]|\sdot\s|(?:\b{_NUMBER}\b[\s,-]{{1,2}}){{3}}", re.IGNORECASE)
+_TRIGGER = re.compile(
+    rf"{_ODD}|[(\[{{<]\s?(?:at|@|dot|\.)\s?[)\]}}>]|\sdot\s"
+    rf"|\b{_NUMBER}\b(?:{_GAP}{{1,3}}(?:[0-9]|{_NUMBER}\b)|\.[A-Za-z0-9])|[0-9+]{_GAP}{{0,3}}\b{_NUMBER}\b|[A-Za-z0-9]\.{_NUMBER}\b",
+    re.IGNORECASE,
+)
 _EDIT = re.compile(
     rf"(?P<odd>{_ODD})"
     rf"|(?P<at>{_OPEN}(?:at|@){_CLOSE}|(?<=[A-Za-z0-9])\sat\s(?=[A-Za-z0-9-]{{1,64}}{_DOT_WORD}))"
     rf"|(?P<dot>(?<=[A-Za-z0-9]){_DOT_WORD}(?=[A-Za-z0-9]))"
-    rf"|(?P<spelled>(?:\bplus\s)?\b{_NUMBER}(?:[\s,-]{{1,2}}{_NUMBER}){{2,}}\b)",
+    rf"|(?P<spelled>(?:\bplus\s)?\b{_NUMBER}(?:[\s,-]{{1,2}}{_NUMBER})*\b)",
     re.IGNORECASE,
 )
 _SPELLED = re.compile(rf"plus\s|{_NUMBER}|[\s,-]+", re.IGNORECASE)
+_LONG = re.compile(rf"(?:plus\s)?(?:{_NUMBER}[\s,-]{{1,2}}){{2}}", re.IGNORECASE)
+_BETWEEN = re.compile(rf"{_GAP}{{0,3}}")
+_BEFORE, _AFTER = re.compile(rf"(?:[0-9+]{_GAP}{{0,3}}|[A-Za-z0-9]\.)\Z"), re.compile(rf"{_GAP}{{0,3}}[0-9]|\.[A-Za-z0-9]")
 
 
 def _plain(c: str) -> str:
@@ -121,16 +130,33 @@ def _plain(c: str) -> str:
     return plain if plain.isascii() else c
 
 
+def _seen(text: str) -> str:
+    """Text as its neighbours see it: look-alikes of digits, of a plus and of a dot are these."""
+    return text if text.isascii() else "".join(p if not c.isascii() and len(p := _plain(c)) == 1 and p.isascii() else c for c in text)
+
+
+def _is_number(text: str, m: re.Match, before: re.Match | None, after: re.Match | None) -> bool:
+    """Whether spelled digits are three at least, or touch a digit, a plus, a dot or other spelled digits; `before` and `after` are the replacements next to them."""
+    if _LONG.match(m[0]):
+        return True
+    if before and (before["dot"] and before.end() == m.start() or before["spelled"] and _BETWEEN.fullmatch(text, before.end(), m.start())):
+        return True
+    if after and (after["dot"] and after.start() == m.end() or after["spelled"] and _BETWEEN.fullmatch(text, m.end(), after.start())):
+        return True
+    return bool(_BEFORE.search(_seen(text[max(0, m.start() - 4) : m.start()])) or _AFTER.match(_seen(text[m.end() : m.end() + 4])))
+
+
 def _edits(text: str) -> Iterator[tuple[int, int, str]]:
     """Replacements (start, end, new) in order."""
-    for m in _EDIT.finditer(text):
+    found = list(_EDIT.finditer(text))
+    for m, before, after in zip(found, [None, *found], [*found[1:], None], strict=False):
         if m["odd"]:
             yield m.start(), m.end(), _plain(m[0])
         elif m["at"]:
             yield m.start(), m.end(), "@"
         elif m["dot"]:
             yield m.start(), m.end(), "."
-        else:
+        elif _is_number(text, m, before, after):
             for x in _SPELLED.finditer(text, m.start(), m.end()):
                 word = x[0].lower()
                 yield x.start(), x.end(), "+" if word[0] == "p" else DIGIT_WORDS.get(word, "")

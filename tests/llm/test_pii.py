@@ -62,6 +62,24 @@ def test_disguises():
     assert spans("a​4111 1111 1111 1111") == []
 
 
+def test_short_and_mixed_spelled_digits():
+    for kind, text in [
+        ("ip", "one nine two dot one six eight dot one dot one"),
+        ("ip", "192.168.one.one"),
+        ("ip", "one zero.0.zero.12"),
+        ("ip", "10 (dot) two (dot) three four (dot) 5"),
+        ("ip", "１９２.168.one.1"),
+        ("phone", "+49 151 23 four five 67 89"),
+        ("phone", "plus four nine 151 23 45 67 89"),
+        ("phone", "plus one (four one) five five - 5 5 5 two six seven"),
+        ("card", "4111 one one 11 1111 one 111"),
+        ("card", "four 111 1111 1111 11 one one"),
+    ]:
+        assert spans(f"see {text} ok") == [(kind, text)], text
+    for prose in ["one of us, no one. Two of 3 came at one", "plus one", "no one.Two or 3.one", "in 2019 one of 12, one two.", "phone 5 one-way", "someone.com 1.2.3", ""]:
+        assert spans(prose) == [], prose
+
+
 def test_edge_rows(spark):
     rows = [(1, None, "x"), (2, "", "x"), (3, "a@b.co", "x"), (3, "a@b.co", "x"), (None, "1.2.3.4", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans string")
