@@ -17,98 +17,160 @@ result; further columns are ignored.
 
 from __future__ import annotations
 
+import itertools
+import os
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpuslab.llm import wordhash as W
 from corpuslab.llm.batches import bound, written
 
-CAPACITY, END_ID, SALTS, CACHE = 2048, 0, 256, 100_000
+CAPACITY, END_ID, SALTS, CACHE_BYTES = 2048, 0, 256, 80 << 20
+_BREAKS = np.zeros(256, bool)
+_BREAKS[[0x20, 0x0A]] = True
+_LED = np.uint64(0xA5B85C5E198ED849)
 
 
 class WordCachedEncoder:
-    """Token ids as little-endian unsigned 32-bit bytes, with the ids of words kept between texts.
+    """Token ids of texts, with the ids of words kept between texts in flat arrays of at most about `CACHE_BYTES`.
 
     The vocabulary's splitting pattern always breaks before a single space that
     follows and precedes other characters, and around a single line feed; words
-    between such places are encoded once.  Other texts are encoded whole.
+    between such places are encoded once and looked up by a 64-bit hash.  Texts in
+    which spaces or line feeds meet each other or an end of the text, that hold
+    other white space at the edge of a word, or that hold the string of a special
+    token, are encoded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.rest: dict[str, bytes | None] = {}
-        self.first: dict[str, bytes | None] = {}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.line_feed = self.whole(["\n"])[0]
-        assert len(self.line_feed) == 4
+        assert len(self.line_feed) == 1
+        self._forget()
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _forget(self) -> None:
+        #: Sorted hashes of words and the number of each; word n has the ids edges[n]:edges[n + 1] of the pool, none if it needs its text whole.
+        self.keys, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.edges, self.pool, self.used = np.zeros(1, np.uint32), np.zeros(1 << 16, np.uint32), 0
 
-    def _words(self, words: list[str], lead: str, together: int = 256) -> Iterator[bytes]:
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str], lead: str, together: int = 256) -> Iterator[np.ndarray]:
         """Ids of words without line feeds; many go through the tokenizer as lines of one text, which cost less than texts of their own."""
-        mark = np.frombuffer(self.line_feed, "<u4")[0]
         groups = [words[k : k + together] for k in range(0, len(words), together)]
         for group, ids in zip(groups, self.whole([f"\n{lead}".join([lead + g[0], *g[1:]]) for g in groups]), strict=True):
-            stops = 4 * np.flatnonzero(np.frombuffer(ids, "<u4") == mark)
+            stops = np.flatnonzero(ids == self.line_feed[0])
             assert len(stops) == len(group) - 1
-            for start, stop in zip([0, *(stops + 4).tolist()], [*stops.tolist(), len(ids)], strict=True):
+            for start, stop in zip([0, *(stops + 1).tolist()], [*stops.tolist(), len(ids)], strict=True):
                 yield ids[start:stop]
 
-    def _learn(self, known: dict[str, bytes | None], words: set[str], lead: str) -> None:
-        if len(known) > CACHE:
-            known.clear()
-        new = list(words - known.keys())
-        plain = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
-        known.update(dict.fromkeys(new))
-        known.update(zip(plain, self._words(plain, lead), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        lines = [[line.split(" ") for line in t.split("\n")] for t in texts]
-        firsts = {words[0] for text in lines for words in text}
-        if len(self.first) + len(firsts) > 2 * CACHE:
-            self.first.clear()
-        rests: set[str] = set()
-        for text in lines:
-            for words in text:
-                rests.update(words[1:])
-        if len(self.rest) + len(rests) > 2 * CACHE:
-            self.rest.clear()
-        self._learn(self.first, firsts, "")
-        self._learn(self.rest, rests, " ")
-        first, rest = self.first, self.rest
-        out: list[bytes | None] = []
-        for text in lines:
-            try:
-                out.append(self.line_feed.join([first[w[0]] + b"".join([rest[x] for x in w[1:]]) for w in text]))
-            except TypeError:  # a word next to other white space
-                out.append(None)
-        odd = [k for k, ids in enumerate(out) if ids is None]
-        for k, ids in zip(odd, self.whole([texts[k] for k in odd]), strict=True):
-            out[k] = ids
-        return out
+    def _learn(self, keys: np.ndarray, words: list[str], led: np.ndarray) -> None:
+        """Adds words with their keys; `led` tells which follow a space."""
+        ids: list[np.ndarray | None] = [None] * len(words)
+        for lead in ("", " "):
+            some = [k for k in np.flatnonzero(led == bool(lead)).tolist() if not (words[k][0].isspace() or words[k][-1].isspace())]
+            for k, x in zip(some, self._words([words[k] for k in some], lead), strict=True):
+                ids[k] = x
+        sizes = np.array([0 if x is None else len(x) for x in ids], np.int64)
+        start, number = self.used, np.arange(len(self.keys), len(self.keys) + len(keys), dtype=np.int32)
+        self.edges = np.append(self.edges, (start + np.cumsum(sizes)).astype(np.uint32))
+        self.used += int(sizes.sum())
+        if self.used > len(self.pool):
+            self.pool = np.append(self.pool, np.zeros(max(self.used - len(self.pool), len(self.pool) // 4), np.uint32))
+        self.pool[start : self.used] = np.concatenate([x for x in ids if x is not None] or [np.zeros(0, np.uint32)])
+        place = np.searchsorted(self.keys, keys)
+        self.keys, self.number = np.insert(self.keys, place, keys), np.insert(self.number, place, number)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and where each text's begin and the last one's end."""
+        words = W.words(texts, parted=_BREAKS)
+        n, owner = len(texts), W.owners(words)
+        lengths = np.asarray(pc.binary_length(texts.fill_null("")), np.int64)
+        begins = np.cumsum(lengths) - lengths
+        # white space between words is one byte each, and none stands at an edge
+        odd = lengths != np.bincount(owner, words.ends - words.starts, n) + np.maximum(words.counts - 1, 0)
+        if n and (some := words.counts > 0).any():
+            odd[some] |= words.starts[words.first[:-1][some]] != begins[some]
+        for special in self.special:
+            odd |= np.asarray(pc.match_substring(texts.fill_null(""), special))
+        odd &= lengths > 0
+        before = np.zeros(len(owner), np.uint8)
+        inside = np.arange(len(owner)) != words.first[:-1][owner]
+        before[inside] = words.data[words.starts[inside] - 1]
+        led = before == 0x20
+        live = np.flatnonzero(~odd[owner])
+        keys, first, back = np.unique(words.hashes[live] ^ np.where(led[live], _LED, np.uint64(0)), return_index=True, return_inverse=True)
+        self._add_missing(keys, live[first], words, led)
+        number = self.number[np.searchsorted(self.keys, keys)]
+        at = self.edges[number].astype(np.int64)
+        size, at = (self.edges[number + 1].astype(np.int64) - at)[back], at[back]
+        odd[owner[live[size == 0]]] = True
+        use = ~odd[owner[live]]
+        live, size, at = live[use], size[use], at[use]
+        feeds = (before[live] == 0x0A).astype(np.int64)
+        rare = {k: ids for k, ids in zip(np.flatnonzero(odd).tolist(), self.whole([texts[k].as_py() for k in np.flatnonzero(odd).tolist()]), strict=True)}
+        count = np.bincount(owner[live], size + feeds, n).astype(np.int64)
+        for k, ids in rare.items():
+            count[k] = len(ids)
+        edges = np.append(0, np.cumsum(count))
+        out = np.zeros(edges[-1], np.uint32)
+        # words stand in the order of their texts, so each goes behind what came before it in its text
+        total = np.cumsum(size + feeds)
+        base = total - np.bincount(owner[live], size + feeds, n).cumsum().astype(np.int64)[owner[live]] + edges[1:][owner[live]]
+        start = base - size
+        out[start[feeds > 0] - 1] = self.line_feed[0]
+        run = np.repeat(np.cumsum(size) - size, size)
+        step = np.arange(len(run)) - run
+        out[np.repeat(start, size) + step] = self.pool[np.repeat(at, size) + step]
+        for k, ids in rare.items():
+            out[edges[k] : edges[k + 1]] = ids
+        return out, edges
+
+    def _missing(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.arange(len(keys))
+        return np.flatnonzero(self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] != keys)
+
+    def _add_missing(self, keys: np.ndarray, at: np.ndarray, words: W.Words, led: np.ndarray) -> None:
+        """Afterwards all `keys` are known; `at` has a word with each of them."""
+        new = self._missing(keys)
+        if len(new) and self.used * 4 + (len(self.keys) + len(new)) * 16 > CACHE_BYTES:
+            self._forget()
+            new = self._missing(keys)
+        if len(new):
+            self._learn(keys[new], [words.text(k).decode() for k in at[new].tolist()], led[at[new]])
+
+
+@cache
+def _encoder(path: str) -> WordCachedEncoder:
+    """One for each Python worker, kept from task to task."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return WordCachedEncoder(path)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids and the end id, cut where longer than `capacity`; the first piece is the short one."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = WordCachedEncoder(tokenizer_path)
+        encoder = _encoder(tokenizer_path)
         end = np.asarray([END_ID], "<u4").tobytes()
-        for batch in batches:
+        for batch in W.parts(batches, 512):
             rows: list[tuple[int, int, int, int, int]] = []
-            for k, ids in enumerate(encoder.encode([x or "" for x in batch.column(1).to_pylist()])):
-                ids += end
-                n = len(ids) // 4
+            encoded, edges = encoder.encode(batch.column(1))
+            for k, (a, b) in enumerate(itertools.pairwise(edges.tolist())):
+                ids = encoded[a:b].astype("<u4", copy=False).tobytes() + end
+                n = b - a + 1
                 start, part = 0, 0
                 while start < n:
                     size = (n - 1) % capacity + 1 if not part else capacity

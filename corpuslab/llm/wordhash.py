@@ -35,22 +35,35 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_known = (np.ones(1, np.uint64), np.ones(1, np.uint64))
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse."""
-    global _known
-    if len(_known[0]) < n:
-        made = []
-        for x in (_BASE, _INVERSE):
-            out = np.full(max(n, 1 << 16), x, np.uint64)
-            out[0] = 1
-            made.append(np.multiply.accumulate(out))
-        if len(made[0]) > 1 << 22:
-            return made[0][:n], made[1][:n]  # one very long text; not kept
-        _known = (made[0], made[1])
-    return _known[0][:n], _known[1][:n]
+_BLOCK = 1 << 18
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    """The first n powers of the base."""
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_POWER, _INVERSES = _powers(_BASE, _BLOCK), _powers(_INVERSE, _BLOCK)
+
+
+def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each span, computed over blocks of bytes, so that memory does not grow with a text; a word longer than a block takes one of its own."""
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        base = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, base + _BLOCK, "right")))
+        block = data[base : ends[j - 1]]
+        n = len(block)
+        power, inverse = (_POWER[:n], _INVERSES[:n]) if n <= _BLOCK else (_powers(_BASE, n), _powers(_INVERSE, n))
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTE[block] * power, out=total[1:])
+        a, b = starts[i:j] - base, ends[i:j] - base
+        out[i:j] = mix((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64))
+        i = j
+    return out
 
 
 @dataclass
@@ -109,11 +122,7 @@ def words(texts: pa.Array, lower: bool = False, hashed: bool = True, parted: np.
     first = np.searchsorted(starts, offsets)
     if not hashed:
         return Words(np.zeros(0, np.uint64), starts, ends, first, data)
-    power, inverse = _powers(n)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * power, out=total[1:])
-    h = (total[ends] - total[starts]) * inverse[starts]
-    return Words(mix(h + (ends - starts).astype(np.uint64)), starts, ends, first, data)
+    return Words(_word_hashes(data, starts, ends), starts, ends, first, data)
 
 
 def _shifted(a: np.ndarray, k: int) -> np.ndarray:
@@ -156,11 +165,22 @@ def sliding_min(a: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def parts(batches, rows: int = 64):
-    """The batches in slices of few rows, whose arrays stay in the CPU's caches."""
+def parts(batches, rows: int = 64, size: int = 512 << 10):
+    """The batches in slices of few rows and bytes, whose arrays stay in the CPU's caches; a longer row is a slice of its own."""
     for batch in batches:
-        for k in range(0, batch.num_rows, rows):
-            yield batch.slice(k, rows)
+        if batch.nbytes <= size:
+            if batch.num_rows:
+                yield from (batch.slice(k, rows) for k in range(0, batch.num_rows, rows))
+            continue
+        wide = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+                wide += np.diff(np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1])
+        edges, k = np.append(0, np.cumsum(wide)), 0
+        while k < batch.num_rows:
+            stop = min(k + rows, max(k + 1, int(np.searchsorted(edges, edges[k] + size, "right")) - 1))
+            yield batch.slice(k, stop - k)
+            k = stop
 
 
 def joined(batches, size: int):

@@ -2,9 +2,12 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tokenizers import Tokenizer
+
 from corpuslab.llm import packing
 
 
@@ -45,15 +48,33 @@ def test_runs_are_best_fit_decreasing(lengths):
 @given(st.lists(st.text(alphabet="aé '\t\n  　s9.<|>endoftx", max_size=30), max_size=4))
 def test_cached_words_give_the_same_ids(texts):
     path = packing.public_path("byte_bpe_50k.json")
-    encoder = packing.WordCachedEncoder(path)
-    assert encoder.encode(texts) == encoder.whole(texts)
+    encoder = packing._encoder(path)
+    ids, edges = encoder.encode(pa.array(texts, pa.string()))
+    plain = [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts] if any("<|endoftext|>" in t for t in texts) else [x.tolist() for x in encoder.whole(texts)]
+    assert [ids[a:b].tolist() for a, b in zip(edges[:-1], edges[1:], strict=True)] == plain
 
 
-def check(rows, texts):
-    from tokenizers import Tokenizer
+def test_special_strings_are_what_the_tokenizer_makes_of_them():
+    path = packing.public_path("byte_bpe_50k.json")
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|>b\nc", "plain words", None, "x  y", " x", "a\n\nb", "tab\tin word", "\tlead"]
+    ids, edges = packing._encoder(path).encode(pa.array(texts))
+    got = [ids[a:b].tolist() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    tokenizer = Tokenizer.from_file(path)
+    assert got == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert got[0] == [31373, 220, 50256, 995]
+
 
+def test_a_small_cache_gives_the_same_ids(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_BYTES", 500)
+    encoder = packing.WordCachedEncoder(packing.public_path("byte_bpe_50k.json"))
+    for k in range(6):
+        texts = [" ".join(f"word{k * j % 97} and" for j in range(60)), f"one\ntwo {k}"]
+        ids, edges = encoder.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(edges[:-1], edges[1:], strict=True)] == [x.tolist() for x in encoder.whole(texts)]
+
+
+def check(rows, texts):
     t = Tokenizer.from_file(packing.public_path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     by_doc, by_bin = defaultdict(list), defaultdict(list)
     for r in rows:
         by_doc[r.doc_id].append(r)
