@@ -1,131 +1,208 @@
-"""Elias-Fano coded sorted integers and the memory-mapped files that hold them."""
+"""Elias-Fano coded blocks of sorted integers, and the memory-mapped files that hold them.
+
+A file has blocks one after the other and a directory at its end, so that a task
+writes it as a stream.  In a block the low bits of the keys are packed, the high
+bits are in unary, and the place of every sixteenth zero of the unary part is
+kept; further columns of the block follow.
+"""
 
 from __future__ import annotations
 
 import json
 import os
 import uuid
+from collections import OrderedDict
 
 import numpy as np
 from pyarrow import fs
 
-_ONE = np.uint64(1)
-#: Place of the k-th zero bit of every byte, 8 where there is none.
-_ZERO_AT = np.array([[([i for i in range(8) if not b >> i & 1] + [8] * 8)[k] for k in range(8)] for b in range(256)], np.uint8)
+_ONE, _WORD = np.uint64(1), np.uint64(63)
+_EVERY = 16
+#: Bytes of files that are read whole, where the store is not a file system of the machine.
+HELD = 256 << 20
 
 
-def encode(values: np.ndarray, bits: int) -> dict[str, np.ndarray]:
-    """Arrays that hold sorted distinct values below 2**bits: low bits packed, high bits in unary with counts of zeros."""
+def encode(values: np.ndarray, bits: int) -> tuple[dict[str, np.ndarray], int]:
+    """Arrays that hold sorted distinct values below 2**bits, and the number of low bits."""
     n = len(values)
     low = max(0, bits - max(n, 1).bit_length())
     values = values.astype(np.uint64)
-    mask = (_ONE << np.uint64(low)) - _ONE
     packed = np.zeros(n * low // 64 + 2, np.uint64)
     place = np.arange(n, dtype=np.uint64) * np.uint64(low)
-    word, shift = (place >> np.uint64(6)).astype(np.int64), place & np.uint64(63)
-    np.bitwise_or.at(packed, word, (values & mask) << shift)
+    word, shift = (place >> np.uint64(6)).astype(np.int64), place & _WORD
+    lows = values & ((_ONE << np.uint64(low)) - _ONE)
+    _or_into(packed, word, lows << shift)
     over = shift + np.uint64(low) > 64
-    np.bitwise_or.at(packed, word[over] + 1, (values[over] & mask) >> (np.uint64(64) - shift[over]))
+    _or_into(packed, word[over] + 1, lows[over] >> (np.uint64(64) - shift[over]))
     high = values >> np.uint64(low)
+    zeros = 1 << (bits - low)
     ones = high + np.arange(n, dtype=np.uint64)
-    unary = np.zeros((n + (1 << (bits - low))) // 64 + 2, np.uint64)
-    np.bitwise_or.at(unary, (ones >> np.uint64(6)).astype(np.int64), _ONE << (ones & np.uint64(63)))
-    zeros = np.zeros(len(unary), np.int64)
-    np.cumsum(64 - np.bitwise_count(unary[:-1]).astype(np.int64), out=zeros[1:])
-    return {"low": packed, "high": unary, "zeros": zeros, "shape": np.array([n, low, bits], np.int64)}
-
-
-class EliasFano:
-    """Search in what encode() made."""
-
-    def __init__(self, arrays: dict[str, np.ndarray]):
-        self.low, self.high, self.zeros = arrays["low"], arrays["high"], arrays["zeros"]
-        self.n, self.width, self.bits = map(int, arrays["shape"])
-        self.bytes = self.high.view(np.uint8)
-
-    def _lows(self, at: np.ndarray) -> np.ndarray:
-        place = at.astype(np.uint64) * np.uint64(self.width)
-        word, shift = (place >> np.uint64(6)).astype(np.int64), place & np.uint64(63)
-        up = np.where(shift > 0, self.low[word + 1] << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
-        return ((self.low[word] >> shift) | up) & ((_ONE << np.uint64(self.width)) - _ONE)
-
-    def _zero(self, k: np.ndarray) -> np.ndarray:
+    unary = np.zeros((n + zeros) // 64 + 3, np.uint64)
+    _or_into(unary, (ones >> np.uint64(6)).astype(np.int64), _ONE << (ones & _WORD))
+    # the k-th zero stands behind all values whose high part is at most k
+    k = np.arange(0, zeros, _EVERY)
+    samples = (k + np.searchsorted(high, k.astype(np.uint64), "right")).astype(np.uint32)
+    return {"low": packed, "high": unary, "samples": samples}, low
+
+
+def _or_into(out: np.ndarray, at: np.ndarray, bits: np.ndarray) -> None:
+    """out[at] |= bits for `at` in order."""
+    if len(at):
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        out[at[first]] |= np.bitwise_or.reduceat(bits, first)
+
+
+def _select(word: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Place of the set bit with that rank, which every word has."""
+    at = np.zeros(len(word), np.uint64)
+    rank = rank.copy()
+    for width in (32, 16, 8, 4, 2, 1):
+        here = np.bitwise_count((word >> at) & np.uint64((1 << width) - 1))
+        up = here <= rank
+        rank -= np.where(up, here, 0).astype(rank.dtype)
+        at += up.astype(np.uint64) * np.uint64(width)
+    return at.astype(np.int64)
+
+
+class Blocks:
+    """Search in one file."""
+
+    def __init__(self, raw: np.ndarray):
+        size = int.from_bytes(raw[-8:].tobytes(), "little")
+        head = json.loads(raw[len(raw) - 8 - size : len(raw) - 8].tobytes())
+        body = raw[: (len(raw) - 8 - size) // 8 * 8]
+        self.words, self.halves, self.shorts = body.view(np.uint64), body.view(np.uint32), body.view(np.uint16)
+        self.first: int = head["first"]
+        self.at = {k: np.array(v, np.int64) for k, v in head["at"].items()}
+        self.width, self.filled = np.array(head["width"], np.uint64), np.array(head["filled"], bool)
+
+    def held(self, block: np.ndarray) -> np.ndarray:
+        """Whether each block was written, and not left out."""
+        of = block - self.first
+        inside = of < len(self.filled)
+        return inside & self.filled[np.where(inside, of, 0)]
+
+    def column(self, name: str, kind: str, block: np.ndarray, index: np.ndarray) -> np.ndarray:
+        """Entries of a column of blocks."""
+        at = self.at[name][block - self.first]
+        return self.shorts[at // 2 + index] if kind == "u2" else self.words[at // 8 + index]
+
+    def _window(self, base: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """64 bits of the unary part from a place on."""
+        word, shift = base + (place >> 6), place.astype(np.uint64) & _WORD
+        return (self.words[word] >> shift) | np.where(shift > 0, self.words[word + 1] << ((np.uint64(64) - shift) & _WORD), np.uint64(0))
+
+    def _zero(self, base: np.ndarray, samples: np.ndarray, k: np.ndarray) -> np.ndarray:
         """Place of the k-th zero of the unary part, k from 0."""
-        word = np.searchsorted(self.zeros, k, "right") - 1
-        left = k - self.zeros[word]
-        at = word * 8
-        out = np.full(len(k), -1, np.int64)
-        for _ in range(8):
-            byte = self.bytes[at]
-            here = 8 - np.bitwise_count(byte).astype(np.int64)
-            hit = (out < 0) & (left < here)
-            out[hit] = at[hit] * 8 + _ZERO_AT[byte[hit], left[hit]]
-            left = left - here
-            at = np.minimum(at + 1, len(self.bytes) - 1)
+        place = self.halves[samples + k // _EVERY].astype(np.int64)
+        rank = (k % _EVERY).astype(np.int64)
+        out = np.empty(len(k), np.int64)
+        todo = np.arange(len(k))
+        while len(todo):
+            zeros = ~self._window(base[todo], place[todo])
+            here = np.bitwise_count(zeros).astype(np.int64)
+            hit = here > rank[todo]
+            done = todo[hit]
+            out[done] = place[done] + _select(zeros[hit], rank[done])
+            todo, here = todo[~hit], here[~hit]
+            rank[todo] -= here
+            place[todo] += 64
         return out
 
-    def find(self, values: np.ndarray) -> np.ndarray:
-        """Index of each value, or -1: the high bits name a short range, in which the successor of the low bits is searched."""
-        if not self.n or not len(values):
-            return np.full(len(values), -1, np.int64)
-        values = values.astype(np.uint64)
-        high = (values >> np.uint64(self.width)).astype(np.int64)
-        want = values & ((_ONE << np.uint64(self.width)) - _ONE)
-        stop = self._zero(high) - high
-        start = np.zeros(len(values), np.int64)
-        some = high > 0
-        start[some] = self._zero(high[some] - 1) - high[some] + 1
-        lo, hi = start, stop.copy()
-        while True:
-            open_ = np.flatnonzero(lo < hi)
-            if not len(open_):
-                break
-            mid = (lo[open_] + hi[open_]) // 2
-            less = self._lows(mid) < want[open_]
-            lo[open_[less]] = mid[less] + 1
-            hi[open_[~less]] = mid[~less]
+    def find(self, block: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Index in its block of each value, or -1: the high bits name a short range, in which the successor of the low bits is searched."""
+        of = block - self.first
+        values, width = values.astype(np.uint64), self.width[of]
+        base, samples, lows = self.at["high"][of] // 8, self.at["samples"][of] // 4, self.at["low"][of] // 8
+        high = (values >> width).astype(np.int64)
+        want = values & ((_ONE << width) - _ONE)
+        begin = np.zeros(len(values), np.int64)
+        some = np.flatnonzero(high > 0)
+        begin[some] = self._zero(base[some], samples[some], high[some] - 1) + 1
+        size, todo, place = np.zeros(len(values), np.int64), np.arange(len(values)), begin.copy()
+        while len(todo):  # ones up to the next zero
+            zeros = ~self._window(base[todo], place[todo])
+            ones = np.bitwise_count((zeros & (~zeros + _ONE)) - _ONE).astype(np.int64)
+            size[todo] += ones
+            todo = todo[ones == 64]
+            place[todo] += 64
+        lo = begin - high
+        stop = lo + size
+        hi = stop.copy()
+        while len(live := np.flatnonzero(lo < hi)):
+            mid = (lo[live] + hi[live]) // 2
+            less = self._lows(lows[live], width[live], mid) < want[live]
+            lo[live[less]] = mid[less] + 1
+            hi[live[~less]] = mid[~less]
         out = np.full(len(values), -1, np.int64)
         inside = np.flatnonzero(lo < stop)
-        match = self._lows(lo[inside]) == want[inside]
-        out[inside[match]] = lo[inside[match]]
+        match = inside[self._lows(lows[inside], width[inside], lo[inside]) == want[inside]]
+        out[match] = lo[match]
         return out
 
+    def _lows(self, base: np.ndarray, width: np.ndarray, at: np.ndarray) -> np.ndarray:
+        place = at.astype(np.uint64) * width
+        word, shift = base + (place >> np.uint64(6)).astype(np.int64), place & _WORD
+        up = np.where(shift > 0, self.words[word + 1] << ((np.uint64(64) - shift) & _WORD), np.uint64(0))
+        return ((self.words[word] >> shift) | up) & ((_ONE << width) - _ONE)
+
 
 def _store(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
-def save(uri: str, arrays: dict[str, np.ndarray]) -> None:
-    """Writes arrays to one file, whole or not at all."""
+class Writer:
+    """Writes blocks `first`, first + 1 and so on to a new file; blocks that are left out are empty ones."""
+
+    def __init__(self, folder: str, first: int):
+        self.uri = f"{folder}/{uuid.uuid4().hex}.ef"
+        store, path = _store(self.uri)
+        store.create_dir(os.path.dirname(path), recursive=True)
+        self.out, self.size = store.open_output_stream(path), 0
+        self.first, self.width, self.filled, self.at = first, [], [], {}
+
+    def add(self, block: int, keys: np.ndarray, bits: int, columns: dict[str, np.ndarray]) -> None:
+        while self.first + len(self.width) < block:
+            self._put(np.zeros(0, np.uint64), 1, {k: v[:0] for k, v in columns.items()}, False)
+        self._put(keys, bits, columns, True)
+
+    def _put(self, keys: np.ndarray, bits: int, columns: dict[str, np.ndarray], filled: bool) -> None:
+        arrays, low = encode(keys, bits)
+        self.width.append(low)
+        self.filled.append(filled)
+        for name, a in (arrays | columns).items():
+            self.at.setdefault(name, []).append(self.size)
+            data = a.tobytes() + b"\0" * (-a.nbytes % 8)
+            self.out.write(data)
+            self.size += len(data)
+
+    def close(self) -> str:
+        head = json.dumps({"first": self.first, "width": self.width, "filled": self.filled, "at": self.at}).encode()
+        self.out.write(head + len(head).to_bytes(8, "little"))
+        self.out.close()
+        return self.uri
+
+
+_mapped: dict[str, Blocks] = {}
+_read: OrderedDict[str, tuple[int, Blocks]] = OrderedDict()
+
+
+def opened(uri: str) -> Blocks:
+    """The blocks of a file: mapped where the store is a file system of the machine; else read, and the files read last kept."""
+    if uri in _mapped:
+        return _mapped[uri]
+    if uri in _read:
+        _read.move_to_end(uri)
+        return _read[uri][1]
     store, path = _store(uri)
-    store.create_dir(os.path.dirname(path), recursive=True)
-    heads, at = {}, 0
-    for k, a in arrays.items():
-        heads[k] = [a.dtype.str, len(a), at]
-        at += -(-a.nbytes // 8) * 8
-    head = json.dumps(heads).encode()
-    head += b" " * (-len(head) % 8)
-    part = f"{path}.{uuid.uuid4().hex}"
-    with store.open_output_stream(part) as out:
-        out.write(len(head).to_bytes(8, "little") + head)
-        for a in arrays.values():
-            out.write(a.tobytes() + b"\0" * (-a.nbytes % 8))
-    store.move(part, path)
-
-
-_opened: dict[str, dict[str, np.ndarray]] = {}
-
-
-def load(uri: str) -> dict[str, np.ndarray]:
-    """The arrays of a file: mapped where the store is a file system of the machine, else read."""
-    if uri not in _opened:
-        store, path = _store(uri)
-        if store.type_name == "local":
-            raw = np.memmap(path, np.uint8, "r")
-        else:
-            with store.open_input_file(path) as f:
-                raw = np.frombuffer(f.read(), np.uint8)
-        size = int.from_bytes(raw[:8].tobytes(), "little")
-        heads = json.loads(raw[8 : 8 + size].tobytes())
-        _opened[uri] = {k: raw[8 + size + at : 8 + size + at + n * np.dtype(kind).itemsize].view(kind) for k, (kind, n, at) in heads.items()}
-    return _opened[uri]
+    if store.type_name == "local":
+        if len(_mapped) >= 4096:
+            _mapped.clear()
+        _mapped[uri] = Blocks(np.memmap(path, np.uint8, "r"))
+        return _mapped[uri]
+    with store.open_input_file(path) as f:
+        raw = np.frombuffer(f.read(), np.uint8)
+    _read[uri] = (len(raw), Blocks(raw))
+    while len(_read) > 1 and sum(n for n, _ in _read.values()) > HELD:
+        _read.popitem(last=False)
+    return _read[uri][1]

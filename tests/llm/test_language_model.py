@@ -1,5 +1,6 @@
 import math
 import re
+import tempfile
 import zlib
 from collections import Counter
 
@@ -10,14 +11,25 @@ from hypothesis import strategies as st
 from corpuslab.llm import elias_fano, language_model as LM
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.sets(st.integers(0, 2**40 - 1), max_size=300), st.lists(st.integers(0, 2**40 - 1), max_size=50))
-def test_elias_fano_finds_what_is_there(values, others):
-    values = np.array(sorted(values), np.uint64)
-    index = elias_fano.EliasFano(elias_fano.encode(values, 40))
-    asked = np.concatenate([values, np.array(others, np.uint64)])
-    place = {int(v): k for k, v in enumerate(values)}
-    assert index.find(asked).tolist() == [place.get(int(v), -1) for v in asked]
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 2**40 - 1), max_size=300), min_size=1, max_size=4), st.lists(st.integers(0, 2**40 - 1), max_size=50))
+def test_elias_fano_finds_what_is_there(blocks, others):
+    blocks[0] |= set(range(1000, 1300))  # many in one range of high bits
+    with tempfile.TemporaryDirectory() as folder:
+        writer = elias_fano.Writer(folder, 3)
+        for k, values in enumerate(blocks):
+            if values:
+                writer.add(k + 3, np.array(sorted(values), np.uint64), 40, {"codes": np.arange(len(values), dtype=np.uint16)})
+        file = elias_fano.opened(writer.close())
+        for k, values in enumerate(blocks):
+            asked = np.array([*sorted(values), *others], np.uint64)
+            place = {v: i for i, v in enumerate(sorted(values))}
+            assert file.held(np.array([k + 3]))[0] == bool(values)
+            if values:
+                got = file.find(np.full(len(asked), k + 3), asked)
+                assert got.tolist() == [place.get(int(v), -1) for v in asked]
+                hit = got[got >= 0]
+                assert file.column("codes", "u2", np.full(len(hit), k + 3), hit).tolist() == hit.tolist()
 
 
 def tokens_of(text):
@@ -25,14 +37,14 @@ def tokens_of(text):
     return [*re.findall(r"[^\x20\x09-\x0D]+", lower), "\n"]
 
 
-def plain(train, texts):
+def plain(train, texts, least=0):
     """The same model in dictionaries, without quantisation."""
     counts = [Counter() for _ in range(3)]
     for t in map(tokens_of, train):
         for n in range(3):
             counts[n].update(tuple(t[i - n : i + 1]) for i in range(n, len(t)))
     total, distinct = sum(counts[0].values()), len(counts[0])
-    kept = [counts[0], *({g: c for g, c in x.items() if c > 1} for x in counts[1:])]
+    kept = [counts[0], *({g: c for g, c in x.items() if c > least} for x in counts[1:])]
     follow, mass = Counter(), Counter()
     for n in (1, 2):
         for g, c in counts[n].items():
@@ -70,6 +82,24 @@ def test_query_against_plain_counts(spark, sf_dir):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
+def test_a_small_block_splits_frequent_words_and_pairs(spark):
+    train = ["the cat the dog the cat", *(f"the cat {w} the the {w}" for w in "abcdefghij"), "", None, "x " * 5000]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(train)], "doc_id long, text string")
+    texts = [*train, "the zebra the cat q", "unknown words", "x x x y"]
+    asked = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    for least in (1, 2):
+        want = list(plain(train, texts, least - 1))
+        for tokens in (3, 1 << 20):
+            model = LM.train(df.select("text"), block_tokens=tokens, min_count=least)
+            if tokens == 3:
+                assert max(model.levels[2].parts) > 100 and max(model.levels[3].parts) > 100
+            for r in LM.score(asked, model).collect():
+                n, known, base, score, total = want[r.doc_id]
+                assert (r.n_tokens, r.n_known, model.tokens) == (n, known, total)
+                assert math.isclose(r.base_score, base, rel_tol=1e-9)
+                assert abs(r.score - score) < 0.002 * n + 0.5
+
+
 def test_edge_rows(spark):
     df = spark.createDataFrame([(None, None, 1), (1, "", 2), (1, "", 2), (2, "a b a b", 3)], "doc_id long, text string, score int")
     model = LM.train(df.select("text"))
