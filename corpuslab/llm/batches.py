@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-ROWS, BYTES = 512, 32 << 20
+ROWS, BYTES = 512, 8 << 20
 
 
 def bound(spark: SparkSession, rows: int = ROWS, size: int = BYTES) -> SparkSession:

@@ -13,14 +13,19 @@ Sizes of sets that link differ by a bounded factor, so a region falls apart wher
 no member has a size in between.  Counts of shingles by bucket bound the
 intersection of two sets from above; members that this bound keeps apart are parted
 too, by pairs in regions of up to `small` members and in one task each above.
-What is left of overlapping regions is merged, so that each set is sent once, and
-joined around pivots chosen among the members: all members are measured against a
-pivot, those within the threshold fall to its cell and are linked, the others
-look for a further pivot.  Sets that are no pivots are only measured against each
-other where the triangle inequality leaves a window: |d(x, p) - d(y, p)| within
-the threshold.  A merged region beyond `most` shingles is cut into blocks, and
-every two blocks recur as a region of their own, in which only pairs across count.
-Every pair that might link is so measured once or excluded by a bound; the
+What is left of overlapping regions is merged, so that each set is sent once.  A
+merged region beyond `most` shingles is parted in Spark around `pivots` of its
+own sets: each set falls to the Voronoi cell of the nearest pivot (or to the rest,
+beyond `_RADIUS` of all), and goes as a guest into the windows that the triangle
+inequality leaves in earlier cells: |d(x, q) - d(x, p)| within twice the threshold.
+Cells recur as regions of their own.  A region that fits a task is joined there in
+the same way: all members are measured against a pivot, those within the threshold
+fall to its cell and are linked, the others look for a further pivot; sets that are
+no pivots are only measured against each other where a window is left, and not
+either where the sum of their distances to the pivot already proves the link.
+Sets that all are similarly far from each other cannot be parted by pivots; there
+every two blocks meet, in which only pairs across count.
+Every pair that might link is so measured once or decided by a bound; the
 components and the numbers of links are exact.
 
 Each step works on distinct sets: exact copies are one member.  A text with fewer
@@ -45,7 +50,9 @@ from corpuslab.llm import wordhash as W
 from corpuslab.llm.batches import bound, written
 from corpuslab.llm.graph import components
 
-SHINGLE, PERCENT, SMALL, MOST, BUCKETS = 5, 80, 4, 4 << 20, 256
+SHINGLE, PERCENT, SMALL, MOST, BUCKETS, PIVOTS = 5, 80, 4, 1 << 20, 256, 16
+#: How far from its pivot a set is at most, what share of its parent a cell has that is parted once more, and how often regions are parted at most.
+_RADIUS, _SHRINKS, _DEEPEST = 0.6, 0.9, 8
 _LONE = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -248,7 +255,8 @@ class Region:
 
     def __init__(self, sets: list[np.ndarray], percent: int):
         self.sizes = np.array([len(s) for s in sets], np.int64)
-        self.percent, self.reach = percent, 1 - percent / 100 + 1e-9
+        self.percent, self.threshold = percent, 1 - percent / 100
+        self.reach = self.threshold + 1e-9
         ids = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
         holders = np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)
         order = np.argsort(ids, kind="stable")
@@ -263,14 +271,21 @@ class Region:
     def linked(self, k: int, common: np.ndarray) -> np.ndarray:
         return common * 100 >= (self.sizes[k] + self.sizes - common) * self.percent
 
-    def links(self, own: np.ndarray, across: bool) -> tuple[list[tuple[int, int]], np.ndarray]:
-        """Links that connect what is connected, and the number of links of each set; if `across`, only of those to sets with another `own`."""
+    def links(self, own: np.ndarray, across: bool, mask: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+        """Links that connect what is connected, and the number of links of each set.
+
+        Pairs whose masks share a bit count elsewhere, and if `across`, so do pairs with the same `own`.
+        """
         n, out = len(self.sizes), []
         number, label = np.zeros(n, np.int64), np.arange(n)
 
+        def here(k: int, near: np.ndarray) -> np.ndarray:
+            counts = (near != k) & (mask[near] & mask[k] == 0)
+            return counts & (own[near] != own[k]) if across else counts
+
         def measured(k: int, common: np.ndarray) -> np.ndarray:
             near = np.flatnonzero(self.linked(k, common))
-            number[k] = np.count_nonzero(own[near] != own[k]) if across else len(near) - 1
+            number[k] = np.count_nonzero(here(k, near))
             labels, first = np.unique(label[near], return_index=True)
             for old, y in zip(labels.tolist(), near[first].tolist(), strict=True):
                 if old != label[k]:
@@ -285,8 +300,7 @@ class Region:
                 continue
             common = self.common(k)
             near = measured(k, common)
-            others = near[near != k]
-            number[others] += (own[others] != own[k]) if across else 1  # pivots do not link with each other
+            number[near[here(k, near)]] += 1  # pivots do not link with each other
             cell[near[cell[near] < 0]] = len(around)
             is_pivot[k] = True
             some = np.flatnonzero(common)
@@ -296,32 +310,113 @@ class Region:
         for p, (close, distance) in enumerate(around):
             free = ~is_pivot[close]
             close, distance = close[free], distance[free]
-            order = np.sort(distance)
-            for x, d in zip(close[cell[close] == p].tolist(), distance[cell[close] == p].tolist(), strict=True):
+            order = np.argsort(distance, kind="stable")
+            close, distance = close[order], distance[order]
+            for x in np.flatnonzero(cell[close] == p).tolist():
                 # a pair within the threshold differs by no more in its distances to the pivot; all links to pivots are known
-                if np.searchsorted(order, d + self.reach, "right") - np.searchsorted(order, d - self.reach) > 1:
-                    measured(x, self.common(x))
+                low, high = np.searchsorted(distance, distance[x] - self.reach), np.searchsorted(distance, distance[x] + self.reach, "right")
+                if high - low <= 1:
+                    continue
+                if distance[high - 1] + distance[x] <= self.threshold - 1e-9:  # and by so little in their sum that all link
+                    number[close[x]] += np.count_nonzero(here(close[x], close[low:high]))
+                else:
+                    measured(close[x], self.common(close[x]))
         return out, number
 
 
-def _joined_regions(docs: DataFrame, merged: DataFrame, size: int, percent: int, most: int) -> DataFrame:
-    """(a, b, n) for merged regions (region, name, n): links, and for each set and block (set, null, number of its links in the block)."""
-    blocks = merged.groupBy("region").agg(F.ceil(F.sum("n") / most).alias("k"))
-    # one block where all fits, else two of half the size meet in every pair of blocks
-    blocks = blocks.withColumn("k", F.when(F.col("k") <= 1, 1).otherwise(F.col("k") * 2).cast("int"))
-    own = F.pmod(F.xxhash64("name"), F.col("k")).cast("int")  # pairs of the same number count in the block of that number alone
-    pairs = F.when(F.col("k") == 1, F.array(F.lit("0"))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.concat_ws("-", F.least(own, j), F.greatest(own, j)))
-    )
-    dealt = merged.join(blocks, "region").select("name", "region", own.alias("own"), pairs.alias("blocks"))
-    sent = shingles_of(docs, merged, size).join(dealt, "name").select("region", F.explode("blocks").alias("block"), "own", "name", "shingles")
+def _cells(sets: DataFrame, weights: DataFrame, depth: int, percent: int, most: int, pivots: int) -> DataFrame:
+    """(region, parent_w, name, n, mask): the members of large regions in the cells of pivots chosen among them.
+
+    `sets` has (region, name, n, mask, shingles).  A member within `_RADIUS` of a pivot falls to
+    the nearest one's cell, the others to a last cell of their own.  It goes into
+    an earlier cell as well, marked as a guest, where the triangle inequality
+    leaves a window: a set that links with it may be nearest to that pivot.
+    A pair is so together in one cell where it is not two guests, and in one only.
+    """
+    threshold = 1 - percent / 100
+    keyed = sets.join(weights, "region")
+    slot = F.pmod(F.xxhash64("name", F.lit(depth)), F.lit(pivots)).cast("int")
+    chosen = sets.groupBy("region", slot.alias("pivot")).agg(F.min(F.struct(F.xxhash64("name", F.lit(-depth - 1)).alias("h"), "name")).alias("x"))
+    chosen = written(chosen.select("region", "pivot", F.col("x.name").alias("name")), "pivots")
+    chunks = F.ceil(F.col("w") / most).cast("int")
+    salted = keyed.select("region", "w", F.pmod(F.xxhash64("name", F.lit(7)), chunks).cast("int").alias("salt"), F.lit(None).cast("int").alias("pivot"), "name", "n", "mask", "shingles")
+    sent = keyed.join(chosen, ["region", "name"]).select("region", "w", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("salt"), "pivot", "name", "n", "mask", "shingles")
+
+    def assign(table: pa.Table) -> pa.Table:
+        is_pivot = np.asarray(table["pivot"].is_valid())
+        ours = table.filter(pa.array(is_pivot)).sort_by("pivot")
+        centres = [np.asarray(x.values).view(np.uint64) for x in ours["shingles"]]
+        table = table.filter(pa.array(~is_pivot))
+        n = table["n"].to_numpy()
+        shingles = np.concatenate([np.asarray(x.values).view(np.uint64) for x in table["shingles"]] or [np.zeros(0, np.uint64)])
+        owner = np.repeat(np.arange(len(n)), n)
+        distance = np.ones((len(centres), len(n)))
+        for k, c in enumerate(centres):
+            place = np.minimum(np.searchsorted(c, shingles), len(c) - 1)
+            common = np.bincount(owner[c[place] == shingles], minlength=len(n))
+            distance[k] = 1 - common / (n + len(c) - common)
+        nearest = distance.argmin(0)
+        least = distance[nearest, np.arange(len(n))]
+        home = np.where(least <= _RADIUS, nearest, len(centres))
+        at, cell, guest = [np.arange(len(n))], [home], [np.zeros(len(n), bool)]
+        for k in range(len(centres)):
+            near = (k < home) & (distance[k] <= _RADIUS + threshold + 1e-9) & ((home == len(centres)) | (distance[k] - least <= 2 * threshold + 1e-9))
+            at.append(np.flatnonzero(near))
+            cell.append(np.full(len(at[-1]), k))
+            guest.append(np.ones(len(at[-1]), bool))
+        at, cell, guest = np.concatenate(at), np.concatenate(cell), np.concatenate(guest)
+        of = table.take(pa.array(at))
+        mask = of["mask"].to_numpy() | (guest.astype(np.int64) << depth)
+        region = pa.array([f"{r}/{c}" for r, c in zip(of["region"].to_pylist(), cell.tolist(), strict=True)], pa.string())
+        return pa.table({"region": region, "parent_w": of["w"], "name": of["name"], "n": of["n"], "mask": pa.array(mask)})
+
+    return salted.unionByName(sent).groupBy("region", "salt").applyInArrow(assign, "region string, parent_w long, name binary, n long, mask long")
+
+
+def _recursed(shingles: DataFrame, large: DataFrame, percent: int, most: int, pivots: int) -> DataFrame:
+    """(region, w, name, n, mask): large regions parted into cells until each fits a task or pivots do not part it any more."""
+    settled, depth = None, 0
+    while True:
+        weights = large.groupBy("region").agg(F.sum("n").alias("w"))
+        cells = _cells(large.join(shingles, "name"), weights, depth, percent, most, pivots)
+        cells = written(cells, "cells")
+        guest = F.col("mask").bitwiseAND(F.lit(1 << depth))
+        sizes = cells.groupBy("region").agg(F.sum("n").alias("w"), F.min("parent_w").alias("parent_w"), F.count("*").alias("k"), F.min(guest).alias("guests"))
+        depth += 1
+        # no pair counts in a cell of one member or of guests alone
+        sizes = sizes.where("k > 1 and guests = 0")
+        sizes = sizes.withColumn("ends", (F.col("w") <= most) | (F.col("w") > F.col("parent_w") * _SHRINKS) | F.lit(depth == _DEEPEST))
+        judged = written(cells.drop("parent_w").join(sizes.select("region", "w", "ends"), "region"), "judged")
+        done = judged.where("ends").drop("ends")
+        settled = done if settled is None else settled.unionByName(done)
+        large = judged.where("not ends").select("region", "name", "n", "mask")
+        if not large.head(1):
+            return settled
+
+
+def _joined_regions(docs: DataFrame, merged: DataFrame, size: int, percent: int, most: int, pivots: int) -> DataFrame:
+    """(a, b, n) for merged regions (region, name, n): links, and for each set and region (set, null, number of its links that count there)."""
+    weights = written(merged.groupBy("region").agg(F.sum("n").alias("w")), "weights")
+    whole = merged.join(weights, "region").select(F.hex("region").alias("region"), "w", "name", "n", F.lit(0).cast("long").alias("mask"))
+    shingles = shingles_of(docs, merged, size)
+    if weights.where(F.col("w") > most).head(1):
+        shingles = written(shingles.groupBy("name").agg(F.first("shingles").alias("shingles")), "shingles")
+        large = whole.where(F.col("w") > most).select("region", "name", "n", "mask")
+        whole = whole.where(F.col("w") <= most).unionByName(_recursed(shingles, large, percent, most, pivots))
+    # what pivots did not part: sets at similar distances from each other, of which every two blocks meet
+    k = F.when(F.col("w") <= most, 1).otherwise(F.ceil(F.col("w") / most) * 2).cast("int")
+    own = F.pmod(F.xxhash64("name"), k).cast("int")  # pairs of the same number count in the block of that number alone
+    blocks = F.when(k == 1, F.array(F.lit("0"))).otherwise(F.transform(F.sequence(F.lit(0), k - 1), lambda j: F.concat_ws("-", F.least(own, j), F.greatest(own, j))))
+    dealt = whole.select("region", F.explode(blocks).alias("block"), own.alias("own"), "name", "mask")
+    sent = shingles.join(dealt, "name").select("region", "block", "own", "name", "mask", "shingles")
 
     def links(table: pa.Table) -> pa.Table:
-        sets = dict(zip(table["name"].to_pylist(), table["shingles"], strict=True))
-        owns = dict(zip(table["name"].to_pylist(), table["own"].to_pylist(), strict=True))
-        names = list(sets)
-        own = np.array([owns[x] for x in names], np.int64)
-        found, number = Region([np.asarray(x.values).view(np.uint64) for x in sets.values()], percent).links(own, len(set(table["block"][0].as_py().split("-"))) > 1)
+        rows = {n: k for k, n in enumerate(table["name"].to_pylist())}  # a set may have come from several tasks
+        table = table.take(pa.array(sorted(rows.values())))
+        names, own, mask = table["name"].to_pylist(), table["own"].to_numpy(), table["mask"].to_numpy()
+        sets = [np.asarray(x.values).view(np.uint64) for x in table["shingles"]]
+        across = len(set(table["block"][0].as_py().split("-"))) > 1
+        found, number = Region(sets, percent).links(own, across, mask)
         ordered = [sorted((names[a], names[b])) for a, b in found]
         some = np.flatnonzero(number).tolist()
         a = [x for x, _ in ordered] + [names[k] for k in some]
@@ -332,7 +427,7 @@ def _joined_regions(docs: DataFrame, merged: DataFrame, size: int, percent: int,
     return sent.groupBy("region", "block").applyInArrow(links, "a binary, b binary, n long")
 
 
-def set_links(docs: DataFrame, sets: DataFrame, size: int, percent: int, small: int, most: int) -> DataFrame:
+def set_links(docs: DataFrame, sets: DataFrame, size: int, percent: int, small: int, most: int, pivots: int) -> DataFrame:
     """(a, b, n): links between different sets that connect all sets that are connected, and rows (set, null, number of links) to be summed; `sets` has (name, n, pivots, counts)."""
     regions = written(_islands(sets.select(F.explode("pivots").alias("region"), "name", "n"), percent), "regions")
     counts = sets.select("name", "counts")
@@ -340,10 +435,10 @@ def set_links(docs: DataFrame, sets: DataFrame, size: int, percent: int, small:
     near = written(near.unionByName(_parted(regions.where(F.col("size") > small), counts, percent)), "near")
     merged = components(near).select(F.col("node").alias("name"), F.col("component").alias("region"))
     merged = written(merged.join(sets.select("name", "n"), "name"), "merged")
-    return written(_joined_regions(docs, merged, size, percent, most), "links")
+    return written(_joined_regions(docs, merged, size, percent, most, pivots), "links")
 
 
-def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, percent: int = PERCENT, small: int = SMALL, most: int = MOST) -> DataFrame:
+def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, percent: int = PERCENT, small: int = SMALL, most: int = MOST, pivots: int = PIVOTS) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links_measured): n_links_measured is the number of different other sets that a document's set links with.
     Exact copies are one set: all of them together count once for others, not at all for each other, and each has the number of its set."""
     bound(docs.sparkSession)
@@ -353,7 +448,7 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int
     shared = context.broadcast(filters.bloom(shared_pivots(own, levels, size, percent)))
     found = written(members(own, levels, shared, size, percent), "members")
     sets = found.where("pivots is not null").groupBy("name").agg(F.first("n_shingles").alias("n"), F.first("pivots").alias("pivots"), F.first("counts").alias("counts"))
-    links = set_links(own, written(sets, "sets"), size, percent, small, most)
+    links = set_links(own, written(sets, "sets"), size, percent, small, most, pivots)
     cell = components(links.where("b is not null")).withColumnRenamed("node", "name")
     degree = links.where("b is null").groupBy(F.col("a").alias("name")).agg(F.sum("n").alias("n_links_measured"))
     linked = cell.join(degree, "name", "left")

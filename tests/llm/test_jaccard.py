@@ -79,6 +79,40 @@ def test_numbers_of_links(spark, most):
     assert {r.doc_id: r.n_links_measured for r in jaccard.join(df, most=most).collect()} == want
 
 
+def test_cells_of_pivots_part_a_region_that_hangs_together(spark):
+    texts = {}
+    for k in range(12):  # texts that share some rare words with the next, so that one region holds them all
+        words = [f"t{k}w{i}" for i in range(80)]
+        words[60:] = [f"t{(k + 1) % 12}w{i}" for i in range(20)]
+        for j in range(5):
+            own = list(words)
+            own[(j * 17 + k) % 60] = f"x{j}"
+            texts[k * 10 + j] = " ".join(own)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    sets = jaccard.shingle_sets(jaccard.pa.array(texts.values()))
+    rows = [("r", k.to_bytes(4, "big"), len(s), 0, s.view("int64").tolist()) for k, s in zip(texts, sets, strict=True)]
+    large = spark.createDataFrame([r[:4] for r in rows], "region string, name binary, n long, mask long")
+    shingles = spark.createDataFrame([(r[1], r[4]) for r in rows], "name binary, shingles array<long>")
+    cells = jaccard._recursed(shingles, large, 80, 1000, 4).collect()
+    assert len({r.region for r in cells}) > 4 and all(r.w < 0.9 * sum(map(len, sets)) for r in cells)
+    together = {}
+    for region in {r.region for r in cells}:
+        held = [r for r in cells if r.region == region]
+        for x in held:
+            for y in held:
+                if x.name < y.name and x.mask & y.mask == 0:
+                    together[x.name, y.name] = together.get((x.name, y.name), 0) + 1
+    assert set(together.values()) == {1}
+    names = [k.to_bytes(4, "big") for k in texts]
+    for i, x in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            both = len(set(x.tolist()) & set(sets[j].tolist()))
+            if 100 * both >= 80 * (len(x) + len(sets[j]) - both):
+                assert (names[i], names[j]) in together
+    for most in (300, 3000):
+        assert {r.doc_id: r.n_links_measured for r in jaccard.join(df, most=most, pivots=3).collect()} == links(texts)
+
+
 def test_edge_rows(spark):
     rows = [(5, "one two three four five six", 1), (5, "one two three four five six", 1), (None, "one two three four five six", 2), (3, "ONE two three four five six", None), (4, None, 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, component_id int")
