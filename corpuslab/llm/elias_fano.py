@@ -2,8 +2,9 @@
 
 A file has blocks one after the other and a directory at its end, so that a task
 writes it as a stream.  In a block the low bits of the keys are packed, the high
-bits are in unary, and the place of every sixteenth zero of the unary part is
-kept; further columns of the block follow.
+bits are in unary, the place of every sixteenth zero of the unary part is kept, and
+so is the number of zeros before each group of words, so that no search runs over
+the many keys that may share their high bits; further columns of the block follow.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import numpy as np
 from pyarrow import fs
 
 _ONE, _WORD = np.uint64(1), np.uint64(63)
-_EVERY = 16
+_EVERY, _GROUP = 16, 8
 #: Bytes of files that are read whole, where the store is not a file system of the machine.
 HELD = 256 << 20
 
@@ -37,12 +38,13 @@ def encode(values: np.ndarray, bits: int) -> tuple[dict[str, np.ndarray], int]:
     high = values >> np.uint64(low)
     zeros = 1 << (bits - low)
     ones = high + np.arange(n, dtype=np.uint64)
-    unary = np.zeros((n + zeros) // 64 + 3, np.uint64)
+    unary = np.zeros((n + zeros) // (64 * _GROUP) * _GROUP + 2 * _GROUP, np.uint64)
     _or_into(unary, (ones >> np.uint64(6)).astype(np.int64), _ONE << (ones & _WORD))
     # the k-th zero stands behind all values whose high part is at most k
     k = np.arange(0, zeros, _EVERY)
-    samples = (k + np.searchsorted(high, k.astype(np.uint64), "right")).astype(np.uint32)
-    return {"low": packed, "high": unary, "samples": samples}, low
+    samples = np.append(k + np.searchsorted(high, k.astype(np.uint64), "right"), n + zeros).astype(np.uint32)
+    groups = np.cumsum(64 * _GROUP - np.bitwise_count(unary).reshape(-1, _GROUP).sum(1, dtype=np.int64))
+    return {"low": packed, "high": unary, "samples": samples, "groups": np.append(0, groups[:-1]).astype(np.uint32)}, low
 
 
 def _or_into(out: np.ndarray, at: np.ndarray, bits: np.ndarray) -> None:
@@ -92,10 +94,24 @@ class Blocks:
         word, shift = base + (place >> 6), place.astype(np.uint64) & _WORD
         return (self.words[word] >> shift) | np.where(shift > 0, self.words[word + 1] << ((np.uint64(64) - shift) & _WORD), np.uint64(0))
 
-    def _zero(self, base: np.ndarray, samples: np.ndarray, k: np.ndarray) -> np.ndarray:
+    def _zero(self, of: np.ndarray, k: np.ndarray) -> np.ndarray:
         """Place of the k-th zero of the unary part, k from 0."""
-        place = self.halves[samples + k // _EVERY].astype(np.int64)
+        base, samples, groups = self.at["high"][of] // 8, self.at["samples"][of] // 4, self.at["groups"][of] // 4
+        place, stop = (self.halves[samples + k // _EVERY + x].astype(np.int64) for x in (0, 1))
         rank = (k % _EVERY).astype(np.int64)
+        lo, hi = place // (64 * _GROUP), stop // (64 * _GROUP)
+        far = np.flatnonzero(lo < hi)
+        if len(far):  # the last group with no more than k zeros before it
+            first = lo[far].copy()
+            left, right, at, want = lo[far], hi[far], groups[far], k[far]
+            while len(live := np.flatnonzero(left < right)):
+                mid = (left[live] + right[live] + 1) // 2
+                fits = self.halves[at[live] + mid] <= want[live]
+                left[live[fits]] = mid[fits]
+                right[live[~fits]] = mid[~fits] - 1
+            moved = left > first
+            place[far[moved]] = left[moved] * 64 * _GROUP
+            rank[far[moved]] = want[moved] - self.halves[at[moved] + left[moved]].astype(np.int64)
         out = np.empty(len(k), np.int64)
         todo = np.arange(len(k))
         while len(todo):
@@ -113,19 +129,17 @@ class Blocks:
         """Index in its block of each value, or -1: the high bits name a short range, in which the successor of the low bits is searched."""
         of = block - self.first
         values, width = values.astype(np.uint64), self.width[of]
-        base, samples, lows = self.at["high"][of] // 8, self.at["samples"][of] // 4, self.at["low"][of] // 8
+        lows = self.at["low"][of] // 8
         high = (values >> width).astype(np.int64)
         want = values & ((_ONE << width) - _ONE)
         begin = np.zeros(len(values), np.int64)
         some = np.flatnonzero(high > 0)
-        begin[some] = self._zero(base[some], samples[some], high[some] - 1) + 1
-        size, todo, place = np.zeros(len(values), np.int64), np.arange(len(values)), begin.copy()
-        while len(todo):  # ones up to the next zero
-            zeros = ~self._window(base[todo], place[todo])
-            ones = np.bitwise_count((zeros & (~zeros + _ONE)) - _ONE).astype(np.int64)
-            size[todo] += ones
-            todo = todo[ones == 64]
-            place[todo] += 64
+        begin[some] = self._zero(of[some], high[some] - 1) + 1
+        # ones up to the next zero
+        zeros = ~self._window(self.at["high"][of] // 8, begin)
+        size = np.bitwise_count((zeros & (~zeros + _ONE)) - _ONE).astype(np.int64)
+        long = np.flatnonzero(size == 64)
+        size[long] = self._zero(of[long], high[long]) - begin[long]
         lo = begin - high
         stop = lo + size
         hi = stop.copy()
