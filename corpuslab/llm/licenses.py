@@ -1,17 +1,20 @@
 """Licence scan by a positional rare-token index, in DataFrame functions only.
 
 The words of a fixed set of licence notices form a vocabulary.  How many
-documents hold each of its words is counted over the whole corpus; words of more
-than `max_share` of the documents carry no signal and are left out.  Every
-document looks up its `rarest` rarest licence words in the postings (word ->
-notice, place), intersects them by relative position, and a notice is found
-where at least two postings (or all of a notice that has fewer) agree on one
-offset and each mandatory phrase of the notice stands in the text.
-
-Null text is empty; a document without words has no labels and a score of 0.
-Rows are independent, so repeated rows, ties, null ids and further columns pass
-through (an added column replaces one of its name); an empty table gives none.
-Only the counts, at most one row for each word of the notices, reach the driver.
+documents hold each of its words is counted over the whole corpus.  Of each
+notice the `PER_NOTICE` different words with the highest IDF go to the index (word ->
+notice, place), and of each of its mandatory phrases the `PER_PHRASE` such words, however
+frequent they are: where the phrases stand, enough postings agree, so the index
+loses no notice in any document.  A document looks up its words, intersects the postings by relative
+position, and a notice is found where at least two postings (or all of a notice
+that has fewer) agree on one offset and each mandatory phrase of the notice stands
+in the text.
+
+Null text is empty; a document without words has no labels and a score of 0; a
+text of any length is scanned whole.  Rows are independent, so repeated rows,
+ties, null ids and further columns, whatever their names, pass through (an added
+column replaces one of its name); an empty table gives none.  Only the counts, at
+most one row for each word of the notices, reach the driver.
 """
 
 from __future__ import annotations
@@ -48,7 +51,9 @@ NOTICES = [
 
 _POSTINGS = [(w, t, p) for t, (_, notice, _) in enumerate(NOTICES) for p, w in enumerate(notice.split())]
 VOCABULARY = sorted({w for w, _, _ in _POSTINGS})
-RAREST, MAX_SHARE, MIN_VOTES = 16, 0.1, 2
+PER_NOTICE, PER_PHRASE, MIN_VOTES = 4, 2, 2
+#: Each notice as a whole and each of its phrases, with the number of words of it that are indexed.
+_INDEXED = [(t, part, PER_NOTICE if k == 0 else PER_PHRASE) for t, (_, notice, phrases) in enumerate(NOTICES) for k, part in enumerate([notice, *phrases])]
 
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -64,14 +69,16 @@ def _split(spaced: Column) -> Column:
     return F.when(F.length(spaced) > 1, F.split(F.btrim(spaced), " ")).otherwise(F.array().cast("array<string>"))
 
 
-def document_shares(docs: DataFrame, text: str = "text") -> dict[str, int]:
-    """Number of documents that hold each vocabulary word, for words that are rare enough."""
+def document_counts(docs: DataFrame, text: str = "text") -> dict[str, int]:
+    """Number of documents that hold each vocabulary word."""
     seen = docs.select(F.array_distinct(F.filter(_split(normalised(F.col(text))), lambda w: w.isin(VOCABULARY))).alias("w"))
-    total = F.sum(F.lit(1)).alias("n")
-    rows = seen.select(F.explode(F.array_append(F.col("w"), F.lit(""))).alias("w")).groupBy("w").agg(total).collect()
-    counts = {r["w"]: r["n"] for r in rows}
-    limit = MAX_SHARE * counts.pop("", 0)
-    return {w: n for w, n in counts.items() if n <= limit}
+    return {r["w"]: r["n"] for r in seen.select(F.explode("w").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
+
+
+def rare_postings(counts: dict[str, int]) -> list[tuple[str, int, int]]:
+    """(word, notice, place) of the rarest words of each notice and of its phrases."""
+    chosen = {(w, t) for t, part, most in _INDEXED for w in sorted(set(part.split()), key=lambda w: (counts.get(w, 0), w))[:most]}
+    return [(w, t, p) for w, t, p in _POSTINGS if (w, t) in chosen]
 
 
 def _phrase_places(words: Column, spaced: Column, phrase: str) -> Column:
@@ -82,32 +89,28 @@ def _phrase_places(words: Column, spaced: Column, phrase: str) -> Column:
     return F.when(F.contains(spaced, F.lit(f" {phrase} ")), places).otherwise(F.array().cast("array<int>"))
 
 
-def scan(docs: DataFrame, text: str = "text", shares: dict[str, int] | None = None) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", counts: dict[str, int] | None = None) -> DataFrame:
     """Adds n_words, n_base, first_word, last_word, base_labels, labels and score."""
-    shares = document_shares(docs, text) if shares is None else shares
-    order = {w: k for k, w in enumerate(sorted(shares, key=lambda w: (shares[w], w)))}
-    postings = [(w, t, p) for w, t, p in _POSTINGS if w in order]
+    postings = rare_postings(document_counts(docs, text) if counts is None else counts)
     sizes = [sum(1 for _, t, _ in postings if t == k) for k in range(len(NOTICES))]
+    by_word: dict[str, list[tuple[int, int]]] = {}
+    for w, t, p in postings:
+        by_word.setdefault(w, []).append((t, p))
 
-    out = docs.withColumn("_spaced", normalised(F.col(text)))
+    # the given columns stay together in one, so that no name of theirs meets one of this scan
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), normalised(F.col(text)).alias("_spaced"))
     out = out.withColumn("_words", _split(F.col("_spaced")))
     out = out.withColumns({f"_at_{k}": _phrase_places(F.col("_words"), F.col("_spaced"), p) for k, p in enumerate(BASE)})
     out = out.withColumn("_at", F.concat(*[F.col(f"_at_{k}") for k in range(len(BASE))]))
     base_labels = [F.when(F.size(f"_at_{k}") > 0, F.array(F.lit(label))).otherwise(F.array().cast("array<string>")) for k, label in enumerate(BASE.values())]
 
-    if postings:
-        rows = ", ".join(f"named_struct('k', {order[w]}, 't', {t}, 'p', {p})" for w, t, p in postings)
-        index = F.expr(f"array({rows})")
-        ranks = F.create_map(*[x for w, k in order.items() for x in (F.lit(w), F.lit(k))])
-        hits = F.filter(F.transform("_words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].isin(list(order)))
-        hits = F.when(F.exists("_words", lambda w: w.isin(list(order))), hits).otherwise(F.expr("cast(array() as array<struct<w:string,i:int>>)"))
-        out = out.withColumn("_hits", F.transform(hits, lambda x: F.struct(F.element_at(ranks, x["w"]).alias("k"), x["i"].alias("i"))))
-        best = F.slice(F.sort_array(F.array_distinct(F.transform("_hits", lambda x: x["k"]))), 1, RAREST)
-        out = out.withColumn("_hits", let(best, lambda b: F.filter("_hits", lambda x: F.array_contains(b, x["k"]))))
-        aligned = F.flatten(F.transform("_hits", lambda x: F.transform(F.filter(index, lambda p: p["k"] == x["k"]), lambda p: F.struct(p["t"].alias("t"), (x["i"] - p["p"]).alias("o")))))
-        out = out.withColumn("_pairs", F.sort_array(aligned))
-    else:
-        out = out.withColumn("_pairs", F.expr(f"cast(array() as {_PAIR})"))
+    index = F.expr("map(" + ", ".join(f"'{w}', array(" + ", ".join(f"named_struct('t', {t}, 'p', {p})" for t, p in at) + ")" for w, at in by_word.items()) + ")")
+    known = list(by_word)
+    hits = F.filter(F.transform("_words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].isin(known))
+    hits = F.when(F.exists("_words", lambda w: w.isin(known)), hits).otherwise(F.expr("cast(array() as array<struct<w:string,i:int>>)"))
+    out = out.withColumn("_hits", hits)
+    aligned = F.flatten(F.transform("_hits", lambda x: F.transform(F.element_at(index, x["w"]), lambda p: F.struct(p["t"].alias("t"), (x["i"] - p["p"]).alias("o")))))
+    out = out.withColumn("_pairs", F.sort_array(aligned))
 
     def runs(pairs: Column) -> Column:
         first = F.filter(F.sequence(F.lit(0), F.size(pairs) - 1), lambda i: (i == 0) | (F.get(pairs, i - 1) != F.get(pairs, i)))
@@ -120,8 +123,6 @@ def scan(docs: DataFrame, text: str = "text", shares: dict[str, int] | None = No
 
     found, scores = [], []
     for t, (label, _, phrases) in enumerate(NOTICES):
-        if not sizes[t]:
-            continue
         votes = votes_of(t)
         verified = votes >= min(MIN_VOTES, sizes[t])
         for phrase in phrases:
@@ -131,18 +132,16 @@ def scan(docs: DataFrame, text: str = "text", shares: dict[str, int] | None = No
         scores.append(F.when(verified, votes / F.lit(sizes[t])).otherwise(F.lit(0.0)))
     joined = lambda parts: F.array_join(F.sort_array(F.array_distinct(F.concat(*parts))), ",")
     any_base = F.when(F.size("_at") > 0, F.lit(1.0)).otherwise(F.lit(0.0))
-    out = out.withColumns(
-        {
-            "n_words": F.size("_words").cast("long"),
-            "n_base": F.size("_at").cast("long"),
-            "first_word": F.array_min("_at").cast("long"),
-            "last_word": F.array_max("_at").cast("long"),
-            "base_labels": joined(base_labels),
-            "labels": joined(base_labels + found),
-            "score": F.greatest(any_base, F.lit(0.0), *scores),
-        }
-    )
-    return out.drop(*[c for c in out.columns if c in ("_spaced", "_words", "_at", "_hits", "_pairs", "_runs") or c.startswith("_at_")])
+    added = {
+        "n_words": F.size("_words").cast("long"),
+        "n_base": F.size("_at").cast("long"),
+        "first_word": F.array_min("_at").cast("long"),
+        "last_word": F.array_max("_at").cast("long"),
+        "base_labels": joined(base_labels),
+        "labels": joined(base_labels + found),
+        "score": F.greatest(any_base, F.lit(0.0), *scores),
+    }
+    return out.select(*[F.col(f"_row.`{c}`") for c in docs.columns if c not in added], *[v.alias(k) for k, v in added.items()])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,6 +153,7 @@ def _oracle() -> str:
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     postings = ", ".join(f"({quote(w)}, {t}, {p})" for w, t, p in _POSTINGS)
     notices = ", ".join(f"({t}, {quote(label)}, [{', '.join(quote(f' {x} ') for x in phrases)}])" for t, (label, _, phrases) in enumerate(NOTICES))
+    indexed = ", ".join(f"({k}, {t}, {quote(w)}, {most})" for k, (t, part, most) in enumerate(_INDEXED) for w in part.split())
     base = ", ".join(f"({quote(p)}, {len(p.split())}, {quote(v)})" for p, v in BASE.items())
     return rf"""
 WITH base AS (
@@ -169,11 +169,12 @@ grams AS (SELECT r, i, w AS a, w || ' ' || lead(w, 1) OVER o AS b, w || ' ' || l
 base_hits AS (SELECT r, i, label FROM grams JOIN phrases ON phrase = CASE size WHEN 2 THEN b ELSE c END),
 based AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS labels FROM base_hits GROUP BY r),
 df AS (SELECT w, count(DISTINCT r) AS n FROM placed WHERE w IN (SELECT w FROM postings) GROUP BY w),
-rare AS (SELECT w, n FROM df WHERE n <= {MAX_SHARE} * (SELECT count(*) FROM documents)),
-used AS (SELECT w, t, p FROM postings JOIN rare USING (w)),
+indexed(part, t, w, most) AS (VALUES {indexed}),
+ranked AS (SELECT t, w, row_number() OVER (PARTITION BY part ORDER BY n, w) AS k, most
+           FROM (SELECT DISTINCT part, t, i.w, most, coalesce(df.n, 0) AS n FROM indexed i LEFT JOIN df ON df.w = i.w)),
+used AS (SELECT w, t, p FROM postings WHERE (w, t) IN (SELECT (w, t) FROM ranked WHERE k <= most)),
 sizes AS (SELECT t, count(*) AS size FROM used GROUP BY t),
-own AS (SELECT r, w, row_number() OVER (PARTITION BY r ORDER BY n, w) AS k FROM (SELECT DISTINCT r, w, n FROM placed JOIN rare USING (w))),
-votes AS (SELECT r, t, i - p AS o, count(*) AS n FROM placed JOIN own USING (r, w) JOIN used USING (w) WHERE k <= {RAREST} GROUP BY r, t, i - p),
+votes AS (SELECT r, t, i - p AS o, count(*) AS n FROM placed JOIN used USING (w) GROUP BY r, t, i - p),
 best AS (SELECT r, t, max(n) AS n FROM votes GROUP BY r, t),
 verified AS (
   SELECT b.r, label, CAST(n AS DOUBLE) / size AS score FROM best b JOIN sizes USING (t) JOIN notices USING (t) JOIN split ON split.r = b.r

@@ -79,6 +79,17 @@ def test_license_edge_rows(spark):
     assert licenses.scan(df.where("false")).count() == 0
 
 
+def test_common_licences_and_files_of_many_are_found(spark):
+    rows = [(k, f"file {k}. Released under the MIT License") for k in range(50)]
+    rows += [(100, " and ".join(notice for _, notice, _ in licenses.NOTICES)), (101, "word " * 30_000 + "licensed under the apache license version 2 0")]
+    df = spark.createDataFrame([(d, t, "x", 0) for d, t in rows], "doc_id long, text string, _words string, _at_0 int")
+    found = licenses.scan(df)
+    assert {"_words", "_at_0"} <= set(found.columns)
+    labels = {r.doc_id: r.labels for r in found.collect()}
+    assert all(labels[k] == "mit" for k in range(50)) and labels[101] == "apache-2.0"
+    assert labels[100].split(",") == sorted({label for label, _, _ in licenses.NOTICES} | {"reserved"})
+
+
 def test_substring_edge_rows(spark):
     a = " ".join(f"w{k}" for k in range(30))
     rows = [(5, a), (5, a), (2, a.replace("w3 ", "other ")), (9, f"head {a}  tail"), (None, a), (7, None), (8, ""), (10, "a " * 40), (11, "a " * 14), (12, " ".join(f"w{k}" for k in range(12)))]
