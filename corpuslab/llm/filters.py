@@ -1,7 +1,9 @@
-"""Summaries of fixed size, whatever the input: a count sketch and a Bloom filter over 64-bit hashes.
+"""Summaries of bounded size: a count sketch and a Bloom filter over 64-bit hashes.
 
 Both only save work.  The sketch orders hashes from rare to frequent; any order
 gives the same result.  What passes the filter is counted exactly afterwards.
+The filter has as many bits as its keys need for one false hit in a hundred, up
+to 2**MOST_BITS; with more keys than that it lets more through.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SKETCH_BITS, SKETCH_PARTS, BLOOM_BITS = 20, 64, 25
+SKETCH_BITS, SKETCH_PARTS, LEAST_BITS, MOST_BITS = 20, 64, 16, 28
 
 
 def sketch_rows(counts: np.ndarray) -> pa.RecordBatch:
@@ -51,8 +53,14 @@ def _places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes & mask, (hashes >> np.uint64(32)) & mask
 
 
-def bloom(hashes: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
-    """Filter of the one long column of `hashes`: 2**bits bits, at most 2**(bits - 6) rows to the driver."""
+def bloom_bits(keys: int) -> int:
+    """Bits (as a power of 2) at which fewer than one key in a hundred that was not put in seems to be."""
+    return min(MOST_BITS, max(LEAST_BITS, (18 * keys).bit_length()))
+
+
+def bloom(hashes: DataFrame, bits: int | None = None) -> np.ndarray:
+    """Filter of the one long column of `hashes`, which is read once to count it unless `bits` is given: at most 2**(bits - 6) rows to the driver."""
+    bits = bloom_bits(hashes.count()) if bits is None else bits
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = np.zeros(1 << (bits - 6), np.uint64)

@@ -445,7 +445,7 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int
     context = docs.sparkSession.sparkContext
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     levels = context.broadcast(filters.frequency_levels(shingle_counts(own, size)))
-    shared = context.broadcast(filters.bloom(shared_pivots(own, levels, size, percent)))
+    shared = context.broadcast(filters.bloom(written(shared_pivots(own, levels, size, percent), "shared")))
     found = written(members(own, levels, shared, size, percent), "members")
     sets = found.where("pivots is not null").groupBy("name").agg(F.first("n_shingles").alias("n"), F.first("pivots").alias("pivots"), F.first("counts").alias("counts"))
     links = set_links(own, written(sets, "sets"), size, percent, small, most, pivots)

@@ -17,8 +17,10 @@ Null text has no words; documents with a null id neither lose words nor take
 any; rows that share an id take nothing from one another; an empty table gives
 an empty result; further columns are ignored.
 
-Hashes have 64 bits.  The filters between the passes over the texts have a fixed
-size and only save work: what they let through by chance is counted exactly.
+Hashes have 64 bits.  The filters between the passes over the texts are sized by
+their keys and only save work: what they let through by chance is counted exactly.
+Texts of any length are read in bounded slices; a run that very many documents
+have is one row on one side of its join, whose other side Spark splits.
 """
 
 from __future__ import annotations
@@ -176,7 +178,7 @@ def remove(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: in
     bound(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    halves = context.broadcast(filters.bloom(shared_halves(own, size)))
+    halves = context.broadcast(filters.bloom(written(shared_halves(own, size), "halves")))
     found = written(document_runs(own, halves, size), "runs")
     spans = removed_spans(own, found, halves, size).withColumnRenamed("row", "of")
     empty = hashlib.sha256(b"").hexdigest()
@@ -235,7 +237,7 @@ def passages(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """
     bound(docs.sparkSession)
     own = docs.select("doc_id", "text")
-    halves = docs.sparkSession.sparkContext.broadcast(filters.bloom(shared_halves(own, size)))
+    halves = docs.sparkSession.sparkContext.broadcast(filters.bloom(written(shared_halves(own, size), "halves")))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.parts(batches):
