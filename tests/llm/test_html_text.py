@@ -1,4 +1,5 @@
 import re
+import time
 from html import unescape
 
 from corpuslab.llm import html_text as H
@@ -30,6 +31,39 @@ def test_broken_markup():
     assert text_of("<div>" * 5000 + "deep" + "</div>" * 10) == "deep"
 
 
+def test_what_holds_the_article_stays():
+    assert text_of('<div class="content has-sidebar"><article><p>x</p></article></div>') == "x"
+    assert text_of('<div class="sidebar page"><article class="post comments-open"><p>x</p></article></div>') == "x"
+    assert text_of('<form id="aspnet"><article><p>x</p></article></form>') == "x"
+    assert text_of('<article><div class="related-work"><p>w</p></div><p>a <math><mi>b</mi></math></p><div class="related-posts">r</div></article>') == "w\n\na b"
+    assert text_of('<aside><article>teaser</article></aside><article class="post">x</article>') == "x"
+    assert text_of("<p>a\x00b</p>") == "a\x00b"
+
+
+def test_time_is_linear_in_the_length():
+    began = time.process_time()
+    for page in ['<a href="x ' * 200_000, "<div>" * 200_000, "<b>" * 100_000 + "<p>x</i>" * 100_000, "<i><td>" + "<b>" * 50_000 + "</i>" * 50_000, "<a '\">" * 200_000, "<!-- " * 200_000, "< >" * 200_000]:
+        H.blocks(H.mains(H.parse(page)))
+    assert time.process_time() - began < 40
+
+
+def test_content_in_half_of_a_host_is_template_and_revisions_are_not(spark):
+    def page(title, body, more=""):
+        return f"<body><article><h1>{title}</h1><p>{body}</p>{more}<p>Subscribe for 5 a month.</p></article></body>"
+
+    rows = [(k, f"https://h.example/{k}", page(f"title {k}", f"text {k}")) for k in range(20)]
+    rows += [(100 + k, f"https://h.example/r{k}", page("one title", "the body of an article", f"<div><p>revised {k}</p></div><div><p>kept</p></div>")) for k in range(40)]
+    rows += [(200 + k, f"https://h.example/p{k}", page(f"promoted {k}", f"words {k}", "<section><p>Our offer</p></section>")) for k in range(6)]
+    rows += [(300, "https://small.example/1", page("title", "text"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("template", H.F.lit(1))
+    for limit in (0, 1000):
+        got = {r.page_id: r.text for r in H.extract(df, broadcast_rows=limit).collect()}
+        assert got[3] == "title 3\n\ntext 3"
+        assert got[105] == "one title\n\nthe body of an article\n\nrevised 5\n\nkept"
+        assert got[202] == "promoted 2\n\nwords 2"
+        assert got[300] == "title\n\ntext\n\nSubscribe for 5 a month."
+
+
 def test_template_subtrees_recur(spark):
     def page(k, body):
         return f"<body><div><p>Welcome to our site</p></div><p>{body} {k}</p><div><span>shared {k % 2}</span></div></body>"
