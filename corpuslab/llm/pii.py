@@ -1,16 +1,19 @@
 """Personal data, with deobfuscation that keeps source offsets.
 
-Detectors run on the text as it is (the base spans) and again on what a chain of
-transducers makes of it: look-alike characters become ASCII, zero-width
-characters vanish, spelled digits become digits, "(at)" and "dot" become @ and a
-dot.  Each replacement remembers its source span, so what is found in the
-normalised text maps back to characters of the source.  A found span is added
-only where no base span of its kind overlaps it.
-
-Null text counts as empty and has no spans; empty texts too.  Every detector is
-linear in the length of the text.  Rows are independent: repeated rows, ties and
-null ids pass through, an empty table gives an empty result, and an added column
-replaces one of its name.
+Detectors run on the text as it is (the base spans) and again behind a chain of
+transducers, each of which reads what the one before it wrote: the first makes
+look-alike characters ASCII and drops zero-width ones, the second makes "(at)"
+and "dot" an @ and a dot, the third makes spelled digits digits.  Each keeps the source
+span of every replacement, and the maps are composed, so what is found at the
+end maps back to characters of the source.  What the first transducer shows is added
+unless a base span of its kind holds all of it (an address whose first letter is a
+look-alike is wider than its base span); what the others show, where no span of its
+kind overlaps it.
+
+Null text counts as empty and has no spans; empty texts too.  Every detector and
+transducer is linear in the length of the text, which is read whole.  Rows are
+independent: repeated rows, ties and null ids pass through, an empty table gives
+an empty result, and an added column replaces one of its name.
 """
 
 from __future__ import annotations
@@ -99,20 +102,16 @@ _NUMBER = "(?:" + "|".join(DIGIT_WORDS) + ")"
 _OPEN, _CLOSE = r"\s?[(\[{<]\s?", r"\s?[)\]}>]\s?"
 _DOT_WORD = rf"(?:{_OPEN}(?:dot|\.){_CLOSE}|\sdot\s)"
 #: What may stand between the parts of one number, at most three of them.
-_GAP = rf"[\s,().{_HIDDEN}-]"
-#: What has to be somewhere in a text for any transducer to act.
-_TRIGGER = re.compile(
-    rf"{_ODD}|[(\[{{<]\s?(?:at|@|dot|\.)\s?[)\]}}>]|\sdot\s"
-    rf"|\b{_NUMBER}\b(?:{_GAP}{{1,3}}(?:[0-9]|{_NUMBER}\b)|\.[A-Za-z0-9])|[0-9+]{_GAP}{{0,3}}\b{_NUMBER}\b|[A-Za-z0-9]\.{_NUMBER}\b",
-    re.IGNORECASE,
-)
-_EDIT = re.compile(
-    rf"(?P<odd>{_ODD})"
-    rf"|(?P<at>{_OPEN}(?:at|@){_CLOSE}|(?<=[A-Za-z0-9])\sat\s(?=[A-Za-z0-9-]{{1,64}}{_DOT_WORD}))"
-    rf"|(?P<dot>(?<=[A-Za-z0-9]){_DOT_WORD}(?=[A-Za-z0-9]))"
-    rf"|(?P<spelled>(?:\bplus\s)?\b{_NUMBER}(?:[\s,-]{{1,2}}{_NUMBER})*\b)",
+_GAP = r"[\s,().-]"
+_FOLD = re.compile(_ODD)
+#: What has to be somewhere in a text for the transducers of words to act.
+_WORDS = re.compile(rf"[(\[{{<]\s?(?:at|@|dot|\.)\s?[)\]}}>]|\sdot\s|{_NUMBER}", re.IGNORECASE)
+_SIGN = re.compile(
+    rf"(?P<at>{_OPEN}(?:at|@){_CLOSE}|(?<=[A-Za-z0-9])\sat\s(?=[A-Za-z0-9-]{{1,64}}{_DOT_WORD}))"
+    rf"|(?P<dot>(?<=[A-Za-z0-9]){_DOT_WORD}(?=[A-Za-z0-9]))",
     re.IGNORECASE,
 )
+_RUN = re.compile(rf"(?:\bplus\s)?\b{_NUMBER}(?:[\s,-]{{1,2}}{_NUMBER})*\b", re.IGNORECASE)
 _SPELLED = re.compile(rf"plus\s|{_NUMBER}|[\s,-]+", re.IGNORECASE)
 _LONG = re.compile(rf"(?:plus\s)?(?:{_NUMBER}[\s,-]{{1,2}}){{2}}", re.IGNORECASE)
 _BETWEEN = re.compile(rf"{_GAP}{{0,3}}")
@@ -130,84 +129,106 @@ def _plain(c: str) -> str:
     return plain if plain.isascii() else c
 
 
-def _seen(text: str) -> str:
-    """Text as its neighbours see it: look-alikes of digits, of a plus and of a dot are these."""
-    return text if text.isascii() else "".join(p if not c.isascii() and len(p := _plain(c)) == 1 and p.isascii() else c for c in text)
+def _folds(text: str) -> Iterator[tuple[int, int, str]]:
+    """Look-alike and hidden characters."""
+    return ((m.start(), m.end(), _plain(m[0])) for m in _FOLD.finditer(text))
+
+
+def _signs(text: str) -> Iterator[tuple[int, int, str]]:
+    """Disguised @ and dots."""
+    return ((m.start(), m.end(), "@" if m["at"] else ".") for m in _SIGN.finditer(text))
 
 
 def _is_number(text: str, m: re.Match, before: re.Match | None, after: re.Match | None) -> bool:
-    """Whether spelled digits are three at least, or touch a digit, a plus, a dot or other spelled digits; `before` and `after` are the replacements next to them."""
-    if _LONG.match(m[0]):
-        return True
-    if before and (before["dot"] and before.end() == m.start() or before["spelled"] and _BETWEEN.fullmatch(text, before.end(), m.start())):
-        return True
-    if after and (after["dot"] and after.start() == m.end() or after["spelled"] and _BETWEEN.fullmatch(text, m.end(), after.start())):
-        return True
-    return bool(_BEFORE.search(_seen(text[max(0, m.start() - 4) : m.start()])) or _AFTER.match(_seen(text[m.end() : m.end() + 4])))
-
-
-def _edits(text: str) -> Iterator[tuple[int, int, str]]:
-    """Replacements (start, end, new) in order."""
-    found = list(_EDIT.finditer(text))
+    """Whether spelled digits are three at least, or touch a digit, a plus, a dot or other spelled digits; `before` and `after` are the runs next to them."""
+    return bool(
+        _LONG.match(m[0])
+        or (before and _BETWEEN.fullmatch(text, before.end(), m.start()))
+        or (after and _BETWEEN.fullmatch(text, m.end(), after.start()))
+        or _BEFORE.search(text[max(0, m.start() - 4) : m.start()])
+        or _AFTER.match(text[m.end() : m.end() + 4])
+    )
+
+
+def _digits(text: str) -> Iterator[tuple[int, int, str]]:
+    """Spelled digits of numbers."""
+    found = list(_RUN.finditer(text))
     for m, before, after in zip(found, [None, *found], [*found[1:], None], strict=False):
-        if m["odd"]:
-            yield m.start(), m.end(), _plain(m[0])
-        elif m["at"]:
-            yield m.start(), m.end(), "@"
-        elif m["dot"]:
-            yield m.start(), m.end(), "."
-        elif _is_number(text, m, before, after):
+        if _is_number(text, m, before, after):
             for x in _SPELLED.finditer(text, m.start(), m.end()):
                 word = x[0].lower()
                 yield x.start(), x.end(), "+" if word[0] == "p" else DIGIT_WORDS.get(word, "")
 
 
-def normalise(text: str) -> tuple[str, list[tuple[int, int, int, int]]]:
-    """Normalised text and its edits (start there, end there, start in source, end in source)."""
-    parts, edits, source, there = [], [], 0, 0
-    for start, end, new in _edits(text):
-        parts += (text[source:start], new)
-        there += start - source
-        edits.append((there, there + len(new), start, end))
-        there += len(new)
-        source = end
-    parts.append(text[source:])
-    return "".join(parts), edits
-
-
-def to_source(edits: list[tuple[int, int, int, int]], begins: list[int], start: int, end: int) -> tuple[int, int]:
-    """Source span of the normalised span start:end."""
-
-    def place(p: int, right: bool) -> int:
-        k = bisect_right(begins, p) - 1
-        while k >= 0 and edits[k][0] == edits[k][1]:
+class Transduced:
+    """What a transducer made of a text, with the map back to it; `before` is what that text was made of."""
+
+    def __init__(self, text: str, edits: Iterator[tuple[int, int, str]], before: Transduced | None = None):
+        parts, self.edits, source, there = [], [], 0, 0
+        for start, end, new in edits:
+            parts += (text[source:start], new)
+            there += start - source
+            self.edits.append((there, there + len(new), start, end))
+            there += len(new)
+            source = end
+        parts.append(text[source:])
+        self.text, self.before = "".join(parts), before
+        self.begins = [e[0] for e in self.edits]
+
+    def _place(self, p: int, right: bool) -> int:
+        k = last = bisect_right(self.begins, p) - 1
+        while k >= 0 and self.edits[k][0] == self.edits[k][1]:
             k -= 1
-        if k >= 0 and p < edits[k][1]:
-            return edits[k][3 if right else 2]
-        last = bisect_right(begins, p) - 1
-        moved = edits[last][3] - edits[last][1] if last >= 0 else 0
+        if k >= 0 and p < self.edits[k][1]:
+            return self.edits[k][3 if right else 2]
+        moved = self.edits[last][3] - self.edits[last][1] if last >= 0 else 0
         return p + moved + right
 
-    return place(start, False), place(end - 1, True)
+    def source(self, start: int, end: int) -> tuple[int, int]:
+        """Span of the first text of the chain that the span start:end was made of."""
+        a, b = self._place(start, False), self._place(end - 1, True)
+        return self.before.source(a, b) if self.before else (a, b)
+
+
+def normalise(text: str) -> tuple[Transduced, Transduced]:
+    """The text behind the first transducer, and behind all of them."""
+    folded = Transduced(text, _folds(text))
+    signed = Transduced(folded.text, _signs(folded.text), folded)
+    return folded, Transduced(signed.text, _digits(signed.text), signed)
 
 
 def disguised(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Spans that only the normalised text shows."""
-    if not _TRIGGER.search(text):
+    plain = text.isascii() or not _FOLD.search(text)
+    if plain and not _WORDS.search(text):
         return []
-    plain, edits = normalise(text)
-    begins = [e[0] for e in edits]
-    taken: dict[str, list[tuple[int, int]]] = {k: sorted((a, b) for kind, a, b in base if kind == k) for k in KINDS}
+    folded, last = normalise(text)
+    held: dict[str, list[tuple[int, int]]] = {k: [(a, b) for kind, a, b in base if kind == k] for k in KINDS}
     out = []
-    for kind, a, b in detect(plain):
-        start, end = to_source(edits, begins, a, b)
-        near = taken[kind]
-        k = bisect_right(near, (end, -1)) - 1
-        if k < 0 or near[k][1] <= start:
+    if not plain:
+        for kind, a, b in detect(folded.text):
+            start, end = folded.source(a, b)
+            near = _near(held[kind], start, end)
+            if not any(x <= start and end <= y for x, y in near):
+                out.append((kind, start, end))
+    taken = {k: sorted(held[k] + [(a, b) for kind, a, b in out if kind == k]) for k in KINDS}
+    for kind, a, b in detect(last.text) if last.edits or last.before.edits else ():
+        start, end = last.source(a, b)
+        if not _near(taken[kind], start, end):
             out.append((kind, start, end))
     return out
 
 
+def _near(spans: list[tuple[int, int]], start: int, end: int) -> list[tuple[int, int]]:
+    """Those of some spans in order that overlap start:end."""
+    k = bisect_right(spans, (end, -1))
+    out = []
+    for x in reversed(spans[max(0, k - 3) : k]):
+        if x[1] > start and x[0] < end:
+            out.append(x)
+    return out
+
+
 def _joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2])))
 
@@ -227,11 +248,11 @@ def _masked(texts: pd.Series, spans: pd.Series) -> pd.Series:
     def mask(text: str | None, joined: str) -> str | None:
         if not text or not joined:
             return text
-        out, done = [], 0
-        for kind, start, end in (x.split(":") for x in joined.split(",")):
-            if int(start) >= done:
-                out += (text[done : int(start)], f"[{kind.upper()}]")
-            done = max(done, int(end))
+        out, done, found = [], 0, [(int(a), -int(b), k) for k, a, b in (x.split(":") for x in joined.split(","))]
+        for start, end, kind in sorted(found):  # of spans that begin alike the longest
+            if start >= done:
+                out += (text[done:start], f"[{kind.upper()}]")
+            done = max(done, -end)
         return "".join(out) + text[done:]
 
     return pd.Series([mask(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
@@ -257,9 +278,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; its personal data are replaced."""
-    found = find(docs.select(F.struct(*docs.columns).alias("_row"), "text"))
+    """Every document stays; its personal data are replaced.
+
+    Null texts stay null; n_chars, where there is such a column, is the length of
+    the new text; rows of null or repeated ids and further columns, whatever their
+    names, pass through; an empty table stays empty.
+    """
+    found = find(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text"))
     clean = found.withColumn("_clean", masked(F.col("text"), F.col("spans")))
-    kind = docs.schema["n_chars"].dataType
-    cells = {"text": F.col("_clean"), "n_chars": F.length("_clean").cast(kind)}
+    cells = {"text": F.col("_clean")}
+    if "n_chars" in docs.columns:
+        cells["n_chars"] = F.length("_clean").cast(docs.schema["n_chars"].dataType)
     return clean.select(*(cells.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns))

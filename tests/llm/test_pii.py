@@ -37,15 +37,13 @@ def test_base_matches_the_plain_patterns(text):
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="a0+.-@ (atdo)one,twxхＡ​５", max_size=40))
 def test_normalised_characters_map_back_in_order(text):
-    plain, edits = pii.normalise(text)
-    begins = [e[0] for e in edits]
-    spans = [pii.to_source(edits, begins, i, i + 1) for i in range(len(plain))]
-    assert all(0 <= a < b <= len(text) for a, b in spans)
-    assert spans == sorted(spans)
-    touched = {p for _, _, s, e in edits for p in range(s, e)}
-    for i, (a, b) in enumerate(spans):
-        if a not in touched:
-            assert text[a:b] == plain[i]
+    for made in pii.normalise(text):
+        spans = [made.source(i, i + 1) for i in range(len(made.text))]
+        assert all(0 <= a < b <= len(text) for a, b in spans)
+        assert spans == sorted(spans)
+        for i, (a, b) in enumerate(spans):
+            if b - a == 1 and text[a].isascii():
+                assert text[a] == made.text[i] or not made.text[i].isalpha()
 
 
 def spans(text):
@@ -58,7 +56,10 @@ def test_disguises():
     assert spans("look at example.com please") == []
     assert spans("call plus one four one five five five five two six seven one ok") == [("phone", "plus one four one five five five five two six seven one")]
     assert spans("host １９２.168.0.1 x") == [("ip", "１９２.168.0.1")]
-    assert spans("jоe@example.org") == []  # the base already has the part after the look-alike
+    assert pii.detect("jоe@example.org") == [("email", 2, 15)]
+    assert spans("jоe@example.org") == [("email", "jоe@example.org")]  # wider than the base span, which stays
+    assert spans("jane (аt) example (dоt) com") == [("email", "jane (аt) example (dоt) com")]
+    assert spans("ｏｎｅ nine twо dоt one six eight dot оne dot one") == [("ip", "ｏｎｅ nine twо dоt one six eight dot оne dot one")]
     assert spans("a​4111 1111 1111 1111") == []
 
 
@@ -80,6 +81,15 @@ def test_short_and_mixed_spelled_digits():
         assert spans(prose) == [], prose
 
 
+def test_stage_masks_the_widest_span_and_needs_no_lengths(spark):
+    rows = [(1, "mail jоe@example.org or joe@example.org now", 5), (None, None, 5), (2, "", None), (2, "", None), (3, "word " * 50_000 + "1.2.3.4", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row int")
+    got = sorted(((r.doc_id or 0), r.text, r._row or 0) for r in pii.stage(spark, df, "").collect() if r.text is not None)
+    assert got == [(1, "mail [EMAIL] or [EMAIL] now", 5), (2, "", 0), (2, "", 0), (3, "word " * 50_000 + "[IP]", 1)]
+    assert pii.stage(spark, df, "").columns == df.columns and pii.stage(spark, df, "").count() == 5
+    assert pii.stage(spark, df.where("false"), "").count() == 0
+
+
 def test_edge_rows(spark):
     rows = [(1, None, "x"), (2, "", "x"), (3, "a@b.co", "x"), (3, "a@b.co", "x"), (None, "1.2.3.4", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans string")
