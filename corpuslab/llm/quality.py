@@ -1,14 +1,16 @@
 """Line-first quality rules, in DataFrame functions only.
 
 Every line of a text is judged by itself (navigation separators, symbol runs,
-shouting, one word over and over, boilerplate phrases).  Failed lines are
-removed; a document that loses more than `max_lost` of the characters of its
-lines, or fails the base counts, is rejected.
-
-Null text counts as no words and is rejected; rows are independent, so repeated
-rows, ties and null ids pass through unchanged, an empty table gives an empty
-result, and further columns are kept unless `judge` adds one of that name (then
-the added one replaces it).  Nothing is shuffled.
+shouting, one word over and over, short lines that do not end as sentences do,
+boilerplate phrases in proportion to the words).  Failed lines are removed; a
+document that loses more than `max_lost` of the characters of its lines, or
+fails the base counts, is rejected.
+
+Null text counts as no words and is rejected; texts and lines of any length are
+judged whole; rows are independent, so repeated rows, ties and null ids pass through
+unchanged, an empty table gives an empty result, and further columns, whatever
+their names, are kept unless `judge` adds one of that name (then the added one
+replaces it).  Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -31,7 +33,9 @@ BOILERPLATE = (
     r"subscribe to our|sign up for|click here|read more|enable javascript|share this|"
     r"follow us on|powered by|lorem ipsum|skip to content"
 )
-BOILERPLATE_WORDS = 20
+ENDED = r"""[.!?…:;,"'”’»)\]}。！？][\x20\x09-\x0D]*\z"""
+#: A boilerplate phrase fails a line for each so many words of it; a line that does not end as a sentence has so many words at least.
+BOILERPLATE_WORDS, SHORT_WORDS = 20, 8
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -77,7 +81,8 @@ def line_fails(line: Column) -> Column:
             | ((symbols >= 2) & (symbols * 2 >= n))
             | ((shouts >= 2) & (shouts * 3 >= n))
             | ((n >= 10) & (F.size(F.array_distinct(words)) * 10 < n * 3))
-            | ((n <= BOILERPLATE_WORDS) & F.rlike(line, F.lit(BOILERPLATE)))
+            | ((n < SHORT_WORDS) & ~F.rlike(line, F.lit(ENDED)))
+            | F.when(F.rlike(line, F.lit(BOILERPLATE)), F.regexp_count(line, F.lit(BOILERPLATE)) * BOILERPLATE_WORDS >= n).otherwise(False)
         )
 
     return let(word_array(line), judge)
@@ -85,7 +90,8 @@ def line_fails(line: Column) -> Column:
 
 def judge(docs: DataFrame, text: str = "text", max_lost: float = 0.5, min_words: int = 10, max_repeat_percent: int = 20) -> DataFrame:
     """Adds the base counts, base_failed, the line verdicts, clean_text and kept."""
-    out = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+    # the given columns stay together in one, so that no name of theirs meets one of these rules
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     out = out.withColumn("_words", word_array(F.col("_text")))
     out = out.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0))
     out = out.withColumn("_judged", F.transform("_lines", lambda x: F.struct(x.alias("line"), line_fails(x).alias("failed"))))
@@ -108,7 +114,8 @@ def judge(docs: DataFrame, text: str = "text", max_lost: float = 0.5, min_words:
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent)
     out = out.withColumn("base_failed", failed)
     out = out.withColumn("kept", ~F.col("base_failed") & (F.col("lost_chars") <= F.col("line_chars") * F.lit(max_lost)))
-    return out.drop("_text", "_words", "_lines", "_judged")
+    added = [c for c in out.columns if not c.startswith("_")]
+    return out.select(*[F.col(f"_row.`{c}`") for c in docs.columns if c not in added], *added)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,19 +124,25 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; the others keep the lines that passed.
+    """Rejected documents (null and empty texts are) go; the others keep the lines that passed.
+
+    n_chars, where there is such a column, is the length of the new text; rows of
+    null or repeated ids and further columns, whatever their names, pass through; an
+    empty table stays empty.
 
     A filter on `kept` would be pushed below the columns it is computed from, and
     compute them again inside their own lambdas; exploding the row of a kept
     document computes each column once.
     """
-    judged = judge(docs.select(F.struct(*docs.columns).alias("_row"), "text"))
-    cells = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast(docs.schema["n_chars"].dataType)}
-    row = F.struct(*(cells.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns))
+    judged = judge(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("given"), "text"))
+    cells = {"text": F.col("clean_text")}
+    if "n_chars" in docs.columns:
+        cells["n_chars"] = F.length("clean_text").cast(docs.schema["n_chars"].dataType)
+    row = F.struct(*(cells.get(c, F.col(f"given.`{c}`")).alias(c) for c in docs.columns))
     return judged.select(F.explode(F.when(F.col("kept"), F.array(row))).alias("x")).select("x.*")
 
 
-_SQL_BOILERPLATE = BOILERPLATE.replace("'", "''")
+_SQL_BOILERPLATE, _SQL_ENDED = BOILERPLATE.replace("'", "''"), ENDED.replace("'", "''")
 
 #: One row per document with the verdict of every line folded in.
 SQL_JUDGED = rf"""
@@ -156,7 +169,8 @@ judged AS (
   SELECT r, k, line,
          (sep >= 2 AND sep * 4 >= len(w)) OR (sym >= 2 AND sym * 2 >= len(w)) OR (sho >= 2 AND sho * 3 >= len(w))
          OR (len(w) >= 10 AND len(list_distinct(w)) * 10 < len(w) * 3)
-         OR (len(w) <= {BOILERPLATE_WORDS} AND regexp_matches(line, '{_SQL_BOILERPLATE}')) AS failed
+         OR (len(w) < {SHORT_WORDS} AND NOT regexp_matches(line, '{_SQL_ENDED.replace("}", "}}")}'))
+         OR (regexp_matches(line, '{_SQL_BOILERPLATE}') AND len(regexp_extract_all(line, '{_SQL_BOILERPLATE}')) * {BOILERPLATE_WORDS} >= len(w)) AS failed
   FROM counted),
 lost AS (
   SELECT r, count(*) AS n_lines, count(*) FILTER (failed) AS n_failed_lines, sum(length(line)) AS line_chars,

@@ -54,6 +54,17 @@ def test_quality_edge_rows(spark):
     assert quality.judge(df.where("false")).count() == 0
 
 
+def test_quality_lines_and_clashing_names(spark):
+    good = "This is a line of prose that has enough words in it to pass the rules."
+    texts = [f"{good}\nHome page\n{good}", f"{good}\nA heading:", f"{good} Read more " + "about this and that " * 10, "click here " * 3 + good.replace("prose", "privacy policy"), "w " * 3 + good * 4000]
+    df = spark.createDataFrame([(k, t, "a", "b", "c", 7) for k, t in enumerate(texts)], "doc_id long, text string, _text string, _words string, _row string, n_words int")
+    got = {r.doc_id: (r.n_lines, r.n_failed_lines, r._text + r._words + r._row) for r in quality.judge(df).collect()}
+    assert got == {0: (3, 1, "abc"), 1: (2, 0, "abc"), 2: (1, 0, "abc"), 3: (1, 1, "abc"), 4: (1, 1, "abc")}
+    staged = quality.stage(spark, df, "")
+    assert staged.columns == df.columns and {(r.doc_id, r.n_words, r._row) for r in staged.collect()} == {(1, 7, "c")}
+    assert quality.stage(spark, df.where("false"), "").count() == 0
+
+
 def test_chat_edge_rows(spark):
     rows = [(1, 0, "system", "s", 0), (1, 1, "ann", "hi", 0), (1, 2, "bob", "yo", 0), (1, 2, "bob", "yo", 0), (1, None, None, None, 0), (None, 0, "ann", "x", 0), (2, 0, "system", "only", 0)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, position int")
