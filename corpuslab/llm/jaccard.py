@@ -466,15 +466,21 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the rows of each component the one with the smallest id stays, and of several texts with that id one; rows without id or words all stay."""
+    """Of the rows of each component the one with the smallest id stays, and of several texts with that id one.
+
+    Rows without id or words (null and empty texts) all stay, repeated rows of an id
+    with words are one; further columns, whatever their names, pass through; an
+    empty table stays empty.
+    """
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text")
     # rows that share an id are told apart by their text
     key = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64("doc_id", "text").alias("row")))
-    keyed = docs.withColumn("_key", key)
+    keyed = given.withColumn("_key", key)
     first = join(keyed, doc_id="_key").where("component_id = doc_id").select(F.col("doc_id").alias("_key"), (F.col("n_shingles") > 0).alias("_words")).distinct()
     kept = keyed.join(first, "_key")
     if _repeats(docs):
         kept = kept.where("not _words").unionByName(kept.where("_words").dropDuplicates(["_key"]))
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    return kept.select("_row.*").unionByName(docs.where("doc_id is null"))
 
 
 def _repeats(docs: DataFrame) -> bool:
