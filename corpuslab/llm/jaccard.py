@@ -18,7 +18,8 @@ merged region beyond `most` shingles is parted in Spark around `pivots` of its
 own sets: each set falls to the Voronoi cell of the nearest pivot (or to the rest,
 beyond `_RADIUS` of all), and goes as a guest into the windows that the triangle
 inequality leaves in earlier cells: |d(x, q) - d(x, p)| within twice the threshold.
-Cells recur as regions of their own.  A region that fits a task is joined there in
+In a cell only the shingles in which a set differs from the pivot are sent and counted,
+so thousands of near copies fit a task.  Cells that do not recur as regions of their own.  A region that fits a task is joined there in
 the same way: all members are measured against a pivot, those within the threshold
 fall to its cell and are linked, the others look for a further pivot; sets that are
 no pivots are only measured against each other where a window is left, and not
@@ -251,22 +252,33 @@ def _pairs_of_small(regions: DataFrame, percent: int) -> DataFrame:
 
 
 class Region:
-    """The sets of one region in a task, joined around pivots."""
+    """The sets of one region in a task, joined around pivots.
 
-    def __init__(self, sets: list[np.ndarray], percent: int):
-        self.sizes = np.array([len(s) for s in sets], np.int64)
+    A set is given by its elements, or, where all of a region are near one base
+    set, by those in which it differs from the base: with `lacking` elements of the base's
+    `base` missing, two sets share base - lacking - lacking' elements and the differences
+    they have in common.
+    """
+
+    def __init__(self, elements: list[np.ndarray], percent: int, sizes: np.ndarray | None = None, lacking: np.ndarray | None = None, base: int = 0):
+        lengths = np.array([len(x) for x in elements], np.int64)
+        self.sizes = lengths if sizes is None else sizes
+        self.lacking, self.base = np.zeros(len(lengths), np.int64) if lacking is None else lacking, base
         self.percent, self.threshold = percent, 1 - percent / 100
         self.reach = self.threshold + 1e-9
-        ids = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
-        holders = np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)
+        ids = np.unique(np.concatenate(elements), return_inverse=True)[1].astype(np.int32)
+        holders = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
         order = np.argsort(ids, kind="stable")
         self.holders = holders[order]
         self.edges = np.append(0, np.cumsum(np.bincount(ids)))
-        self.ids = np.split(ids, np.cumsum(self.sizes)[:-1])
+        self.ids = np.split(ids, np.cumsum(lengths)[:-1])
 
     def common(self, k: int) -> np.ndarray:
         """Sizes of the intersections of set k with all sets."""
-        return np.bincount(np.concatenate([self.holders[self.edges[i] : self.edges[i + 1]] for i in self.ids[k]]), minlength=len(self.sizes))
+        rest = self.base - self.lacking[k] - self.lacking
+        if not len(self.ids[k]):
+            return rest
+        return rest + np.bincount(np.concatenate([self.holders[self.edges[i] : self.edges[i + 1]] for i in self.ids[k]]), minlength=len(self.sizes))
 
     def linked(self, k: int, common: np.ndarray) -> np.ndarray:
         return common * 100 >= (self.sizes[k] + self.sizes - common) * self.percent
@@ -325,13 +337,15 @@ class Region:
 
 
 def _cells(sets: DataFrame, weights: DataFrame, depth: int, percent: int, most: int, pivots: int) -> DataFrame:
-    """(region, parent_w, name, n, mask): the members of large regions in the cells of pivots chosen among them.
+    """(region, parent_w, name, n, mask, base, lacking, elements): the members of large regions in the cells of pivots chosen among them.
 
-    `sets` has (region, name, n, mask, shingles).  A member within `_RADIUS` of a pivot falls to
-    the nearest one's cell, the others to a last cell of their own.  It goes into
-    an earlier cell as well, marked as a guest, where the triangle inequality
-    leaves a window: a set that links with it may be nearest to that pivot.
+    `sets` has (region, name, n, mask, shingles).  Of the sets chosen for pivots those
+    count that lie beyond `_RADIUS` of the ones before.  A member within `_RADIUS` of
+    a pivot falls to the nearest one's cell, the others to a last cell of their own.
+    It goes into an earlier cell as well, marked as a guest, where the triangle
+    inequality leaves a window: a set that links with it may be nearest to that pivot.
     A pair is so together in one cell where it is not two guests, and in one only.
+    In a cell a set is what differs from the pivot, the base of its cell; in the last one it is itself.
     """
     threshold = 1 - percent / 100
     keyed = sets.join(weights, "region")
@@ -342,81 +356,93 @@ def _cells(sets: DataFrame, weights: DataFrame, depth: int, percent: int, most:
     salted = keyed.select("region", "w", F.pmod(F.xxhash64("name", F.lit(7)), chunks).cast("int").alias("salt"), F.lit(None).cast("int").alias("pivot"), "name", "n", "mask", "shingles")
     sent = keyed.join(chosen, ["region", "name"]).select("region", "w", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("salt"), "pivot", "name", "n", "mask", "shingles")
 
+    def measured(centre: np.ndarray, shingles: np.ndarray, owner: np.ndarray, n: np.ndarray) -> np.ndarray:
+        place = np.minimum(np.searchsorted(centre, shingles), len(centre) - 1)
+        common = np.bincount(owner[centre[place] == shingles], minlength=len(n))
+        return 1 - common / (n + len(centre) - common)
+
     def assign(table: pa.Table) -> pa.Table:
         is_pivot = np.asarray(table["pivot"].is_valid())
-        ours = table.filter(pa.array(is_pivot)).sort_by("pivot")
-        centres = [np.asarray(x.values).view(np.uint64) for x in ours["shingles"]]
+        centres: list[np.ndarray] = []
+        for x in table.filter(pa.array(is_pivot)).sort_by("pivot")["shingles"]:
+            s = np.asarray(x.values).view(np.uint64)
+            if all(measured(c, s, np.zeros(len(s), np.int64), np.array([len(s)]))[0] > _RADIUS for c in centres):
+                centres.append(s)
         table = table.filter(pa.array(~is_pivot))
-        n = table["n"].to_numpy()
-        shingles = np.concatenate([np.asarray(x.values).view(np.uint64) for x in table["shingles"]] or [np.zeros(0, np.uint64)])
-        owner = np.repeat(np.arange(len(n)), n)
-        distance = np.ones((len(centres), len(n)))
-        for k, c in enumerate(centres):
-            place = np.minimum(np.searchsorted(c, shingles), len(c) - 1)
-            common = np.bincount(owner[c[place] == shingles], minlength=len(n))
-            distance[k] = 1 - common / (n + len(c) - common)
+        n, last = table["n"].to_numpy(), len(centres)
+        sets = [np.asarray(x.values).view(np.uint64) for x in table["shingles"]]
+        shingles, owner = np.concatenate(sets or [np.zeros(0, np.uint64)]), np.repeat(np.arange(len(n)), n)
+        distance = np.array([measured(c, shingles, owner, n) for c in centres])
         nearest = distance.argmin(0)
         least = distance[nearest, np.arange(len(n))]
-        home = np.where(least <= _RADIUS, nearest, len(centres))
+        home = np.where(least <= _RADIUS, nearest, last)
         at, cell, guest = [np.arange(len(n))], [home], [np.zeros(len(n), bool)]
-        for k in range(len(centres)):
-            near = (k < home) & (distance[k] <= _RADIUS + threshold + 1e-9) & ((home == len(centres)) | (distance[k] - least <= 2 * threshold + 1e-9))
+        for k in range(last):
+            near = (k < home) & (distance[k] <= _RADIUS + threshold + 1e-9) & ((home == last) | (distance[k] - least <= 2 * threshold + 1e-9))
             at.append(np.flatnonzero(near))
             cell.append(np.full(len(at[-1]), k))
             guest.append(np.ones(len(at[-1]), bool))
         at, cell, guest = np.concatenate(at), np.concatenate(cell), np.concatenate(guest)
         of = table.take(pa.array(at))
-        mask = of["mask"].to_numpy() | (guest.astype(np.int64) << depth)
+        bases = np.array([*map(len, centres), 0])[cell]
+        elements = [np.setxor1d(sets[k], centres[c], assume_unique=True) if c < last else sets[k] for k, c in zip(at.tolist(), cell.tolist(), strict=True)]
+        lacking = np.where(cell < last, (np.array([len(x) for x in elements], np.int64) + bases - n[at]) // 2, 0)
         region = pa.array([f"{r}/{c}" for r, c in zip(of["region"].to_pylist(), cell.tolist(), strict=True)], pa.string())
-        return pa.table({"region": region, "parent_w": of["w"], "name": of["name"], "n": of["n"], "mask": pa.array(mask)})
+        columns = {"region": region, "parent_w": of["w"], "name": of["name"], "n": of["n"], "mask": pa.array(of["mask"].to_numpy() | (guest.astype(np.int64) << depth))}
+        return pa.table(columns | {"base": pa.array(bases.astype(np.int64)), "lacking": pa.array(lacking), "elements": pa.array([x.view(np.int64) for x in elements], pa.list_(pa.int64()))})
 
-    return salted.unionByName(sent).groupBy("region", "salt").applyInArrow(assign, "region string, parent_w long, name binary, n long, mask long")
+    return salted.unionByName(sent).groupBy("region", "salt").applyInArrow(assign, "region string, parent_w long, name binary, n long, mask long, base long, lacking long, elements array<long>")
 
 
 def _recursed(shingles: DataFrame, large: DataFrame, percent: int, most: int, pivots: int) -> DataFrame:
-    """(region, w, name, n, mask): large regions parted into cells until each fits a task or pivots do not part it any more."""
+    """(region, w, name, n, mask, base, lacking, elements): large regions parted into cells until each fits a task or pivots do not part it any more; w is the number of elements."""
     settled, depth = None, 0
     while True:
         weights = large.groupBy("region").agg(F.sum("n").alias("w"))
-        cells = _cells(large.join(shingles, "name"), weights, depth, percent, most, pivots)
-        cells = written(cells, "cells")
+        cells = written(_cells(large.join(shingles, "name"), weights, depth, percent, most, pivots), "cells")
         guest = F.col("mask").bitwiseAND(F.lit(1 << depth))
-        sizes = cells.groupBy("region").agg(F.sum("n").alias("w"), F.min("parent_w").alias("parent_w"), F.count("*").alias("k"), F.min(guest).alias("guests"))
+        sizes = cells.groupBy("region").agg(
+            F.sum(F.size("elements")).alias("w"), F.sum("n").alias("whole"), F.min("parent_w").alias("parent_w"), F.count("*").alias("k"), F.min(guest).alias("guests")
+        )
         depth += 1
         # no pair counts in a cell of one member or of guests alone
         sizes = sizes.where("k > 1 and guests = 0")
-        sizes = sizes.withColumn("ends", (F.col("w") <= most) | (F.col("w") > F.col("parent_w") * _SHRINKS) | F.lit(depth == _DEEPEST))
-        judged = written(cells.drop("parent_w").join(sizes.select("region", "w", "ends"), "region"), "judged")
-        done = judged.where("ends").drop("ends")
+        ends = (F.col("w") <= most) | (F.col("whole") > F.col("parent_w") * _SHRINKS) | F.lit(depth == _DEEPEST)
+        sizes = written(sizes.select("region", "w", ends.alias("ends")), "sizes")
+        done = cells.drop("parent_w").join(sizes.where("ends").drop("ends"), "region")
         settled = done if settled is None else settled.unionByName(done)
-        large = judged.where("not ends").select("region", "name", "n", "mask")
-        if not large.head(1):
+        if not sizes.where("not ends").head(1):
             return settled
+        large = cells.join(sizes.where("not ends"), "region", "left_semi").select("region", "name", "n", "mask")
 
 
 def _joined_regions(docs: DataFrame, merged: DataFrame, size: int, percent: int, most: int, pivots: int) -> DataFrame:
     """(a, b, n) for merged regions (region, name, n): links, and for each set and region (set, null, number of its links that count there)."""
     weights = written(merged.groupBy("region").agg(F.sum("n").alias("w")), "weights")
-    whole = merged.join(weights, "region").select(F.hex("region").alias("region"), "w", "name", "n", F.lit(0).cast("long").alias("mask"))
+    members = merged.join(weights, "region").select(F.hex("region").alias("region"), "w", "name", "n", F.lit(0).cast("long").alias("mask"))
     shingles = shingles_of(docs, merged, size)
+    parted = None
     if weights.where(F.col("w") > most).head(1):
         shingles = written(shingles.groupBy("name").agg(F.first("shingles").alias("shingles")), "shingles")
-        large = whole.where(F.col("w") > most).select("region", "name", "n", "mask")
-        whole = whole.where(F.col("w") <= most).unionByName(_recursed(shingles, large, percent, most, pivots))
+        parted = _recursed(shingles, members.where(F.col("w") > most).drop("w"), percent, most, pivots)
+        members = members.where(F.col("w") <= most)
+    none = F.lit(0).cast("long")
+    sent = shingles.join(members, "name").select("region", "w", "name", "n", "mask", none.alias("base"), none.alias("lacking"), F.col("shingles").alias("elements"))
+    sent = sent if parted is None else sent.unionByName(parted)
     # what pivots did not part: sets at similar distances from each other, of which every two blocks meet
     k = F.when(F.col("w") <= most, 1).otherwise(F.ceil(F.col("w") / most) * 2).cast("int")
     own = F.pmod(F.xxhash64("name"), k).cast("int")  # pairs of the same number count in the block of that number alone
     blocks = F.when(k == 1, F.array(F.lit("0"))).otherwise(F.transform(F.sequence(F.lit(0), k - 1), lambda j: F.concat_ws("-", F.least(own, j), F.greatest(own, j))))
-    dealt = whole.select("region", F.explode(blocks).alias("block"), own.alias("own"), "name", "mask")
-    sent = shingles.join(dealt, "name").select("region", "block", "own", "name", "mask", "shingles")
+    sent = sent.select("region", F.explode(blocks).alias("block"), own.alias("own"), "name", "n", "mask", "base", "lacking", "elements")
 
     def links(table: pa.Table) -> pa.Table:
         rows = {n: k for k, n in enumerate(table["name"].to_pylist())}  # a set may have come from several tasks
         table = table.take(pa.array(sorted(rows.values())))
         names, own, mask = table["name"].to_pylist(), table["own"].to_numpy(), table["mask"].to_numpy()
-        sets = [np.asarray(x.values).view(np.uint64) for x in table["shingles"]]
+        elements = [np.asarray(x.values).view(np.uint64) for x in table["elements"]]
         across = len(set(table["block"][0].as_py().split("-"))) > 1
-        found, number = Region(sets, percent).links(own, across, mask)
+        region = Region(elements, percent, table["n"].to_numpy(), table["lacking"].to_numpy(), table["base"][0].as_py())
+        found, number = region.links(own, across, mask)
         ordered = [sorted((names[a], names[b])) for a, b in found]
         some = np.flatnonzero(number).tolist()
         a = [x for x, _ in ordered] + [names[k] for k in some]
