@@ -1,9 +1,9 @@
 """Source-code analysis as relations: functions, calls, imports, variables, types and issues of files.
 
-Files are rows (path, lang, source).  Python is read with its own grammar by a
-small helper; C, JavaScript and other languages by patterns on lines, as column
-functions.  Both give one relation of symbols, computed once; every analysis is
-a join, aggregate or window over it.
+Files are rows (path, lang, source).  Small helpers read one file at a time, Python
+with its own grammar, languages with braces token by token, in one pass over the
+files; both give one relation of symbols, and every analysis is a join,
+aggregate or window over it.
 """
 
 from __future__ import annotations
@@ -12,10 +12,12 @@ import ast
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslab.functions import text as T
+from corpuslab.functions.tables import kept
+from corpuslab.operators import braces
 
 SYMBOLS = (
     "path string, lang string, kind string, name string, line long, lines long, cyclomatic long, max_nesting long, "
@@ -23,140 +25,115 @@ SYMBOLS = (
 )
 NAMES = [c.split()[0] for c in SYMBOLS.split(", ")]
 
-# What a definition, call, import, type or branch looks like on a line.
-FUNCTION = {
-    "c": r"^(?:(?:static|inline|extern|virtual|const|unsigned|signed)\s+)*\w+(?:::\w+)?[\s*]+(\w+)\s*\([^;{]*\)\s*(?:const\s*)?\{",
-    "js": r"^\s*(?:export\s+)?(?:(?:async\s+)?function\s+(\w+)\s*\(|(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?(?:function|\([^)]*\)\s*=>|\w+\s*=>)|(?:async\s+)?(\w+)\s*\([^)]*\)\s*\{)",
-    "other": r"^\s*(?:pub\s+|public\s+|private\s+|protected\s+|static\s+|async\s+)*(?:(?:func|fn|def|function)\s+(?:\(\w+\s+\*?\w+\)\s+)?(\w+)|(?:void|int|string)\s+(\w+)\s*\()",
-}
-IMPORT = {
-    "c": r"^\s*#include\s+[<\"]([^>\"]+)[>\"]",
-    "js": r"(?:^\s*import\s+.*?\s+from\s+|require\s*\(\s*)['\"]([^'\"]+)['\"]",
-    "other": r"^(?:use|import|from)\s+['\"]?([\w.:/]+)",
-}
-VARIABLE = {
-    "c": r"^(?:(?:static|extern|volatile|const|unsigned|signed)\s+)*\w+\s+(\w+)\s*[=;]",
-    "js": r"(?:const|let|var)\s+(\w+)\s*[=;]",
-    "other": r"^(?:(?:var|let|const)\s+(\w+)\s*[=;]|(\w+)\s*:=)",
-}
-TYPE = {"c": r"(?:struct|enum|union|class)\s+(\w+)\s*\{", "js": r"\b(?:class|interface)\s+(\w+)", "other": r"^(?:class|struct|enum|interface)\s+(\w+)"}
-BRANCH = r"\b(?:if|while|for|switch|case|catch)\b|&&|\|\|"
-CALL = r"\b(\w+)\s*\("
-KEYWORDS = (
-    "if else while for do switch case return break continue goto sizeof typedef struct union enum class new delete main void int char long short float double bool "
-    "typeof instanceof throw catch finally extends super import export from const let var function def func fn async await yield console require module"
-).split()
-DANGEROUS = {"c": r"\b(gets|strcpy|strcat|sprintf|scanf)\s*\(", "js": r"\b(eval)\s*\("}
-TODO = r"(?i)\b(TODO|FIXME|HACK|XXX)\b.*"
-WINDOW_LINES = 40
-
+LANGUAGES = ("py", "c", "js", "other")
 
+# The nodes that add a path through a function, that nest, and that are blocks of which kind.
+_PATHS = (ast.If, ast.While, ast.For, ast.AsyncFor, ast.ExceptHandler, ast.With, ast.AsyncWith, ast.Assert, ast.comprehension)
+_NESTS = (ast.If, ast.While, ast.For, ast.AsyncFor, ast.With, ast.AsyncWith, ast.Try)
 _BLOCKS = {ast.If: "branch", ast.Try: "branch", ast.For: "loop", ast.AsyncFor: "loop", ast.While: "loop", ast.Match: "switch", ast.Return: "exit", ast.Raise: "exit"}
 
 
-def _blocks(node: ast.AST, depth: int) -> Iterator[dict]:
-    """Branches, loops and exits below a node, outer ones first."""
-    for child in ast.iter_child_nodes(node):
-        kind = _BLOCKS.get(type(child))
-        if kind:
-            yield {"how": kind, "line": child.lineno, "max_nesting": depth}
-        yield from _blocks(child, depth + bool(kind))
-
-
-def _visit(path: str, source: str) -> Iterator[dict]:
+class _PythonFile(ast.NodeVisitor):
+    """Collects symbols in one walk; what is inside a function counts for all functions around it."""
+
+    def __init__(self):
+        self.rows: list[dict] = []
+        self.functions: list[dict] = []
+        self.types: list[dict] = []
+
+    def add(self, kind: str, name: str, node: ast.AST, **more) -> dict:
+        self.rows.append({"kind": kind, "name": name, "line": node.lineno, **more})
+        return self.rows[-1]
+
+    def visit(self, node: ast.AST) -> None:
+        block = _BLOCKS.get(type(node))
+        for f in self.functions:
+            f["cyclomatic"] += isinstance(node, _PATHS) + (len(node.values) - 1 if isinstance(node, ast.BoolOp) else 0)
+            f["depth"] += isinstance(node, _NESTS)
+            f["max_nesting"] = max(f["max_nesting"], f["depth"])
+            if block:
+                f["block"] += 1
+                self.add("block", f["name"], node, how=block, max_nesting=f["block"])
+        super().visit(node)
+        for f in self.functions:
+            f["depth"] -= isinstance(node, _NESTS)
+            f["block"] -= bool(block)
+
+    def function(self, node) -> None:
+        row = self.add("function", node.name, node, lines=node.end_lineno - node.lineno + 1, cyclomatic=1, max_nesting=0, calls=set(), depth=0, block=0)
+        for t in self.types:
+            t["members"].append(node.name)
+        self.functions.append(row)
+        self.generic_visit(node)
+        self.functions.pop()
+        row["calls"] = sorted(row["calls"])
+
+    visit_FunctionDef = visit_AsyncFunctionDef = function
+
+    def visit_ClassDef(self, node: ast.ClassDef) -> None:
+        bases = [x for x in map(_last_name, node.bases) if x]
+        self.types.append(self.add("type", node.name, node, how="class", members=[], bases=bases))
+        self.generic_visit(node)
+        self.types.pop()
+
+    def visit_Call(self, node: ast.Call) -> None:
+        if name := _last_name(node.func):
+            self.add("call", name, node)
+            for f in self.functions:
+                f["calls"].add(name)
+                if isinstance(node.func, ast.Name) and name == f["name"]:
+                    self.add("issue", "recursion", node, severity="medium", message=f"{name} calls itself")
+        self.generic_visit(node)
+
+    def visit_Import(self, node: ast.Import) -> None:
+        for x in node.names:
+            self.add("import", x.name.split(".")[0], node, module=x.name, alias=x.asname, how="import")
+
+    def visit_ImportFrom(self, node: ast.ImportFrom) -> None:
+        for x in node.names:
+            self.add("import", x.name, node, module=node.module or "", alias=x.asname, how="from_import")
+
+    def assignment(self, node) -> None:
+        for target in getattr(node, "targets", None) or [node.target]:
+            if isinstance(target, ast.Name):
+                self.add("variable", target.id, node, how="module")
+        self.generic_visit(node)
+
+    visit_Assign = visit_AnnAssign = assignment
+
+    def visit_ExceptHandler(self, node: ast.ExceptHandler) -> None:
+        if node.type is None:
+            self.add("issue", "bare_except", node, severity="low", message="bare except")
+        self.generic_visit(node)
+
+
+def _last_name(node: ast.AST) -> str | None:
+    return node.id if isinstance(node, ast.Name) else getattr(node, "attr", None)
+
+
+def _python(source: str) -> Iterator[dict]:
     """Symbols of one Python file; none where it does not parse."""
     try:
-        tree = ast.parse(source)
+        file = _PythonFile()
+        file.visit(ast.parse(source))
     except (SyntaxError, ValueError, RecursionError):
         return
-    called = lambda n: n.func.id if isinstance(n.func, ast.Name) else getattr(n.func, "attr", None)
-    branches = (ast.If, ast.While, ast.For, ast.ExceptHandler, ast.With, ast.Assert, ast.comprehension)
-
-    def depth(node: ast.AST) -> int:
-        below = [depth(c) for c in ast.iter_child_nodes(node) if isinstance(c, (ast.If, ast.While, ast.For, ast.With, ast.Try))]
-        return 1 + max(below) if below else 0
-
-    for node in ast.walk(tree):
-        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            inside = list(ast.walk(node))
-            calls = sorted({c for x in inside if isinstance(x, ast.Call) and (c := called(x))})
-            paths = 1 + sum(isinstance(x, branches) for x in inside) + sum(len(x.values) - 1 for x in inside if isinstance(x, ast.BoolOp))
-            yield {"kind": "function", "name": node.name, "line": node.lineno, "lines": node.end_lineno - node.lineno + 1, "cyclomatic": paths, "max_nesting": depth(node), "calls": calls}
-            yield from ({"kind": "block", "name": node.name, **b} for b in _blocks(node, 1))
-            for x in inside:
-                if isinstance(x, ast.Call) and isinstance(x.func, ast.Name) and x.func.id == node.name:
-                    yield {"kind": "issue", "name": "recursion", "severity": "medium", "message": f"{node.name} calls itself", "line": x.lineno}
-        elif isinstance(node, ast.Call) and called(node):
-            yield {"kind": "call", "name": called(node), "line": node.lineno}
-        elif isinstance(node, ast.Import):
-            for a in node.names:
-                yield {"kind": "import", "module": a.name, "alias": a.asname, "name": a.name.split(".")[0], "how": "import", "line": node.lineno}
-        elif isinstance(node, ast.ImportFrom):
-            for a in node.names:
-                yield {"kind": "import", "module": node.module or "", "alias": a.asname, "name": a.name, "how": "from_import", "line": node.lineno}
-        elif isinstance(node, ast.ClassDef):
-            members = [x.name for x in ast.walk(node) if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef))]
-            bases = [b.id if isinstance(b, ast.Name) else b.attr for b in node.bases if isinstance(b, (ast.Name, ast.Attribute))]
-            yield {"kind": "type", "name": node.name, "how": "class", "line": node.lineno, "members": members, "bases": bases}
-        elif isinstance(node, (ast.Assign, ast.AnnAssign)):
-            for t in node.targets if isinstance(node, ast.Assign) else [node.target]:
-                if isinstance(t, ast.Name):
-                    yield {"kind": "variable", "name": t.id, "line": node.lineno, "how": "module"}
-        elif isinstance(node, ast.ExceptHandler) and node.type is None:
-            yield {"kind": "issue", "name": "bare_except", "severity": "low", "message": "bare except", "line": node.lineno}
-
-
-def _python(files: DataFrame) -> DataFrame:
+    yield from ({k: v for k, v in row.items() if k not in ("depth", "block")} for row in file.rows)
+
+
+def symbols(files: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
+    """All symbols of all files of some languages, in the columns of SYMBOLS; a file of an unknown language is read as "other"."""
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [{"path": p, "lang": "py", **x} for p, s in zip(batch["path"], batch["source"], strict=True) for x in _visit(p, s or "")]
+            rows = []
+            for path, lang, source in zip(batch["path"], batch["lang"], batch["source"], strict=True):
+                found = _python(source or "") if lang == "py" else braces.symbols(source or "", lang)
+                rows += [{"path": path, "lang": lang, **x} for x in found]
             yield pd.DataFrame(rows, columns=NAMES).astype(object).where(lambda d: d.notna(), None)
 
-    return files.where("lang = 'py'").select("path", "source").mapInPandas(read, SYMBOLS)
-
-
-def _first_group(line: Column, pattern: str) -> Column:
-    groups = pattern.count("(") - pattern.count("(?") - pattern.count(r"\(") - pattern.count("[(")
-    return F.coalesce(*[F.nullif(F.regexp_extract(line, pattern, k), F.lit("")) for k in range(1, max(groups, 1) + 1)])
-
-
-def _patterned(files: DataFrame, lang: str) -> DataFrame:
-    """Symbols of the files of one language, line by line."""
-    source = F.col("source")
-    if lang != "other":
-        source = F.regexp_replace(F.regexp_replace(source, r"(?s)/\*.*?\*/", ""), r"(?m)//.*$", "")
-    own = files.where(F.col("lang") == lang).select("path", "lang", T.lines(source).alias("all"))
-    line = own.select("path", "lang", "all", F.posexplode("all").alias("i", "text")).withColumn("line", (F.col("i") + 1).cast("long"))
-    body = F.array_join(F.slice("all", F.col("line").cast("int"), WINDOW_LINES), "\n")
-    calls = lambda text: F.array_sort(F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(CALL), F.lit(1)), lambda c: ~c.isin(KEYWORDS) & (F.length(c) > 1))))
-    hit = lambda kind, pattern, **more: line.withColumn("name", _first_group(F.col("text"), pattern)).where(F.col("name").isNotNull()).select("path", "lang", F.lit(kind).alias("kind"), "name", "line", *[v.alias(k) for k, v in more.items()])
-    functions = hit("function", FUNCTION[lang], lines=F.lit(0).cast("long"), cyclomatic=(1 + F.regexp_count(body, F.lit(BRANCH))).cast("long"), max_nesting=F.lit(0).cast("long"), calls=calls(body))
-    functions = functions.where(~F.col("name").isin(KEYWORDS) & (F.length("name") > 1))
-    first = Window.partitionBy("path", "name").orderBy("line")
-    functions = functions.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    called = line.select("path", "lang", F.lit("call").alias("kind"), F.explode(calls(F.col("text"))).alias("name"), "line")
-    imports = hit("import", IMPORT[lang], how=F.lit("include" if lang == "c" else "import")).withColumn("module", F.col("name"))
-    imports = imports.withColumn("name", F.regexp_replace(F.element_at(F.split("module", "/"), -1), r"\.(h|js|ts)$", ""))
-    issues = line.where(F.rlike("text", F.lit(TODO))).select("path", "lang", F.lit("issue").alias("kind"), F.lit("todo_comment").alias("name"), "line", F.lit("low").alias("severity"), T.strip(F.col("text")).alias("message"))
-    found = [functions, called, imports, hit("variable", VARIABLE[lang], how=F.lit("global")), hit("type", TYPE[lang], how=F.lit("struct" if lang == "c" else "class")), issues]
-    if lang in DANGEROUS:
-        risky = line.select("path", "lang", F.lit("issue").alias("kind"), F.lit("dangerous_function" if lang == "c" else "eval_usage").alias("name"), "line", F.lit("high").alias("severity"), F.explode(F.regexp_extract_all("text", F.lit(DANGEROUS[lang]), F.lit(1))).alias("message"))
-        found.append(risky)
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x, allowMissingColumns=True)
-    return out
-
-
-def symbols(files: DataFrame, languages: tuple[str, ...] = ("py", "c", "js", "other")) -> DataFrame:
-    """All symbols of all files, in the columns of SYMBOLS."""
-    out = None
-    for lang in languages:
-        found = _python(files) if lang == "py" else _patterned(files, lang)
-        missing = [c for c in SYMBOLS.split(", ") if c.split()[0] not in found.columns]
-        found = found.withColumns({c.split()[0]: F.lit(None).cast(c.split()[1]) for c in missing}).select(*NAMES)
-        out = found if out is None else out.unionByName(found)
-    return out
+    lang = F.when(F.col("lang").isin(*LANGUAGES), F.col("lang")).otherwise("other")
+    return files.select("path", lang.alias("lang"), "source").where(F.col("lang").isin(*languages)).mapInPandas(read, SYMBOLS)
 
 
 def _of(found: DataFrame, kind: str) -> DataFrame:
@@ -185,8 +162,10 @@ def dependencies(found: DataFrame) -> DataFrame:
     return _of(found, "import").select("path", "module", "how")
 
 
-def complexity(found: DataFrame) -> DataFrame:
-    return _of(found, "function").select("name", "path", "line", "cyclomatic", "max_nesting", "lines")
+def complexity(found: DataFrame, most: int | None = None) -> DataFrame:
+    """(name, path, line, cyclomatic, max_nesting, lines), or the `most` functions with the most paths, in order."""
+    rows = _of(found, "function").select("name", "path", "line", "cyclomatic", "max_nesting", "lines")
+    return rows if most is None else rows.orderBy(F.desc("cyclomatic"), "path", "line").limit(most)
 
 
 def unused_functions(found: DataFrame) -> DataFrame:
@@ -221,19 +200,19 @@ def data_flow(found: DataFrame) -> DataFrame:
 
 
 def control_flow(found: DataFrame) -> DataFrame:
-    """(path, function, line, type, depth): the blocks of functions, flattened; files read by patterns have none."""
+    """(path, function, line, type, depth): the blocks of functions, flattened."""
     return _of(found, "block").select("path", F.col("name").alias("function"), "line", F.col("how").alias("type"), F.col("max_nesting").alias("depth"))
 
 
 def skeleton(files: DataFrame, found: DataFrame) -> DataFrame:
-    """(path, line, signature): the lines that define functions and types."""
-    marks = found.where(F.col("kind").isin("function", "type")).select("path", "line")
+    """(path, line, signature): the lines that import, and that define macros, functions and types."""
+    marks = found.where(F.col("kind").isin("function", "type", "import", "macro")).select("path", "line").distinct()
     all_lines = files.select("path", T.lines(F.col("source")).alias("all"))
     return marks.join(all_lines, "path").select("path", "line", T.strip(F.get("all", (F.col("line") - 1).cast("int"))).alias("signature"))
 
 
 def read_symbol(files: DataFrame, found: DataFrame, name: str, most: int = 100) -> DataFrame:
-    """(path, line, text): the source of each function of a name; where its end is not known, `most` lines."""
+    """(path, line, text): the source of each function of a name; an expression without end counts `most` lines."""
     marks = _of(found, "function").where(F.col("name") == name).select("path", "line", "lines")
     all_lines = files.select("path", T.lines(F.col("source")).alias("all"))
     size = F.when(F.col("lines") > 0, F.col("lines")).otherwise(most).cast("int")
@@ -247,11 +226,25 @@ def mermaid(found: DataFrame) -> DataFrame:
 
 
 def reachable(edges: DataFrame, source: str, target: str, start: DataFrame, hops: int) -> DataFrame:
-    """(node, hops) reached from `start` within a number of hops; cycles are walked once."""
-    seen = start.toDF("node").distinct().withColumn("hops", F.lit(0))
+    """(node, hops) reached from `start` within a number of hops; cycles are walked once.
+
+    Each hop is a table, so that the plan stays the same size, and it ends where
+    nothing new is reached.
+    """
+    edges = edges.select(F.col(source).alias("node"), F.col(target).alias("to")).distinct()
+    seen = kept(start.toDF("node").distinct().withColumn("hops", F.lit(0)), "reached")
     front = seen
     for k in range(1, hops + 1):
-        after = front.join(edges.select(F.col(source).alias("node"), F.col(target).alias("to")).distinct(), "node").select(F.col("to").alias("node")).distinct()
-        front = after.join(seen.select("node"), "node", "left_anti").withColumn("hops", F.lit(k))
+        after = front.join(edges, "node").select(F.col("to").alias("node")).distinct()
+        front = kept(after.join(seen.select("node"), "node", "left_anti").withColumn("hops", F.lit(k)), "reached")
+        if not front.head(1):
+            break
         seen = seen.unionByName(front)
     return seen
+
+
+def call_graph(found: DataFrame) -> DataFrame:
+    """(path, caller, callee, line, callee_path): edges between functions; callee_path is where a function of that name is, null if nowhere."""
+    names = _of(found, "function").groupBy("name").agg(F.min("path").alias("callee_path")).withColumnRenamed("name", "callee")
+    edges = _of(found, "function").select("path", F.col("name").alias("caller"), "line", F.explode("calls").alias("callee"))
+    return edges.join(names, "callee", "left").select("path", "caller", "callee", "line", "callee_path")

@@ -346,7 +346,12 @@ _SQL_CODE = rf"""WITH files AS (
          list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_extract_all(lower(x), '{_ASCII}')[1:3]), lambda w: len(w) = 3) AS rows_ FROM documents),
 word AS (SELECT path, lang, unnest(rows_) AS w, generate_subscripts(rows_, 1) AS i FROM files),
 defined AS (SELECT path, lang, 'f_' || w[1] AS name, 'f_' || w[2] AS callee, w[3] AS var, i FROM word),
-calls AS (SELECT path, callee AS name FROM defined UNION ALL SELECT path, 'strcpy' FROM defined WHERE lang = 'c' UNION ALL SELECT path, name FROM defined WHERE lang <> 'py')"""
+calls AS (SELECT path, callee AS name FROM defined UNION ALL SELECT path, 'strcpy' FROM defined WHERE lang = 'c'),
+once AS (SELECT * FROM defined WHERE lang = 'py' UNION ALL (SELECT DISTINCT ON (path, name) * FROM defined WHERE lang <> 'py' ORDER BY path, name, i)),
+edges AS (SELECT path, name AS caller, callee, i, lang FROM once UNION SELECT path, name, 'strcpy', i, lang FROM once WHERE lang = 'c'),
+imports(k, line, module, name, how, text) AS (VALUES (0, 1, 'os', 'os', 'import', 'import os'), (0, 2, 'json', 'loads', 'from_import', 'from json import loads'),
+  (1, 1, 'lib/tool.js', 'tool', 'import', 'import x from ''lib/tool.js'''), (2, 1, 'stdio.h', 'stdio', 'include', '#include <stdio.h>')),
+imported AS (SELECT source || '/' || doc_id || '.' || ['py', 'js', 'c'][doc_id % 3 + 1] AS path, imports.* FROM documents JOIN imports ON doc_id % 3 = k)"""
 
 
 def _symbols(spark, sf_dir):
@@ -355,31 +360,29 @@ def _symbols(spark, sf_dir):
     return code, code_files(spark, sf_dir), code.symbols(code_files(spark, sf_dir), ("py", "c", "js"))
 
 
-@query("code_unused_functions", _SQL_CODE + """, once AS (SELECT DISTINCT ON (path, name) path, lang, name FROM defined WHERE lang <> 'py' ORDER BY path, name, i),
-functions AS (SELECT path, name FROM once UNION ALL SELECT path, name FROM defined WHERE lang = 'py')
-SELECT path, name FROM functions WHERE name NOT IN (SELECT name FROM calls)""")
+@query("code_unused_functions", _SQL_CODE + """
+SELECT path, name FROM once WHERE name NOT IN (SELECT name FROM calls)""")
 def code_unused_functions(spark, sf_dir):
     code, _, found = _symbols(spark, sf_dir)
     return code.unused_functions(found)
 
 
-@query("code_unused_imports", """SELECT source || '/' || doc_id || '.' || ['py', 'js', 'c'][doc_id % 3 + 1] AS path, x.module AS module, x.name AS name FROM documents,
-(VALUES (0, 'os', 'os'), (0, 'json', 'loads'), (1, 'lib/tool.js', 'tool'), (2, 'stdio.h', 'stdio')) AS x(k, module, name) WHERE doc_id % 3 = x.k""")
+@query("code_unused_imports", _SQL_CODE + """
+SELECT path, module, name FROM imported WHERE (path, name) NOT IN (SELECT (path, name) FROM calls)""")
 def code_unused_imports(spark, sf_dir):
     code, _, found = _symbols(spark, sf_dir)
     return code.unused_imports(found)
 
 
-@query("code_dependency_graph", """SELECT source || '/' || doc_id || '.' || ['py', 'js', 'c'][doc_id % 3 + 1] AS path, x.module AS module, x.how AS how FROM documents,
-(VALUES (0, 'os', 'import'), (0, 'json', 'from_import'), (1, 'lib/tool.js', 'import'), (2, 'stdio.h', 'include')) AS x(k, module, how) WHERE doc_id % 3 = x.k""")
+@query("code_dependency_graph", _SQL_CODE + " SELECT path, module, how FROM imported")
 def code_dependency_graph(spark, sf_dir):
     code, _, found = _symbols(spark, sf_dir)
     return code.dependencies(found)
 
 
-@query("code_metrics", _SQL_CODE + """, once AS (SELECT lang, count(DISTINCT (path, name)) AS d, count(*) AS n FROM defined GROUP BY lang),
+@query("code_metrics", _SQL_CODE + """, counted AS (SELECT lang, count(*) AS functions FROM once GROUP BY lang),
 lines AS (SELECT lang, count(*) AS files, CAST(sum(CASE lang WHEN 'py' THEN 2 + 4 * len(rows_) WHEN 'js' THEN 1 + 4 * len(rows_) ELSE 4 * len(rows_) END) AS BIGINT) AS code_lines FROM files GROUP BY lang)
-SELECT lang, files, code_lines, CASE WHEN lang = 'py' THEN n ELSE d END AS functions FROM lines JOIN once USING (lang)""")
+SELECT lang, files, code_lines, coalesce(functions, 0) AS functions FROM lines LEFT JOIN counted USING (lang)""")
 def code_metrics(spark, sf_dir):
     code, files, found = _symbols(spark, sf_dir)
     return code.metrics(files, found)
@@ -393,57 +396,107 @@ def code_data_flow(spark, sf_dir):
 
 
 @query("code_issues", _SQL_CODE + """SELECT path, 'high' AS severity, 'dangerous_function' AS type, 'strcpy' AS message, 4 * i - 1 AS line, 0 AS rank FROM defined WHERE lang = 'c'
-UNION ALL SELECT path, 'medium', 'recursion', name || ' calls itself', 4 * i + 2, 1 FROM defined WHERE lang = 'py' AND name = callee""")
+UNION ALL SELECT path, 'medium', 'recursion', name || ' calls itself', 4 * i + CASE lang WHEN 'py' THEN 2 ELSE -1 END, 1 FROM defined WHERE name = callee
+UNION ALL SELECT path, 'medium', 'missing_return', name || ' may end without a value', 4 * i, 1 FROM defined WHERE lang = 'c'""")
 def code_issues(spark, sf_dir):
     code, _, found = _symbols(spark, sf_dir)
     return code.issues(found)
 
 
-@query("code_control_flow", _SQL_CODE + " SELECT path, name AS function, 4 * i + 1 AS line, 'branch' AS type, 1 AS depth FROM defined WHERE lang = 'py'")
+@query("code_control_flow", _SQL_CODE + """
+SELECT path, name AS function, 4 * i + CASE lang WHEN 'py' THEN 1 ELSE -1 END AS line, CASE lang WHEN 'c' THEN 'loop' ELSE 'branch' END AS type, 1 AS depth FROM defined""")
 def code_control_flow(spark, sf_dir):
     code, _, found = _symbols(spark, sf_dir)
     return code.control_flow(found)
 
 
-@query("code_skeleton", _SQL_CODE + """, once AS (SELECT DISTINCT ON (path, name) path, lang, name, i FROM defined WHERE lang <> 'py' ORDER BY path, name, i)
-SELECT path, 4 * i AS line, 'def ' || name || '(x):' AS signature FROM defined WHERE lang = 'py'
-UNION ALL SELECT path, 4 * i - 2, CASE lang WHEN 'js' THEN 'function ' || name || '(x) {' ELSE 'static int ' || name || '(int x) {' END FROM once""")
+@query("code_skeleton", _SQL_CODE + """ SELECT path, line, text AS signature FROM imported
+UNION ALL SELECT path, 4 * i - CASE lang WHEN 'py' THEN 0 ELSE 2 END, CASE lang WHEN 'py' THEN 'def ' || name || '(x):' WHEN 'js' THEN 'function ' || name || '(x) {' ELSE 'static int ' || name || '(int x) {' END FROM once""")
 def code_skeleton(spark, sf_dir):
     code, files, found = _symbols(spark, sf_dir)
     return code.skeleton(files, found)
 
 
-@query("code_read_symbol", _SQL_CODE + """ SELECT path, 4 * i AS line, 'def f_the(x):' || chr(10) || '    if x and x > 1:' || chr(10) || '        ' || callee || '(x)' || chr(10) || '    y = 1' AS text
-FROM defined WHERE lang = 'py' AND name = 'f_the'""")
+@query("code_read_symbol", _SQL_CODE + """ SELECT path, 4 * i - CASE lang WHEN 'py' THEN 0 ELSE 2 END AS line, CASE lang
+WHEN 'py' THEN 'def f_the(x):' || chr(10) || '    if x and x > 1:' || chr(10) || '        ' || callee || '(x)' || chr(10) || '    y = 1'
+WHEN 'js' THEN 'function f_the(x) {' || chr(10) || '  if (x) { ' || callee || '(x); }' || chr(10) || '}'
+ELSE 'static int f_the(int x) {' || chr(10) || '  while (x) { ' || callee || '(x); strcpy(x, x); }' || chr(10) || '}' END AS text FROM once WHERE name = 'f_the'""")
 def code_read_symbol(spark, sf_dir):
-    code, files, _ = _symbols(spark, sf_dir)
-    return code.read_symbol(files, code.symbols(files, ("py",)), "f_the")
+    code, files, found = _symbols(spark, sf_dir)
+    return code.read_symbol(files, found, "f_the")
 
 
-@query("code_complexity")
+@query("code_complexity", _SQL_CODE + """ SELECT name, path, 4 * i - CASE lang WHEN 'py' THEN 0 ELSE 2 END AS line, CASE lang WHEN 'py' THEN 3 ELSE 2 END AS cyclomatic,
+CASE lang WHEN 'py' THEN 1 ELSE 2 END AS max_nesting, CASE lang WHEN 'py' THEN 4 ELSE 3 END AS lines FROM once""")
 def code_complexity(spark, sf_dir):
     code, _, found = _symbols(spark, sf_dir)
     return code.complexity(found)
 
 
-@query("code_called_by")
+@query("code_most_complex", _SQL_CODE + """ SELECT name, path, 4 * i - CASE lang WHEN 'py' THEN 0 ELSE 2 END AS line, CASE lang WHEN 'py' THEN 3 ELSE 2 END AS cyclomatic,
+CASE lang WHEN 'py' THEN 1 ELSE 2 END AS max_nesting, CASE lang WHEN 'py' THEN 4 ELSE 3 END AS lines FROM once ORDER BY 4 DESC, 2, 3 LIMIT 100""")
+def code_most_complex(spark, sf_dir):
+    code, _, found = _symbols(spark, sf_dir)
+    return code.complexity(found, 100)
+
+
+@query("code_called_by", _SQL_CODE + " SELECT callee, count(DISTINCT (path, caller)) AS callers, count(*) AS n_sites FROM edges GROUP BY callee")
 def code_called_by(spark, sf_dir):
     code, _, found = _symbols(spark, sf_dir)
     return code.called_by(found)
 
 
-@query("code_symbol_table")
+@query("code_call_graph", _SQL_CODE + """, place AS (SELECT name, min(path) AS callee_path FROM once GROUP BY name)
+SELECT path, caller, callee, 4 * i - CASE lang WHEN 'py' THEN 0 ELSE 2 END AS line, callee_path FROM edges LEFT JOIN place ON place.name = callee""")
+def code_call_graph(spark, sf_dir):
+    code, _, found = _symbols(spark, sf_dir)
+    return code.call_graph(found)
+
+
+@query("code_symbol_table", _SQL_CODE + """ SELECT name, 'function' AS kind, 'module' AS scope, path, 4 * i - CASE lang WHEN 'py' THEN 0 ELSE 2 END AS line FROM once
+UNION ALL SELECT CASE lang WHEN 'py' THEN 'y' ELSE var END, 'variable', CASE lang WHEN 'py' THEN 'module' ELSE 'global' END, path, 4 * i + CASE lang WHEN 'py' THEN 3 ELSE 1 END FROM defined""")
 def code_symbol_table(spark, sf_dir):
     code, _, found = _symbols(spark, sf_dir)
     return code.symbol_table(found)
 
 
-@query("code_mermaid")
+@query("code_mermaid", _SQL_CODE + r""" SELECT path, regexp_replace(string_split(path, '/')[-1], '[^A-Za-z0-9_]', '_', 'g') || ' -->|' || how || '| ' ||
+regexp_replace(string_split(module, '/')[-1], '[^A-Za-z0-9_]', '_', 'g') AS line FROM imported""")
 def code_mermaid(spark, sf_dir):
     code, _, found = _symbols(spark, sf_dir)
     return code.mermaid(found)
 
 
+def typed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source files made from the documents: a type with a base and a method for every line of three plain words."""
+    docs = table(spark, sf_dir, "documents")
+    words = F.filter(F.transform(F.split("text", "\n"), lambda x: F.slice(F.regexp_extract_all(F.lower(x), F.lit(_ASCII), F.lit(0)), 1, 3)), lambda w: F.size(w) == 3)
+    shapes = {"py": "class T_%s(B_%s):\n    def m_%s(self):\n        pass\n\n", "js": "class T_%s extends B_%s {\n  m_%s(a) {\n    return a\n  }\n}\n", "c": "struct T_%s {\n  int n_%s;\n};\n/* TODO m_%s */\n"}
+    lang = F.element_at(F.array(*[F.lit(k) for k in shapes]), (F.col("doc_id") % 3 + 1).cast("int"))
+    made = lambda shape: F.array_join(F.transform(words, lambda w: F.format_string(shape, F.get(w, 0), F.get(w, 1), F.get(w, 2))), "")
+    source = F.when(lang == "py", made(shapes["py"])).when(lang == "js", made(shapes["js"])).otherwise(made(shapes["c"]))
+    return docs.select(F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), lang).alias("path"), lang.alias("lang"), source.alias("source"))
+
+
+_SQL_SIZE = "CASE lang WHEN 'py' THEN 4 WHEN 'js' THEN 5 ELSE 4 END"
+
+
+@query("code_types", _SQL_CODE + f""" SELECT path, 'T_' || w[1] AS name, CASE lang WHEN 'c' THEN 'struct' ELSE 'class' END AS kind, {_SQL_SIZE} * (i - 1) + 1 AS line,
+CASE lang WHEN 'c' THEN '' ELSE 'm_' || w[3] END AS members, CASE lang WHEN 'c' THEN '' ELSE 'B_' || w[2] END AS bases FROM word""")
+def code_types(spark, sf_dir):
+    from corpuslab.operators import code
+
+    found = code.types(code.symbols(typed_files(spark, sf_dir)))
+    return found.select("path", "name", "kind", "line", F.array_join("members", ",").alias("members"), F.array_join("bases", ",").alias("bases"))
+
+
+@query("code_todo_comments", _SQL_CODE + " SELECT path, 'low' AS severity, 'todo_comment' AS type, '/* TODO m_' || w[3] || ' */' AS message, 4 * i AS line, 2 AS rank FROM word WHERE lang = 'c'")
+def code_todo_comments(spark, sf_dir):
+    from corpuslab.operators import code
+
+    return code.issues(code.symbols(typed_files(spark, sf_dir))).where("type = 'todo_comment'")
+
+
 @query("call_graph_reach", """WITH RECURSIVE edge AS (SELECT DISTINCT l_suppkey AS a, l_partkey % 100 AS b FROM lineitem),
 walk AS (SELECT CAST(1 AS BIGINT) AS node, 0 AS hops UNION SELECT b, hops + 1 FROM walk JOIN edge ON a = node WHERE hops < 2)
 SELECT node, min(hops) AS hops FROM walk GROUP BY node""")

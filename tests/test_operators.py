@@ -1,5 +1,6 @@
 import ast
 import re
+import time
 from collections import defaultdict
 
 import pytest
@@ -8,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpuslab.functions import text as T
-from corpuslab.operators import batching, code, conversation, corpus, coverage, relations, tool_calls
+from corpuslab.operators import batching, braces, code, conversation, corpus, coverage, relations, tool_calls
 from corpuslab.sources import markdown
 
 
@@ -156,24 +157,85 @@ limit = 3
 '''
 
 
+C = """#include <stdio.h>
+#define MAX(a) ((a) > limit(a))
+/* gone(x)
+   TODO in a comment */
+static int add(int a, int b)
+{
+  if (a && b) { return sub(a); }
+  strcpy(a, b); // not(this)
+  printf(a);
+  printf("call(%d) {", a);
+}
+int total = 0;
+int declared(int a);
+struct point { int x; };
+void *walk(struct point *p) {
+  for (int i = 0; i < 3; i++) {
+    switch (p->x) {
+      case 1: add(1, 2); break;
+      case 2: add(2, 3);
+      default: walk(p); return p;
+    }
+  }
+  return p;
+}
+int tiny(void) { return 1; }
+""" + "int big(void) {\n" + "  total = total + 1;\n" * 60 + "  last(total);\n  return 0;\n}\n"
+JS = """import x from './lib/tool.js'
+const fs = require("fs");
+export const go = (a) => { run(a) }
+const one = a => two(a);
+function main() { return go(1) }
+class A extends B {
+  async step(a) { eval(a) }
+}
+let n = 1;
+items.map(function (q) { return main(q) })
+"""
+GO = 'import "fmt"\nfunc (s *Server) Main(a int) {\n  // TODO later\n  for a > 0 { fmt.Println(a) }\n  total := 1\n}\n'
+
+
 def test_code_analysis(spark):
-    c = '#include <stdio.h>\n/* gone(x) */\nstatic int add(int a, int b) {\n  if (a && b) { return sub(a); }\n  strcpy(a, b); // TODO not seen\n}\nint total = 0;\nstruct point { int x; };\n'
-    js = "import x from './lib/tool.js'\nexport const go = (a) => { run(a) }\nclass A extends B {\n  step(a) { eval(a) }\n}\nlet n = 1; \n"
-    go = "import \"fmt\"\nfunc Main(a int) {\n  fmt.Println(a) # TODO later\n}\n"
-    files = spark.createDataFrame([("a.py", "py", PYTHON), ("b.c", "c", c), ("c.js", "js", js), ("d.go", "other", go), ("bad.py", "py", "def ("), ("e.py", "py", None)], "path string, lang string, source string")
+    files = spark.createDataFrame([("a.py", "py", PYTHON), ("b.c", "c", C), ("c.js", "js", JS), ("d.go", "other", GO), ("bad.py", "py", "def ("), ("e.py", "py", None), ("f.c", "c", "}} {{ ((( \" ' /* "), ("g.rs", "rust", "")], "path string, lang string, source string")
     found = code.symbols(files)
     by = lambda df, *cols: sorted(tuple(r[k] for k in cols) for r in df.collect())
     assert by(code.complexity(found).where("path = 'a.py'"), "name", "cyclomatic", "max_nesting", "line") == [("helper", 2, 1, 11), ("put", 5, 2, 5)]
-    # by patterns a definition with ( counts as a call of its name, so only names without it can be unused there
-    assert by(code.unused_functions(found), "path", "name") == [("c.js", "go")]
+    assert by(code.complexity(found).where("path = 'b.c'"), "name", "cyclomatic", "max_nesting", "line", "lines") == [("add", 3, 2, 5, 7), ("big", 1, 1, 26, 64), ("tiny", 1, 1, 25, 1), ("walk", 5, 3, 15, 10)]
+    assert by(code.complexity(found).where("path in ('c.js', 'd.go')"), "name", "line", "lines") == [("Main", 2, 5), ("go", 3, 1), ("main", 5, 1), ("one", 4, 1), ("step", 7, 1)]
+    assert by(code.call_edges(found).where("path <> 'a.py'"), "caller", "callee") == [
+        ("Main", "Println"), ("add", "printf"), ("add", "strcpy"), ("add", "sub"), ("big", "last"), ("go", "run"), ("main", "go"), ("one", "two"), ("step", "eval"), ("walk", "add"), ("walk", "walk")
+    ]
+    assert by(code.unused_functions(found), "path", "name") == [("b.c", "big"), ("b.c", "tiny"), ("c.js", "one"), ("c.js", "step"), ("d.go", "Main")]
     assert by(code.unused_imports(found).where("path = 'a.py'"), "name") == [("os",), ("read",)]
-    assert ("b.c", "high", "dangerous_function", 5) in by(code.issues(found), "path", "severity", "type", "line")
+    assert by(code.issues(found).where("path = 'b.c'"), "type", "line") == [
+        ("dangerous_function", 8), ("format_string", 9), ("missing_return", 11), ("recursion", 20), ("switch_fallthrough", 19), ("todo_comment", 4)
+    ]
     assert {("a.py", "recursion"), ("a.py", "bare_except"), ("c.js", "eval_usage"), ("d.go", "todo_comment")} <= set(by(code.issues(found), "path", "type"))
-    assert by(code.types(found), "path", "name") == [("a.py", "Box"), ("b.c", "point"), ("c.js", "A")]
-    assert {r.module for r in code.dependencies(found).collect()} == {"os", "json", "stdio.h", "./lib/tool.js", "fmt"}
+    assert by(code.types(found), "path", "name", "bases", "members") == [("a.py", "Box", ["Base"], ["put"]), ("b.c", "point", [], []), ("c.js", "A", ["B"], ["step"])]
+    assert by(code.dependencies(found), "path", "module", "how") == [
+        ("a.py", "json", "from_import"), ("a.py", "os", "import"), ("b.c", "stdio.h", "include"), ("c.js", "./lib/tool.js", "import"), ("c.js", "fs", "require"), ("d.go", "fmt", "import")
+    ]
+    assert by(found.where("kind = 'variable' and path <> 'a.py'"), "path", "name") == [("b.c", "total"), ("c.js", "fs"), ("c.js", "n"), ("d.go", "total")]
+    assert by(code.control_flow(found).where("function = 'walk'"), "type", "depth") == [("exit", 1), ("exit", 3), ("loop", 1), ("switch", 2)]
     assert ("helper", 2) in by(code.called_by(found), "callee", "callers")
+    assert ("walk", "add", "b.c") in by(code.call_graph(found).where("callee_path is not null"), "caller", "callee", "callee_path")
     assert 'a_py -->|import| os' in [r.line for r in code.mermaid(found).collect()]
-    assert ast.parse(PYTHON)
+    assert ("b.c", 2, "#define MAX(a) ((a) > limit(a))") in by(code.skeleton(files, found), "path", "line", "signature")
+    assert code.read_symbol(files, found, "tiny").first().text == "int tiny(void) { return 1; }"
+    assert [r.name for r in code.complexity(found, 2).collect()] == ["put", "walk"]
+    edges = spark.createDataFrame([(k, k + 1) for k in range(5)] + [(2, 0)], "a long, b long")
+    assert by(code.reachable(edges, "a", "b", spark.createDataFrame([(0,)], "x long"), 10), "node", "hops") == [(k, k) for k in range(6)]
+    assert code.symbols(files.where("false")).count() == 0
+
+
+def test_braces_are_read_in_linear_time():
+    began = time.process_time()
+    for source in ("{" * 100_000, "f(" * 100_000, "int f() {" * 3_000, "switch (x) { case 1: " * 3_000, '"' * 100_000, "/*" * 100_000, "require('x')\n" * 50_000):
+        for lang in ("c", "js", "other"):
+            list(braces.symbols(source, lang))
+    assert time.process_time() - began < 60
 
 
 def test_markdown_of_pages_and_tables(spark, tmp_path):
