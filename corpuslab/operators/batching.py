@@ -2,28 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def greedy_batches(rows: DataFrame, keys: list[str], order: str, cost: str, budget: int, barrier: str | None = None) -> DataFrame:
-    """Adds `batch`: rows in order fill a batch until the budget; a barrier row is a batch of its own.
+    """(keys, order, cost, batch): rows in order fill a batch until the budget; a barrier row is a batch of its own.
 
-    A batch depends on all before it, so the fold runs over the ordered list of a
-    key; choose keys whose groups are bounded, such as a stretch of pages.
+    A batch depends on all before it, so the rows of a key stream in order through
+    one task, which holds a count and no rows, whatever their number.
     """
     alone = F.col(barrier) if barrier else F.lit(False)
-    packed = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(cost).cast("long").alias("c"), alone.alias("a")))).alias("items"))
-    start = F.struct(F.lit(-1).cast("long").alias("batch"), F.lit(0).cast("long").alias("used"), F.lit(True).alias("closed"), F.array().cast("array<bigint>").alias("out"))
+    asked = rows.select(*keys, F.col(order), F.col(cost).cast("long").alias(cost), F.coalesce(alone, F.lit(False)).alias("_alone"))
+    ordered = asked.repartition(*keys).sortWithinPartitions(*keys, order, cost)
 
-    def step(s: Column, x: Column) -> Column:
-        new = s["closed"] | x["a"] | (s["used"] + x["c"] > budget)
-        batch = s["batch"] + new.cast("long")
-        return F.struct(batch.alias("batch"), F.when(new, x["c"]).otherwise(s["used"] + x["c"]).alias("used"), x["a"].alias("closed"), F.concat(s["out"], F.array(batch)).alias("out"))
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, batch, used, closed = None, -1, 0, True
+        for part in batches:
+            out = []
+            for key, c, single in zip(zip(*(part.column(k).to_pylist() for k in keys), strict=True), part.column(cost).to_pylist(), part.column("_alone").to_pylist(), strict=True):
+                if key != current:
+                    current, batch, used, closed = key, -1, 0, True
+                if closed or single or used + (c or 0) > budget:
+                    batch, used = batch + 1, 0
+                used, closed = used + (c or 0), single
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in [*keys, order, cost]), pa.array(out, pa.int64())], [*keys, order, cost, "batch"])
 
-    folded = packed.withColumn("batches", F.aggregate("items", start, step, lambda s: s["out"]))
-    each = folded.select(*keys, F.explode(F.arrays_zip("items", "batches")).alias("x"))
-    return each.select(*keys, F.col("x.items.o").alias(order), F.col("x.items.c").alias(cost), F.col("x.batches").alias("batch"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.drop("_alone").schema)
+    return ordered.mapInArrow(fold, f"{schema}, batch long")
 
 
 def frame(rows: DataFrame, keys: list[str], order: str, text: str, page: str) -> DataFrame:
@@ -46,9 +56,34 @@ def pending(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return rows.join(done.select(key).distinct(), key, "left_anti")
 
 
-def throughput(done: DataFrame, key: str, time: str, units: str, last: int = 12, tie: str | None = None) -> DataFrame:
-    """Adds per_minute: units of the last `last` completions over the time they took; null for the first."""
-    recent = Window.partitionBy(key).orderBy(time, tie or units).rowsBetween(1 - last, 0)
+def throughput(done: DataFrame, key: str, time: str, units: str, last: int = 12, tie: str | None = None, total: str | None = None) -> DataFrame:
+    """Adds per_minute: units of the last `last` completions over the time they took; null for the first.
+
+    With `total`, the units that a key has in all, also minutes_left at that speed.
+    """
+    order = Window.partitionBy(key).orderBy(time, tie or units)
+    recent = order.rowsBetween(1 - last, 0)
     at = F.unix_micros(F.col(time).cast("timestamp")) / 1e6
     seconds = at - F.first(at).over(recent)
-    return done.withColumn("per_minute", F.when(seconds > 0, F.round(F.sum(units).over(recent) / seconds * 60, 6)))
+    speed = F.sum(units).over(recent) / seconds * 60
+    out = done.withColumn("per_minute", F.when(seconds > 0, F.round(speed, 6)))
+    if total is None:
+        return out
+    left = F.col(total) - F.sum(units).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return out.withColumn("minutes_left", F.when(seconds > 0, F.round(F.greatest(left, F.lit(0)) / speed, 6)))
+
+
+def page_range(spec: str | None, total: int) -> tuple[int, int]:
+    """First and last page of "a-b", "a-", "-b", "n" or, for all of them, nothing."""
+    first, dash, last = (spec or "-").strip().partition("-")
+    if not dash:
+        last = first
+    return max(1, int(first or 1)), min(total, int(last or total))
+
+
+def outcome(answers: DataFrame, keys: list[str], wanted: DataFrame, page: str = "page", text: str = "text") -> DataFrame:
+    """(keys, page, text, failed): what came back for each wanted page; one that is missing from its answer keeps its own text, and a batch without any has failed."""
+    came = answers.select(*keys, page, F.col(text).alias("_new"))
+    some = came.select(*keys).distinct().withColumn("_any", F.lit(True))
+    joined = wanted.join(came, [*keys, page], "left").join(some, keys, "left")
+    return joined.select(*keys, page, F.coalesce("_new", text).alias(text), F.col("_any").isNull().alias("failed"))

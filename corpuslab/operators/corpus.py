@@ -47,11 +47,14 @@ def grep(docs: DataFrame, pattern: str, context: int = 3, doc_id: str = "doc_id"
     line feed.  Null text has no lines.
     """
     java = T.java_pattern(pattern, ignore_case)
-    own = docs.select(F.col(doc_id).alias("doc_id"), T.lines(F.col(text)).alias("lines"))
+    # explode gives each of these one value per document; a filter on them would be pushed below
+    # and would split the text again for every line
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.explode(F.array(T.lines(F.col(text)))).alias("lines"))
     places = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.rlike(F.concat(F.get("lines", i), F.lit("\n")), F.lit(java)))
     hits = F.when(F.size("lines") > 0, places).otherwise(F.array().cast("array<int>"))
-    found = own.withColumn("hits", hits).where(F.size("hits") > 0)
-    begins = F.filter(F.sequence(F.lit(0), F.size("hits") - 1), lambda k: (k == 0) | (F.get("hits", k) - F.get("hits", k - 1) > 2 * context + 1))
+    found = own.select("doc_id", "lines", F.explode(F.array(hits)).alias("hits"))
+    places = F.when(F.size("hits") > 0, F.sequence(F.lit(0), F.size("hits") - 1))  # none: no rows come of it
+    begins = F.filter(places, lambda k: (k == 0) | (F.get("hits", k) - F.get("hits", k - 1) > 2 * context + 1))
     found = found.withColumn("begins", begins)
     stretch = F.transform(
         "begins",

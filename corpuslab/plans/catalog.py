@@ -10,7 +10,7 @@ from corpuslab.operators import batching, conversation, corpus, coverage, relati
 
 PATTERN = "keit|tion on"
 SEARCH = "the tion heit queue"
-BUDGET, STRETCH = 4000, 1000
+BUDGET = 4000
 #: Line numbers repeat within an order, so further columns settle ties.
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
 
@@ -198,21 +198,21 @@ def last_wins_assignment(spark, sf_dir):
 
 
 def _batches(spark, sf_dir, barrier):
-    rows = table(spark, sf_dir, "documents").select("source", F.floor(F.col("doc_id") / STRETCH).alias("stretch"), "doc_id", "n_chars", F.contains("text", F.lit(" | ")).alias("has_table"))
-    return batching.greedy_batches(rows, ["source", "stretch"], "doc_id", "n_chars", BUDGET, barrier)
+    rows = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars", F.contains("text", F.lit(" | ")).alias("has_table"))
+    return batching.greedy_batches(rows, ["source"], "doc_id", "n_chars", BUDGET, barrier)
 
 
 def _sql_batches(barrier: str) -> str:
     return f"""WITH RECURSIVE rows_ AS (
-  SELECT source, doc_id // {STRETCH} AS stretch, doc_id, n_chars, {barrier} AS alone, row_number() OVER (PARTITION BY source, doc_id // {STRETCH} ORDER BY doc_id) AS r FROM documents),
+  SELECT source, doc_id, n_chars, {barrier} AS alone, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents),
 fold AS (
-  SELECT source, stretch, doc_id, n_chars, r, alone, CAST(0 AS BIGINT) AS batch, n_chars AS used FROM rows_ WHERE r = 1
+  SELECT source, doc_id, n_chars, r, alone, CAST(0 AS BIGINT) AS batch, n_chars AS used FROM rows_ WHERE r = 1
   UNION ALL
-  SELECT x.source, x.stretch, x.doc_id, x.n_chars, x.r, x.alone,
+  SELECT x.source, x.doc_id, x.n_chars, x.r, x.alone,
          f.batch + CASE WHEN f.alone OR x.alone OR f.used + x.n_chars > {BUDGET} THEN 1 ELSE 0 END,
          CASE WHEN f.alone OR x.alone OR f.used + x.n_chars > {BUDGET} THEN x.n_chars ELSE f.used + x.n_chars END
-  FROM fold f JOIN rows_ x ON x.source = f.source AND x.stretch = f.stretch AND x.r = f.r + 1)
-SELECT source, stretch, doc_id, n_chars, batch FROM fold"""
+  FROM fold f JOIN rows_ x ON x.source = f.source AND x.r = f.r + 1)
+SELECT source, doc_id, n_chars, batch FROM fold"""
 
 
 @query("greedy_budget_batches", _sql_batches("false"))
@@ -239,13 +239,13 @@ def resume_antijoin(spark, sf_dir):
 
 @query(
     "rolling_throughput",
-    """SELECT user_id, event_id, units, CASE WHEN s > 0 THEN round(u / s * 60, 6) END AS per_minute FROM (
-SELECT user_id, event_id, units, CAST(sum(units) OVER w AS DOUBLE) AS u, epoch_us(ts) / 1e6 - epoch_us(first_value(ts) OVER w) / 1e6 AS s
+    """SELECT user_id, event_id, units, CASE WHEN s > 0 THEN round(u / s * 60, 6) END AS per_minute, CASE WHEN s > 0 THEN round(greatest(500 - d, 0) / (u / s * 60), 6) END AS minutes_left FROM (
+SELECT user_id, event_id, units, sum(units) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS d, CAST(sum(units) OVER w AS DOUBLE) AS u, epoch_us(ts) / 1e6 - epoch_us(first_value(ts) OVER w) / 1e6 AS s
 FROM (SELECT *, event_id % 5 + 1 AS units FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 11 PRECEDING AND CURRENT ROW))""",
 )
 def rolling_throughput(spark, sf_dir):
-    done = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", (F.col("event_id") % 5 + 1).alias("units"))
-    return batching.throughput(done, "user_id", "ts", "units", tie="event_id").drop("ts")
+    done = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", (F.col("event_id") % 5 + 1).alias("units"), F.lit(500).alias("all"))
+    return batching.throughput(done, "user_id", "ts", "units", tie="event_id", total="all").drop("ts", "all")
 
 
 _TOKENS = r"[\p{L}\p{N}_]{1,4}|[^\s\p{L}\p{N}_]"
@@ -287,11 +287,42 @@ def token_totals(spark, sf_dir):
     return conversation.usage(table(spark, sf_dir, "conversations"), limit=2000)
 
 
-@query("compaction_cascade")
+_CUT = r"""CASE WHEN len(regexp_extract_all(coalesce({0}, ''), '{1}')) <= {2} THEN {0} ELSE
+array_to_string(list_slice(regexp_extract_all({0}, '{3}'), 1, {2} // 2), '') || chr(10) || chr(10) || '... [cut] ...' || chr(10) || chr(10) ||
+array_to_string(list_slice(regexp_extract_all({0}, '{3}'), len(regexp_extract_all({0}, '{3}')) - {2} // 2 + 1, len(regexp_extract_all({0}, '{3}'))), '') END"""
+_PIECE = r"[\p{L}\p{N}_]{1,4}\s*|[^\s\p{L}\p{N}_]\s*|^\s+"
+_SQL_CUT = lambda value, most: _CUT.format(value, _TOKENS, most, _PIECE)
+_TIERS = rf"""tier0 AS (SELECT conv_id, turn, role, text, sum({_SQL_TOKENS}) OVER (PARTITION BY conv_id) / 800.0 >= 0.92 AS over FROM conversations),
+tier1 AS (SELECT *, sum({_SQL_TOKENS}) OVER (PARTITION BY conv_id) / 800.0 >= 0.92 AS over FROM (
+  SELECT conv_id, turn, role, CASE WHEN role = 'assistant' AND row_number() OVER (PARTITION BY conv_id, role = 'assistant' ORDER BY turn DESC) > 2 THEN '[cleared]' ELSE text END AS text FROM tier0 WHERE over)),
+packed_ AS (SELECT conv_id, turn, role, {_COMPRESSED} AS c, text FROM tier1 WHERE over),
+tier2 AS (SELECT *, sum({_SQL_TOKENS}) OVER (PARTITION BY conv_id) / 800.0 >= 0.92 AS over FROM (
+  SELECT conv_id, turn, role, CASE WHEN role = 'assistant' AND text <> '[cleared]' THEN {_SQL_CUT('c', 60)} ELSE text END AS text FROM packed_))"""
+
+
+@query("compaction_cascade", f"""WITH {_TIERS} SELECT conv_id, turn, role, text, 0 AS tier FROM tier0 WHERE NOT over
+UNION ALL SELECT conv_id, turn, role, text, 1 FROM tier1 WHERE NOT over UNION ALL SELECT conv_id, turn, role, text, 2 FROM tier2""")
 def compaction_cascade(spark, sf_dir):
     return conversation.compact(table(spark, sf_dir, "conversations"), "assistant", limit=800, keep=2, most=60)
 
 
+_PROMPT, _PROMPT_SHORT = "You help.\n## Index\na\nb\n## Rules\nBe brief.", "You help.\n## Rules\nBe brief."
+
+
+@query("compaction_rebuild", rf"""WITH recent AS (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) + 1 AS place FROM (
+  SELECT * FROM conversations WHERE role = 'assistant' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3)),
+results AS (SELECT conv_id, place AS turn, role, {_SQL_CUT('text', '(150 // n)')} AS text FROM recent),
+made AS (SELECT conv_id, count(*) || ' messages; last request: ' || coalesce(max_by(text, turn) FILTER (role = 'user'), '') AS text FROM conversations GROUP BY conv_id),
+spent AS (SELECT conv_id, sum({_SQL_TOKENS}) AS spent FROM results GROUP BY conv_id),
+level AS (SELECT conv_id, text, CASE WHEN (coalesce(spent, 0) + t + 26) / 200.0 < 0.92 THEN 0 WHEN (coalesce(spent, 0) + t + 19) / 200.0 < 0.92 THEN 1 ELSE 2 END AS level
+  FROM (SELECT conv_id, text, {_SQL_TOKENS} AS t FROM made) LEFT JOIN spent USING (conv_id))
+SELECT conv_id, 0 AS turn, 'system' AS role, '[context compacted]' || chr(10) || chr(10) || CASE level WHEN 0 THEN '{_PROMPT}' ELSE '{_PROMPT_SHORT}' END AS text FROM level
+UNION ALL SELECT conv_id, 1, 'assistant', CASE WHEN level < 2 THEN text ELSE {_SQL_CUT('text', 50)} END FROM level
+UNION ALL SELECT conv_id, turn, role, text FROM results WHERE conv_id IN (SELECT conv_id FROM level WHERE level < 2)""")
+def compaction_rebuild(spark, sf_dir):
+    return conversation.rebuild(table(spark, sf_dir, "conversations"), "assistant", _PROMPT, ["Index"], limit=200, keep=3, most=150)
+
+
 _RANGES = "ranges AS (SELECT source, 1000 AS total, greatest(doc_id % 997, 1) AS lo, least(doc_id % 997 + n_chars % 7, 1000) AS hi FROM documents)"
 _MERGED = f"""{_RANGES}, marked AS (SELECT source, lo, hi, CASE WHEN lo > max(hi) OVER w + 1 THEN 1 ELSE 0 END AS new FROM ranges WINDOW w AS (PARTITION BY source ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 numbered AS (SELECT *, sum(new) OVER (PARTITION BY source ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS g FROM marked),

@@ -84,6 +84,12 @@ def test_batches_and_frames(spark):
     got = lambda barrier: [r.batch for r in batching.greedy_batches(df, ["k"], "i", "c", 40, barrier).orderBy("i").collect()]
     assert got(None) == [0, 1, 1, 1, 2, 3]
     assert got("b") == [0, 1, 2, 3, 4, 5]
+    many = spark.range(3000).select(F.lit("k").alias("k"), F.col("id").alias("i"), F.lit(1).cast("long").alias("c"))
+    assert {(r.i // 40, r.batch) for r in batching.greedy_batches(many, ["k"], "i", "c", 40).collect()} == {(n, n) for n in range(75)}
+    assert [batching.page_range(x, 9) for x in (None, "", "3-5", "3-", "-4", "7", "5-99")] == [(1, 9), (1, 9), (3, 5), (3, 9), (1, 4), (7, 7), (5, 9)]
+    wanted = spark.createDataFrame([("b", 1, "a"), ("b", 2, "b"), ("c", 3, "c")], "b string, page long, text string")
+    answers = spark.createDataFrame([("b", 1, "new")], "b string, page long, text string")
+    assert sorted((r.page, r.text, r.failed) for r in batching.outcome(answers, ["b"], wanted).collect()) == [(1, "new", False), (2, "b", False), (3, "c", True)]
     pages = spark.createDataFrame([("b", 1, "one\ntwo"), ("b", 2, ""), ("b", 10, "ten")], "b string, page long, text string")
     back = batching.unframe(batching.frame(pages, ["b"], "page", "text", "page"), ["b"])
     assert sorted((r.page, r.text) for r in back.collect()) == [(1, "one\ntwo"), (2, ""), (10, "ten")]
@@ -132,6 +138,10 @@ def test_compaction(spark):
     assert sorted(r.turn for r in cleared.collect()) == [1, 3, 5, 7, 9]
     out = conversation.compact(log, "tool", limit=700, most=10)
     assert {r.conv_id: r.tier for r in out.select("conv_id", "tier").distinct().collect()} == {"a": 2, "b": 0}
+    ratio = conversation.usage(log, limit=700).select("conv_id", "ratio")
+    assert {r.tier for r in conversation.compact(log, "tool", limit=700, most=10, last_ratio=ratio).collect()} == {0}
+    third = conversation.compact(log, "tool", limit=200, most=10, prompt="P\n## Index\nlong\n## End", drop_sections=["Index"]).where("conv_id = 'a'")
+    assert [(r.turn, r.role) for r in third.orderBy("turn").collect()][:2] == [(0, "system"), (1, "assistant")] and {r.tier for r in third.collect()} == {3}
     assert out.count() == log.count()
     text = spark.createDataFrame([("a\n| x | y |\nb\n----\n\n\n\nc ",)], "t string").select(conversation.compress(F.col("t"))).first()[0]
     assert text == "a\nb\n\nc"
