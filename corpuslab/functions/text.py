@@ -58,6 +58,44 @@ def markdown_cell(value: Column) -> Column:
     return F.replace(F.coalesce(value.cast("string"), F.lit("")), F.lit("|"), F.lit("\\|"))
 
 
+def safe_title(title: Column, most: int = 40) -> Column:
+    """A title as part of a file name: runs of other characters than word characters and - are one _, cut to `most`."""
+    return F.left(F.regexp_replace(F.regexp_replace(title, r"(?U)[^\w\-]+", "_"), "^_+|_+$", ""), F.lit(most))
+
+
+# Languages by the extension of a file.
+EXTENSIONS = {
+    "py": "python", "js": "javascript", "ts": "typescript", "jsx": "jsx", "tsx": "tsx", "c": "c", "h": "c", "cpp": "cpp", "hpp": "cpp", "cs": "csharp",
+    "java": "java", "go": "go", "rs": "rust", "rb": "ruby", "php": "php", "swift": "swift", "sh": "bash", "sql": "sql", "yaml": "yaml", "json": "json",
+}
+
+
+def extension(path: Column) -> Column:
+    return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
+
+
+def language(path: Column) -> Column:
+    """Language of a file by its extension, else the extension."""
+    names = F.create_map(*[F.lit(x) for pair in EXTENSIONS.items() for x in pair])
+    return F.coalesce(F.element_at(names, extension(path)), extension(path))
+
+
+def indent(text: Column) -> Column:
+    """The unit of indentation: a tab where more lines begin with one than with spaces, else as many spaces as the least indented line has; empty if none is."""
+    lead = F.transform(lines(text), lambda x: F.regexp_extract(x, r"^([ \t]*)\S", 1))
+    tabs = F.size(F.filter(lead, lambda x: F.startswith(x, F.lit("\t"))))
+    spaces = F.filter(lead, lambda x: F.startswith(x, F.lit(" ")))
+    least = F.array_min(F.transform(spaces, lambda x: F.length(F.regexp_extract(x, "^( +)", 1))))
+    return F.when((tabs > 0) & (tabs >= F.size(spaces)), "\t").when(F.size(spaces) > 0, F.repeat(F.lit(" "), least)).otherwise("")
+
+
+def comments(source: Column, most: int = 20) -> Column:
+    """Up to `most` comments of a source text: docstrings of more than 10 characters, blocks of more than 5, lines of more than 10."""
+    found = lambda pattern, group, least: F.filter(F.transform(F.regexp_extract_all(source, F.lit(pattern), F.lit(group)), strip), lambda x: F.length(x) > least)
+    docs = F.concat(found('(?s)"""(.*?)"""', 1, 10), found("(?s)\'\'\'(.*?)\'\'\'", 1, 10))
+    return F.slice(F.concat(docs, found(r"(?s)/\*(.*?)\*/", 1, 5), found(r"(?m)(?://|#)[ \t]*(.*)$", 1, 10)), 1, most)
+
+
 def utf8_prefix(text: Column, most: int) -> Column:
     """The longest prefix of at most `most` bytes that ends between characters."""
     cut = F.substring(F.encode(text, "UTF-8"), 1, most).cast("string")
@@ -70,6 +108,13 @@ def replace_unique(text: Column, old: str, new: str) -> Column:
     return F.when((count == 1) & F.lit(old != new), F.replace(text, F.lit(old), F.lit(new)))
 
 
+def edit(text: Column, old: str, new: str) -> Column:
+    """(text, error): `old` replaced where it is there once; else the text as it is and why: same, missing or several."""
+    count = (F.length(text) - F.length(F.replace(text, F.lit(old), F.lit("")))) / max(len(old), 1)
+    error = F.when(F.lit(old == new), "same").when((F.lit(old) == "") | (count < 1), "missing").when(count > 1, "several")
+    return F.struct(F.when(error.isNull(), F.replace(text, F.lit(old), F.lit(new))).otherwise(text).alias("text"), error.alias("error"))
+
+
 def java_pattern(pattern: str, ignore_case: bool = False) -> str:
     """A pattern of Python's dialect for Spark's functions.
 

@@ -613,3 +613,62 @@ def heading_carry_forward(spark, sf_dir):
     upto = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     head = F.last(F.when(F.length("line") < 60, F.col("i")), ignorenulls=True).over(upto)
     return line.select("doc_id", "i", head.alias("head"), (F.sum(F.contains("line", F.lit(" | ")).cast("long")).over(upto) % 2).alias("inside"))
+
+
+_NAMES = r"""SELECT page_id, lower(regexp_extract(url, '\.([^./]+)$', 1)) AS ext, left(regexp_replace(regexp_replace(url, '[^\p{L}\p{N}_-]+', '_', 'g'), '^_+|_+$', '', 'g'), 40) AS title FROM pages"""
+
+
+@query("file_names", _NAMES)
+def file_names(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.extension(F.col("url")).alias("ext"), T.safe_title(F.col("url")).alias("title"))
+
+
+@query("edit_once", """SELECT doc_id, CASE WHEN n = 1 THEN replace(text, ' the ', ' THE ') ELSE text END AS text, CASE WHEN n = 0 THEN 'missing' WHEN n > 1 THEN 'several' END AS error
+FROM (SELECT doc_id, text, (length(text) - length(replace(text, ' the ', ''))) // 5 AS n FROM documents)""")
+def edit_once(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.inline(F.array(T.edit(F.col("text"), " the ", " THE "))))
+
+
+_SQL_LOG = """SELECT event_id, CASE event_type WHEN 'signup' THEN 'セクション処理: ' || event_id % 50 || '章 予算1,' || lpad(CAST(event_id % 1000 AS VARCHAR), 3, '0') || 'トークン'
+WHEN 'click' THEN '[' || event_id % 7 || '/9] 累計' || event_id % 900 WHEN 'view' THEN '[' || (event_id % 4 + 1) || '/4] x' ELSE 'other' END AS line, event_type AS t FROM events"""
+
+
+@query("log_line_events", f"""SELECT event_id, line, CASE t WHEN 'signup' THEN 'init' WHEN 'click' THEN 'chunk' WHEN 'view' THEN 'step' END AS kind,
+CASE t WHEN 'click' THEN event_id % 7 WHEN 'view' THEN event_id % 4 + 1 END AS ch_i, CASE t WHEN 'signup' THEN event_id % 50 WHEN 'click' THEN 9 WHEN 'view' THEN 4 END AS ch_n,
+CASE t WHEN 'signup' THEN 1000 + event_id % 1000 END AS tk_n, CASE t WHEN 'click' THEN event_id % 900 END AS tk_cum,
+CASE WHEN t = 'view' THEN ['読み込み中...', '分割中...', '構造化中...', '書き出し中...'][event_id % 4 + 1] END AS title FROM ({_SQL_LOG})""")
+def log_line_events(spark, sf_dir):
+    from corpuslab.streaming import progress
+
+    n = F.col("event_id")
+    line = (
+        F.when(F.col("event_type") == "signup", F.format_string("セクション処理: %d章 予算1,%03dトークン", n % 50, n % 1000))
+        .when(F.col("event_type") == "click", F.format_string("[%d/9] 累計%d", n % 7, n % 900))
+        .when(F.col("event_type") == "view", F.format_string("[%d/4] x", n % 4 + 1))
+        .otherwise("other")
+    )
+    return progress.line_events(table(spark, sf_dir, "events").select("event_id", line.alias("line")))
+
+
+@query("sse_lines", """SELECT event_id, CASE WHEN event_type = 'click' THEN 'message' WHEN event_type = 'error' THEN 'error' END AS kind,
+CASE WHEN event_type = 'click' THEN 'é ' || event_id END AS piece, CASE WHEN event_type = 'click' THEN 'c' || user_id END AS conversation FROM events""")
+def sse_lines(spark, sf_dir):
+    from corpuslab.streaming import progress
+
+    message = F.to_json(F.struct(F.lit("message").alias("event"), F.concat(F.lit("é "), "event_id").alias("answer"), F.concat(F.lit("c"), "user_id").alias("conversation_id")))
+    line = F.when(F.col("event_type") == "click", F.concat(F.lit("data: "), message)).when(F.col("event_type") == "error", F.lit('data: {"event": "error"}')).otherwise("data: {bad")
+    return progress.sse_events(table(spark, sf_dir, "events").select("event_id", line.alias("line"), "user_id")).drop("line", "user_id")
+
+
+@query("index_append", """SELECT source AS section, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS at, lang AS line FROM documents
+UNION ALL SELECT d.source, n + 1 + row_number() OVER (PARTITION BY d.source ORDER BY d.doc_id), 'more' FROM documents d JOIN (SELECT source, count(*) AS n FROM documents GROUP BY source) USING (source) JOIN labels USING (doc_id)""")
+def index_append(spark, sf_dir):
+    from pyspark.sql import Window
+
+    from corpuslab.sources import readers
+
+    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("long")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    index = docs.select(F.col("source").alias("section"), place.alias("at"), F.col("lang").alias("line"))
+    more = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id").select(F.col("source").alias("section"), place.alias("at"), F.lit("more").alias("line"))
+    return readers.append_entries(index, more)

@@ -45,11 +45,47 @@ def fold(events: DataFrame) -> DataFrame:
     )
 
 
+# The forms of log lines, and the labels of the four steps.
+LINE_INIT = r"(?:階層並列処理|セクション処理): (\d+)章.*予算([\d,]+)トークン"
+LINE_CHUNK = r"\[(\d+)/(\d+)\].*累計([\d,]+)"
+LINE_OVER = "トークン予算超過"
+LINE_PDF = r"PDF変換:.*\((\d+)/(\d+)チャンク\)"
+LINE_STEP = r"\[(\d)/4\]"
+STEPS = {1: "読み込み中...", 2: "分割中...", 3: "構造化中...", 4: "書き出し中..."}
+
+
+def line_events(log: DataFrame, line: str = "line") -> DataFrame:
+    """Adds kind (init, chunk, over, pdf, step or null), ch_i, ch_n, tk_n, tk_cum and title of log lines, by the first form that fits."""
+    text = F.col(line)
+    number = lambda pattern, k: F.regexp_replace(F.regexp_extract(text, pattern, k), ",", "").try_cast("long")
+    forms = {"init": LINE_INIT, "chunk": LINE_CHUNK, "over": LINE_OVER, "pdf": LINE_PDF, "step": LINE_STEP}
+    kind = F.coalesce(*[F.when(F.rlike(text, F.lit(p)), k) for k, p in forms.items()])
+    is_ = lambda k: F.col("kind") == k
+    labels = F.create_map(*[F.lit(x) for pair in STEPS.items() for x in pair])
+    return log.withColumn("kind", kind).withColumns(
+        {
+            "ch_i": F.when(is_("chunk"), number(LINE_CHUNK, 1)).when(is_("pdf"), number(LINE_PDF, 1)).when(is_("step"), number(LINE_STEP, 1)),
+            "ch_n": F.when(is_("init"), number(LINE_INIT, 1)).when(is_("chunk"), number(LINE_CHUNK, 2)).when(is_("pdf"), number(LINE_PDF, 2)).when(is_("step"), F.lit(4).cast("long")),
+            "tk_n": F.when(is_("init"), number(LINE_INIT, 2)),
+            "tk_cum": F.when(is_("chunk"), number(LINE_CHUNK, 3)),
+            "title": F.when(is_("step"), F.element_at(labels, number(LINE_STEP, 1).cast("int"))),
+        }
+    )
+
+
+def sse_events(lines: DataFrame, line: str = "line") -> DataFrame:
+    """Adds kind, piece and conversation of server-sent lines ("data: {...}"); other lines and bad JSON have a null kind."""
+    body = F.try_parse_json(F.when(F.startswith(line, F.lit("data: ")), F.substring(line, 7, 1 << 30)))
+    get = lambda path: F.try_variant_get(body, path, "string")
+    return lines.withColumns({"kind": get("$.event"), "piece": get("$.answer"), "conversation": get("$.conversation_id")})
+
+
 def _step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     """One job's new events on top of its state."""
     started, ch_max, ch_val, pct, tk_max, tk_val, label = state.get if state.exists else (False, 1, 0, 0, -1, 0, "")
-    rows = pd.concat(list(batches)).sort_values("order")
-    for r in rows.itertuples():
+    columns = ["order", "kind", "ch_i", "ch_n", "tk_n", "tk_cum", "title"]
+    rows = sorted((r for batch in batches for r in batch[columns].itertuples()), key=lambda r: r.order)
+    for r in rows:
         if r.kind == "init":
             started, ch_max, ch_val, pct, tk_max, tk_val, label = True, max(int(r.ch_n), 1), 0, 0, max(int(r.tk_n), 1), 0, "starting"
         elif r.kind == "chunk":

@@ -79,3 +79,40 @@ def test_access(spark):
     calls = spark.createDataFrame([("edit",), ("look",)], "name string")
     tools = spark.createDataFrame([("edit", 1)], "name string, permission int")
     assert [r.name for r in access.may_run(calls, tools, access.Permission.READ).collect()] == ["look"]
+
+
+def test_readers_and_sinks(spark, tmp_path):
+    from corpuslab.sources import readers
+
+    (tmp_path / "src" / "node_modules").mkdir(parents=True)
+    (tmp_path / "src" / "node_modules" / "x.md").write_text("no")
+    (tmp_path / "src" / "a.md").write_text("# T\n")
+    (tmp_path / "src" / "b.html").write_text("<h1>H</h1>")
+    (tmp_path / "src" / "c.csv").write_text("\ufeffp,q\n1,x|y\n" + "2,z\n" * 100)
+    (tmp_path / "src" / "d.py").write_text('def f():\n    """A docstring of words."""\n    return 1  # short\n')
+    got = {r.path[-4:]: r.text for r in readers.read_documents(spark, str(tmp_path / "src")).collect()}
+    assert got["a.md"] == "# T\n" and got["html"] == "# H"
+    assert got[".csv"].split("\n")[:3] == ["| p | q |", "|---|---|", "| 1 | x\\|y |"] and got[".csv"].endswith("(100 of 101 rows)")
+    assert got["d.py"].startswith("```python\ndef f()") and got["d.py"].endswith("```\n\n- A docstring of words.")
+    assert [(r.lang, r.n_lines) for r in readers.project(spark, str(tmp_path / "src"), newest=5).collect()] == [("python", 3)]
+    skills = str(tmp_path / "skills")
+    readers.write_skills(spark.createDataFrame([("a", "one"), ("b", "two")], "name string, text string"), skills)
+    readers.write_skills(spark.createDataFrame([("b", "new")], "name string, text string"), skills)
+    assert sorted((r.doc, r.value) for r in spark.read.text(skills).collect()) == [("a", "one"), ("b", "new")]
+    (tmp_path / "cov" / "d1").mkdir(parents=True)
+    (tmp_path / "cov" / "d2").mkdir()
+    (tmp_path / "cov" / "d1" / "coverage.json").write_text('{"total_pages": 9, "processed_ranges": [[1, 3], [5, 6]]}')
+    (tmp_path / "cov" / "d2" / "coverage.json").write_text("{bad")
+    assert sorted((r.doc, r.total, r.lo, r.hi) for r in readers.read_coverage(spark, str(tmp_path / "cov")).collect()) == [("d1", 9, 1, 3), ("d1", 9, 5, 6)]
+
+
+def test_more_text_functions(spark):
+    from pyspark.sql import functions as F
+
+    from corpuslab.functions import text as T
+
+    df = spark.createDataFrame([("a\n  b\n    c", "x/y.TS"), ("\ta\n b", "x.zig"), ("none", "Makefile"), (None, None)], "t string, p string")
+    assert [tuple(r) for r in df.select(T.indent(F.col("t")), T.language(F.col("p"))).collect()] == [("  ", "typescript"), ("\t", "zig"), ("", ""), ("", None)]
+    one = spark.createDataFrame([("/* block of text */ x = 1 // a longer line comment\n# no",)], "t string")
+    assert one.select(T.comments(F.col("t"))).first()[0] == ["block of text", "a longer line comment"]
+    assert [tuple(one.select(T.edit(F.col("t"), a, b).alias("e")).first().e)[1] for a, b in (("x", "x"), ("zz", "y"), ("o", "0"), ("block", "B"))] == ["same", "missing", "several", None]
