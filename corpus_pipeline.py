@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from corpuslab.llm import decontaminate, jaccard, packing, pii, quality
-from corpuslab.llm.batches import shared_folder
+from corpuslab.llm.batches import remove, scratch, shared_folder
 
 #: (name, function of the session, the documents so far and the folder of tables).
 STAGES = [
@@ -23,11 +23,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each is written and read again before the next."""
+    """All stages over documents; each is written and read again before the next, and what it alone needed is deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if k:
+            remove(spark, [f"{folder}/{k - 1}-{STAGES[k - 1][0]}"])
         docs = spark.read.parquet(path)
     return docs

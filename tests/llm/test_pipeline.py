@@ -1,5 +1,6 @@
 """Each stage of the pipeline against a plain version on its own input."""
 
+import os
 import re
 
 import corpus_pipeline
@@ -47,3 +48,35 @@ def test_stages(spark, sf_dir, tmp_path):
             packed(rows, before)
             continue
         before = after
+
+
+def test_edge_rows_through_all_stages(spark, tmp_path):
+    prose = "The first line of this text has enough words to stay, as all of them do here."
+    item = "a passage of the benchmark that nobody may train a model on, since it is tested with it"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    far = " ".join(f"w{k}" for k in range(30_000)) + "."
+    rows = [(1, prose), (1, prose), (2, prose.upper()), (3, None), (4, ""), (None, f"{prose} Yet another one."), (None, None), (5, f"{prose} {item}"), (6, f"{prose} Mail to joe@example.org about it, please do.\nHome | Shop | Cart"), (7, far)]
+    schema = "doc_id long, text string, _row string, _key int, _text int, n_shingles int, spans string, kept boolean"
+    df = spark.createDataFrame([(*r, "r", 1, 2, 3, "s", True) for r in rows], schema)
+    for given in (df, df.where("false")):
+        docs = given
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, str(tmp_path))
+            path = str(tmp_path / f"{given is df}-{k}")
+            out.write.parquet(path)
+            if k < 4:
+                assert out.columns == df.columns
+            docs = spark.read.parquet(path) if k < 4 else spark.read.parquet(path).orderBy("doc_id", "piece")
+            if k == 3 and given is df:
+                left = sorted((r.doc_id or 0, r.text) for r in docs.collect())
+                assert left == [(0, f"{prose} Yet another one."), (1, prose), (6, f"{prose} Mail to [EMAIL] about it, please do."), (7, far)]
+                assert {tuple(r)[2:] for r in docs.collect()} == {("r", 1, 2, 3, "s", True)}
+        assert docs.where("doc_id = 7").count() > 1 or given is not df
+
+
+def test_run_leaves_no_tables_behind(spark, sf_dir):
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    assert corpus_pipeline.run(spark, sf_dir).count() > 0
+    new = set(os.listdir(folder)) - before
+    assert len(new) == 1 and new.pop().startswith("pipeline-")
