@@ -672,3 +672,71 @@ def index_append(spark, sf_dir):
     index = docs.select(F.col("source").alias("section"), place.alias("at"), F.col("lang").alias("line"))
     more = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id").select(F.col("source").alias("section"), place.alias("at"), F.lit("more").alias("line"))
     return readers.append_entries(index, more)
+
+
+def lin_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A LIN description for every order: its lines are signals in one frame, their suppliers nodes, and the order's priority a schedule."""
+    from pyspark.sql import Window
+
+    own = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.row_number().over(own).alias("k"), F.col("l_quantity").cast("long").alias("bits"), "l_suppkey", "l_partkey")
+    before = Window.partitionBy("l_orderkey").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    lines = lines.withColumn("at", F.coalesce(F.sum("bits").over(before), F.lit(0)))
+    signal = F.format_string("  S%d: %d, %d, N%d, ECU, P%d;\n", "k", "bits", F.col("l_partkey") % 9, "l_suppkey", F.col("l_partkey") % 7)
+    placed = F.format_string("    S%d, %d;\n", "k", "at")
+    text = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", c.alias("t")))), lambda x: x["t"]), "")
+    parts = lines.groupBy("l_orderkey").agg(text(signal).alias("signals"), text(placed).alias("placed"), F.array_join(F.sort_array(F.collect_set(F.format_string("N%d", "l_suppkey"))), ", ").alias("nodes"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.regexp_replace("o_orderpriority", r"\W", "_").alias("table"))
+    joined = orders.join(parts, F.col("o_orderkey") == F.col("l_orderkey"))
+    return joined.select(
+        F.col("o_orderkey").cast("string").alias("path"),
+        F.format_string(
+            "LIN_description_file; // order\nNodes {\n  Master: ECU, 5 ms, 0.1 ms;\n  Slaves: %s;\n}\nSignals {\n%s}\nFrames {\n  F1: 0x%02X, ECU, 8 {\n%s  }\n}\nSchedule_tables {\n  T%s {\n    F1 delay 10 ms;\n  }\n}\n",
+            "nodes", "signals", F.col("o_orderkey") % 60, "placed", "table",
+        ).alias("text"),
+    )
+
+
+_SQL_LIN = """WITH line AS (SELECT CAST(l_orderkey AS VARCHAR) AS path, row_number() OVER o AS k, CAST(l_quantity AS BIGINT) AS bits, l_suppkey, l_partkey,
+CAST(coalesce(sum(CAST(l_quantity AS BIGINT)) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS place
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey WINDOW o AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity))"""
+
+
+@query("lin_signals", _SQL_LIN + """ SELECT path, k - 1 AS seq, 'S' || k AS name, bits AS size, CAST(l_partkey % 9 AS VARCHAR) AS init_value, 'N' || l_suppkey AS publisher,
+'ECU,P' || l_partkey % 7 AS subscribers, 'F1' AS frame, place AS "offset" FROM line""")
+def lin_signals(spark, sf_dir):
+    from corpuslab.sources import lin
+
+    return lin.signals(lin_files(spark, sf_dir)).withColumn("subscribers", F.array_join("subscribers", ","))
+
+
+@query("lin_nodes", _SQL_LIN + """, slaves AS (SELECT path, 'N' || l_suppkey AS name, row_number() OVER (PARTITION BY path ORDER BY 'N' || l_suppkey) AS seq FROM (SELECT DISTINCT path, l_suppkey FROM line))
+SELECT path, seq, name, 'Slave' AS role, 0.0::DOUBLE AS time_base, 0.0::DOUBLE AS jitter FROM slaves UNION ALL SELECT DISTINCT path, 0, 'ECU', 'Master', 5.0::DOUBLE, 0.1::DOUBLE FROM line""")
+def lin_nodes(spark, sf_dir):
+    from corpuslab.sources import lin
+
+    return lin.nodes(lin_files(spark, sf_dir))
+
+
+@query("lin_schedules", _SQL_LIN + """ SELECT DISTINCT path, 'T' || regexp_replace(o_orderpriority, '\\W', '_', 'g') AS "table", 0 AS seq, 'F1' AS frame, 10.0::DOUBLE AS delay_ms FROM line JOIN orders ON path = CAST(o_orderkey AS VARCHAR)
+UNION ALL SELECT DISTINCT path, 'T2', 0, 'F1', 20.0::DOUBLE FROM line""")
+def lin_schedules(spark, sf_dir):
+    from corpuslab.sources import lin
+
+    files = lin_files(spark, sf_dir)
+    new = files.select("path", F.lit("T2").alias("table"), F.lit("F1").alias("frame"), F.lit(20.0).alias("delay_ms"), F.lit(0).alias("k"))
+    return lin.append_schedule(lin.schedules(files), new)
+
+
+@query("lin_save", _SQL_LIN + """, wide AS (SELECT path, count(*) AS n_signals, CAST(sum(bits) AS BIGINT) AS bits FROM line GROUP BY path)
+SELECT path, n_signals, bits * 2 AS bits, true AS comment_stays, 1 AS n_frames FROM wide""")
+def lin_save(spark, sf_dir):
+    """Doubles all signals, packs them anew, writes the four sections back and reads the files again."""
+    from corpuslab.sources import lin
+
+    files = lin_files(spark, sf_dir)
+    doubled = relations.running_offset(lin.signals(files).withColumn("size", F.col("size") * 2), "path", ["seq"], "size").withColumn("offset", F.col("offset").cast("int"))
+    saved = lin.save(files, Nodes=lin.render_nodes(lin.nodes(files)), Signals=lin.render_signals(doubled), Frames=lin.render_frames(lin.frames(files), doubled), Schedule_tables=lin.render_schedules(lin.schedules(files)))
+    sizes = lin.signals(saved).groupBy("path").agg(F.count("*").alias("n_signals"), F.sum("size").cast("long").alias("bits"))
+    frames = lin.frames(saved).groupBy("path").agg(F.count("*").alias("n_frames"))
+    return saved.select("path", F.contains("text", F.lit("; // order")).alias("comment_stays")).join(sizes, "path").join(frames, "path")

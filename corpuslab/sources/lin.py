@@ -6,7 +6,7 @@ functions; the order of entries is kept in `seq`.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslab.functions import text as T
@@ -85,3 +85,52 @@ def render_signals(signal_rows: DataFrame, indent: str = "  ") -> DataFrame:
     rows = signal_rows.select("path", "seq", line.alias("text"))
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "")
     return rows.groupBy("path").agg(F.concat(F.lit("Signals {\n"), body, F.lit("}\n")).alias("section"))
+
+
+def _joined(rows: DataFrame, name: str, line: Column) -> DataFrame:
+    """(path, section): lines in order inside a section."""
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", line.alias("text")))), lambda x: x["text"]), "")
+    return rows.groupBy("path").agg(F.concat(F.lit(f"{name} {{\n"), body, F.lit("}\n")).alias("section"))
+
+
+def render_nodes(node_rows: DataFrame, indent: str = "  ") -> DataFrame:
+    """(path, section): the Nodes section; the slaves in order on one line."""
+    number = lambda c: F.regexp_replace(F.format_string("%s", F.col(c)), r"\.0$", "")
+    master = F.max(F.when(F.col("role") == "Master", F.concat(F.lit(f"{indent}Master: "), "name", F.lit(", "), number("time_base"), F.lit(" ms, "), number("jitter"), F.lit(" ms;\n"))))
+    slaves = F.transform(F.sort_array(F.collect_list(F.when(F.col("role") == "Slave", F.struct("seq", "name")))), lambda x: x["name"])
+    listed = F.when(F.size(slaves) > 0, F.concat(F.lit(f"{indent}Slaves: "), F.array_join(slaves, ", "), F.lit(";\n"))).otherwise("")
+    return node_rows.groupBy("path").agg(F.concat(F.lit("Nodes {\n"), F.coalesce(master, F.lit("")), listed, F.lit("}\n")).alias("section"))
+
+
+def render_schedules(schedule_rows: DataFrame, indent: str = "  ") -> DataFrame:
+    """(path, section): the Schedule_tables section, tables by name."""
+    line = F.concat(F.lit(indent * 2), "frame", F.lit(" delay "), F.regexp_replace(F.format_string("%s", F.col("delay_ms")), r"\.0$", ""), F.lit(" ms;\n"))
+    entries = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", line.alias("text")))), lambda x: x["text"]), "")
+    tables = schedule_rows.groupBy("path", "table").agg(F.concat(F.lit(indent), F.col("table"), F.lit(" {\n"), entries, F.lit(f"{indent}}}\n")).alias("text"))
+    return _joined(tables.withColumn("seq", F.col("table")), "Schedule_tables", F.col("text"))
+
+
+def save(files: DataFrame, **sections: DataFrame) -> DataFrame:
+    """(path, text): files with the given sections, Nodes=(path, section) and so on, in place of theirs; new ones go to the end, all else stays as it is."""
+    out = files.select("path", "text")
+    for name, rendered in sections.items():
+        found = SECTION.format(name=name)
+        before = F.regexp_extract("text", rf"(?s)\A(.*?)(?={found}\n?)", 1)
+        whole = F.regexp_extract("text", rf"(?s)(?:{found})\n?", 0)
+        after = F.substring(F.col("text"), F.length(before) + F.length(whole) + 1, F.length("text"))
+        replaced = F.when(F.col("section").isNull(), F.col("text")).when(F.rlike("text", F.lit(found)), F.concat(before, "section", after)).otherwise(F.concat("text", F.lit("\n"), "section"))
+        out = out.join(rendered.select("path", "section"), "path", "left").select("path", replaced.alias("text"))
+    return out
+
+
+def append_schedule(schedule_rows: DataFrame, new: DataFrame) -> DataFrame:
+    """Entries (path, table, frame, delay_ms, k) added at the end of their tables in the order of k; a table that is not there begins."""
+    ends = schedule_rows.groupBy("path", "table").agg(F.max("seq").alias("_end"))
+    place = F.row_number().over(Window.partitionBy("path", "table").orderBy("k")) + F.coalesce("_end", F.lit(-1))
+    added = new.join(ends, ["path", "table"], "left").select("path", "table", place.cast("int").alias("seq"), "frame", "delay_ms")
+    return schedule_rows.unionByName(added)
+
+
+def delete_schedule(schedule_rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """Without the tables (path, table) of `gone`."""
+    return schedule_rows.join(gone.select("path", "table").distinct(), ["path", "table"], "left_anti")
