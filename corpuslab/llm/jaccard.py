@@ -10,7 +10,7 @@ pivots (two sets that link differ in too little to share none of these).
 Regions with the same members are one region.
 
 Sizes of sets that link differ by a bounded factor, so a region falls apart where
-no member has a size in between.  Counts of shingles by bucket bound the
+no member has a size in between.  Counts of shingles by bucket (more buckets for larger sets) bound the
 intersection of two sets from above; members that this bound keeps apart are parted
 too, by pairs in regions of up to `small` members and in one task each above.
 What is left of overlapping regions is merged, so that each set is sent once.  A
@@ -51,7 +51,9 @@ from corpuslab.llm import wordhash as W
 from corpuslab.llm.batches import bound, written
 from corpuslab.llm.graph import components
 
-SHINGLE, PERCENT, SMALL, MOST, BUCKETS, PIVOTS = 5, 80, 4, 1 << 20, 256, 16
+SHINGLE, PERCENT, SMALL, MOST, BUCKETS, PIVOTS = 5, 80, 4, 1 << 19, 256, 16
+#: Bytes of counts by bucket that one task compares.
+COUNTED = 8 << 20
 #: How far from its pivot a set is at most, what share of its parent a cell has that is parted once more, and how often regions are parted at most.
 _RADIUS, _SHRINKS, _DEEPEST = 0.6, 0.9, 8
 _LONE = np.uint64(0x2545F4914F6CDD1D)
@@ -134,7 +136,7 @@ def members(docs: DataFrame, levels, shared, size: int, percent: int) -> DataFra
                         given.clear()
                     given.add(names[-1])
                 pivots.append(own.view(np.int64) if new else None)
-                counts.append(np.minimum(np.bincount((s & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes() if new else None)
+                counts.append(bucket_counts(s).tobytes() if new else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(pivots, pa.list_(pa.int64())), pa.array(counts, pa.binary())],
                 ["doc_id", "n_shingles", "name", "pivots", "counts"],
@@ -173,14 +175,32 @@ def shingles_of(docs: DataFrame, names: DataFrame, size: int) -> DataFrame:
     return docs.select("text").mapInArrow(find, "name binary, shingles array<long>")
 
 
+def bucket_counts(s: np.ndarray) -> np.ndarray:
+    """How many shingles of a set fall to each bucket, 255 for any number from there on; larger sets have more buckets, at most two shingles to one on average."""
+    buckets = max(BUCKETS, 1 << (len(s).bit_length() - 1))
+    return np.minimum(np.bincount((s & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets), 255).astype(np.uint8)
+
+
+def folded(counts: np.ndarray, buckets: int) -> np.ndarray:
+    """Rows of counts for fewer buckets."""
+    if counts.shape[1] == buckets:
+        return counts
+    parts = counts.reshape(len(counts), -1, buckets)
+    total = np.minimum(parts.sum(1, dtype=np.int64), 255).astype(np.uint8)
+    total[(parts == 255).any(1)] = 255
+    return total
+
+
 def most_common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Upper bound of the intersections of sets, from their counts by bucket; a full bucket may hold any number."""
-    least = np.minimum(x, y).astype(np.int64)
-    least[(x == 255) & (y == 255)] = 1 << 40
-    odd = (x == 255) != (y == 255)
-    if odd.any():
-        least[odd] = np.minimum(np.where(x == 255, 1 << 40, x), np.where(y == 255, 1 << 40, y))[odd]
-    return least.sum(-1)
+    least = np.minimum(x, y)
+    out = least.sum(-1, dtype=np.int64)
+    full = (x == 255) | (y == 255)
+    if full.any():
+        out += (full & ((x == 255) & (y == 255))).sum(-1) << 40
+        odd = full & ~((x == 255) & (y == 255))
+        out += np.where(odd, np.where(x == 255, y, x).astype(np.int64) - least, 0).sum(-1)
+    return out
 
 
 def may_link(pairs: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
@@ -189,36 +209,48 @@ def may_link(pairs: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BUCKETS) for c in ("ca", "cb"))
             na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-            most = np.minimum(most_common(x, y), np.minimum(na, nb))
+            ca, cb = ([np.frombuffer(x.as_buffer(), np.uint8) for x in batch.column(c)] for c in ("ca", "cb"))
+            sizes, of = np.unique([(len(x), len(y)) for x, y in zip(ca, cb, strict=True)], axis=0, return_inverse=True)
+            most = np.zeros(len(na), np.int64)
+            for k in range(len(sizes)):
+                at, few = np.flatnonzero(of.ravel() == k), int(sizes[k].min())
+                most[at] = most_common(folded(np.stack([ca[i] for i in at]), few), folded(np.stack([cb[i] for i in at]), few))
+            most = np.minimum(most, np.minimum(na, nb))
             yield batch.select(["a", "b"]).filter(pa.array(most * 100 >= (na + nb - most) * percent))
 
     return both.select("a", "na", "b", "nb", "ca", "cb").mapInArrow(keep, "a binary, b binary")
 
 
-def _parted(large: DataFrame, counts: DataFrame, percent: int, members_most: int = 4096) -> DataFrame:
-    """(a, b): links that keep together what the bound does not part, for larger regions; one of too many members stays whole."""
+def _parted(large: DataFrame, counts: DataFrame, percent: int, counted: int = COUNTED) -> DataFrame:
+    """(a, b): links that keep together what the bound does not part, for larger regions; one with too many counts for a task stays whole."""
 
     def part(table: pa.Table) -> pa.Table:
+        order = np.argsort(table["n"].to_numpy(), kind="stable")
+        table = table.take(pa.array(order))
         names, n = table["name"].to_pylist(), table["n"].to_numpy()
-        x = np.frombuffer(b"".join(table["counts"].to_pylist()), np.uint8).reshape(-1, BUCKETS)
-        order = np.argsort(n, kind="stable")
-        names, n, x = [names[k] for k in order], n[order], x[order]
+        rows = [np.frombuffer(x.as_buffer(), np.uint8) for x in table["counts"]]
+        widths = np.array([len(x) for x in rows])  # larger sets have as many buckets at least
         cell = np.arange(len(n))
-        for k in range(len(n)):
-            stop = int(np.searchsorted(n, n[k] * 100 / percent, "right"))
-            most = np.minimum(most_common(x[k], x[k + 1 : stop]), n[k])
-            near = k + 1 + np.flatnonzero(most * 100 >= (n[k] + n[k + 1 : stop] - most) * percent)
-            joined = np.unique(np.append(cell[near], cell[k]))
-            if len(joined) > 1:
-                cell[np.isin(cell, joined)] = joined[0]
+        for width in np.unique(widths).tolist():
+            first, end = (int(np.searchsorted(widths, width, side)) for side in ("left", "right"))
+            last = int(np.searchsorted(n, n[end - 1] * 100 / percent, "right"))
+            x = np.concatenate([folded(rows[k][None], width) for k in range(first, last)])
+            for k in range(first, end):
+                stop = int(np.searchsorted(n, n[k] * 100 / percent, "right"))
+                most = np.minimum(most_common(x[k - first], x[k - first + 1 : stop - first]), n[k])
+                near = k + 1 + np.flatnonzero(most * 100 >= (n[k] + n[k + 1 : stop] - most) * percent)
+                joined = np.unique(np.append(cell[near], cell[k]))
+                if len(joined) > 1:
+                    cell[np.isin(cell, joined)] = joined[0]
         other = np.flatnonzero(cell != np.arange(len(n)))
         return pa.table({"a": pa.array([names[cell[k]] for k in other], pa.binary()), "b": pa.array([names[k] for k in other], pa.binary())})
 
-    with_counts = large.where(F.col("size") <= members_most).join(counts.select("name", "counts"), "name").select("region", "name", "n", "counts")
-    parted = with_counts.groupBy("region").applyInArrow(part, "a binary, b binary")
-    whole = large.where(F.col("size") > members_most)
+    with_counts = large.join(counts.select("name", "counts"), "name").select("region", "name", "n", "counts")
+    sizes = large.join(counts.select("name", F.octet_length("counts").alias("c")), "name").groupBy("region").agg(F.sum("c").alias("c"))
+    fits = written(sizes.select("region", (F.col("c") <= counted).alias("fits")), "fits")
+    parted = with_counts.join(fits.where("fits"), "region", "left_semi").groupBy("region").applyInArrow(part, "a binary, b binary")
+    whole = large.join(fits.where("not fits"), "region", "left_semi")
     first = whole.groupBy("region").agg(F.min("name").alias("a"))
     return parted.unionByName(whole.join(first, "region").select("a", F.col("name").alias("b")).where("a <> b"))
 
@@ -443,6 +475,8 @@ def _joined_regions(docs: DataFrame, merged: DataFrame, size: int, percent: int,
         across = len(set(table["block"][0].as_py().split("-"))) > 1
         region = Region(elements, percent, table["n"].to_numpy(), table["lacking"].to_numpy(), table["base"][0].as_py())
         found, number = region.links(own, across, mask)
+        del region, elements
+        W.trim()
         ordered = [sorted((names[a], names[b])) for a, b in found]
         some = np.flatnonzero(number).tolist()
         a = [x for x, _ in ordered] + [names[k] for k in some]

@@ -331,6 +331,7 @@ def _building(shared, n: int, discount: float, min_count: int, block_tokens: int
         def close() -> Iterator[pa.RecordBatch]:
             if writer:
                 uri = writer.close()
+                W.trim()
                 yield _built([(*r[:4], uri, *r[4:]) for r in rows])
                 rows.clear()
 

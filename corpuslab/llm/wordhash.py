@@ -211,3 +211,13 @@ def whole_windows(w: Words, size: int) -> np.ndarray:
     """Positions where a window of `size` words lies within one document."""
     left = np.repeat(w.first[1:], w.counts) - np.arange(len(w.starts))
     return np.flatnonzero(left >= size)
+
+
+def trim() -> None:
+    """Gives freed memory of this Python worker back; workers are kept between tasks."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release:
+        release(0)

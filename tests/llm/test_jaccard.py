@@ -1,6 +1,7 @@
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from corpuslab.llm import graph, jaccard
@@ -64,6 +65,19 @@ def test_large_groups_of_near_copies_recur(spark, most):
     assert result(jaccard.join(df, small=4, most=most)) == brute(texts)
 
 
+def test_bucket_counts_bound_intersections():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (1, 5, 300, 300, 900, 5000, 5000)]
+    sets += [np.union1d(sets[-1][:4500], sets[4]), np.arange(0, 2**20, 256, dtype=np.uint64)]  # one bucket holds all of the last
+    for x in sets:
+        for y in sets:
+            a, b = jaccard.bucket_counts(x)[None], jaccard.bucket_counts(y)[None]
+            few = min(a.shape[1], b.shape[1])
+            assert jaccard.most_common(jaccard.folded(a, few), jaccard.folded(b, few))[0] >= len(np.intersect1d(x, y))
+    a, b = (jaccard.bucket_counts(sets[k])[None] for k in (5, 6))
+    assert jaccard.most_common(a, b)[0] < 0.7 * 5000  # unrelated sets are parted however large they are
+
+
 @pytest.mark.parametrize("most", [200, 2000, jaccard.MOST])
 def test_numbers_of_links(spark, most):
     texts = {}
