@@ -219,10 +219,22 @@ def read_symbol(files: DataFrame, found: DataFrame, name: str, most: int = 100)
     return marks.join(all_lines, "path").select("path", "line", F.array_join(F.slice("all", F.col("line").cast("int"), size), "\n").alias("text"))
 
 
-def mermaid(found: DataFrame) -> DataFrame:
-    """(path, line) of a graph: an arrow for every dependency."""
+def mermaid(found: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """(path, line) of a graph: an arrow for every dependency, and with `files` a node for each file without any."""
     arrow = F.concat(T.mermaid_id(F.col("path")), F.lit(" -->|"), F.col("how"), F.lit("| "), T.mermaid_id(F.col("module")))
-    return dependencies(found).select("path", arrow.alias("line")).distinct()
+    edges = dependencies(found)
+    lines = edges.select("path", arrow.alias("line")).distinct()
+    if files is None:
+        return lines
+    alone = files.select("path").join(edges.select("path").distinct(), "path", "left_anti")
+    return lines.unionByName(alone.select("path", T.mermaid_id(F.col("path")).alias("line")))
+
+
+def dependency_json(found: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, dependencies): the dependencies of each file as a JSON list in the order of its lines."""
+    each = _of(found, "import").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("line", "module", "how"))).alias("d"))
+    listed = F.to_json(F.transform(F.coalesce("d", F.expr("cast(array() as array<struct<line:bigint,module:string,how:string>>)")), lambda x: F.struct(x["module"].alias("module"), x["how"].alias("how"))))
+    return files.select("path").join(each, "path", "left").select("path", listed.alias("dependencies"))
 
 
 def reachable(edges: DataFrame, source: str, target: str, start: DataFrame, hops: int) -> DataFrame:

@@ -494,8 +494,14 @@ def code_symbol_table(spark, sf_dir):
 @query("code_mermaid", _SQL_CODE + r""" SELECT path, regexp_replace(string_split(path, '/')[-1], '[^A-Za-z0-9_]', '_', 'g') || ' -->|' || how || '| ' ||
 regexp_replace(string_split(module, '/')[-1], '[^A-Za-z0-9_]', '_', 'g') AS line FROM imported""")
 def code_mermaid(spark, sf_dir):
-    code, _, found = _symbols(spark, sf_dir)
-    return code.mermaid(found)
+    code, files, found = _symbols(spark, sf_dir)
+    return code.mermaid(found, files)
+
+
+@query("code_dependency_json", _SQL_CODE + """ SELECT path, '[' || string_agg('{"module":"' || module || '","how":"' || how || '"}', ',' ORDER BY line) || ']' AS dependencies FROM imported GROUP BY path""")
+def code_dependency_json(spark, sf_dir):
+    code, files, found = _symbols(spark, sf_dir)
+    return code.dependency_json(found, files)
 
 
 def typed_files(spark: SparkSession, sf_dir: str) -> DataFrame:

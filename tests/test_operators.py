@@ -232,6 +232,8 @@ def test_code_analysis(spark):
     assert ("helper", 2) in by(code.called_by(found), "callee", "callers")
     assert ("walk", "add", "b.c") in by(code.call_graph(found).where("callee_path is not null"), "caller", "callee", "callee_path")
     assert 'a_py -->|import| os' in [r.line for r in code.mermaid(found).collect()]
+    assert ("e.py", "e_py") in by(code.mermaid(found, files), "path", "line")
+    assert ("e.py", "[]") in by(code.dependency_json(found, files), "path", "dependencies")
     assert ("b.c", 2, "#define MAX(a) ((a) > limit(a))") in by(code.skeleton(files, found), "path", "line", "signature")
     assert code.read_symbol(files, found, "tiny").first().text == "int tiny(void) { return 1; }"
     assert [r.name for r in code.complexity(found, 2).collect()] == ["put", "walk"]
