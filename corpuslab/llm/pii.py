@@ -105,7 +105,11 @@ _DOT_WORD = rf"(?:{_OPEN}(?:dot|\.){_CLOSE}|\sdot\s)"
 _GAP = r"[\s,().-]"
 _FOLD = re.compile(_ODD)
 #: What has to be somewhere in a text for the transducers of words to act.
-_WORDS = re.compile(rf"[(\[{{<]\s?(?:at|@|dot|\.)\s?[)\]}}>]|\sdot\s|{_NUMBER}", re.IGNORECASE)
+_WORDS = re.compile(
+    rf"[(\[{{<]\s?(?:at|@|dot|\.)\s?[)\]}}>]|\sdot\s"
+    rf"|\b{_NUMBER}\b(?:{_GAP}{{1,3}}(?:[0-9]|{_NUMBER}\b)|\.[A-Za-z0-9])|[0-9+]{_GAP}{{0,3}}\b{_NUMBER}\b|[A-Za-z0-9]\.{_NUMBER}\b",
+    re.IGNORECASE,
+)
 _SIGN = re.compile(
     rf"(?P<at>{_OPEN}(?:at|@){_CLOSE}|(?<=[A-Za-z0-9])\sat\s(?=[A-Za-z0-9-]{{1,64}}{_DOT_WORD}))"
     rf"|(?P<dot>(?<=[A-Za-z0-9]){_DOT_WORD}(?=[A-Za-z0-9]))",
