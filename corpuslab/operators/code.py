@@ -260,3 +260,18 @@ def call_graph(found: DataFrame) -> DataFrame:
     names = _of(found, "function").groupBy("name").agg(F.min("path").alias("callee_path")).withColumnRenamed("name", "callee")
     edges = _of(found, "function").select("path", F.col("name").alias("caller"), "line", F.explode("calls").alias("callee"))
     return edges.join(names, "callee", "left").select("path", "caller", "callee", "line", "callee_path")
+
+
+def everything(files: DataFrame, found: DataFrame) -> DataFrame:
+    """(analysis, path, detail): all analyses in one relation, their rows as JSON; path is null where an analysis has none."""
+    parts = {
+        "metrics": metrics(files, found), "call_graph": call_graph(found), "dependency_graph": dependencies(found), "complexity": complexity(found),
+        "dead_functions": unused_functions(found), "dead_imports": unused_imports(found), "symbol_table": symbol_table(found), "type_info": types(found),
+        "issues": issues(found), "data_flow": data_flow(found), "control_flow": control_flow(found), "skeleton": skeleton(files, found),
+    }
+    out = None
+    for name, rows in parts.items():
+        path = F.col("path") if "path" in rows.columns else F.lit(None).cast("string")
+        rows = rows.select(F.lit(name).alias("analysis"), path.alias("path"), F.to_json(F.struct(*rows.columns)).alias("detail"))
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -504,6 +504,17 @@ def code_dependency_json(spark, sf_dir):
     return code.dependency_json(found, files)
 
 
+@query("code_everything", _SQL_CODE + """, n AS (SELECT (SELECT count(*) FROM once) AS f, (SELECT count(*) FROM imported) AS m, (SELECT count(*) FROM defined) AS d)
+SELECT 'metrics' AS analysis, count(*) AS n FROM (SELECT DISTINCT lang FROM files) UNION ALL SELECT 'call_graph', count(*) FROM edges UNION ALL SELECT 'dependency_graph', m FROM n
+UNION ALL SELECT 'complexity', f FROM n UNION ALL SELECT 'dead_functions', count(*) FROM once WHERE name NOT IN (SELECT name FROM calls)
+UNION ALL SELECT 'dead_imports', count(*) FROM imported WHERE (path, name) NOT IN (SELECT (path, name) FROM calls) UNION ALL SELECT 'symbol_table', f + d FROM n
+UNION ALL SELECT 'issues', (SELECT 2 * count(*) FROM defined WHERE lang = 'c') + count(*) FROM defined WHERE name = callee
+UNION ALL SELECT 'data_flow', count(DISTINCT (path, CASE lang WHEN 'py' THEN 'y' ELSE var END)) FROM defined UNION ALL SELECT 'control_flow', d FROM n UNION ALL SELECT 'skeleton', f + m FROM n""")
+def code_everything(spark, sf_dir):
+    code, files, found = _symbols(spark, sf_dir)
+    return code.everything(files, found).groupBy("analysis").agg(F.count("*").alias("n"))
+
+
 def typed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source files made from the documents: a type with a base and a method for every line of three plain words."""
     docs = table(spark, sf_dir, "documents")
@@ -746,3 +757,43 @@ def lin_save(spark, sf_dir):
     sizes = lin.signals(saved).groupBy("path").agg(F.count("*").alias("n_signals"), F.sum("size").cast("long").alias("bits"))
     frames = lin.frames(saved).groupBy("path").agg(F.count("*").alias("n_frames"))
     return saved.select("path", F.contains("text", F.lit("; // order")).alias("comment_stays")).join(sizes, "path").join(frames, "path")
+
+
+def _tasks(spark, sf_dir):
+    status = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "O", "pending").otherwise("held")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.lower(F.substring_index("o_orderpriority", "-", -1)).alias("priority"), status.alias("status"), F.col("o_orderpriority").alias("content"))
+
+
+@query("todo_progress", "SELECT count(*) FILTER (o_orderstatus = 'F') AS done, count(*) AS total FROM orders")
+def todo_progress(spark, sf_dir):
+    from corpuslab.operators import notes
+
+    return notes.progress(_tasks(spark, sf_dir))
+
+
+@query("todo_invalid", "SELECT o_orderkey AS id FROM orders WHERE o_orderstatus NOT IN ('F', 'O') OR lower(string_split(o_orderpriority, '-')[-1]) NOT IN ('high', 'medium', 'low')")
+def todo_invalid(spark, sf_dir):
+    from corpuslab.operators import notes
+
+    return notes.invalid(_tasks(spark, sf_dir)).select("id")
+
+
+@query("memory_upsert", "SELECT c_name AS key, CASE WHEN c_custkey = 7 THEN 'seen' ELSE c_mktsegment END AS content FROM customer")
+def memory_upsert(spark, sf_dir):
+    from corpuslab.operators import notes
+
+    memory = table(spark, sf_dir, "customer").select(F.col("c_name").alias("key"), F.col("c_mktsegment").alias("content"))
+    name = table(spark, sf_dir, "customer").where("c_custkey = 7").head()["c_name"]
+    return notes.remember(memory, name, "seen")
+
+
+@query("blocked_calls", "SELECT conv_id, turn, 'read' AS name FROM conversations UNION ALL SELECT conv_id, turn, 'search' FROM conversations WHERE role = 'user'")
+def blocked_calls(spark, sf_dir):
+    """Calls of replies that the rules of their roles do not allow: users may not search, and nobody may read."""
+    from corpuslab.operators import tool_calls
+
+    roles = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    calls = tool_calls.extract(replies(spark, sf_dir), ["search", "read"]).select("conv_id", "turn", F.explode("calls.name").alias("name"))
+    asked = calls.join(roles, ["conv_id", "turn"]).withColumn("rule", F.concat_ws(":", "role", "name"))
+    allowed = roles.where("role <> 'user'").select(F.concat_ws(":", "role", F.lit("search")).alias("rule")).distinct()
+    return tool_calls.blocked(asked, allowed, "rule").select("conv_id", "turn", "name")
