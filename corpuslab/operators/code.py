@@ -11,7 +11,7 @@ from __future__ import annotations
 import ast
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +23,11 @@ SYMBOLS = (
     "path string, lang string, kind string, name string, line long, lines long, cyclomatic long, max_nesting long, "
     "calls array<string>, module string, alias string, how string, members array<string>, bases array<string>, severity string, message string"
 )
-NAMES = [c.split()[0] for c in SYMBOLS.split(", ")]
+
+_KINDS = {"string": pa.string(), "long": pa.int64(), "array<string>": pa.list_(pa.string())}
+_ARROW = pa.schema([(c.split()[0], _KINDS[c.split()[1]]) for c in SYMBOLS.split(", ")])
+#: Symbols that a task gives out at once, about.
+ROWS = 20_000
 
 LANGUAGES = ("py", "c", "js", "other")
 
@@ -124,16 +128,19 @@ def _python(source: str) -> Iterator[dict]:
 def symbols(files: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
     """All symbols of all files of some languages, in the columns of SYMBOLS; a file of an unknown language is read as "other"."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for path, lang, source in zip(batch["path"], batch["lang"], batch["source"], strict=True):
+            rows: list[dict] = []
+            for path, lang, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found = _python(source or "") if lang == "py" else braces.symbols(source or "", lang)
                 rows += [{"path": path, "lang": lang, **x} for x in found]
-            yield pd.DataFrame(rows, columns=NAMES).astype(object).where(lambda d: d.notna(), None)
+                if len(rows) > ROWS:
+                    yield pa.RecordBatch.from_pylist(rows, _ARROW)
+                    rows = []
+            yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
     lang = F.when(F.col("lang").isin(*LANGUAGES), F.col("lang")).otherwise("other")
-    return files.select("path", lang.alias("lang"), "source").where(F.col("lang").isin(*languages)).mapInPandas(read, SYMBOLS)
+    return files.select("path", lang.alias("lang"), "source").where(F.col("lang").isin(*languages)).mapInArrow(read, SYMBOLS)
 
 
 def _of(found: DataFrame, kind: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.functions import text as T
+from corpuslab.functions.tables import kept
 from corpuslab.operators import batching, conversation, corpus, coverage, relations
 
 PATTERN = "keit|tion on"
@@ -388,7 +389,8 @@ imported AS (SELECT source || '/' || doc_id || '.' || ['py', 'js', 'c'][doc_id %
 def _symbols(spark, sf_dir):
     from corpuslab.operators import code
 
-    return code, code_files(spark, sf_dir), code.symbols(code_files(spark, sf_dir), ("py", "c", "js"))
+    files = code_files(spark, sf_dir)
+    return code, files, kept(code.symbols(files, ("py", "c", "js")), "symbols")  # read once, however many analyses use them
 
 
 @query("code_unused_functions", _SQL_CODE + """
