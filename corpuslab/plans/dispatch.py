@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.operators import code, conversation, corpus, coverage, notes
+from corpuslab.operators import batching, code, conversation, corpus, coverage, notes
 from corpuslab.plans.access import Permission
+from corpuslab.sources import readers
 
 #: name -> (function, permission it needs, what it does)
 OPERATIONS: dict[str, tuple[Callable[..., DataFrame], Permission, str]] = {
@@ -34,9 +35,18 @@ OPERATIONS: dict[str, tuple[Callable[..., DataFrame], Permission, str]] = {
     "control_flow": (code.control_flow, Permission.READ, "branches, loops and exits of functions"),
     "skeleton": (code.skeleton, Permission.READ, "lines that define functions and types"),
     "read_symbol": (code.read_symbol, Permission.READ, "source of the functions of a name"),
+    "call_edges": (code.call_graph, Permission.READ, "calls with the files of the functions they name"),
+    "dependency_json": (code.dependency_json, Permission.READ, "imports of files as JSON"),
+    "everything": (code.everything, Permission.READ, "all analyses in one relation"),
     "metrics": (code.metrics, Permission.READ, "files, lines and functions by language"),
     "usage": (conversation.usage, Permission.READ, "tokens of conversations"),
     "compact": (conversation.compact, Permission.READ, "conversations brought under the limit"),
+    "rebuild": (conversation.rebuild, Permission.READ, "conversations begun anew from a summary"),
+    "documents": (readers.read_documents, Permission.READ, "files of a folder as Markdown"),
+    "project": (readers.project, Permission.READ, "source files of a folder"),
+    "coverage_files": (readers.read_coverage, Permission.READ, "page ranges of coverage files"),
+    "tasks": (notes.progress, Permission.READ, "tasks done and in all"),
+    "batches": (batching.greedy_batches, Permission.READ, "rows in batches within a budget"),
     "recall": (notes.recall, Permission.READ, "notes"),
     "remember": (notes.remember, Permission.WRITE, "a note set"),
     "upsert": (corpus.upsert, Permission.WRITE, "rows replaced by key"),
