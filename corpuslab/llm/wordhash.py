@@ -166,7 +166,7 @@ def sliding_min(a: np.ndarray, size: int) -> np.ndarray:
 
 
 def parts(batches, rows: int = 64, size: int = 512 << 10):
-    """The batches in slices of few rows and bytes, whose arrays stay in the CPU's caches; a longer row is a slice of its own."""
+    """The batches in slices of few rows and bytes, whose arrays stay in the CPU's caches; a longer row is a slice of its own.  At the end freed memory is given back."""
     for batch in batches:
         if batch.nbytes <= size:
             if batch.num_rows:
@@ -181,6 +181,7 @@ def parts(batches, rows: int = 64, size: int = 512 << 10):
             stop = min(k + rows, max(k + 1, int(np.searchsorted(edges, edges[k] + size, "right")) - 1))
             yield batch.slice(k, stop - k)
             k = stop
+    trim()
 
 
 def joined(batches, size: int):
