@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuslab.llm import chat, decontaminate, html_text, jaccard, language_model, licenses, packing, pii, quality, substrings
+from corpuslab.llm import chat, decontaminate, html_text, jaccard, language_model, licenses, packing, pii, quality, substrings, token_counts
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_rules": quality.query,
     "op9_language_model": language_model.query,
     "op10_substring_dedup": substrings.query,
+    "op13_token_counts": token_counts.query,
 }
 ORACLES = {
     "op2_decontamination": decontaminate.ORACLE,
