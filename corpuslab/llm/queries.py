@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuslab.llm import chat, decontaminate, filter_audit, html_text, jaccard, language_model, licenses, packing, pii, quality, substrings, token_counts
+from corpuslab.llm import alignment, chat, decontaminate, filter_audit, html_text, jaccard, language_model, licenses, packing, pii, quality, substrings, token_counts
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_rules": quality.query,
     "op9_language_model": language_model.query,
     "op10_substring_dedup": substrings.query,
+    "op11_token_alignment": alignment.query,
     "op12_filter_audit": filter_audit.query,
     "op13_token_counts": token_counts.query,
 }

@@ -30,7 +30,7 @@ def test_same_rows_as_sql(spark, duck, sf_dir, name):
 
 def test_one_query_for_each_operator():
     names = __spark_entry__.queries()
-    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11))
+    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14))
     assert "pipeline" in names
 
 
