@@ -21,8 +21,9 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,7 +74,8 @@ def detect(text: str) -> list[tuple[str, int, int]]:
         return []
     out = [("email", a, b) for a, b in _emails(text)]
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        parts = [p.lstrip("0") for p in m[0].split(".")]  # first the length: a part can have millions of zeros
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in parts):
             out.append(("ip", m.start(), m.end()))
     for m in _CARD.finditer(text):
         if len(m[0]) >= 12:
@@ -212,25 +214,22 @@ def disguised(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, in
     if not plain:
         for kind, a, b in detect(folded.text):
             start, end = folded.source(a, b)
-            near = _near(held[kind], start, end)
-            if not any(x <= start and end <= y for x, y in near):
+            if not _holds(held[kind], start, end):
                 out.append((kind, start, end))
     taken = {k: sorted(held[k] + [(a, b) for kind, a, b in out if kind == k]) for k in KINDS}
+    ends = {k: list(accumulate((b for _, b in spans), max)) for k, spans in taken.items()}
     for kind, a, b in detect(last.text) if last.edits or last.before.edits else ():
         start, end = last.source(a, b)
-        if not _near(taken[kind], start, end):
+        before = bisect_left(taken[kind], (end,))  # spans that begin before the end
+        if not before or ends[kind][before - 1] <= start:
             out.append((kind, start, end))
     return out
 
 
-def _near(spans: list[tuple[int, int]], start: int, end: int) -> list[tuple[int, int]]:
-    """Those of some spans in order that overlap start:end."""
-    k = bisect_right(spans, (end, -1))
-    out = []
-    for x in reversed(spans[max(0, k - 3) : k]):
-        if x[1] > start and x[0] < end:
-            out.append(x)
-    return out
+def _holds(spans: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Whether one of some disjoint spans in order holds all of start:end; only the last that begins before the end can."""
+    before = bisect_left(spans, (end,))
+    return before > 0 and spans[before - 1][0] <= start and end <= spans[before - 1][1]
 
 
 def _joined(spans: list[tuple[str, int, int]]) -> str:
@@ -267,8 +266,9 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
     bound(docs.sparkSession)
     names = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
     scan = F.pandas_udf(_found, ", ".join(f"{n} {'long' if n.startswith('n_') else 'string'}" for n in names))
-    found = docs.withColumn("_found", scan(F.col(text)))
-    return found.withColumns({n: F.col(f"_found.{n}") for n in names}).drop("_found")
+    held = max(["_found", *docs.columns], key=len) + "_"  # a name that no column has
+    found = docs.withColumn(held, scan(F.col(text)))
+    return found.withColumns({n: F.col(f"`{held}`.{n}") for n in names}).drop(held)
 
 
 def masked(text: Column, spans: Column) -> Column:

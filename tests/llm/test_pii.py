@@ -110,3 +110,13 @@ def test_query_against_brute_force(spark, sf_dir):
         assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for k, _, _ in want) for x in pii.KINDS]
         assert set(filter(None, joined.split(","))) <= set(r.spans.split(","))
+
+
+def test_long_runs_of_digits_and_clashing_names(spark):
+    texts = ["0" * 5000 + "1.2.3.4", "0" * 1_000_000 + ".0.0.255 and " + "9" * 5000 + ".1.1.1", "1" * 200_000, ".".join(["0" * 5000 + "256"] * 4), "a@b.c " * 5 + "\u0430@b.c"]
+    df = spark.createDataFrame([(k, t, "kept", "too") for k, t in enumerate(texts)], "doc_id long, text string, _found string, n_card string")
+    got = {r.doc_id: r for r in pii.find(df).collect()}
+    assert [got[k].n_ip for k in range(5)] == [1, 1, 0, 0, 0] and all(r._found == "kept" for r in got.values())
+    assert got[0].spans == "ip:0:5007" and got[4].spans.endswith("email:30:35")
+    staged = {r.doc_id: r.text for r in pii.stage(spark, df, "").collect()}
+    assert staged[0] == "[IP]" and staged[4] == "[EMAIL] " * 5 + "[EMAIL]"
