@@ -18,7 +18,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a Parquet table: computed once, and readable whichever executor is lost."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """`df` as a Parquet table: computed once, and readable whichever executor is lost; deleted when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    for_session(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def for_session(spark: SparkSession, path: str) -> None:
+    """What is at `path` goes when the driver ends."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)

@@ -799,3 +799,6 @@ def blocked_calls(spark, sf_dir):
     asked = calls.join(roles, ["conv_id", "turn"]).withColumn("rule", F.concat_ws(":", "role", "name"))
     allowed = roles.where("role <> 'user'").select(F.concat_ws(":", "role", F.lit("search")).alias("rule")).distinct()
     return tool_calls.blocked(asked, allowed, "rule").select("conv_id", "turn", "name")
+
+
+from corpuslab.plans import workflows  # noqa: E402, F401  registers its queries
