@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions import text as T
 from corpuslab.functions.tables import for_session, shared_folder
+from corpuslab.operators import markdown_blocks
 from corpuslab.operators.extraction_cache import ExtractionCache
 from corpuslab.plans.catalog import _SQL_LINES, _SQL_TITLE, query, table
 from corpuslab.sources.versions import VersionedTable
@@ -72,3 +73,40 @@ def incremental_extraction(spark, sf_dir):
     cache.run(revised, "second")
     cache.collect(revised)
     return cache.results(revised).select("doc_id", "title", "n_lines", "run")
+
+
+#: Lines of documents as Markdown: by the length of a line a fence, rule, heading, quote, bullet or number, with bold and code within it.
+_SQL_MARKDOWN = rf"""{_SQL_LINES},
+raw AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS "at" FROM split),
+styled AS (SELECT doc_id, "at", replace(replace(line, ' the ', ' **the** '), 'queue', '`queue`') AS line, length(line) % 17 AS r FROM raw),
+md AS (
+  SELECT doc_id, "at", CASE r WHEN 1 THEN '```' WHEN 2 THEN '---' WHEN 3 THEN '## ' || line WHEN 4 THEN '> ' || line WHEN 5 THEN '    - ' || line WHEN 6 THEN '3. ' || line ELSE line END AS line
+  FROM styled),
+fenced AS (SELECT *, starts_with(line, '```') AS fence, sum(CAST(starts_with(line, '```') AS INT)) OVER (PARTITION BY doc_id ORDER BY "at") % 2 = 1 AS inside FROM md),
+kinds AS (
+  SELECT doc_id, "at", line, CASE WHEN fence THEN 'fence' WHEN inside THEN 'code' WHEN regexp_full_match(regexp_replace(line, '^\s+|\s+$', '', 'g'), '[-*_]{{3,}}') THEN 'rule'
+           WHEN regexp_matches(line, '^#{{1,4}}\s+') THEN 'heading' WHEN starts_with(line, '> ') THEN 'quote' WHEN regexp_matches(line, '^\s*[-*+]\s+') THEN 'bullet'
+           WHEN regexp_matches(line, '^\s*\d+\.\s+') THEN 'number' ELSE 'text' END AS kind
+  FROM fenced),
+shown AS (
+  SELECT doc_id, "at", kind, CASE kind WHEN 'heading' THEN length(regexp_extract(line, '^#+')) WHEN 'bullet' THEN length(regexp_extract(line, '^\s*')) // 2 END AS level,
+         CASE kind WHEN 'fence' THEN '' WHEN 'rule' THEN '' WHEN 'heading' THEN regexp_replace(line, '^#+\s+', '') WHEN 'quote' THEN line[3:] WHEN 'bullet' THEN regexp_replace(line, '^\s*[-*+]\s+', '') ELSE line END AS content
+  FROM kinds)"""
+
+
+@query(
+    "markdown_blocks",
+    rf"""WITH {_SQL_MARKDOWN} SELECT doc_id, CAST("at" AS BIGINT) AS "at", kind, CAST(level AS INT) AS level, content,
+len(list_filter(regexp_extract_all(content, '\*\*[^*\n]+\*\*|`[^`\n]+`'), lambda x: x[1] = '*')) AS n_bold,
+len(list_filter(regexp_extract_all(content, '\*\*[^*\n]+\*\*|`[^`\n]+`'), lambda x: x[1] = '`')) AS n_code FROM shown""",
+)
+def markdown_blocks_query(spark, sf_dir):
+    """Kinds of all lines of documents that were made Markdown."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("at", "line"))
+    line, r = F.replace(F.replace("line", F.lit(" the "), F.lit(" **the** ")), F.lit("queue"), F.lit("`queue`")), F.length("line") % 17
+    made = F.when(r == 1, "```").when(r == 2, "---")
+    for k, lead in ((3, "## "), (4, "> "), (5, "    - "), (6, "3. ")):
+        made = made.when(r == k, F.concat(F.lit(lead), line))
+    found = markdown_blocks.classify(lines.select("doc_id", "at", made.otherwise(line).alias("line")), ["doc_id"])
+    count = lambda style: F.size(F.filter(markdown_blocks.spans(F.col("content")), lambda s: s["style"] == style)).cast("long")
+    return found.withColumns({"n_bold": count("bold"), "n_code": count("code")})
