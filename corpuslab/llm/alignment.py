@@ -91,6 +91,7 @@ class Aligner:
         self.bytes_a = Pool([entries.get(i, b"") for i in range(max(entries) + 1)])
         self.second = PieceEncoder(second)
         self.bytes_b = Pool(self.second.bytes)
+        self.writer = Writer(max(len(self.bytes_a.sizes), len(self.bytes_b.sizes)))
 
     def align(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None]:
         """For each text its ids, and for each group the last place of either side; nothing for texts without tokens."""
@@ -114,14 +115,29 @@ def aligner(first: str, second: str) -> Aligner:
     return Aligner(first, second)
 
 
-def _written_groups(a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray) -> str:
-    """`a1,a2|b1;a3|b2,b3`."""
-    sides = []
-    for ids, at in ((a, at_a), (b, at_b)):
-        texts = ids.tolist()
-        cuts = [0, *(at + 1).tolist()]
-        sides.append([",".join(map(str, texts[x:y])) for x, y in itertools.pairwise(cuts)])
-    return ";".join(f"{x}|{y}" for x, y in zip(*sides, strict=True))
+class Writer:
+    """Groups as text, `a1,a2|b1;a3|b2,b3`, from the digits of all ids."""
+
+    def __init__(self, ids: int):
+        entries = [f"{k},".encode() for k in range(ids)]
+        self.data = np.frombuffer(b"".join(entries), np.uint8)
+        self.sizes = np.array([len(e) for e in entries], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def write(self, a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray) -> bytes:
+        """`at_a` and `at_b` are the last places of each group."""
+        # a token stands behind those of its side before it and those of the other side in groups before its own (b: up to its own)
+        own_a, own_b = np.arange(len(a)), np.arange(len(b))
+        place_a = own_a + np.append(0, at_b + 1)[np.searchsorted(at_a, own_a)]
+        place_b = own_b + (at_a + 1)[np.searchsorted(at_b, own_b)]
+        ids, signs = np.empty(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
+        ids[place_a], ids[place_b] = a, b
+        signs[place_a[at_a]], signs[place_b[at_b]] = ord("|"), ord(";")
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        out = self.data[np.repeat(self.starts[ids] - (ends - sizes), sizes) + np.arange(ends[-1])]
+        out[ends - 1] = signs
+        return out[:-1].tobytes()
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
@@ -223,7 +239,7 @@ def _aligned(docs: DataFrame, first: str, second: str, held: int) -> DataFrame:
                     out.append((row, doc, 0, 0, 0, "", *[None] * 5))
                     continue
                 a, b, at_a, at_b = found
-                out.append((row, doc, len(a), len(b), len(at_a), hashlib.sha256(_written_groups(*found).encode()).hexdigest(), *[None] * 5))
+                out.append((row, doc, len(a), len(b), len(at_a), hashlib.sha256(own.writer.write(*found)).hexdigest(), *[None] * 5))
                 records.add(row, *np.unique(b[at_b] * ROOM + a[at_a], return_counts=True))
             yield rows(out)
             if records.size >= held:
