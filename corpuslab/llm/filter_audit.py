@@ -39,8 +39,8 @@ from corpuslab.llm.batches import bound, written
 
 FILTERS = "ABCDE"
 COPY = 16
-#: Bytes of texts with one prefix that a task takes, most prefixes that are split (a bound for what is broadcast), and texts a task remembers.
-LOAD, MOST_SPLIT, REMEMBERED = 32 << 20, 100_000, 200_000
+#: Least and most bytes of texts with one prefix that a task takes, most prefixes that are split (a bound for what is broadcast), and texts a task remembers.
+LEAST_LOAD, LOAD, MOST_SPLIT, REMEMBERED = 1 << 20, 32 << 20, 100_000, 200_000
 HEADS = [8 << 3 * k for k in range(9)]
 _SPECIAL = np.zeros(256, np.int64)
 _SPECIAL[list(b"#$%&*|")] = 1
@@ -161,10 +161,12 @@ def _first_rows(docs: DataFrame, remembered: int) -> DataFrame:
 
 
 def _leaves(rows: DataFrame, load: int) -> tuple[DataFrame, DataFrame]:
-    """`rows` with their leaf, the shortest prefix whose texts have at most `load` bytes, or else the whole text; and (leaf, salts) of the whole texts with more."""
+    """`rows` with their leaf, the shortest prefix whose texts have at most `load` bytes, or half a partition if that is less, or else the whole text; and (leaf, salts) of the whole texts with more."""
     weighed = rows.select("heads", "size")
+    total = weighed.agg(F.sum("size")).head()[0] or 0
+    half = total // (2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # tables of at most MOST_SPLIT hashes are broadcast: no more prefixes can have over `most` bytes
-    most = max(load, (weighed.agg(F.sum("size")).head()[0] or 0) // MOST_SPLIT)
+    most = max(min(load, max(half, LEAST_LOAD)), total // MOST_SPLIT)
     leaf, still, whole, names = F.lit(None).cast("long"), F.lit(True), F.element_at("heads", -1), []
     heavy = lambda key: weighed.where(still).groupBy(key.alias("leaf")).agg(F.sum("size").alias("size")).where(F.col("size") > most)
     for k in range(len(HEADS) + 1):
