@@ -10,13 +10,19 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+from corpuslab.operators.declarators import declared
+
 _TOKEN = re.compile(
     r"(?P<comment>/\*.*?(?:\*/|\Z)|//[^\n]*)"
     r"|(?P<string>\"(?:\\.|[^\"\\\n])*+\"?|'(?:\\.|[^'\\\n])*+'?|`(?:\\.|[^`\\])*+`?)"
-    r"|(?P<directive>^[ \t]*\#(?:\\\n|[^\n])*)"
     r"|(?P<name>[A-Za-z_$][\w$]*)|(?P<number>\d[\w.]*)|(?P<sign>&&|\|\||=>|:=|::|->|==|[^\w\s])",
-    re.DOTALL | re.MULTILINE,
+    re.DOTALL,
 )
+_DIRECTIVE, _SPACE = re.compile(r"(?P<directive>#(?:\\\n|[^\n])*)"), re.compile(r"\s*+")
+
+#: Text of a template up to a substitution or its end, and a regular expression as it stands in a program.
+_TEMPLATE = re.compile(r"(?:\\.|\$(?!\{)|[^`\\$])*+", re.DOTALL)
+_REGEX = re.compile(r"/(?![*/])(?:\\[^\n]|\[(?:\\[^\n]|[^\]\\\n])*+\]|[^/\\\[\n])++/[A-Za-z]*")
 
 # The reserved words of each language (names that are neither functions, calls nor variables).
 RESERVED = {
@@ -44,6 +50,7 @@ _ENDING = frozenset("break return goto continue throw".split())
 _TODO = re.compile(r"\b(?:TODO|FIXME|HACK|XXX)\b", re.IGNORECASE)
 _INCLUDE = re.compile(r"#\s*include\s+[<\"]([^>\"]+)")
 _REQUIRED = re.compile(r"\(\s*['\"]([^'\"]+)")
+_CONDITION = re.compile(r"[ \t]*#[ \t]*(if|ifdef|ifndef|elif|elifdef|elifndef|else|endif)\b")
 _DEFINE = re.compile(r"#\s*define\s+(\w+)")
 
 
@@ -52,6 +59,8 @@ class _Scope:
 
     def __init__(self, kind: str, row: dict | None = None):
         self.kind, self.row, self.calls, self.case, self.last, self.depth = kind, row, set(), None, "", 0
+        self.head: list[tuple[str, str, int]] = []  # what stood before the brace
+        self.closed = False
 
 
 class File:
@@ -62,13 +71,56 @@ class File:
         self.head: list[tuple[str, str, int]] = []  # tokens of the statement so far: (kind, text, line)
         self.parens = 0
         self.rows: list[dict] = []
+        self.templates: list[int] = []  # braces open in each substitution around
+        self.body: _Scope | None = None  # the type whose body has just ended
+        self.old_style: list[tuple[str, str, int]] = []  # a head whose parameters are declared behind it
+        self.groups: list[list] = []  # conditional groups of the preprocessor: the state before each, and behind its first branch
+
+    def _tokens(self) -> Iterator[tuple[str, str, int]]:
+        """(kind, text, place); a slash and a backtick mean what the tokens before them let them mean."""
+        source, scripted, before = self.source, self.lang == "js", ("", "")
+        at = _SPACE.match(source, 0).end()
+        while at < len(source):
+            sign = source[at]
+            if scripted and (sign == "`" or (sign == "}" and self.templates and not self.templates[-1])):
+                if sign == "}":
+                    self.templates.pop()
+                    yield "sign", ")", at
+                at, before = yield from self._template(at + 1)
+            elif scripted and sign == "/" and self._may_begin(before) and (m := _REGEX.match(source, at)):
+                yield "string", "//", at
+                at, before = m.end(), ("string", "")
+            else:
+                m = (sign == "#" and not source[source.rfind("\n", 0, at) + 1 : at].strip() and _DIRECTIVE.match(source, at)) or _TOKEN.match(source, at)
+                if m:
+                    kind, text = m.lastgroup, m[0]
+                    if self.templates and text in ("{", "}"):
+                        self.templates[-1] += 1 if text == "{" else -1
+                    yield kind, text, at
+                    before = before if kind == "comment" else (kind, text)
+                at = m.end() if m else at + 1
+            at = _SPACE.match(source, at).end()
+
+    def _template(self, at: int) -> Iterator[tuple[str, str, int]]:
+        """The text of a template from a place on; returns what comes behind it, and that it was."""
+        stop = _TEMPLATE.match(self.source, at).end()
+        yield "string", f"`{self.source[at:stop]}`", at
+        if self.source.startswith("${", stop):
+            self.templates.append(0)
+            yield "sign", "(", stop
+            return stop + 2, ("sign", "(")
+        return stop + 1, ("string", "")
+
+    def _may_begin(self, before: tuple[str, str]) -> bool:
+        """Whether an expression may begin behind a token."""
+        kind, text = before
+        return kind in ("", "directive") or (kind == "name" and text in self.reserved and text not in ("this", "super")) or (kind == "sign" and text not in (")", "]", "}"))
 
     def symbols(self) -> Iterator[dict]:
         line, at = 1, 0
-        for m in _TOKEN.finditer(self.source):
-            line += self.source.count("\n", at, m.start())
-            at = self.place = m.start()
-            kind, text = m.lastgroup, m[0]
+        for kind, text, start in self._tokens():
+            line += self.source.count("\n", at, start)
+            at = self.place = start
             if kind == "comment":
                 self._todo(text, line)
             elif kind == "directive":
@@ -82,6 +134,7 @@ class File:
                 self._end_statement(line)
             else:
                 self._token(kind, text, line)
+        self._end_statement(line)
         while self.scopes:
             self._close(line)
         yield from self.rows
@@ -95,7 +148,23 @@ class File:
             if _TODO.search(part):
                 self._add("issue", "todo_comment", line + k, severity="low", message=self.lines[line + k - 1].strip())
 
+    def _branch(self, word: str) -> None:
+        """Braces count in the first branch of a group; the others begin where it began, and behind the group goes on what the first one left."""
+        state = lambda: (list(self.scopes), list(self.own), list(self.head), self.parens)
+        if word.startswith("if"):
+            self.groups.append([state(), None])
+        elif self.groups and word.startswith(("el", "endif")):
+            begun, first = self.groups[-1]
+            if first is None:
+                self.groups[-1][1] = first = state()
+            if word == "endif":
+                self.groups.pop()
+            scopes, own, head, self.parens = first if word == "endif" else begun
+            self.scopes, self.own, self.head = list(scopes), list(own), list(head)
+
     def _directive(self, text: str, line: int) -> None:
+        if self.lang == "c" and (m := _CONDITION.match(text)):
+            self._branch(m[1])
         if self.lang == "c" and (m := _INCLUDE.search(text)):
             self._add("import", re.sub(r"\.h$", "", m[1].split("/")[-1]), line, module=m[1], how="include")
         elif self.lang == "c" and (m := _DEFINE.search(text)):
@@ -120,6 +189,9 @@ class File:
             self._import(text, line)
         elif kind == "string" and self.lang == "other" and any(t == "import" for _, t, _ in self.head[:1]):
             self._import(text, line)
+        if text == "," and not self.parens and self.scopes and self.scopes[-1].kind == "object":
+            self._end_statement(line)
+            return
         self.head.append((kind, text, line))
         if self.lang != "c" and len(self.head) > 1 and self.head[-2][2] < line and not self.parens:
             self._line_ends()
@@ -159,6 +231,15 @@ class File:
     def _defined(self) -> int | None:
         """Which token names the function that the statement so far is the head of."""
         words = [t for _, t, _ in self.head]
+        literal = bool(self.scopes) and self.scopes[-1].kind == "object"
+        if self.lang == "c":
+            if self.own:
+                return None
+            found = declared(self.head, self.reserved)
+            if found:
+                return found[0].at if found[0].function else None
+        if literal and ":" in words[:2] and ("=>" in words or "function" in words):
+            return 0 if self.head[0][0] in ("name", "call") else None
         if _DECLARING[self.lang] & set(words):
             k = next(i for i, t in enumerate(words) if t in _DECLARING[self.lang]) + 1
             if self.lang == "other" and k < len(words) and words[k] == "(":  # a receiver stands first
@@ -170,7 +251,7 @@ class File:
         if self.lang == "js" and ("=>" in words or "function" in words) and "=" in words:
             k = words.index("=") - 1
             return k if k >= 0 and self.head[k][0] == "name" else None
-        if "=" in words or "(" not in words or (self.lang == "js" and not (self.scopes and self.scopes[-1].kind == "type")):
+        if "=" in words or "(" not in words or (self.lang == "js" and not (self.scopes and self.scopes[-1].kind in ("type", "object"))) or (literal and ":" in words[: words.index("(")]):
             return None
         k = words.index("(") - 1
         if k < 0 or self.head[k][0] not in ("name", "call") or words[k] in self.reserved:
@@ -180,6 +261,7 @@ class File:
         return k
 
     def _open(self, line: int) -> None:
+        self.head, self.old_style, self.body = [*self.old_style, *self.head], [], None
         words = [t for _, t, _ in self.head]
         for f in self.own:
             f.row["max_nesting"] = max(f.row["max_nesting"], len(self.scopes) + 1 - f.depth)
@@ -198,17 +280,23 @@ class File:
             scope.depth = len(self.scopes)
         elif types and "=" not in words and "(" not in words:
             k = types[0] + 1
+            row = {"kind": "type", "name": "", "line": self.head[0][2], "how": words[types[0]] if self.lang == "c" else "class", "bases": [], "members": []}
             if k < len(words) and self.head[k][0] == "name":
-                bases = [t for x, t, _ in self.head[k + 1 :] if x == "name" and t not in self.reserved] if "extends" in words or ":" in words else []
-                self._add("type", words[k], self.head[0][2], how="struct" if self.lang == "c" else "class", bases=bases, members=[])
-            scope = _Scope("type", self.rows[-1] if self.rows and self.rows[-1]["kind"] == "type" else None)
+                row["name"] = words[k]
+                row["bases"] = [t for x, t, _ in self.head[k + 1 :] if x == "name" and t not in self.reserved] if "extends" in words or ":" in words else []
+                self.rows.append(row)
+            scope = _Scope("type", row)
         else:
             block = next((t for t in words if t in _BLOCKS), None)
             if block:
                 self._block(block, self.head[0][2])
-            scope = _Scope("switch" if block == "switch" else "block" if block else "other")
+            value = self.lang == "js" and not block and words and words[-1] in ("=", "(", ",", ":", "[", "?", "return", "default")
+            scope = _Scope("switch" if block == "switch" else "object" if value or words[-1:] == ["return"] and self.lang == "js" else "block" if block else "other")
+            if "=" in words and self.lang != "other":
+                self._variable(self.head, words)
         if self.scopes and self.scopes[-1].kind == "type" and scope.kind == "function" and self.scopes[-1].row:
             self.scopes[-1].row["members"].append(scope.row["name"])
+        scope.head = self.head
         self.scopes.append(scope)
         if scope.kind == "function":
             self.own.append(scope)
@@ -232,9 +320,12 @@ class File:
 
     def _end_statement(self, line: int) -> None:
         head, self.head, self.parens = self.head, [], 0
+        body, self.body = self.body, None
         if not head:
             return
         words = [t for _, t, _ in head]
+        if self.lang == "c" and self._declaration(head, words, body, line):
+            return
         if self.scopes:
             plain = words[words.index(":") + 1 :] if words[0] in ("case", "default") and ":" in words else words
             if plain:
@@ -252,6 +343,52 @@ class File:
             module = "".join(t for x, t, _ in head[1:] if x == "name" or t in (".", "::", "/", ":"))
             self._add("import", re.split(r"[.:/]", module)[-1], head[0][2], module=module, how="import")
 
+    def _declaration(self, head: list[tuple[str, str, int]], words: list[str], body: _Scope | None, line: int) -> bool:
+        """Members, typedefs, names behind the body of a type, and heads of functions whose parameters are declared behind them; whether it was one of these."""
+        if body is not None and body.kind == "type":
+            before = [t for _, t, _ in body.head]
+            names = declared(head, self.reserved, " ".join(x for x in (body.row["how"], body.row["name"]) if x))
+            if self.scopes and self.scopes[-1].kind == "type":
+                self.scopes[-1].row["members"] += [f"{x.name}: {x.type}" for x in names]
+            elif "typedef" in before:
+                if names and not body.row["name"]:
+                    body.row["name"] = names[0].name
+                    self.rows.append(body.row)
+            elif not any(s.kind != "other" for s in self.scopes):
+                for x in names:
+                    self._add("variable", x.name, head[0][2], how="global")
+            return True
+        if words[0] == "typedef":
+            for x in declared(head, self.reserved):
+                self._add("type", x.name, head[0][2], how="typedef", bases=[x.type], members=[])
+            return True
+        if self.scopes and self.scopes[-1].kind == "type" and self.scopes[-1].row["how"] == "enum":
+            depth, item = 0, []
+            for _, t, _ in [*head, ("sign", ",", line)]:
+                depth += (t in "([") - (t in ")]")
+                if t == "," and not depth:
+                    if item:
+                        self.scopes[-1].row["members"].append(item[0] + (": " + "".join(item[2:]) if item[1:2] == ["="] else ""))
+                    item = []
+                else:
+                    item.append(t)
+            return True
+        if self.scopes and self.scopes[-1].kind == "type":
+            names = declared(head, self.reserved)
+            self.scopes[-1].row["members"] += [f"{x.name}: {x.type}" for x in names if not x.function]
+            return bool(names)
+        if self.old_style:
+            if "(" not in words and "=" not in words and declared(head, self.reserved):
+                self.old_style += head
+                return True
+            self.old_style = []
+        if not self.scopes and "=" not in words:
+            names = declared(head, self.reserved)
+            if len(names) == 1 and names[0].function and names[0].after < len(head) and declared(head[names[0].after :], self.reserved):
+                self.old_style = head
+                return True
+        return False
+
     def _top_calls(self, head: list[tuple[str, str, int]]) -> None:
         """Calls outside functions; those inside are given when their function ends."""
         if not self.own:
@@ -283,11 +420,12 @@ class File:
 
     def _variable(self, head: list[tuple[str, str, int]], words: list[str]) -> None:
         if self.lang == "c":
-            stop = next((i for i, t in enumerate(words) if t in ("=", "[")), len(words))
-            names = [i for i in range(stop) if head[i][0] == "name"]
-            free = not any(s.kind != "other" for s in self.scopes)
-            if free and len(names) > 1 and names[-1] == stop - 1 and "(" not in words[:stop] and words[0] not in ("typedef", "return", "using") and (stop < len(words) or words[stop - 1] not in self.reserved):
-                self._add("variable", words[stop - 1], head[0][2], how="global")
+            if not any(s.kind != "other" for s in self.scopes) and words[0] not in ("return", "using"):
+                names = [x.name for x in declared(head, self.reserved) if not x.function]
+                if not names and "=" in words[2:] and "(" not in words[: words.index("=")]:
+                    names = [words[words.index("=") - 1]]  # what is set has a name, even if it is a reserved word
+                for x in names:
+                    self._add("variable", x, head[0][2], how="global")
             return
         for i, t in enumerate(words[:-1]):
             if t in ("const", "let", "var") and head[i + 1][0] == "name" and not {"=>", "function"} & set(words[i + 2 :]):
@@ -299,6 +437,13 @@ class File:
         if not self.scopes:
             return
         scope = self.scopes.pop()
+        if scope.kind == "type":
+            self.body = scope
+        if scope.closed:
+            if scope.kind == "function":
+                self.own = [s for s in self.own if s is not scope]
+            return
+        scope.closed = True
         if scope.kind == "switch":
             self._falls(scope)
         if self.scopes:

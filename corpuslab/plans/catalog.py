@@ -532,7 +532,7 @@ _SQL_SIZE = "CASE lang WHEN 'py' THEN 4 WHEN 'js' THEN 5 ELSE 4 END"
 
 
 @query("code_types", _SQL_CODE + f""" SELECT path, 'T_' || w[1] AS name, CASE lang WHEN 'c' THEN 'struct' ELSE 'class' END AS kind, {_SQL_SIZE} * (i - 1) + 1 AS line,
-CASE lang WHEN 'c' THEN '' ELSE 'm_' || w[3] END AS members, CASE lang WHEN 'c' THEN '' ELSE 'B_' || w[2] END AS bases FROM word""")
+CASE lang WHEN 'c' THEN 'n_' || w[2] || ': int' ELSE 'm_' || w[3] END AS members, CASE lang WHEN 'c' THEN '' ELSE 'B_' || w[2] END AS bases FROM word""")
 def code_types(spark, sf_dir):
     from corpuslab.operators import code
 

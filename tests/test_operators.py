@@ -223,7 +223,7 @@ def test_code_analysis(spark):
         ("dangerous_function", 8), ("format_string", 9), ("missing_return", 11), ("recursion", 20), ("switch_fallthrough", 19), ("todo_comment", 4)
     ]
     assert {("a.py", "recursion"), ("a.py", "bare_except"), ("c.js", "eval_usage"), ("d.go", "todo_comment")} <= set(by(code.issues(found), "path", "type"))
-    assert by(code.types(found), "path", "name", "bases", "members") == [("a.py", "Box", ["Base"], ["put"]), ("b.c", "point", [], []), ("c.js", "A", ["B"], ["step"])]
+    assert by(code.types(found), "path", "name", "bases", "members") == [("a.py", "Box", ["Base"], ["put"]), ("b.c", "point", [], ["x: int"]), ("c.js", "A", ["B"], ["step"])]
     assert by(code.dependencies(found), "path", "module", "how") == [
         ("a.py", "json", "from_import"), ("a.py", "os", "import"), ("b.c", "stdio.h", "include"), ("c.js", "./lib/tool.js", "import"), ("c.js", "fs", "require"), ("d.go", "fmt", "import")
     ]
