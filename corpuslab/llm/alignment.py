@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.llm import wordhash as W
 from corpuslab.llm.batches import bound, written
-from corpuslab.llm.packing import public_path
+from corpuslab.llm.packing import WordCachedEncoder, public_path
 from corpuslab.llm.token_counts import PieceEncoder
 
 #: Radix partitions; records that a task holds; entries of a block of a run and of a list; lists that are merged at once; bytes of runs that meet one copy of their list.
@@ -77,15 +77,21 @@ class Pool:
         return ends if np.array_equal(self.data[at], text) else None
 
 
+class PlainWords(WordCachedEncoder):
+    """Ids by words met before; the strings of special tokens are ordinary text."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.tokenizer.encode_special_tokens = True
+        self.special = []
+
+
 class Aligner:
     """Both vocabularies."""
 
     def __init__(self, first: str, second: str):
-        from tokenizers import Tokenizer
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.first = Tokenizer.from_file(first)
-        self.first.encode_special_tokens = True
+        self.first = PlainWords(first)
         byte = byte_level_characters()
         entries = {i: bytes(byte[c] for c in p) for p, i in json.load(open(first, encoding="utf-8"))["model"]["vocab"].items()}
         self.bytes_a = Pool([entries.get(i, b"") for i in range(max(entries) + 1)])
@@ -93,13 +99,17 @@ class Aligner:
         self.bytes_b = Pool(self.second.bytes)
         self.writer = Writer(max(len(self.bytes_a.sizes), len(self.bytes_b.sizes)))
 
+    def _first_ids(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Ids of each text behind a space; a word of one token stands before it, so that the space is one between words."""
+        ids, edges = self.first.encode(pa.array(["x " + t for t in texts], pa.string()))
+        return (ids[a + 1 : b].astype(np.int64) for a, b in itertools.pairwise(edges.tolist()))
+
     def align(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None]:
         """For each text its ids, and for each group the last place of either side; nothing for texts without tokens."""
-        led = [" " + t for t in texts]
-        for text, a, b in zip(led, self.first.encode_batch_fast(led, add_special_tokens=False), self.second.encode(texts), strict=True):
-            raw = np.frombuffer(text.encode(), np.uint8)
-            a, b = np.asarray(a.ids, np.int64), np.asarray(b, np.int64)
-            ends_a = self.bytes_a.ends(a, raw) if len(raw) > 1 and len(a) and a.max() < len(self.bytes_a.sizes) else None
+        for text, a, b in zip(texts, self._first_ids(texts), self.second.encode(texts), strict=True):
+            raw = np.frombuffer(f" {text}".encode(), np.uint8)
+            b = np.asarray(b, np.int64)
+            ends_a = self.bytes_a.ends(a, raw) if len(raw) > 1 and a.max() < len(self.bytes_a.sizes) else None
             ends_b = self.bytes_b.ends(b, raw) if ends_a is not None else None
             if ends_b is None:
                 yield None
