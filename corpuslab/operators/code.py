@@ -21,7 +21,7 @@ from corpuslab.operators import braces
 
 SYMBOLS = (
     "path string, lang string, kind string, name string, line long, lines long, cyclomatic long, max_nesting long, "
-    "calls array<string>, module string, alias string, how string, members array<string>, bases array<string>, severity string, message string"
+    "calls array<string>, module string, alias string, how string, members array<string>, bases array<string>, severity string, message string, level long"
 )
 
 _KINDS = {"string": pa.string(), "long": pa.int64(), "array<string>": pa.list_(pa.string())}
@@ -95,7 +95,7 @@ class _PythonFile(ast.NodeVisitor):
 
     def visit_ImportFrom(self, node: ast.ImportFrom) -> None:
         for x in node.names:
-            self.add("import", x.name, node, module=node.module or "", alias=x.asname, how="from_import")
+            self.add("import", x.name, node, module=node.module or "", alias=x.asname, how="from_import", level=node.level)
 
     def assignment(self, node) -> None:
         for target in getattr(node, "targets", None) or [node.target]:

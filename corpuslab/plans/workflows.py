@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslab.functions import text as T
-from corpuslab.functions.tables import for_session, shared_folder
-from corpuslab.operators import markdown_blocks
+from corpuslab.functions.tables import for_session, kept, shared_folder
+from corpuslab.operators import code, markdown_blocks, resolve
 from corpuslab.operators.extraction_cache import ExtractionCache
 from corpuslab.plans.catalog import _SQL_LINES, _SQL_TITLE, query, table
 from corpuslab.sources.versions import VersionedTable
@@ -110,3 +110,33 @@ def markdown_blocks_query(spark, sf_dir):
     found = markdown_blocks.classify(lines.select("doc_id", "at", made.otherwise(line).alias("line")), ["doc_id"])
     count = lambda style: F.size(F.filter(markdown_blocks.spans(F.col("content")), lambda s: s["style"] == style)).cast("long")
     return found.withColumns({"n_bold": count("bold"), "n_code": count("code")})
+
+
+def _package_files(spark, sf_dir):
+    """A Python package for each source, with a module for each document: all have a function `step`, and name others' by imports."""
+    docs = table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("none")).alias("source"), "doc_id", F.size(T.lines(F.col("text"))).alias("n"))
+    order = Window.partitionBy("source").orderBy("doc_id")
+    each = docs.withColumns({"before": F.lag("doc_id").over(order), "first": F.min("doc_id").over(Window.partitionBy("source"))})
+    back = F.coalesce(F.format_string("from .m%d import step as before\n", F.col("before")), F.lit(""))
+    body = F.format_string("from %s import begin\n\ndef step(x):\n    return x\n\ndef f_%d(x):\n    before(x); step(x); begin(x); gone_%d(x)\n", "source", "doc_id", "n")
+    modules = each.select(F.format_string("%s/m%d.py", "source", "doc_id").alias("path"), F.concat(back, body).alias("text"))
+    packages = each.where("doc_id = first").select(F.concat("source", F.lit("/__init__.py")).alias("path"), F.format_string("from .m%d import step as begin\n", "first").alias("text"))
+    return modules.unionByName(packages).select("path", F.lit("py").alias("lang"), F.col("text").alias("source"))
+
+
+@query(
+    "code_resolved_calls",
+    rf"""WITH {_SQL_LINES},
+each AS (
+  SELECT coalesce(source, 'none') AS source, d.doc_id, len(lines) AS n, lag(d.doc_id) OVER (PARTITION BY coalesce(source, 'none') ORDER BY d.doc_id) AS before, min(d.doc_id) OVER (PARTITION BY coalesce(source, 'none')) AS first
+  FROM documents d JOIN split USING (doc_id)),
+calls AS (
+  SELECT *, 'before' AS callee, before AS target, CASE WHEN before IS NOT NULL THEN 'name' END AS how FROM each
+  UNION ALL SELECT *, 'step', doc_id, 'local' FROM each UNION ALL SELECT *, 'begin', first, 'name' FROM each UNION ALL SELECT *, 'gone_' || n, NULL, NULL FROM each)
+SELECT source || '/m' || doc_id || '.py' AS path, 'f_' || doc_id AS caller, callee, source || '/m' || target || '.py' AS callee_path, CASE WHEN target IS NOT NULL THEN 'step' END AS callee_name, how
+FROM calls""",
+)
+def code_resolved_calls(spark, sf_dir):
+    """The files of all called functions, where every file has one of the same name."""
+    found = kept(code.symbols(_package_files(spark, sf_dir)), "symbols")
+    return resolve.resolve_calls(found).drop("line")
