@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions import text as T
 from corpuslab.functions.tables import for_session, kept, shared_folder
-from corpuslab.operators import code, markdown_blocks, resolve
+from corpuslab.operators import code, markdown_blocks, resolve, tree
 from corpuslab.operators.extraction_cache import ExtractionCache
 from corpuslab.plans.catalog import _SQL_LINES, _SQL_TITLE, query, table
 from corpuslab.sources.versions import VersionedTable
@@ -140,3 +140,39 @@ def code_resolved_calls(spark, sf_dir):
     """The files of all called functions, where every file has one of the same name."""
     found = kept(code.symbols(_package_files(spark, sf_dir)), "symbols")
     return resolve.resolve_calls(found).drop("line")
+
+
+_SQL_TREE = r"""WITH page AS (
+  SELECT list_filter(string_split(regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', ''), '/'), lambda x: x <> '' AND x <> '.') AS parts, strlen(html) AS bytes FROM pages),
+once AS (SELECT parts, CAST(sum(bytes) AS BIGINT) AS bytes FROM page WHERE len(parts) > 0 GROUP BY parts),
+above AS (SELECT parts[:k] AS parts, bytes FROM (SELECT parts, bytes, unnest(range(1, len(parts))) AS k FROM once)),
+dirs AS (SELECT parts, count(*) AS files, CAST(sum(bytes) AS BIGINT) AS bytes FROM above GROUP BY parts),
+below AS (SELECT parts[:k] AS parts, count(*) AS folders FROM (SELECT parts, unnest(range(1, len(parts))) AS k FROM dirs) GROUP BY parts[:k]),
+entry AS (SELECT parts, true AS folder, bytes FROM dirs UNION ALL SELECT parts, false, bytes FROM once),
+keyed AS (
+  SELECT parts, folder, bytes, array_to_string(list_transform(parts, lambda x, i: CASE WHEN folder OR i < len(parts) THEN '0' ELSE '1' END || x), chr(1)) AS key FROM entry),
+ending AS (SELECT *, key = max(key) OVER (PARTITION BY parts[:len(parts) - 1]) AS last FROM keyed),
+bars AS (
+  SELECT e.key, string_agg(CASE WHEN f.last THEN '    ' ELSE '│   ' END, '' ORDER BY len(f.parts)) AS bars
+  FROM ending e JOIN ending f ON f.folder AND len(f.parts) < len(e.parts) AND f.parts = e.parts[:len(f.parts)] GROUP BY e.key)"""
+
+
+def _pages_as_files(spark, sf_dir):
+    path = F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "[?#].*$", "")
+    return table(spark, sf_dir, "pages").select(path.alias("path"), F.octet_length("html").alias("length"))
+
+
+@query(
+    "project_tree",
+    _SQL_TREE
+    + r""" SELECT key, coalesce(bars, '') || CASE WHEN last THEN '└── ' ELSE '├── ' END || CASE WHEN folder THEN parts[-1] || '/' ELSE parts[-1] || ' (' || format('{:,}', bytes) || 'B)' END AS line
+FROM ending LEFT JOIN bars USING (key)""",
+)
+def project_tree(spark, sf_dir):
+    """All pages as a drawn tree of hosts and paths."""
+    return tree.draw(tree.entries(_pages_as_files(spark, sf_dir)), most_depth=50)
+
+
+@query("project_folders", _SQL_TREE + " SELECT array_to_string(dirs.parts, '/') AS path, files, coalesce(folders, 0) AS folders, bytes FROM dirs LEFT JOIN below USING (parts)")
+def project_folders(spark, sf_dir):
+    return tree.entries(_pages_as_files(spark, sf_dir)).where("folder").select("path", "files", "folders", "bytes")
