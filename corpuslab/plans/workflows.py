@@ -13,6 +13,7 @@ from corpuslab.operators import code, markdown_blocks, resolve, tree
 from corpuslab.operators.extraction_cache import ExtractionCache
 from corpuslab.plans.catalog import _SQL_LINES, _SQL_TITLE, query, table
 from corpuslab.sources.versions import VersionedTable
+from corpuslab.streaming import reframe
 
 
 def _folder(spark, name: str) -> str:
@@ -176,3 +177,30 @@ def project_tree(spark, sf_dir):
 @query("project_folders", _SQL_TREE + " SELECT array_to_string(dirs.parts, '/') AS path, files, coalesce(folders, 0) AS folders, bytes FROM dirs LEFT JOIN below USING (parts)")
 def project_folders(spark, sf_dir):
     return tree.entries(_pages_as_files(spark, sf_dir)).where("folder").select("path", "files", "folders", "bytes")
+
+
+@query(
+    "sse_transcode",
+    """WITH line AS (
+  SELECT user_id AS stream, 2 * (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) AS n, event_id,
+         CASE event_type WHEN 'click' THEN 'message' WHEN 'view' THEN 'message' WHEN 'purchase' THEN 'message_end' WHEN 'error' THEN 'error' ELSE 'ping' END AS kind
+  FROM events),
+ending AS (SELECT stream, min(n) AS stop FROM line WHERE kind = 'message_end' GROUP BY stream)
+SELECT stream, CAST(n AS BIGINT) AS n, part, CASE WHEN kind = 'message' THEN 'é' || event_id || ' 東' END AS content, CASE WHEN kind = 'message_end' AND part = 0 THEN 'stop' END AS finish
+FROM line LEFT JOIN ending USING (stream), (VALUES (0), (1)) AS parts(part)
+WHERE (stop IS NULL OR n <= stop) AND (kind = 'message_end' OR (kind = 'message' AND part = 0))""",
+)
+def sse_transcode(spark, sf_dir):
+    """The events of every user as a stream of bytes, cut every 13 of them, put together again and made chunks up to its first end."""
+    events = table(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type").isin("click", "view"), "message").when(F.col("event_type") == "purchase", "message_end").when(F.col("event_type") == "error", "error").otherwise("ping")
+    line = F.format_string('data: {"event": "%s", "answer": "é%d 東"}\n\n', kind, "event_id")
+    each = events.groupBy(F.col("user_id").alias("stream")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", line.alias("line")))).alias("lines"))
+    whole = each.select("stream", F.encode(F.array_join("lines.line", ""), "UTF-8").alias("raw"))
+    count = F.ceil(F.octet_length("raw") / 13).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(i.cast("long").alias("seq"), F.substring("raw", i * 13 + 1, F.lit(13)).alias("data"), (i == count - 1).alias("last")))
+    pieces = whole.select("stream", F.inline(cut))
+    found = reframe.until_done(reframe.transcode(reframe.lines(pieces)))
+    choice = F.try_parse_json(F.substring("out", len(reframe.LEAD) + 1, 1 << 30))
+    get = lambda path: F.try_variant_get(choice, path, "string")
+    return found.select("stream", "n", "part", get("$.choices[0].delta.content").alias("content"), get("$.choices[0].finish_reason").alias("finish"))
