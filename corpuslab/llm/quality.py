@@ -1,8 +1,10 @@
 """Line-first quality rules, in DataFrame functions only.
 
 Every line of a text is judged by itself (navigation separators, symbol runs,
-shouting, one word over and over, short lines that do not end as sentences do,
-boilerplate phrases in proportion to the words).  Failed lines are removed; a
+shouting, one word over and over, boilerplate phrases in proportion to the words).
+A few words alone on a line may be a heading, verse, an item of a list or code, in
+any script, so they fail only as a menu does: next to another such line, and within
+three lines of one with separators or boilerplate.  Failed lines are removed; a
 document that loses more than `max_lost` of the characters of its lines, or
 fails the base counts, is rejected.
 
@@ -15,6 +17,9 @@ replaces it).  Nothing is shuffled.
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,14 +33,15 @@ SYMBOLS = "#*$%&|<>"
 SEPARATOR = r"[|»›•·]"
 SYMBOL_RUN = r"[#*$%&<>]"
 SHOUT = r"[!?][!?]+"
-BOILERPLATE = (
-    r"(?i)cookie policy|privacy policy|terms of use|terms of service|all rights reserved|"
-    r"subscribe to our|sign up for|click here|read more|enable javascript|share this|"
-    r"follow us on|powered by|lorem ipsum|skip to content"
-)
-ENDED = r"""[.!?…:;,"'”’»)\]}。！？][\x20\x09-\x0D]*\z"""
-#: A boilerplate phrase fails a line for each so many words of it; a line that does not end as a sentence has so many words at least.
-BOILERPLATE_WORDS, SHORT_WORDS = 20, 8
+PHRASES = [
+    "cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved", "subscribe to our", "sign up for", "click here",
+    "read more", "enable javascript", "share this", "follow us on", "powered by", "lorem ipsum", "skip to content",
+]
+BOILERPLATE = "(?i)" + "|".join(PHRASES)
+#: Words without any mark of a sentence, a list or code.
+ITEM = r"^[\x20\x09]*[\p{L}\p{N}][\p{L}\p{M}\p{N}'&\x20-]*$"
+#: A boilerplate phrase fails a line for each so many words of it; an item of a menu has so many words and characters at most, and so near a line of navigation.
+BOILERPLATE_WORDS, ITEM_WORDS, ITEM_CHARS, NEAR = 20, 4, 40, 3
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -70,31 +76,47 @@ def repeated_words(words: Column, size: int = 5) -> Column:
     return F.when(last < 1, 0).when(some, let(sortable, covered)).otherwise(0)
 
 
-def line_fails(line: Column) -> Column:
+def line_marks(line: Column, phrased: Column) -> Column:
+    """(failed, navigation, item): whether a line fails by itself, is navigation or boilerplate, or may be an item of a menu; `phrased` tells whether a phrase may be in it."""
+
     def judge(words: Column) -> Column:
         n = F.size(words)
         separators = F.regexp_count(line, F.lit(SEPARATOR))
         symbols = F.regexp_count(line, F.lit(SYMBOL_RUN))
         shouts = F.regexp_count(line, F.lit(SHOUT))
-        return (
-            ((separators >= 2) & (separators * 4 >= n))
-            | ((symbols >= 2) & (symbols * 2 >= n))
-            | ((shouts >= 2) & (shouts * 3 >= n))
-            | ((n >= 10) & (F.size(F.array_distinct(words)) * 10 < n * 3))
-            | ((n < SHORT_WORDS) & ~F.rlike(line, F.lit(ENDED)))
-            | F.when(F.rlike(line, F.lit(BOILERPLATE)), F.regexp_count(line, F.lit(BOILERPLATE)) * BOILERPLATE_WORDS >= n).otherwise(False)
-        )
+        boilerplate = F.when(phrased, F.regexp_count(line, F.lit(BOILERPLATE)) * BOILERPLATE_WORDS >= F.greatest(n, F.lit(1))).otherwise(False)
+        navigation = ((separators >= 2) & (separators * 4 >= n)) | boilerplate
+        failed = ((symbols >= 2) & (symbols * 2 >= n)) | ((shouts >= 2) & (shouts * 3 >= n)) | ((n >= 10) & (F.size(F.array_distinct(words)) * 10 < n * 3))
+        item = (n <= ITEM_WORDS) & (F.length(line) <= ITEM_CHARS) & F.rlike(line, F.lit(ITEM))
+        return F.struct(failed.alias("failed"), navigation.alias("navigation"), item.alias("item"))
 
     return let(word_array(line), judge)
 
 
+def line_verdicts(lines: Column, phrased: Column) -> Column:
+    """Array of (line, failed)."""
+
+    def judged(marks: Column) -> Column:
+        is_ = lambda i, what: F.coalesce(F.get(marks, i)[what], F.lit(False))
+
+        def verdict(x: Column, i: Column) -> Column:
+            near = [is_(i + k, "navigation") for k in range(-NEAR, NEAR + 1) if k]
+            menu = x["marks"]["item"] & (is_(i - 1, "item") | is_(i + 1, "item")) & functools.reduce(operator.or_, near)
+            return F.struct(x["line"].alias("line"), (x["marks"]["failed"] | x["marks"]["navigation"] | menu).alias("failed"))
+
+        return F.transform(F.zip_with(lines, marks, lambda a, m: F.struct(a.alias("line"), m.alias("marks"))), verdict)
+
+    return let(F.transform(lines, lambda x: line_marks(x, phrased)), judged)
+
+
 def judge(docs: DataFrame, text: str = "text", max_lost: float = 0.5, min_words: int = 10, max_repeat_percent: int = 20) -> DataFrame:
     """Adds the base counts, base_failed, the line verdicts, clean_text and kept."""
     # the given columns stay together in one, so that no name of theirs meets one of these rules
     out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     out = out.withColumn("_words", word_array(F.col("_text")))
     out = out.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0))
-    out = out.withColumn("_judged", F.transform("_lines", lambda x: F.struct(x.alias("line"), line_fails(x).alias("failed"))))
+    out = out.withColumn("_phrased", functools.reduce(operator.or_, [F.contains(F.lower("_text"), F.lit(p)) for p in PHRASES]))
+    out = out.withColumn("_judged", line_verdicts(F.col("_lines"), F.col("_phrased")))
     long = lambda c: c.cast("long")
     lengths = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda s, x: s + F.length(x["line"]))
     out = out.withColumns(
@@ -142,7 +164,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.select(F.explode(F.when(F.col("kept"), F.array(row))).alias("x")).select("x.*")
 
 
-_SQL_BOILERPLATE, _SQL_ENDED = BOILERPLATE.replace("'", "''"), ENDED.replace("'", "''")
+_SQL_BOILERPLATE, _SQL_ITEM = BOILERPLATE, ITEM.replace("'", "''").replace("{", "{{").replace("}", "}}")
 
 #: One row per document with the verdict of every line folded in.
 SQL_JUDGED = rf"""
@@ -165,13 +187,17 @@ counted AS (
          len(regexp_extract_all(line, '{SEPARATOR}')) AS sep, len(regexp_extract_all(line, '{SYMBOL_RUN}')) AS sym,
          len(regexp_extract_all(line, '{SHOUT}')) AS sho
   FROM each_line),
-judged AS (
+marked AS (
   SELECT r, k, line,
-         (sep >= 2 AND sep * 4 >= len(w)) OR (sym >= 2 AND sym * 2 >= len(w)) OR (sho >= 2 AND sho * 3 >= len(w))
-         OR (len(w) >= 10 AND len(list_distinct(w)) * 10 < len(w) * 3)
-         OR (len(w) < {SHORT_WORDS} AND NOT regexp_matches(line, '{_SQL_ENDED.replace("}", "}}")}'))
-         OR (regexp_matches(line, '{_SQL_BOILERPLATE}') AND len(regexp_extract_all(line, '{_SQL_BOILERPLATE}')) * {BOILERPLATE_WORDS} >= len(w)) AS failed
+         (sym >= 2 AND sym * 2 >= len(w)) OR (sho >= 2 AND sho * 3 >= len(w)) OR (len(w) >= 10 AND len(list_distinct(w)) * 10 < len(w) * 3) AS own,
+         (sep >= 2 AND sep * 4 >= len(w)) OR len(regexp_extract_all(line, '{_SQL_BOILERPLATE}')) * {BOILERPLATE_WORDS} >= greatest(len(w), 1) AS navigation,
+         len(w) <= {ITEM_WORDS} AND length(line) <= {ITEM_CHARS} AND regexp_matches(line, '{_SQL_ITEM}') AS item
   FROM counted),
+judged AS (
+  SELECT r, k, line,
+         own OR navigation OR (item AND (coalesce(lag(item) OVER o, false) OR coalesce(lead(item) OVER o, false))
+         AND max(CAST(navigation AS INT)) OVER (PARTITION BY r ORDER BY k ROWS BETWEEN {NEAR} PRECEDING AND {NEAR} FOLLOWING) = 1) AS failed
+  FROM marked WINDOW o AS (PARTITION BY r ORDER BY k)),
 lost AS (
   SELECT r, count(*) AS n_lines, count(*) FILTER (failed) AS n_failed_lines, sum(length(line)) AS line_chars,
          coalesce(sum(length(line)) FILTER (failed), 0) AS lost_chars,

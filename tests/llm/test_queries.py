@@ -56,15 +56,31 @@ def test_quality_edge_rows(spark):
 
 def test_quality_lines_and_clashing_names(spark):
     good = "This is a line of prose that has enough words in it to pass the rules."
-    texts = [f"{good}\nHome page\n{good}", f"{good}\nA heading:", f"{good} Read more " + "about this and that " * 10, "click here " * 3 + good.replace("prose", "privacy policy"), "w " * 3 + good * 4000]
+    texts = [f"{good}\nHome\nAbout us\nprivacy policy\n{good}", f"{good}\nA heading:", f"{good} Read more " + "about this and that " * 10, "click here " * 3 + good.replace("prose", "privacy policy"), "w " * 3 + good * 4000]
     df = spark.createDataFrame([(k, t, "a", "b", "c", 7) for k, t in enumerate(texts)], "doc_id long, text string, _text string, _words string, _row string, n_words int")
     got = {r.doc_id: (r.n_lines, r.n_failed_lines, r._text + r._words + r._row) for r in quality.judge(df).collect()}
-    assert got == {0: (3, 1, "abc"), 1: (2, 0, "abc"), 2: (1, 0, "abc"), 3: (1, 1, "abc"), 4: (1, 1, "abc")}
+    assert got == {0: (5, 3, "abc"), 1: (2, 0, "abc"), 2: (1, 0, "abc"), 3: (1, 1, "abc"), 4: (1, 1, "abc")}
     staged = quality.stage(spark, df, "")
     assert staged.columns == df.columns and {(r.doc_id, r.n_words, r._row) for r in staged.collect()} == {(1, 7, "c")}
     assert quality.stage(spark, df.where("false"), "").count() == 0
 
 
+def test_quality_keeps_headings_lists_verse_code_and_all_scripts(spark):
+    hindi = "यह एक छोटी पंक्ति है।\nदूसरी पंक्ति भी छोटी है।\nतीसरी पंक्ति यहाँ समाप्त होती है।"
+    arabic = "هل هذه جملة قصيرة؟\nنعم هي جملة قصيرة\nوهذه جملة أخرى هنا ايضا"
+    urdu, armenian = "یہ ایک مختصر سطر ہے۔\nدوسری سطر بھی مختصر ہے۔\nتیسری سطر", "Սա կարճ տող է։\nԵրկրորդ տողը նույնպես։\nԵրրորդ տող այստեղ կա։"
+    thai = "นี่ คือ บรรทัด สั้น ๆ\nบรรทัด ที่ สอง ของ ข้อความ\nบรรทัด สุดท้าย ของ เรา"
+    chinese = "这是 一行 短 文字\n第二 行 也 很 短\n第三 行 在 这里"
+    verse = "The rose is red\nthe violet blue\nthe honey sweet\nand so are you"
+    code = "def f(x):\n    y = x + 1\n    return y\n\nfor k in range(9):\n    print(f(k), k)"
+    page = "Heading\n\n- first item\n- second item\n* third\n1. one\n\n" + code + "\nAnd one sentence of prose at the end."
+    texts = [hindi, arabic, urdu, armenian, thai, chinese, verse, code, page]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r.doc_id, r.n_failed_lines, r.kept) for r in quality.judge(df).collect()} == {(k, 0, True) for k in range(len(texts))}
+    staged = {r.doc_id: r.text for r in quality.stage(spark, df, "").collect()}
+    assert staged == {k: "\n".join(x for x in t.split("\n") if x) for k, t in enumerate(texts)}
+
+
 def test_chat_edge_rows(spark):
     rows = [(1, 0, "system", "s", 0), (1, 1, "ann", "hi", 0), (1, 2, "bob", "yo", 0), (1, 2, "bob", "yo", 0), (1, None, None, None, 0), (None, 0, "ann", "x", 0), (2, 0, "system", "only", 0)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, position int")
