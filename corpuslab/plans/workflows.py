@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions import text as T
 from corpuslab.functions.tables import for_session, kept, shared_folder
-from corpuslab.operators import code, markdown_blocks, resolve, tree
+from corpuslab.operators import code, markdown_blocks, prompt, resolve, tree
 from corpuslab.operators.extraction_cache import ExtractionCache
 from corpuslab.plans.catalog import _SQL_LINES, _SQL_TITLE, query, table
 from corpuslab.sources.versions import VersionedTable
@@ -204,3 +204,48 @@ def sse_transcode(spark, sf_dir):
     choice = F.try_parse_json(F.substring("out", len(reframe.LEAD) + 1, 1 << 30))
     get = lambda path: F.try_variant_get(choice, path, "string")
     return found.select("stream", "n", "part", get("$.choices[0].delta.content").alias("content"), get("$.choices[0].finish_reason").alias("finish"))
+
+
+PROMPT_BUDGET, MEMORY_LIMIT = 600, 200
+_SECTIONS = [prompt.Section("memory", "Memory", limit=MEMORY_LIMIT), prompt.Section("index", "Index", "(none)"), prompt.Section("tasks", "Tasks")]
+
+
+@query(
+    "prompt_assembly",
+    rf"""WITH each AS (
+  SELECT conv_id, CASE role WHEN 'assistant' THEN 0 WHEN 'system' THEN 1 ELSE 2 END AS priority, turn AS "at", coalesce(CASE role WHEN 'user' THEN '- [ ] ' || left(text, 60) ELSE left(text, 120) END, '') AS text
+  FROM conversations),
+limited AS (SELECT *, sum(length(text)) OVER (PARTITION BY conv_id, priority ORDER BY "at", text ROWS UNBOUNDED PRECEDING) AS own FROM each),
+fit AS (
+  SELECT *, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY priority, "at", text ROWS UNBOUNDED PRECEDING) AS used
+  FROM limited WHERE own <= CASE priority WHEN 0 THEN {MEMORY_LIMIT} ELSE {PROMPT_BUDGET} END),
+parts AS (SELECT conv_id, priority, string_agg(text, chr(10) ORDER BY "at", text) AS t, count(*) AS n, sum(length(text)) AS c FROM fit WHERE used <= {PROMPT_BUDGET} GROUP BY conv_id, priority),
+whole AS (
+  SELECT conv_id, max(t) FILTER (priority = 0) AS memory, max(t) FILTER (priority = 1) AS index, max(t) FILTER (priority = 2) AS tasks, sum(n) AS n, sum(c) AS c FROM parts GROUP BY conv_id)
+SELECT k.conv_id, concat_ws(chr(10) || chr(10), '## Memory' || chr(10) || chr(10) || memory, '## Index' || chr(10) || chr(10) || coalesce(index, '(none)'), '## Tasks' || chr(10) || chr(10) || tasks) AS prompt,
+       CAST(coalesce(n, 0) AS BIGINT) AS rows, CAST(coalesce(c, 0) AS BIGINT) AS cost
+FROM (SELECT DISTINCT conv_id FROM conversations) k LEFT JOIN whole USING (conv_id)""",
+)
+def prompt_assembly(spark, sf_dir):
+    """For every conversation a prompt of what was answered (memory), its system turns (index) and its open questions (tasks)."""
+    role = F.col("role")
+    section = F.when(role == "assistant", "memory").when(role == "system", "index").otherwise("tasks")
+    text = F.when(role == "user", F.concat(F.lit("- [ ] "), F.left("text", F.lit(60)))).otherwise(F.left("text", F.lit(120)))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", section.alias("section"), F.col("turn").alias("at"), text.alias("text"))
+    return prompt.assemble(rows, "conv_id", _SECTIONS, budget=PROMPT_BUDGET)
+
+
+@query(
+    "message_normalise",
+    """SELECT conv_id, turn, CASE role WHEN 'system' THEN 'tool' ELSE role END AS role, CASE WHEN role = 'user' THEN coalesce(text, '') || chr(10) || 'more' WHEN role = 'assistant' AND turn % 2 = 0 THEN NULL ELSE coalesce(text, '') END AS content,
+CASE role WHEN 'system' THEN 'call_0' END AS tool_call_id, CASE WHEN role = 'assistant' AND turn % 2 = 0 THEN '[{"id":"c' || turn || '"}]' END AS tool_calls FROM conversations""",
+)
+def message_normalise(spark, sf_dir):
+    """Messages as JSON in three dialects, made alike: users' texts as lists of parts, every other answer a call, system turns as results of tools."""
+    role = F.col("role")
+    none = {"ignoreNullFields": "false"}
+    user = F.to_json(F.struct(role, F.array(F.struct(F.lit("text").alias("type"), F.coalesce("text", F.lit("")).alias("text")), F.struct(F.lit("text").alias("type"), F.lit("more").alias("text"))).alias("content")))
+    called = F.to_json(F.struct(role, F.lit(None).cast("string").alias("content"), F.array(F.struct(F.format_string("c%d", "turn").alias("id"))).alias("tool_calls")), none)
+    tool = F.to_json(F.struct(F.lit("tool").alias("role"), F.col("text").alias("content")), none)
+    message = F.when(role == "user", user).when((role == "assistant") & (F.col("turn") % 2 == 0), called).when(role == "system", tool).otherwise(F.to_json(F.struct(role, F.col("text").alias("content")), none))
+    return prompt.normalise(table(spark, sf_dir, "conversations").select("conv_id", "turn", message.alias("message"))).drop("message")
