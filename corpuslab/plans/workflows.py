@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions import text as T
 from corpuslab.functions.tables import for_session, kept, shared_folder
-from corpuslab.operators import code, markdown_blocks, prompt, resolve, tree
+from corpuslab.operators import blocks, code, markdown_blocks, prompt, resolve, tree
 from corpuslab.operators.extraction_cache import ExtractionCache
 from corpuslab.plans.catalog import _SQL_LINES, _SQL_TITLE, query, table
 from corpuslab.sources.versions import VersionedTable
@@ -249,3 +249,42 @@ def message_normalise(spark, sf_dir):
     tool = F.to_json(F.struct(F.lit("tool").alias("role"), F.col("text").alias("content")), none)
     message = F.when(role == "user", user).when((role == "assistant") & (F.col("turn") % 2 == 0), called).when(role == "system", tool).otherwise(F.to_json(F.struct(role, F.col("text").alias("content")), none))
     return prompt.normalise(table(spark, sf_dir, "conversations").select("conv_id", "turn", message.alias("message"))).drop("message")
+
+
+_SQL_BOXES = """boxes AS (
+  SELECT l_orderkey AS page, CAST(l_linenumber * 30 + l_suppkey % 25 AS DOUBLE) AS y0, CAST(l_partkey % 400 AS DOUBLE) AS x0,
+         CAST(l_linenumber * 30 + l_suppkey % 25 + 12 AS DOUBLE) AS y1, CAST(l_partkey % 400 + l_quantity * 4 AS DOUBLE) AS x1 FROM lineitem)"""
+_SQL_SWEEP = """{0} AS (SELECT *, sum(fresh) OVER (PARTITION BY page, {3} ORDER BY {1}, {2}, x0, y0, x1, y1 ROWS UNBOUNDED PRECEDING) AS s_{0} FROM (
+  SELECT *, CASE WHEN {1} > max({2}) OVER (PARTITION BY page, {3} ORDER BY {1}, {2}, x0, y0, x1, y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 1 ELSE 0 END AS fresh FROM {4}))"""
+
+
+def _sql_sweeps(n: int) -> str:
+    """`n` pairs of sweeps: as many as the lines of an order can take, which have at most seven boxes."""
+    out, before, marks = [], "boxes", "1"
+    for k in range(2 * n):
+        begin, end = ("y0", "y1") if k % 2 == 0 else ("x0", "x1")
+        name = f"w{k}"
+        out.append(_SQL_SWEEP.format(name, begin, end, marks, before).replace("SELECT *, CASE", "SELECT * EXCLUDE (fresh), CASE" if k else "SELECT *, CASE"))
+        before, marks = name, f"{marks}, s_{name}" if marks != "1" else f"s_{name}"
+    return ", ".join(out) + f", blocks AS (SELECT page, count(*) AS boxes, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM {before} GROUP BY page, {marks})"
+
+
+@query("page_blocks", f"WITH {_SQL_BOXES}, {_sql_sweeps(4)} SELECT page, row_number() OVER (PARTITION BY page ORDER BY y0, x0, y1, x1) - 1 AS block, boxes, x0, y0, x1, y1 FROM blocks")
+def page_blocks(spark, sf_dir):
+    """Orders as pages, their lines as boxes: which of them make one block."""
+    at, down = F.col("l_partkey") % 400, F.col("l_linenumber") * 30 + F.col("l_suppkey") % 25
+    boxes = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), at.alias("x0"), down.alias("y0"), (at + F.col("l_quantity") * 4).alias("x1"), (down + 12).alias("y1"))
+    return blocks.merged(boxes, ["page"], gap=1.0).withColumn("block", F.col("block").cast("long"))
+
+
+@query(
+    "block_texts",
+    """SELECT conv_id, coalesce(regexp_replace(string_agg(coalesce(text, ''), ' ' ORDER BY turn, text), '^\\s+|\\s+$', '', 'g'), '') AS text, greatest(9.0, max(CAST(turn % 17 AS DOUBLE))) AS size, count(*) AS spans,
+CAST(min(turn) AS DOUBLE) AS x0, CAST(min(length(coalesce(text, ''))) AS DOUBLE) AS y0, CAST(max(turn + 5) AS DOUBLE) AS x1, CAST(max(length(coalesce(text, '')) + 2) AS DOUBLE) AS y1
+FROM conversations WHERE role <> 'system' GROUP BY conv_id""",
+)
+def block_texts(spark, sf_dir):
+    """Conversations as blocks, their turns as spans: text, largest size and box; system turns stand for pictures."""
+    size, long = F.col("turn").cast("double"), F.length(F.coalesce("text", F.lit(""))).cast("double")
+    spans = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.when(F.col("role") == "system", 1).otherwise(0).alias("kind"), (size % 17).alias("size"), size.alias("x0"), long.alias("y0"), (size + 5).alias("x1"), (long + 2).alias("y1"))
+    return blocks.summed(blocks.text_only(spans), ["conv_id"], ["turn"])
