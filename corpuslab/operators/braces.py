@@ -47,7 +47,7 @@ _DECLARING = {"c": frozenset(), "js": frozenset(("function",)), "other": frozens
 _RISKY = frozenset("gets strcpy strcat sprintf scanf".split())
 _FORMATTED = {"printf": 0, "fprintf": 1, "sprintf": 1, "snprintf": 2, "syslog": 1}
 _ENDING = frozenset("break return goto continue throw".split())
-_TODO = re.compile(r"\b(?:TODO|FIXME|HACK|XXX)\b", re.IGNORECASE)
+TODO = re.compile(r"\b(?:TODO|FIXME|HACK|XXX)\b", re.IGNORECASE)
 _INCLUDE = re.compile(r"#\s*include\s+[<\"]([^>\"]+)")
 _REQUIRED = re.compile(r"\(\s*['\"]([^'\"]+)")
 _CONDITION = re.compile(r"[ \t]*#[ \t]*(if|ifdef|ifndef|elif|elifdef|elifndef|else|endif)\b")
@@ -145,7 +145,7 @@ class File:
 
     def _todo(self, text: str, line: int) -> None:
         for k, part in enumerate(text.split("\n")):
-            if _TODO.search(part):
+            if TODO.search(part):
                 self._add("issue", "todo_comment", line + k, severity="low", message=self.lines[line + k - 1].strip())
 
     def _branch(self, word: str) -> None:

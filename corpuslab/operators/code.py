@@ -9,6 +9,8 @@ aggregate or window over it.
 from __future__ import annotations
 
 import ast
+import io
+import tokenize
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,7 +23,7 @@ from corpuslab.operators import braces
 
 SYMBOLS = (
     "path string, lang string, kind string, name string, line long, lines long, cyclomatic long, max_nesting long, "
-    "calls array<string>, module string, alias string, how string, members array<string>, bases array<string>, severity string, message string, level long"
+    "calls array<string>, module string, alias string, how string, members array<string>, bases array<string>, severity string, message string, level long, head long"
 )
 
 _KINDS = {"string": pa.string(), "long": pa.int64(), "array<string>": pa.list_(pa.string())}
@@ -64,7 +66,7 @@ class _PythonFile(ast.NodeVisitor):
             f["block"] -= bool(block)
 
     def function(self, node) -> None:
-        row = self.add("function", node.name, node, lines=node.end_lineno - node.lineno + 1, cyclomatic=1, max_nesting=0, calls=set(), depth=0, block=0)
+        row = self.add("function", node.name, node, lines=node.end_lineno - node.lineno + 1, cyclomatic=1, max_nesting=0, calls=set(), depth=0, block=0, **_head(node))
         for t in self.types:
             t["members"].append(node.name)
         self.functions.append(row)
@@ -76,7 +78,7 @@ class _PythonFile(ast.NodeVisitor):
 
     def visit_ClassDef(self, node: ast.ClassDef) -> None:
         bases = [x for x in map(_last_name, node.bases) if x]
-        self.types.append(self.add("type", node.name, node, how="class", members=[], bases=bases))
+        self.types.append(self.add("type", node.name, node, how="class", members=[], bases=bases, **_head(node)))
         self.generic_visit(node)
         self.types.pop()
 
@@ -111,16 +113,34 @@ class _PythonFile(ast.NodeVisitor):
         self.generic_visit(node)
 
 
+def _head(node: ast.AST) -> dict:
+    """How many lines the head of a definition has, and its docstring."""
+    return {"head": max(1, node.body[0].lineno - node.lineno), "message": ast.get_docstring(node)}
+
+
+def _todos(source: str) -> Iterator[dict]:
+    """Comments that leave something to do, as the lines they stand in."""
+    lines = source.split("\n")
+    try:
+        for token in tokenize.generate_tokens(io.StringIO(source).readline):
+            if token.type == tokenize.COMMENT and braces.TODO.search(token.string):
+                yield {"kind": "issue", "name": "todo_comment", "line": token.start[0], "severity": "low", "message": lines[token.start[0] - 1].strip()}
+    except (tokenize.TokenError, SyntaxError):
+        return
+
+
 def _last_name(node: ast.AST) -> str | None:
     return node.id if isinstance(node, ast.Name) else getattr(node, "attr", None)
 
 
 def _python(source: str) -> Iterator[dict]:
-    """Symbols of one Python file; none where it does not parse."""
+    """Symbols of one Python file; where it does not parse, an issue that says so, and what its comments leave to do."""
+    yield from _todos(source)
     try:
         file = _PythonFile()
         file.visit(ast.parse(source))
-    except (SyntaxError, ValueError, RecursionError):
+    except (SyntaxError, ValueError, RecursionError) as error:
+        yield {"kind": "issue", "name": "syntax_error", "line": getattr(error, "lineno", None) or 1, "severity": "high", "message": str(getattr(error, "msg", None) or error)}
         return
     yield from ({k: v for k, v in row.items() if k not in ("depth", "block")} for row in file.rows)
 
@@ -218,6 +238,21 @@ def skeleton(files: DataFrame, found: DataFrame) -> DataFrame:
     return marks.join(all_lines, "path").select("path", "line", T.strip(F.get("all", (F.col("line") - 1).cast("int"))).alias("signature"))
 
 
+def skeleton_text(files: DataFrame, found: DataFrame) -> DataFrame:
+    """(path, line, text): every definition as its head and docstring, with three dots for its body; imports and macros as they are."""
+    marks = found.where(F.col("kind").isin("function", "type", "import", "macro")).groupBy("path", "line").agg(F.min(F.struct("kind", "lang", F.coalesce("head", F.lit(1)).alias("head"), "message")).alias("m"))
+    joined = marks.join(files.select("path", T.lines(F.col("source")).alias("all")), "path")
+    own = F.array_join(F.slice("all", F.col("line").cast("int"), F.col("m.head").cast("int")), "\n")
+    inner = F.concat(F.regexp_extract(own, r"^(\s*)", 1), F.lit("    "))
+    quoted = F.concat(inner, F.lit('"""'), F.col("m.message"), F.lit('"""\n'))
+    body = F.col("m.kind").isin("function", "type")
+    # the head without a body that begins on its line
+    python = F.concat(F.when(F.col("m.head") == 1, F.regexp_replace(own, r"^(.*?:)\s*(?:pass|return\b.*|\.\.\.)$", "$1")).otherwise(own), F.lit("\n"), F.coalesce(quoted, F.lit("")), inner, F.lit("..."))
+    braced = F.concat(F.regexp_replace(own, r"\s*\{.*$", ""), F.lit(" { ... }"))
+    text = F.when(~body, own).when(F.col("m.lang") == "py", python).otherwise(braced)
+    return joined.select("path", "line", text.alias("text"))
+
+
 def read_symbol(files: DataFrame, found: DataFrame, name: str, most: int = 100) -> DataFrame:
     """(path, line, text): the source of each function of a name; an expression without end counts `most` lines."""
     marks = _of(found, "function").where(F.col("name") == name).select("path", "line", "lines")

@@ -29,9 +29,12 @@ def token_count(text: Column, tokens: Callable[[Column], Column] = approximate_t
     return F.floor(tokens(text) * MARGIN_PERCENT / 100).cast("long")
 
 
-def usage(log: DataFrame, key: str = "conv_id", text: str = "text", limit: int = CONTEXT_LIMIT, tokens: Callable[[Column], Column] = approximate_tokens) -> DataFrame:
-    """(key, messages, tokens, ratio, needs_compaction)."""
-    total = log.groupBy(key).agg(F.count("*").alias("messages"), F.sum(token_count(F.col(text), tokens)).alias("tokens"))
+def usage(log: DataFrame, key: str = "conv_id", text: str = "text", limit: int = CONTEXT_LIMIT, tokens: Callable[[Column], Column] = approximate_tokens, calls: str | None = None) -> DataFrame:
+    """(key, messages, tokens, ratio, needs_compaction); `calls` is a column with the tool calls of messages as JSON, whose tokens count too."""
+    own = token_count(F.col(text), tokens)
+    if calls:
+        own = own + F.when(F.coalesce(F.length(calls), F.lit(0)) > 0, token_count(F.col(calls), tokens)).otherwise(0)
+    total = log.groupBy(key).agg(F.count("*").alias("messages"), F.sum(own).alias("tokens"))
     return total.withColumn("ratio", F.round(F.col("tokens") / limit, 6)).withColumn("needs_compaction", F.col("tokens") / limit >= THRESHOLD)
 
 

@@ -34,3 +34,13 @@ def share(merged: DataFrame, totals: DataFrame, key: str, total: str) -> DataFra
     pages = merged.groupBy(key).agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("pages"))
     joined = totals.join(pages, key, "left").withColumn("pages", F.coalesce("pages", F.lit(0)))
     return joined.select(key, total, "pages", F.floor(F.col("pages") * 100 / F.col(total)).alias("pct"))
+
+
+def open_contents(contents: DataFrame, open_pages: DataFrame, key: str, level: str = "level", page: str = "page", most_level: int = 2, most: int | None = 50) -> DataFrame:
+    """(key, level, title, page): entries of tables of contents from the first open page on, of high levels alone; the first `most` of each, or all."""
+    first = open_pages.groupBy(key).agg(F.min("lo").alias("_first"))
+    found = contents.join(first, key).where((F.col(level) <= most_level) & (F.col(page) >= F.col("_first"))).drop("_first")
+    if most is None:
+        return found
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(page, level, "title"))
+    return found.withColumn("_n", rank).where(F.col("_n") <= most).drop("_n")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,16 +20,27 @@ SKIPPED = (".git", "node_modules", "__pycache__", ".venv", "venv", "dist", "buil
 TABLE_ROWS = 100
 
 
-def _table(text: Column, separator: str) -> Column:
-    """The first rows of a delimited text without quoted fields as a Markdown table, with a note where rows are left out."""
-    rows = F.filter(T.lines(F.regexp_replace(text, "^\ufeff", "")), lambda x: x != "")
-    cells = lambda x: F.concat(F.lit("| "), F.array_join(F.transform(F.split(x, separator), T.markdown_cell), " | "), F.lit(" |"))
-    head = F.get(rows, 0)
-    rule = F.concat(F.lit("|"), F.repeat(F.lit("---|"), F.size(F.split(head, separator))))
-    count = F.size(rows) - 1
-    note = F.when(count > TABLE_ROWS, F.array(F.concat(F.lit(f"({TABLE_ROWS} of "), count.cast("string"), F.lit(" rows)")))).otherwise(F.array().cast("array<string>"))
-    body = F.transform(F.slice(rows, 2, TABLE_ROWS), cells)
-    return F.when(F.size(rows) > 0, F.array_join(F.concat(F.array(cells(head), rule), body, note), "\n")).otherwise("")
+def table_text(text: str | None, separator: str, most: int | None) -> str:
+    """A delimited text, with quoted fields that may hold separators and line breaks, as a Markdown table of its first `most` rows, or all."""
+    reader = csv.reader(io.StringIO((text or "").removeprefix("\ufeff"), newline=""), delimiter=separator)
+    rows = (x for x in reader if x)
+    cells = lambda x: "| " + " | ".join(re.sub(r"\s*[\r\n]+\s*", " ", c).replace("|", "\\|") for c in x) + " |"
+    head = next(rows, None)
+    if head is None:
+        return ""
+    out, count = [cells(head), "|" + "---|" * len(head)], 0
+    for count, row in enumerate(rows, 1):
+        if most is None or count <= most:
+            out.append(cells([*row, *[""] * (len(head) - len(row))]))
+    return "\n".join(out + ([f"({most} of {count} rows)"] if most is not None and count > most else []))
+
+
+def _table(text: Column, separator: str, most: int | None) -> Column:
+    def read(texts: pd.Series) -> pd.Series:
+        csv.field_size_limit(1 << 31)
+        return pd.Series([table_text(t, separator, most) for t in texts], dtype=object)
+
+    return F.pandas_udf(read, "string")(text)
 
 
 def _code(path: Column, text: Column) -> Column:
@@ -35,22 +51,25 @@ def _code(path: Column, text: Column) -> Column:
     return F.concat(fenced, F.when(F.size(notes) > 0, listed).otherwise(""))
 
 
-def as_markdown(files: DataFrame) -> DataFrame:
-    """Files (path, ext, text) with their text as Markdown: plain text as it is, HTML and delimited files converted, all else as code."""
+def as_markdown(files: DataFrame, table_rows: int | None = TABLE_ROWS) -> DataFrame:
+    """Files (path, ext, text) with their text as Markdown: plain text as it is, HTML and delimited files converted, all else as code.
+
+    Tables show their first `table_rows` rows and a note how many there are, or, if that is None, all.
+    """
     ext, text = F.col("ext"), F.coalesce("text", F.lit(""))
     converted = (
         F.when(ext.isin(*PLAIN), text)
         .when(ext.isin(*HTML), markdown.from_html(text))
-        .when(ext == ".csv", _table(text, ","))
-        .when(ext == ".tsv", _table(text, "\t"))
+        .when(ext == ".csv", _table(text, ",", table_rows))
+        .when(ext == ".tsv", _table(text, "\t", table_rows))
         .otherwise(_code(F.col("path"), text))
     )
     return files.withColumn("text", converted)
 
 
-def read_documents(spark: SparkSession, path: str, extensions: tuple[str, ...] = PLAIN + HTML + DELIMITED + CODE, skip: tuple[str, ...] = SKIPPED) -> DataFrame:
+def read_documents(spark: SparkSession, path: str, extensions: tuple[str, ...] = PLAIN + HTML + DELIMITED + CODE, skip: tuple[str, ...] = SKIPPED, table_rows: int | None = TABLE_ROWS) -> DataFrame:
     """(path, ext, length, modified, text) of the files below a folder, as Markdown."""
-    return as_markdown(markdown.read_files(spark, path, list(extensions), skip))
+    return as_markdown(markdown.read_files(spark, path, list(extensions), skip), table_rows)
 
 
 def project(spark: SparkSession, path: str, newest: int | None = None, extensions: tuple[str, ...] = CODE, skip: tuple[str, ...] = SKIPPED) -> DataFrame:
