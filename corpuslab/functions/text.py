@@ -98,8 +98,9 @@ def comments(source: Column, most: int = 20) -> Column:
 
 def utf8_prefix(text: Column, most: int) -> Column:
     """The longest prefix of at most `most` bytes that ends between characters."""
-    cut = F.substring(F.encode(text, "UTF-8"), 1, most).cast("string")
-    return F.regexp_replace(F.make_valid_utf8(cut), "\ufffd+$", "")
+    raw = F.encode(text, "UTF-8")
+    # a character has four bytes at most, so one of these cuts is between two
+    return F.coalesce(*[F.try_validate_utf8(F.substring(raw, 1, max(most - k, 0)).cast("string")) for k in range(4)])
 
 
 def replace_unique(text: Column, old: str, new: str) -> Column:

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions import text as T
 from corpuslab.functions.tables import for_session, kept, shared_folder
-from corpuslab.operators import blocks, code, markdown_blocks, prompt, resolve, tree
+from corpuslab.operators import blocks, code, conversation, coverage, markdown_blocks, prompt, resolve, tree
 from corpuslab.operators.extraction_cache import ExtractionCache
-from corpuslab.plans.catalog import _SQL_LINES, _SQL_TITLE, query, table
+from corpuslab.plans.catalog import _SQL_CODE, _SQL_LINES, _SQL_TITLE, _SQL_TOKENS, code_files, query, table
+from corpuslab.sources import readers
 from corpuslab.sources.versions import VersionedTable
 from corpuslab.streaming import reframe
 
@@ -288,3 +289,58 @@ def block_texts(spark, sf_dir):
     size, long = F.col("turn").cast("double"), F.length(F.coalesce("text", F.lit(""))).cast("double")
     spans = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.when(F.col("role") == "system", 1).otherwise(0).alias("kind"), (size % 17).alias("size"), size.alias("x0"), long.alias("y0"), (size + 5).alias("x1"), (long + 2).alias("y1"))
     return blocks.summed(blocks.text_only(spans), ["conv_id"], ["turn"])
+
+
+@query(
+    "code_skeleton_text",
+    _SQL_CODE
+    + """ SELECT path, line, text FROM imported UNION ALL SELECT path, 4 * i - CASE lang WHEN 'py' THEN 0 ELSE 2 END,
+CASE lang WHEN 'py' THEN 'def ' || name || '(x):' || chr(10) || '    ...' WHEN 'js' THEN 'function ' || name || '(x) { ... }' ELSE 'static int ' || name || '(int x) { ... }' END FROM once""",
+)
+def code_skeleton_text(spark, sf_dir):
+    files = code_files(spark, sf_dir)
+    return code.skeleton_text(files, kept(code.symbols(files, ("py", "c", "js")), "symbols"))
+
+
+@query(
+    "delimited_tables",
+    """WITH line AS (
+  SELECT c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k, '| ' || c_custkey || ' | ' || c_name || ', "' || c_mktsegment || '" x | a\\|b c |' AS line FROM customer)
+SELECT 'n' || c_nationkey || '.csv' AS path, '| key | the "name" | note |' || chr(10) || '|---|---|---|' || chr(10) || string_agg(line, chr(10) ORDER BY k) FILTER (k <= 100)
+       || CASE WHEN count(*) > 100 THEN chr(10) || '(100 of ' || count(*) || ' rows)' ELSE '' END AS text FROM line GROUP BY c_nationkey""",
+)
+def delimited_tables(spark, sf_dir):
+    """The customers of each nation as a delimited file with quoted separators, quotes and line breaks, read as a table."""
+    row = F.format_string('%d,"%s, ""%s"" x","a|b\nc"\n', "c_custkey", "c_name", "c_mktsegment")
+    rows = F.array_sort(F.collect_list(F.struct("c_custkey", row.alias("row"))))
+    files = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.array_join(F.transform(rows, lambda x: x["row"]), "").alias("rows"))
+    text = F.concat(F.lit('key,"the ""name""",note\n'), "rows")
+    return readers.as_markdown(files.select(F.format_string("n%d.csv", "c_nationkey").alias("path"), F.lit(".csv").alias("ext"), text.alias("text"))).select("path", "text")
+
+
+@query(
+    "open_contents",
+    """WITH first AS (SELECT source, min(doc_id) AS first FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 GROUP BY source)
+SELECT source, CAST(n_chars % 3 + 1 AS BIGINT) AS level, 'p. ' || doc_id AS title, doc_id AS page FROM documents JOIN first USING (source) WHERE n_chars % 3 < 2 AND doc_id >= first
+QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 50""",
+)
+def open_contents(spark, sf_dir):
+    """Sources as documents with a table of contents, whose toxic pages are open: the first fifty headings from there on."""
+    docs = table(spark, sf_dir, "documents")
+    contents = docs.select("source", (F.col("n_chars") % 3 + 1).alias("level"), F.format_string("p. %d", "doc_id").alias("title"), F.col("doc_id").alias("page"))
+    gaps = docs.join(table(spark, sf_dir, "labels").where("toxic = 1"), "doc_id").select("source", F.col("doc_id").alias("lo"), F.col("doc_id").alias("hi"))
+    return coverage.open_contents(contents, gaps, "source")
+
+
+_SQL_CALL = """CASE role WHEN 'assistant' THEN '[{"name": "f", "args": {"turn": ' || turn || '}}]' END"""
+
+
+@query(
+    "token_totals_with_calls",
+    f"""SELECT *, round(tokens / 2000.0, 6) AS ratio, tokens / 2000.0 >= 0.92 AS needs_compaction FROM (
+SELECT conv_id, count(*) AS messages, CAST(sum({_SQL_TOKENS} + {_SQL_TOKENS.replace('text', _SQL_CALL)}) AS BIGINT) AS tokens FROM conversations GROUP BY conv_id)""",
+)
+def token_totals_with_calls(spark, sf_dir):
+    """Tokens of conversations whose answers carry tool calls."""
+    call = F.when(F.col("role") == "assistant", F.format_string('[{"name": "f", "args": {"turn": %d}}]', "turn"))
+    return conversation.usage(table(spark, sf_dir, "conversations").withColumn("calls", call), limit=2000, calls="calls")
