@@ -12,7 +12,8 @@ turns first and then over blocks, so one huge conversation is spread over tasks.
 
 A null speaker is the participant "unknown", null text is empty, null turns come
 first, ties are ordered by speaker and text, a null conversation id is one
-conversation, and repeated rows are messages of their own.  Conversations with
+conversation, and repeated rows are messages of their own.  The marks of turns
+are escaped in texts and names, and a name is one line.  Conversations with
 system turns alone have no perspective and give no rows; an empty table gives
 none.  Further columns of the input are ignored.
 """
@@ -23,6 +24,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>\n"
+#: How marks begin, and what stands for that in texts and names, so that nobody writes another's turn.
+MARK, ESCAPED = "<|im_", "<| im_"
 SYSTEM, UNKNOWN = "system", "unknown"
 BLOCK_TURNS = 256
 
@@ -37,7 +40,7 @@ def rotate(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn
         F.col(conversation).alias("conv_id"),
         F.col(turn).alias("turn"),
         F.coalesce(F.col(speaker), F.lit(UNKNOWN)).alias("speaker"),
-        F.coalesce(F.col(text), F.lit("")).alias("text"),
+        F.replace(F.coalesce(F.col(text), F.lit("")), F.lit(MARK), F.lit(ESCAPED)).alias("text"),
     )
     people = said.where(F.col("speaker") != SYSTEM).select(F.col("conv_id").alias("of"), F.col("speaker").alias("perspective")).distinct()
     seen = said.join(people, F.col("conv_id").eqNullSafe(F.col("of"))).drop("of")
@@ -45,7 +48,8 @@ def rotate(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn
     role = F.when(own, "assistant").when(F.col("speaker") == SYSTEM, "system").otherwise("user")
     name = F.when(role == "user", F.col("speaker"))
     seen = seen.withColumns({"chat_role": role, "name": name, "block": _block(F.col("turn"), block_turns)})
-    head = F.concat(F.lit(START), F.col("chat_role"), F.coalesce(F.concat(F.lit(" name="), F.col("name")), F.lit("")), F.lit("\n"))
+    shown = F.replace(F.regexp_replace("name", r"[\r\n]", " "), F.lit(MARK), F.lit(ESCAPED))
+    head = F.concat(F.lit(START), F.col("chat_role"), F.coalesce(F.concat(F.lit(" name="), shown), F.lit("")), F.lit("\n"))
     seen = seen.withColumns({"head": F.length(head).cast("long"), "segment": F.concat(head, "text", F.lit(END))})
     seen = seen.withColumn("chars", F.length("segment").cast("long"))
 
@@ -83,7 +87,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 WITH said AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|im_', '<| im_') AS text FROM conversations),
 people AS (SELECT DISTINCT conv_id, speaker AS perspective FROM said WHERE speaker <> 'system'),
 seen AS (
   SELECT s.conv_id, perspective, turn, speaker, text,
@@ -91,7 +95,7 @@ seen AS (
   FROM said s JOIN people p ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
 headed AS (
   SELECT *, CASE WHEN chat_role = 'user' THEN speaker END AS name,
-         '<|im_start|>' || chat_role || coalesce(CASE WHEN chat_role = 'user' THEN ' name=' || speaker END, '') || chr(10) AS head
+         '<|im_start|>' || chat_role || coalesce(CASE WHEN chat_role = 'user' THEN ' name=' || replace(regexp_replace(speaker, '[\\r\\n]', ' ', 'g'), '<|im_', '<| im_') END, '') || chr(10) AS head
   FROM seen),
 rendered AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS segment FROM headed),
 placed AS (
