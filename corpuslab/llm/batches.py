@@ -31,6 +31,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def located(spark: SparkSession, path: str) -> str:
+    """A path with the store it is in, as Spark resolves it: without one it is not of the machine but of the default store."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString()
+    return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 _made: list[str] = []
 
 

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.llm import wordhash as W
-from corpuslab.llm.batches import bound, shared_folder
+from corpuslab.llm.batches import bound, located, shared_folder
 from corpuslab.llm.elias_fano import Writer, opened
 
 ORDER, DISCOUNT, MIN_COUNT, BLOCK, FLUSH, TEXTS = 3, 0.6, 1, 1 << 20, 1 << 20, 2 << 20
@@ -245,7 +245,7 @@ def train(texts: DataFrame, order: int = ORDER, discount: float = DISCOUNT, min_
     spark = bound(texts.sparkSession)
     size = texts.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     blocks = 8 << max(0, int(size // (512 * block_tokens)).bit_length())
-    model = Model(f"{shared_folder(spark)}/model-{uuid.uuid4().hex}", order)
+    model = Model(located(spark, f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"), order)
     level = Level(np.arange(blocks, dtype=np.int64), np.ones(blocks, np.int64), np.zeros(blocks, np.int64))
     for n in range(1, order + 1):
         shared = spark.sparkContext.broadcast((model, level))

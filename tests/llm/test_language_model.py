@@ -8,7 +8,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from corpuslab.llm import elias_fano, language_model as LM
+from corpuslab.llm import batches, elias_fano, language_model as LM
 
 
 @settings(max_examples=100, deadline=None)
@@ -107,3 +107,7 @@ def test_edge_rows(spark):
     assert sorted((r.doc_id or 0, r.n_tokens, r.n_known) for r in got) == [(0, 1, 1), (1, 1, 1), (1, 1, 1), (2, 5, 5)]
     none = df.where("false")
     assert LM.score(none, LM.train(none.select("text"))).count() == 0
+
+
+def test_the_model_is_where_spark_resolves_its_folder(spark, tmp_path):
+    assert batches.located(spark, str(tmp_path)) == f"file://{tmp_path}" == batches.located(spark, f"file://{tmp_path}")
