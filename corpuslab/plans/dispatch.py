@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.operators import batching, code, conversation, corpus, coverage, notes
+from corpuslab.operators import batching, blocks, code, conversation, corpus, coverage, markdown_blocks, notes, prompt, resolve, tree
 from corpuslab.plans.access import Permission
 from corpuslab.sources import readers
+from corpuslab.streaming import reframe
 
 #: name -> (function, permission it needs, what it does)
 OPERATIONS: dict[str, tuple[Callable[..., DataFrame], Permission, str]] = {
@@ -48,6 +49,18 @@ OPERATIONS: dict[str, tuple[Callable[..., DataFrame], Permission, str]] = {
     "tasks": (notes.progress, Permission.READ, "tasks done and in all"),
     "batches": (batching.greedy_batches, Permission.READ, "rows in batches within a budget"),
     "recall": (notes.recall, Permission.READ, "notes"),
+    "skeleton_text": (code.skeleton_text, Permission.READ, "heads and docstrings of definitions"),
+    "resolve_calls": (resolve.resolve_calls, Permission.READ, "calls with the functions that their imports mean"),
+    "tree": (tree.entries, Permission.READ, "files and folders with totals"),
+    "draw_tree": (tree.draw, Permission.READ, "files and folders as the lines of a tree"),
+    "markdown": (markdown_blocks.classify, Permission.READ, "kinds of the lines of Markdown"),
+    "open_contents": (coverage.open_contents, Permission.READ, "headings of pages that are not covered"),
+    "prompts": (prompt.assemble, Permission.READ, "prompts under a budget"),
+    "messages": (prompt.normalise, Permission.READ, "messages of several dialects made alike"),
+    "responses": (prompt.parse_response, Permission.READ, "texts and calls of replies"),
+    "blocks": (blocks.merged, Permission.READ, "boxes of pages that belong together"),
+    "stream_lines": (reframe.lines, Permission.READ, "lines of streams that were cut anywhere"),
+    "chunks": (reframe.transcode, Permission.READ, "lines of streams as chunks of chat completions"),
     "remember": (notes.remember, Permission.WRITE, "a note set"),
     "upsert": (corpus.upsert, Permission.WRITE, "rows replaced by key"),
     "delete": (corpus.delete, Permission.WRITE, "rows removed by key"),
