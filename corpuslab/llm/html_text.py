@@ -53,10 +53,15 @@ _ROLES = frozenset("navigation banner contentinfo complementary search form dial
 # Words of class names that mark what is not content, wherever they stand in a name or only by themselves and with words of layout.
 _STRONG = frozenset(
     "ad ads advert adverts advertisement advertisements sponsor sponsored promo promos promotion promotions banner cookie cookies consent gdpr popup modal "
-    "sidebar nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer masthead comments disqus newsletter toolbar".split()
+    "sidebar nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer masthead comments disqus newsletter toolbar "
+    "adsbygoogle werbung anzeige anzeigen publicidad anuncio anuncios publicite".split()
 )
-_WEAK = frozenset("notice notices alert side header comment replies respond share sharing social related recommended subscribe signup login widget widgets skip".split())
+_WEAK = frozenset("notice notices alert side header comment replies respond responses share sharing social related recommended subscribe signup login widget widgets skip".split())
 _LAYOUT = frozenset("area articles bar block box buttons button container content form icons inner items link links list panel posts section site top bottom page site wrap wrapper main global left right".split())
+#: Further words of layout; and ids that a section or a heading of an article bears for what they are, not for its title.
+_PLACES = _LAYOUT | frozenset("article blog entry inline page post slot thread unit zone placement".split())
+_OWN_IDS = frozenset("comments respond responses disqus_thread".split())
+_TITLED = frozenset("section h1 h2 h3 h4 h5 h6 p li dt dd td th tr pre blockquote figure".split())
 _STATES = frozenset("has no with without is open closed enabled disabled hide show".split())
 
 _TAG_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
@@ -90,20 +95,37 @@ _BREAK = _Break()
 
 
 def _named(name: str, inside: bool) -> bool:
-    """Whether a class or an id marks what is not content; an article's own header is."""
+    """Whether a class or an id marks what is not content.
+
+    In an article words of its subject stand in names too (a guide to menus, a
+    recipe of cookies), so there each part of a name has to be such a word or one
+    of layout; its own header is content.
+    """
     parts = [p for p in _PART.split(name.lower()) if p]
     if _STATES & set(parts) or (inside and ("header" in parts or "masthead" in parts)):
         return False
+    if inside:
+        return any(p in _STRONG or p in _WEAK for p in parts) and all(p in _STRONG or p in _WEAK or p in _PLACES or p.isdigit() or len(p) == 1 for p in parts)
     return any(p in _STRONG for p in parts) or (any(p in _WEAK for p in parts) and all(p in _WEAK or p in _LAYOUT for p in parts))
 
 
-def _marked(attrs: str, inside: bool) -> bool:
-    """Whether class, id, role or a hidden mark say that an element is not content."""
+def _marked(attrs: str, inside: bool, tag: str) -> bool:
+    """Whether class, id, role or a hidden mark say that an element is not content.
+
+    Ids in an article are anchors made from titles, so those of sections and
+    headings count only where they name the readers' comments, and those of other
+    elements only if they are more than one word or such a name.
+    """
     for m in _ATTR.finditer(attrs):
         key, value = m["k"].lower(), m["d"] or m["s"] or m["b"] or ""
         if key == "role":
             if value.lower() in _ROLES:
                 return True
+        elif key == "id" and inside:
+            own = value.strip().lower()
+            headed = tag not in _TITLED and len(_PART.split(own)) > 1
+            if (own in _OWN_IDS and tag not in _CONTENT) or (headed and _named(own, inside)):
+                return True
         elif key in ("class", "id"):
             if any(_named(x, inside) for x in value.split()):
                 return True
@@ -194,7 +216,7 @@ def parse(html: str) -> Node:
             if tag == "li" and (k := stack.last("li", _LIST_FENCES)):
                 stack.pop_to(k)
             inside = bool(stack.places["article"] or stack.places["main"])
-            marked = bool(attrs.strip()) and tag not in ("body", "html") and _marked(attrs, inside)
+            marked = bool(attrs.strip()) and tag not in ("body", "html") and _marked(attrs, inside, tag)
             node = Node(tag, tag in _DROP or (tag == "header" and not inside), marked)
             stack.nodes[-1].children.append(node)
             if tag in _RAW:

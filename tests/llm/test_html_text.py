@@ -22,6 +22,21 @@ def test_marks():
     assert text_of('<div class="page header">H</div><p class="headers-up">x</p><div role="banner">b</div>') == "x"
 
 
+def test_subjects_of_articles_are_no_marks():
+    kept = [
+        '<section id="cookies"><h2>Cookies</h2><p>bake</p></section>', '<section id="navigation"><p>stars</p></section>', '<h2 id="comments">Comments in C</h2>', '<div class="cookie-recipe"><p>c</p></div>',
+        '<div class="menu-planning-guide"><p>m</p></div>', '<div class="toolbar-design"><p>t</p></div>', '<section id="menu-items"><p>i</p></section>', '<div id="sponsored"><p>s</p></div>', '<p class="promotion-law">law</p>',
+    ]
+    gone = [
+        '<ins class="adsbygoogle">ad</ins>', '<section class="responses"><p>r</p></section>', '<div class="werbung">w</div>', '<div class="ad-slot-2">a</div>', '<section id="comments"><p>c</p></section>',
+        '<div id="cookie-banner">c</div>', '<div class="post-comments">p</div>', '<div class="c-sidebar__widget">s</div>', '<div id="respond">r</div>',
+    ]
+    for piece in kept:
+        assert text_of(f"<article><p>x</p>{piece}</article>") != "x", piece
+    for piece in gone:
+        assert text_of(f"<article><p>x</p>{piece}</article>") == "x", piece
+
+
 def test_broken_markup():
     assert text_of("a < b <p title=\"x>y</p>") == "a < b\n\ny"
     assert text_of("<p>x<!-- never closed <p>y") == "x"
