@@ -32,6 +32,24 @@ def test_elias_fano_finds_what_is_there(blocks, others):
                 assert file.column("codes", "u2", np.full(len(hit), k + 3), hit).tolist() == hit.tolist()
 
 
+def test_neighbours_with_the_same_high_bits_share_one_select(tmp_path, monkeypatch):
+    values = np.append(np.arange(5000), np.arange(1, 200) << 30).astype(np.uint64)  # all of the first range and some sparse ones
+    writer = elias_fano.Writer(str(tmp_path), 0)
+    writer.add(0, values, 40, {})
+    file = elias_fano.opened(writer.close())
+    asked, select = [], elias_fano.Blocks._zero
+    monkeypatch.setattr(elias_fano.Blocks, "_zero", lambda self, of, k: asked.append(len(k)) or select(self, of, k))
+    assert file.find(np.zeros(len(values), np.int64), values).tolist() == list(range(len(values)))
+    assert sum(asked) <= 2 * 200
+
+
+def test_select_in_words():
+    words = np.random.default_rng(5).integers(1, 2**64, 200, dtype=np.uint64)
+    for word in (*words, np.uint64(1), np.uint64(1 << 63), np.uint64(2**64 - 1)):
+        places = [k for k in range(64) if int(word) >> k & 1]
+        assert elias_fano._select(np.full(len(places), word), np.arange(len(places))).tolist() == places
+
+
 def tokens_of(text):
     lower = "".join(c.lower() if c.isascii() else c for c in text or "")
     return [*re.findall(r"[^\x20\x09-\x0D]+", lower), "\n"]
