@@ -201,8 +201,8 @@ class Reader:
             node[at] = index + own.bases[block[at]]
         return node[back], count[back]
 
-    def follow(self, level: int, contexts: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Node of level `level`, its probability and the context's weight, for contexts that are nodes (not -1) of the level before; an id of -1 has no node."""
+    def follow(self, level: int, contexts: np.ndarray, ids: np.ndarray, valued: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Node of level `level`, its probability and the context's weight (both read only if `valued`), for contexts that are nodes (not -1) of the level before; an id of -1 has no node."""
         own, model = self.model.levels[level], self.model
         live = np.flatnonzero(contexts >= 0)
         # unknown words are looked up as the first one, for the weight of their context alone
@@ -212,27 +212,30 @@ class Reader:
         keys = (offset.astype(np.uint64) << np.uint64(model.word_bits)) | pairs.ids.astype(np.uint64)
         found, p, weight = np.full(len(keys), -1, np.int64), np.zeros(len(keys)), np.ones(len(keys))
         for blocks, at in self._by_file(level, block):
-            weight[at] = _VALUE[blocks.column("weights", "u2", block[at], offset[at])]
+            if valued:
+                weight[at] = _VALUE[blocks.column("weights", "u2", block[at], offset[at])]
             index = blocks.find(block[at], keys[at])
             at, index = at[index >= 0], index[index >= 0]
-            p[at] = _VALUE[blocks.column("codes", "u2", block[at], index)]
+            if valued:
+                p[at] = _VALUE[blocks.column("codes", "u2", block[at], index)]
             found[at] = index + own.bases[block[at]]
-        many = own.parts[start] > 1
-        weight[many] = own.weights[start[many]]
         node, out_p, out_weight = np.full(len(ids), -1, np.int64), np.zeros(len(ids)), np.ones(len(ids))
         known = ids[live] >= 0
-        node[live], out_p[live] = np.where(known, found[pairs.inverse], -1), np.where(known, p[pairs.inverse], 0.0)
-        out_weight[live] = weight[pairs.inverse]
+        node[live] = np.where(known, found[pairs.inverse], -1)
+        if valued:
+            many = own.parts[start] > 1
+            weight[many] = own.weights[start[many]]
+            out_p[live], out_weight[live] = np.where(known, p[pairs.inverse], 0.0), weight[pairs.inverse]
         return node, out_p, out_weight
 
-    def nodes(self, level: int, ids: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def nodes(self, level: int, ids: np.ndarray, place: np.ndarray, valued: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each level from 2 up to `level`: node of the n-gram that ends at each token, its probability and its context's weight."""
         node = ids
         for n in range(2, level + 1):
             before = np.full(len(ids), -1, np.int64)
             inside = np.flatnonzero(place >= n - 1)
             before[inside] = node[inside - 1]
-            node, p, weight = self.follow(n, before, ids)
+            node, p, weight = self.follow(n, before, ids, valued)
             yield node, p, weight
 
 
@@ -286,7 +289,7 @@ def _counting(shared, n: int):
             tokens, place = _tokens(batch.column(0))
             ids, _ = reader.words(tokens)
             node = ids
-            for node, _, _ in reader.nodes(n - 1, ids, place):
+            for node, _, _ in reader.nodes(n - 1, ids, place, valued=False):
                 pass
             after = np.flatnonzero(place >= n - 1)
             after = after[node[after - 1] >= 0]

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -118,6 +119,18 @@ def test_a_small_block_splits_frequent_words_and_pairs(spark):
                 assert abs(r.score - score) < 0.002 * n + 0.5
 
 
+def test_counting_reads_nodes_alone(spark, monkeypatch):
+    df = spark.createDataFrame([("a b a c",), ("b a b",)], "text string")
+    reader = LM.Reader(LM.train(df, block_tokens=3))
+    tokens, place = LM._tokens(pa.array(["a b a b", "c a zebra b a"]))
+    ids, _ = reader.words(tokens)
+    want = [node.tolist() for node, _, _ in reader.nodes(3, ids, place)]
+    read, column = [], elias_fano.Blocks.column
+    monkeypatch.setattr(elias_fano.Blocks, "column", lambda self, name, *of: read.append(name) or column(self, name, *of))
+    assert [node.tolist() for node, _, _ in reader.nodes(3, ids, place, valued=False)] == want
+    assert not read and max(want[1]) >= 0
+
+
 def test_edge_rows(spark):
     df = spark.createDataFrame([(None, None, 1), (1, "", 2), (1, "", 2), (2, "a b a b", 3)], "doc_id long, text string, score int")
     model = LM.train(df.select("text"))
