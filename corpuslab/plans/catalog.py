@@ -695,16 +695,15 @@ def index_append(spark, sf_dir):
 
 def lin_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A LIN description for every order: its lines are signals in one frame, their suppliers nodes, and the order's priority a schedule."""
-    from pyspark.sql import Window
-
-    own = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.row_number().over(own).alias("k"), F.col("l_quantity").cast("long").alias("bits"), "l_suppkey", "l_partkey")
-    before = Window.partitionBy("l_orderkey").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    lines = lines.withColumn("at", F.coalesce(F.sum("bits").over(before), F.lit(0)))
-    signal = F.format_string("  S%d: %d, %d, N%d, ECU, P%d;\n", "k", "bits", F.col("l_partkey") % 9, "l_suppkey", F.col("l_partkey") % 7)
-    placed = F.format_string("    S%d, %d;\n", "k", "at")
-    text = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", c.alias("t")))), lambda x: x["t"]), "")
-    parts = lines.groupBy("l_orderkey").agg(text(signal).alias("signals"), text(placed).alias("placed"), F.array_join(F.sort_array(F.collect_set(F.format_string("N%d", "l_suppkey"))), ", ").alias("nodes"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", *LINE_ORDER).repartition("l_orderkey")
+    lines = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*LINE_ORDER))).alias("lines"))
+    bits = lambda x: x["l_quantity"].cast("long")
+    begin = F.struct(F.lit(0).cast("long").alias("end"), F.array().cast("array<long>").alias("at"))
+    lines = lines.withColumn("at", F.aggregate("lines", begin, lambda acc, x: F.struct((acc["end"] + F.coalesce(bits(x), F.lit(0))).alias("end"), F.concat(acc["at"], F.array(acc["end"])).alias("at")))["at"])
+    signal = lambda x, k: F.format_string("  S%d: %d, %d, N%d, ECU, P%d;\n", k + 1, bits(x), x["l_partkey"] % 9, x["l_suppkey"], x["l_partkey"] % 7)
+    placed = lambda at, k: F.format_string("    S%d, %d;\n", k + 1, at)
+    nodes = F.sort_array(F.array_distinct(F.transform("lines", lambda x: F.format_string("N%d", x["l_suppkey"]))))
+    parts = lines.select("l_orderkey", F.array_join(F.transform("lines", signal), "").alias("signals"), F.array_join(F.transform("at", placed), "").alias("placed"), F.array_join(nodes, ", ").alias("nodes"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.regexp_replace("o_orderpriority", r"\W", "_").alias("table"))
     joined = orders.join(parts, F.col("o_orderkey") == F.col("l_orderkey"))
     return joined.select(
@@ -753,12 +752,10 @@ def lin_save(spark, sf_dir):
     """Doubles all signals, packs them anew, writes the four sections back and reads the files again."""
     from corpuslab.sources import lin
 
-    files = lin_files(spark, sf_dir)
-    doubled = relations.running_offset(lin.signals(files).withColumn("size", F.col("size") * 2), "path", ["seq"], "size").withColumn("offset", F.col("offset").cast("int"))
-    saved = lin.save(files, Nodes=lin.render_nodes(lin.nodes(files)), Signals=lin.render_signals(doubled), Frames=lin.render_frames(lin.frames(files), doubled), Schedule_tables=lin.render_schedules(lin.schedules(files)))
-    sizes = lin.signals(saved).groupBy("path").agg(F.count("*").alias("n_signals"), F.sum("size").cast("long").alias("bits"))
-    frames = lin.frames(saved).groupBy("path").agg(F.count("*").alias("n_frames"))
-    return saved.select("path", F.contains("text", F.lit("; // order")).alias("comment_stays")).join(sizes, "path").join(frames, "path")
+    files = lin.read(lin_files(spark, sf_dir)).withColumn("size", F.transform("size", lambda x: x * 2))
+    saved = lin.write(files.withColumn("offset", lin.packed(F.col("size"))))
+    bits = F.aggregate("size", F.lit(0).cast("long"), lambda acc, x: acc + x)
+    return lin.read(saved).select("path", F.contains("text", F.lit("; // order")).alias("comment_stays"), F.size("signal").cast("long").alias("n_signals"), bits.alias("bits"), F.size("frame").cast("long").alias("n_frames"))
 
 
 def _tasks(spark, sf_dir):

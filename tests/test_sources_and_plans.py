@@ -1,8 +1,11 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from corpuslab.operators import notes, relations
 from corpuslab.plans import access, dispatch
+from corpuslab.plans.catalog import QUERIES
 from corpuslab.sources import lin
 
 LDF = """LIN_description_file;
@@ -116,3 +119,32 @@ def test_more_text_functions(spark):
     one = spark.createDataFrame([("/* block of text */ x = 1 // a longer line comment\n# no",)], "t string")
     assert one.select(T.comments(F.col("t"))).first()[0] == ["block of text", "a longer line comment"]
     assert [tuple(one.select(T.edit(F.col("t"), a, b).alias("e")).first().e)[1] for a, b in (("x", "x"), ("zz", "y"), ("o", "0"), ("block", "B"))] == ["same", "missing", "several", None]
+
+
+def test_lin_save_builds_its_files_once(spark, sf_dir):
+    plan = QUERIES["lin_save"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 2
+
+
+def test_lin_files_written_whole_are_as_saved_by_relations(spark):
+    odd = LDF.replace("{1, 2}", r"{$1, \2}").replace("lost, 12;", "lost, 12;\n    lamp, 1;").replace("};", "} ;").replace("two delay", "one delay 5 ms;\n    two delay")
+    texts = {
+        "plain": LDF, "odd": odd, "returns": LDF.replace("\n", "\r\n"), "old mac": LDF.replace("\n", "\r"), "twice": LDF + LDF,
+        "no frames": re.sub(r"(?s)Frames.*?^}\n", "", LDF, flags=re.M), "no master": LDF.replace("Master", "Nobody"), "no entries": "Signals {\n}\n", "empty": "",
+        "comments": "/* Nodes {\n} */ x Nodes {\n}\n" + LDF.replace("door, 2 {", "door, 2 { // two\n"), "blanks": LDF.replace("head, roof;", "\u00a0head ,, roof\u2003;"),
+        "tables": LDF.replace("  normal {", "  b {\n  }\n  a {\n    two delay 1.5 ms;\n  }\n  normal {\n    two delay 7 ms;\n  }\n  normal {"),
+    }
+    files = spark.createDataFrame(list(texts.items()), "path string, text string")
+    doubled = relations.running_offset(lin.signals(files).withColumn("size", F.col("size") * 2), "path", ["seq"], "size").withColumn("offset", F.col("offset").cast("int"))
+    saved = lin.save(files, Nodes=lin.render_nodes(lin.nodes(files)), Signals=lin.render_signals(doubled), Frames=lin.render_frames(lin.frames(files), doubled), Schedule_tables=lin.render_schedules(lin.schedules(files)))
+    read = lin.read(files).withColumn("size", F.transform("size", lambda x: x * 2))
+    got = dict(lin.write(read.withColumn("offset", lin.packed(F.col("size")))).collect())
+    assert got == dict(saved.collect())
+    assert "wind: 32, {1, 2}, door, head, roof;" in got["plain"] and "    lost, 36;" in got["plain"] and "// comment" not in got["plain"]
+    assert got["empty"] == "" and r"{$1, \2}" in got["odd"] and "door, 2 {\n    lamp, 0;\n    wind, 4;" in got["odd"] and "wind: 32, {1, 2}, door, head, roof;" in got["blanks"]
+
+
+def test_all_subscribers_of_a_signal_are_read(spark):
+    names = [f"n{k}" for k in range(1200)]
+    files = spark.createDataFrame([("a", "Signals {\n  s: 1, 0, p, " + ", ".join(names) + ";\n}\n")], "path string, text string")
+    assert lin.signals(files).first().subscribers == names
